@@ -139,7 +139,7 @@ def latency_histogram(requests: DataFrame, keys: list[str], latency: str = "late
     per_key = requests.groupBy(*keys).agg(
         *[F.count_if(value <= bound).alias(f"le {text}") for bound, text in labels],
         F.count(F.lit(1)).alias("le +Inf"))
-    long = per_key.unpivot(keys, [c for c in per_key.columns if c not in keys], "le", "cumulative_count")
+    long = per_key.unpivot(keys, [f"`{c}`" for c in per_key.columns if c not in keys], "le", "cumulative_count")
     return long.withColumn("le", F.substring_index("le", " ", -1))
 
 

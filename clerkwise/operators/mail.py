@@ -115,7 +115,8 @@ def review_events(docs: DataFrame) -> DataFrame:
 
 
 def account_mail(events: DataFrame, users: DataFrame, option: str, brand: str, as_of: Column) -> DataFrame:
-    """Account mails for events (user_id, email and what the text needs).
+    """Account mails for events (user_id, email, what the text needs, and an
+    event_id to keep if there is one).
 
     The opt-out belongs to the user named in the event, else to the user with
     that address; an address nobody owns gets the mail.
@@ -137,8 +138,9 @@ def account_mail(events: DataFrame, users: DataFrame, option: str, brand: str, a
         "inviter": F.coalesce(F.nullif(has("inviter"), F.lit("")), F.lit("An administrator")), "link": has("link"),
     }
     subject, body = ACCOUNT_MAILS[option]
+    tag = [c for c in events.columns if c == "event_id"]
     return joined.select(
-        F.lit(ACCOUNT_DOCUMENT).alias("document_id"), F.col("email").alias("to_email"),
+        *tag, F.lit(ACCOUNT_DOCUMENT).alias("document_id"), F.col("email").alias("to_email"),
         fill(subject, values).alias("subject"), fill(body, values).alias("body"),
         F.lit("pending").alias("status"), as_of.alias("created_at"))
 
