@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,15 +59,40 @@ def strip(col: Column) -> Column:
     return F.regexp_replace(col, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
-def field(text: Column, name: str) -> Column:
+# Words of which one must occur for a pattern to match at all.
+FIELD_LABELS = {
+    "applicant_name": ("applicant", "name", "owner"),
+    "address": ("address",),
+    "date": ("date", "submitted", "filed"),
+    "parcel_number": ("parcel",),
+    "case_number": ("case",),
+    "amount": ("amount", "fee", "total"),
+    "email": ("@",),
+}
+
+# Letters that equal an ASCII letter when case is ignored, though not when lowered.
+CASE_TWINS = ("\u017f", "\u0131", "\u0130")
+
+
+def may_match(text: Column, lowered: Column, name: str) -> Column:
+    """Cheap test that is true for every text a field pattern matches. Most
+    whole documents lack most labels, and then the regex does not run."""
+    tests = [F.contains(lowered, F.lit(label)) for label in FIELD_LABELS[name]]
+    if name != "email":
+        tests += [F.contains(text, F.lit(letter)) for letter in CASE_TWINS]
+    return reduce(operator.or_, tests)
+
+
+def field(text: Column, lowered: Column, name: str) -> Column:
     """First match of one field pattern, trimmed; null when the pattern is absent."""
     pattern = FIELD_PATTERNS[name]
+    possible = may_match(text, lowered, name)
     if name != "address":
-        return F.nullif(F.trim(F.regexp_extract(text, pattern, 1)), F.lit(""))
+        return F.when(possible, F.nullif(F.trim(F.regexp_extract(text, pattern, 1)), F.lit("")))
     # An address may match with blanks only: present but empty. The whole match
     # tells that apart from no match at all.
     whole = F.regexp_extract(text, pattern, 0)
-    return F.when(whole != "", F.trim(F.regexp_extract(whole, pattern, 1)))
+    return F.when(possible & (whole != ""), F.trim(F.regexp_extract(whole, pattern, 1)))
 
 
 def fields_map(columns: dict[str, Column]) -> Column:
@@ -74,8 +102,8 @@ def fields_map(columns: dict[str, Column]) -> Column:
 
 
 def mask_pii(col: Column) -> Column:
-    hidden = F.regexp_replace(col, MASK_EMAIL, "***@$2")
-    return F.regexp_replace(hidden, MASK_KEY, "cs_***redacted***")
+    hidden = F.when(F.contains(col, F.lit("@")), F.regexp_replace(col, MASK_EMAIL, "***@$2")).otherwise(col)
+    return F.when(F.contains(col, F.lit("cs_")), F.regexp_replace(hidden, MASK_KEY, "cs_***redacted***")).otherwise(hidden)
 
 
 def doc_type_key(col: Column) -> Column:

@@ -2,14 +2,15 @@
 
 An event is admitted when fewer than ``limit`` admitted events of its key lie in
 the trailing window (an event exactly one window old still counts). Refused
-events use up nothing, so the decision depends on earlier decisions.
-
-A key's whole history must not land in one task. Time is cut into blocks, every
-(key, block) is decided on its own from a guessed entry state, and blocks whose
-guess turns out wrong are decided again with the right one until nothing
-changes. The first block is always right, so each round settles at least one
-more block of every key; in practice few rounds are needed because a pause or a
-quiet stretch makes the guess right.
+events use up nothing, so a decision depends on the decisions before it.
+
+A key's whole history must not land in one task. Time is cut into blocks a few
+windows wide, and every (key, block) is decided on its own from a guessed entry
+state: what one window of events before the block leaves over. Blocks whose
+guess differs from the exit state of the block before are decided again from
+that state, until none differs. The first block of a key is always right and
+each round settles at least one more, so the loop ends and its result is exact;
+since guesses are rarely wrong, a round after the first touches few blocks.
 """
 
 from __future__ import annotations
@@ -25,107 +26,123 @@ from clerkwise.session import checkpointed
 
 BLOCK_WINDOWS = 4
 
-_DECIDED = """`key` string, block long, kind int, id long, ts long, allowed boolean, remaining int,
-              reset_us long, state array<long>"""
+ENTRY, WARM, EVENT, EXIT = 0, 1, 2, 3
+_COLUMNS = ["key", "block", "kind", "id", "allowed", "remaining", "reset_us", "state"]
+_SCHEMA = "`key` string, block long, kind int, id long, allowed boolean, remaining int, reset_us long, state array<long>"
 
 
 def admit_sliding(events: DataFrame, key: str, ts: str, event_id: str, limit: int,
                   window_seconds: int, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """Add allowed, remaining and reset_seconds to every event.
+    """Decision per event: event_id, allowed, remaining and reset_seconds.
 
-    Events of a key are taken in (ts, event_id) order.
+    Events of a key are taken in (ts, event_id) order. Each round reads the
+    three columns again; checkpoint ``events`` first if they are dear to make.
     """
     if limit <= 0:
-        return events.withColumns({"allowed": F.lit(True), "remaining": F.lit(0), "reset_seconds": F.lit(window_seconds)})
+        return events.select(event_id, F.lit(True).alias("allowed"), F.lit(0).alias("remaining"),
+                             F.lit(window_seconds).alias("reset_seconds"))
     window = window_seconds * 1_000_000
     width = window * block_windows
     times = events.select(
         F.col(key).cast("string").alias("key"), F.col(event_id).cast("long").alias("id"),
         F.unix_micros(F.col(ts).cast("timestamp")).alias("ts")
     ).withColumn("block", F.floor(F.col("ts") / F.lit(width)).cast("long"))
-    # Cut once: every round reads the same rows again.
-    times = checkpointed(times)
-    entry = times.select("key", "block").distinct().withColumn("state", F.array().cast("array<long>"))
-    decided = checkpointed(_decide(times, entry, limit, window))
+    first = times.withColumn("kind", F.lit(EVENT))
+    # The last window of a block warms up the next one.
+    late = times.filter(F.pmod("ts", F.lit(width)) >= width - window)
+    warm = late.withColumns({"block": F.col("block") + 1, "kind": F.lit(WARM)})
+    rounds = [(checkpointed(_decide(first.unionByName(warm), limit, window, width)), None)]
+    states = checkpointed(_states(rounds[0][0]))
     while True:
-        wrong = checkpointed(_wrong_entries(decided, window, width))
+        wrong = checkpointed(_wrong_entries(states, window, width))
         if wrong.isEmpty():
             break
-        redo = times.join(wrong.select("key", "block"), ["key", "block"], "left_semi")
-        again = _decide(redo, wrong, limit, window)
-        kept = decided.join(wrong.select("key", "block"), ["key", "block"], "left_anti")
-        decided = checkpointed(kept.unionByName(again))
-    out = decided.filter("kind = 1").select(
-        F.col("id").alias("__id"), "allowed", "remaining",
+        blocks = wrong.select("key", "block")
+        again = first.join(blocks, ["key", "block"], "left_semi").unionByName(wrong, allowMissingColumns=True)
+        rounds.append((checkpointed(_decide(again, limit, window, width)), blocks))
+        states = checkpointed(states.join(blocks, ["key", "block"], "left_anti").unionByName(_states(rounds[-1][0])))
+    return _last_decisions(rounds).select(
+        F.col("id").alias(event_id), "allowed", "remaining",
         F.when(F.col("allowed"), F.lit(window_seconds))
         .otherwise(F.greatest(F.lit(1), F.floor(F.col("reset_us") / 1_000_000).cast("int"))).alias("reset_seconds"))
-    return events.join(out, F.col(event_id).cast("long") == F.col("__id"), "inner").drop("__id")
 
 
-def _decide(times: DataFrame, entry: DataFrame, limit: int, window: int) -> DataFrame:
-    """Decide blocks from their entry states.
+def _states(decided: DataFrame) -> DataFrame:
+    """Entry and exit states: two rows per (key, block), never the events."""
+    return decided.filter(F.col("kind") != EVENT).select("key", "block", "kind", "state")
 
-    Rows of a block arrive sorted behind their entry state (kind 0); each block
-    ends with its exit state (kind 2). A task holds one window of admitted
-    times, never a block.
-    """
-    rows = times.withColumns({"kind": F.lit(1), "state": F.lit(None).cast("array<long>")}).unionByName(
-        entry.select("key", "block", F.lit(0).alias("kind"), "state"), allowMissingColumns=True)
+
+def _last_decisions(rounds: list[tuple[DataFrame, DataFrame | None]]) -> DataFrame:
+    """Events of every round less the blocks that a later round decided again."""
+    out, redone = None, None
+    for decided, blocks in reversed(rounds):
+        part = decided.filter(F.col("kind") == EVENT)
+        if redone is not None:
+            part = part.join(redone, ["key", "block"], "left_anti")
+        out = part if out is None else out.unionByName(part)
+        if blocks is not None:
+            redone = blocks if redone is None else redone.unionByName(blocks)
+    return out
+
+
+def _decide(rows: DataFrame, limit: int, window: int, width: int) -> DataFrame:
+    """Decide blocks. A block's rows come sorted: its entry state or its warm-up
+    events, then its events. A task holds one window of admitted times at most."""
+    if "state" not in rows.columns:
+        rows = rows.withColumn("state", F.lit(None).cast("array<long>"))
     placed = rows.select("key", "block", "kind", "ts", "id", "state").repartition("key", "block").sortWithinPartitions(
         "key", "block", "kind", "ts", "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         recent: deque[int] = deque()
-        entry_state: list[int] = []
-        current = None
-
-        def closing() -> dict:
-            return {"key": current[0], "block": current[1], "kind": 2, "id": None, "ts": None, "allowed": None,
-                    "remaining": None, "reset_us": None, "state": list(recent)}
+        place, started = None, False
 
-        def frame(rows: list[dict]) -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=["key", "block", "kind", "id", "ts", "allowed", "remaining", "reset_us", "state"])
-            return out.astype({"id": "Int64", "ts": "Int64", "remaining": "Int32", "reset_us": "Int64", "allowed": "boolean"})
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            out = pd.DataFrame(rows, columns=_COLUMNS)
+            return out.astype({"id": "Int64", "remaining": "Int32", "reset_us": "Int64", "allowed": "boolean"})
 
         for batch in batches:
-            out: list[dict] = []
+            out: list[tuple] = []
             for key, block, kind, ts, event, state in batch.itertuples(index=False, name=None):
-                if kind == 0:
-                    if current is not None:
-                        out.append(closing())
-                    current = (key, block)
-                    entry_state = [int(t) for t in state] if state is not None else []
-                    recent = deque(entry_state)
-                    out.append({"key": key, "block": block, "kind": 0, "state": entry_state})
+                if place != (key, block):
+                    if started:
+                        out.append((*place, EXIT, None, None, None, None, list(recent)))
+                    place, started, recent = (key, block), False, deque()
+                if kind == ENTRY:
+                    recent = deque(int(t) for t in state)
                     continue
-                ts, event = int(ts), int(event)
+                if not started and kind == EVENT:
+                    started = True
+                    while recent and recent[0] < block * width - window:
+                        recent.popleft()
+                    out.append((key, block, ENTRY, None, None, None, None, list(recent)))
+                ts = int(ts)
                 while recent and recent[0] < ts - window:
                     recent.popleft()
-                if len(recent) >= limit:
-                    allowed, remaining, reset = False, 0, window - (ts - recent[0])
-                else:
+                allowed = len(recent) < limit
+                if allowed:
                     recent.append(ts)
-                    allowed, remaining, reset = True, limit - len(recent), window
-                out.append({"key": key, "block": block, "kind": 1, "id": event, "ts": ts, "allowed": allowed,
-                            "remaining": remaining, "reset_us": reset, "state": None})
+                if kind == EVENT:
+                    reset = window if allowed else window - (ts - recent[0])
+                    out.append((key, block, EVENT, int(event), allowed, limit - len(recent) if allowed else 0, reset, None))
             if out:
                 yield frame(out)
-        if current is not None:
-            yield frame([closing()])
+        if started:
+            yield frame([(*place, EXIT, None, None, None, None, list(recent))])
 
-    return placed.mapInPandas(run, _DECIDED)
+    return placed.mapInPandas(run, _SCHEMA)
 
 
-def _wrong_entries(decided: DataFrame, window: int, width: int) -> DataFrame:
-    """Blocks whose entry state differs from what the block before left over.
+def _wrong_entries(states: DataFrame, window: int, width: int) -> DataFrame:
+    """Blocks whose entry state differs from what the block before leaves over,
+    with the right state.
 
-    Only the last block before matters: blocks are at least one window wide, so
-    older admissions have expired. One row per (key, block), never the events.
+    Blocks are at least one window wide, so only the block before matters; where
+    that one is empty, everything older has expired.
     """
-    entry = decided.filter("kind = 0").select("key", "block", F.col("state").alias("used"))
-    left = decided.filter("kind = 2").select("key", (F.col("block") + 1).alias("block"), F.col("state").alias("left"))
+    entry = states.filter(F.col("kind") == ENTRY).select("key", "block", F.col("state").alias("used"))
+    left = states.filter(F.col("kind") == EXIT).select("key", (F.col("block") + 1).alias("block"), F.col("state").alias("left"))
     start = F.col("block") * F.lit(width)
     alive = F.filter(F.coalesce("left", F.array().cast("array<long>")), lambda t: t >= start - window)
     joined = entry.join(left, ["key", "block"], "left").withColumn("state", alive)
-    # Entry states are always written in this trimmed form.
-    return joined.filter(F.col("used") != F.col("state")).select("key", "block", "state")
+    return joined.filter(F.col("used") != F.col("state")).select("key", "block", F.lit(ENTRY).alias("kind"), "state")

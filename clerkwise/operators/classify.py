@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clerkwise.functions.literals import string_array, string_literal
 from clerkwise.functions.once import compute_once
 from clerkwise.functions.predicates import empty
 from clerkwise.functions.scores import classification_confidence
@@ -20,43 +21,37 @@ KEYWORDS_PER_LITERAL = 20_000
 _BEST = "struct<hits:int,back:int,doc_type:string,n:int,matched:array<string>>"
 
 
-def classify(df: DataFrame, rules: DataFrame | list[Rule], text: str = "text") -> DataFrame:
+def classify(df: DataFrame, rules: DataFrame | list[Rule], text: str = "text",
+             lowered: str | None = None) -> DataFrame:
     """Add doc_type, classification_confidence and matched_keywords.
 
-    A keyword counts when it is a substring of the lower-cased text. Most hits
-    win; on a tie the rule that comes first. No hit means ``other``.
+    A keyword counts when it is a substring of the lower-cased text (column
+    ``lowered`` if there is one already). Most hits win; on a tie the rule that
+    comes first. No hit means ``other``.
     """
     rules = [r for r in as_rules(rules) if r.keywords]
-    base = df.withColumn("__low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    base = df.withColumn("__low", F.col(lowered) if lowered else F.lower(F.coalesce(F.col(text), F.lit(""))))
     if not rules:
         best = F.lit(None).cast(_BEST)
         return _with_result(base.withColumn("__best", best))
     if sum(len(r.keywords) for r in rules) <= UNROLLED_KEYWORDS:
         # Hits per rule first, so that the winner alone lists its keywords.
-        base = compute_once(base, {f"__h{i}": _count_hits(rule) for i, rule in enumerate(rules)})
-        ranked = [
-            F.struct(F.col(f"__h{i}").alias("hits"), F.lit(-i).alias("back"))
-            for i in range(len(rules))
-        ]
-        top = F.greatest(*ranked) if len(ranked) > 1 else ranked[0]
-        base = base.withColumn("__top", F.when(top["hits"] > 0, -top["back"]))
-        cases_type = cases_n = cases_matched = cases_hits = None
-        for i, rule in enumerate(rules):
-            test = F.col("__top") == i
-            kept = F.filter(F.array(*[F.lit(k) for k in rule.keywords]),
-                            lambda k: F.contains(F.col("__low"), k))
-            values = (F.lit(rule.doc_type), F.lit(len(rule.keywords)), kept, F.col(f"__h{i}"))
-            if cases_type is None:
-                cases_type, cases_n, cases_matched, cases_hits = [F.when(test, v) for v in values]
-            else:
-                cases_type, cases_n = cases_type.when(test, values[0]), cases_n.when(test, values[1])
-                cases_matched = cases_matched.when(test, values[2])
-                cases_hits = cases_hits.when(test, values[3])
+        base = compute_once(base, {f"__h{i}": F.expr(_hits_sql(rule)) for i, rule in enumerate(rules)})
+        ranked = ", ".join(f"named_struct('hits', __h{i}, 'back', -{i})" for i in range(len(rules)))
+        top = f"greatest({ranked})" if len(rules) > 1 else ranked
+        base = base.withColumn("__top", F.expr(top))
+        best, none = "CASE WHEN __top.hits > 0 THEN CASE -__top.back", "END END"
+
+        def of_best(values: list[str]) -> str:
+            return " ".join([best, *[f"WHEN {i} THEN {value}" for i, value in enumerate(values)], none])
+
+        words = F.expr(of_best([string_array(r.keywords) for r in rules]))
         out = compute_once(base, {
-            "doc_type": F.coalesce(cases_type, F.lit("other")),
+            "doc_type": F.coalesce(F.expr(of_best([string_literal(r.doc_type) for r in rules])), F.lit("other")),
             "classification_confidence": classification_confidence(
-                F.coalesce(cases_hits, F.lit(0)), F.coalesce(cases_n, F.lit(1))),
-            "matched_keywords": F.coalesce(cases_matched, F.array().cast("array<string>")),
+                F.col("__top.hits"), F.expr(f"coalesce({of_best([str(len(r.keywords)) for r in rules])}, 1)")),
+            "matched_keywords": F.coalesce(F.filter(words, lambda k: F.contains(F.col("__low"), k)),
+                                           F.array().cast("array<string>")),
         })
         return out.drop("__low", "__top", *[f"__h{i}" for i in range(len(rules))])
     slices = [_best_of(part) for part in _slices(rules)]
@@ -64,11 +59,8 @@ def classify(df: DataFrame, rules: DataFrame | list[Rule], text: str = "text") -
     return _with_result(compute_once(base, {"__best": best}))
 
 
-def _count_hits(rule: Rule) -> Column:
-    total = F.lit(0)
-    for keyword in rule.keywords:
-        total = total + F.contains(F.col("__low"), F.lit(keyword)).cast("int")
-    return total
+def _hits_sql(rule: Rule) -> str:
+    return " + ".join(f"int(contains(__low, {string_literal(k)}))" for k in rule.keywords)
 
 
 def _slices(rules: list[Rule]) -> list[list[tuple[int, Rule]]]:
@@ -110,13 +102,13 @@ def _with_result(df: DataFrame) -> DataFrame:
 
 def route(df: DataFrame, rules: DataFrame | list[Rule], doc_type: str = "doc_type") -> DataFrame:
     """Add department from the rule of the type, the fallback rule if unknown."""
-    return df.withColumn("department", lookup(as_rules(rules), F.col(doc_type), "department", "string"))
+    return df.withColumn("department", lookup(as_rules(rules), doc_type, "department"))
 
 
 def validate(df: DataFrame, rules: DataFrame | list[Rule], doc_type: str = "doc_type",
              fields: str = "extracted_fields") -> DataFrame:
     """Add missing_fields and validation_errors."""
-    required = lookup(as_rules(rules), F.col(doc_type), "required_fields", "array<string>")
+    required = lookup(as_rules(rules), doc_type, "required_fields")
     out = compute_once(df, {"missing_fields": missing_fields(F.col(fields), required)})
     return compute_once(out, {"validation_errors": validation_errors(F.col(fields), F.col("missing_fields"))})
 

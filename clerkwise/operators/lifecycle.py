@@ -109,7 +109,9 @@ def review(docs: DataFrame, reviews: DataFrame, rules: DataFrame | list[Rule]) -
     own = F.coalesce(F.col("extracted_fields"), nothing)
     approve = F.col("approve")
     kind = F.coalesce(F.nullif(F.col("corrected_doc_type"), F.lit("")), F.col("doc_type"))
-    routed = lookup(rules, F.coalesce(F.nullif(kind, F.lit("")), F.lit("other")), "department", "string")
+    joined = joined.withColumn("__kind", kind)
+    kind = F.col("__kind")
+    routed = lookup(rules, "__kind", "department")
     department = F.coalesce(F.nullif(F.col("corrected_department"), F.lit("")), routed)
     corrected = ~empty(F.col("corrected_doc_type")) | (F.size(fixes) > 0)
     none = F.array().cast("array<string>")

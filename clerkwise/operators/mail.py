@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from clerkwise.functions.codec import wants_mail
 from clerkwise.functions.dates import money
 from clerkwise.operators.workflows import compose_mail
-from clerkwise.session import broadcast_if_small
 
 # Template name hints, statuses that trigger a mail, and the
 # document id of account mails.

@@ -56,7 +56,7 @@ def normalise_replies(df: DataFrame, rules: DataFrame | list[Rule], reply: str =
         "reply_doc_type": F.when(there, F.when(kind.isin(*known), kind).otherwise(F.lit("other")))})
     urgency = F.lower(strip(F.coalesce(_string(payload, "$.urgency"), F.lit("normal"))))
     own = F.nullif(_string(payload, "$.department"), F.lit(""))
-    routed = lookup(rules, F.col("reply_doc_type"), "department", "string")
+    routed = lookup(rules, "reply_doc_type", "department")
     words = F.try_variant_get(payload, "$.matched_keywords", "array<string>")
     return parsed.withColumns({
         "reply_department": F.when(there, F.coalesce(own, routed)),

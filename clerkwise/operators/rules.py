@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clerkwise.functions.literals import string_array, string_literal
 from clerkwise.functions.text import strip
 from clerkwise.schemas import RULES
 
@@ -143,21 +144,17 @@ def as_rules(rules: DataFrame | list[Rule]) -> list[Rule]:
     return rules if isinstance(rules, list) else rule_list(rules)
 
 
-def lookup(rules: list[Rule], doc_type: Column, attribute: str, schema: str) -> Column:
+def lookup(rules: list[Rule], doc_type: str, attribute: str) -> Column:
     """Rule attribute by type with the fallback rule for unknown types.
 
     A ``case`` over literals: no join, no shuffle.
     """
-    def value(rule: Rule) -> Column:
+    def value(rule: Rule) -> str:
         raw = getattr(rule, attribute)
-        if isinstance(raw, tuple):
-            return F.array(*[F.lit(item) for item in raw]).cast(schema)
-        return F.lit(raw).cast(schema)
+        if attribute == "sla_days":
+            return f"CAST({'NULL' if raw is None else raw} AS int)"
+        return string_array(raw) if isinstance(raw, tuple) else string_literal(raw)
 
     fallback = next(rule for rule in rules if rule.doc_type == "other")
-    case = None
-    for rule in rules:
-        if rule.doc_type != "other":
-            test = doc_type == F.lit(rule.doc_type)
-            case = F.when(test, value(rule)) if case is None else case.when(test, value(rule))
-    return value(fallback) if case is None else case.otherwise(value(fallback))
+    cases = [f"WHEN {string_literal(r.doc_type)} THEN {value(r)}" for r in rules if r.doc_type != "other"]
+    return F.expr(" ".join([f"CASE {doc_type}", *cases, f"ELSE {value(fallback)} END"]) if cases else value(fallback))

@@ -17,12 +17,16 @@ from clerkwise.functions.once import compute_once
 from clerkwise.functions.predicates import TO_ASSIGN, transition_allowed
 from clerkwise.functions.rendering import event_context, letter_context, recipient, render
 from clerkwise.functions.text import strip
-from clerkwise.session import broadcast_if_small
+from clerkwise.session import is_small
 
 # Fields a rule may filter on, and how many rules apply per scope.
 FILTER_FIELDS = ("doc_type", "department", "status", "urgency", "source_channel")
 RULES_PER_SCOPE = 200
 
+# Tables with at most this many rows are broadcast.
+SMALL_RULE_TABLE = 1_000
+SMALL_TEMPLATE_TABLE = 20_000
+
 GLOBAL = "*global*"
 ANY = "*any*"
 
@@ -85,14 +89,16 @@ def match_workflows(docs: DataFrame, rules: DataFrame, trigger: str,
     """(document_id, rule_id, rule_name, pos, action_type, config) of one pass.
 
     ``rules`` are raw rule rows. The join is an equi join on the rule scope with
-    the filters as its condition. Rules are a settings table: measured small
-    they are broadcast, otherwise both sides shuffle on the scope and AQE splits
-    a hot workspace.
+    the filters as its condition. Rules are a settings table: counted to be
+    small they are broadcast, otherwise both sides shuffle on the scope and AQE
+    splits a hot workspace.
     """
-    scoped = broadcast_if_small(scoped_rules(parse_rules(rules), trigger, limit))
-    owners = broadcast_if_small(
-        rules.filter("workspace_id is not null and enabled").filter(F.col("trigger_event") == trigger)
-        .select(F.col("workspace_id").alias("__scope")).distinct())
+    # Every scope repeats at most ``limit`` global rules, so the count of the raw
+    # table bounds the scoped one.
+    hint = F.broadcast if is_small(rules, SMALL_RULE_TABLE) else (lambda df: df)
+    scoped = hint(scoped_rules(parse_rules(rules), trigger, limit))
+    owners = hint(rules.filter("workspace_id is not null and enabled").filter(F.col("trigger_event") == trigger)
+                  .select(F.col("workspace_id").alias("__scope")).distinct())
     narrow = docs.select("id", "workspace_id", "confidence", *FILTER_FIELDS)
     placed = narrow.join(owners, F.col("workspace_id") == F.col("__scope"), "left").withColumn(
         "__scope", F.coalesce("__scope", F.lit(GLOBAL))).drop("workspace_id")
@@ -235,7 +241,9 @@ def email_actions(acted: DataFrame, templates: DataFrame) -> DataFrame:
     number = F.expr("try_cast(trim(config['template_id']) as bigint)")
     hint = F.lower(_option("template_name_hint"))
     asked = acted.withColumns({"__want": number, "__hint": F.when(number.isNull(), F.nullif(hint, F.lit("")))})
-    scoped = broadcast_if_small(_template_scopes(templates))
+    scoped = _template_scopes(templates)
+    if is_small(templates, SMALL_TEMPLATE_TABLE):
+        scoped = F.broadcast(scoped)
     # Few distinct (workspace, id or hint) pairs stand for all actions.
     wishes = asked.filter("__want is not null or __hint is not null").select(
         F.col("workspace_id").alias("__ww"), F.col("__want").alias("__wid"), F.col("__hint").alias("__wh")).distinct()

@@ -424,12 +424,12 @@ TRIGGER = "document_processed"
 
 
 def _effects(v: Views):
-    return workflows.run_workflows(v.doc_ledger, v.workflow_rules, v.templates, v.workspaces, TRIGGER, v.as_of)
+    return workflows.run_workflows(v.wide.doc_ledger, v.workflow_rules, v.templates, v.workspaces, TRIGGER, v.as_of)
 
 
 @catalog.add("workflow_match", sql("SELECT id AS document_id, rule_id, rule_name, pos, action_type FROM matches"))
 def _(v):
-    return workflows.match_workflows(v.doc_ledger, v.workflow_rules, TRIGGER).drop("config")
+    return workflows.match_workflows(v.wide.doc_ledger, v.workflow_rules, TRIGGER).drop("config")
 
 
 @catalog.add("workflow_changes", sql("""
@@ -536,7 +536,7 @@ def _(v):
     JOIN (SELECT *, row_number() OVER (PARTITION BY left(name, 7) ORDER BY name, id) AS n FROM templates WHERE regexp_matches(name, '^(Acknow|Request for I|Status U)')) t
       ON t.n = 1 AND contains(lower(t.name), k.hint) WHERE l.to_email IS NOT NULL"""))
 def _(v):
-    return mail.auto_mail(v.doc_ledger, v.templates, v.as_of).select("document_id", "email_type", "to_email", "subject", "body")
+    return mail.auto_mail(v.wide.doc_ledger, v.templates, v.as_of).select("document_id", "email_type", "to_email", "subject", "body")
 
 
 @catalog.add("outbox_assigned", sql("""

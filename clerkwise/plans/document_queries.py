@@ -38,7 +38,7 @@ TEXT_RULES = [
 
 
 def processed(v: Views):
-    return process_documents(v.intake_docs, RULES, v.as_of)
+    return process_documents(v.wide.intake_docs, RULES, v.as_of)
 
 
 @catalog.add("queue_snapshot", sql("""SELECT department, count(*) AS total, count_if(requires_review)::BIGINT AS needs_review,
@@ -58,19 +58,19 @@ def _(v):
 
 @catalog.add("classify_rules", sql("SELECT id, doc_type, cc AS classification_confidence, matched_keywords FROM classified"))
 def _(v):
-    return classify(v.intake_docs, RULES).select("id", "doc_type", "classification_confidence",
+    return classify(v.wide.intake_docs, RULES).select("id", "doc_type", "classification_confidence",
                                                  joined("matched_keywords").alias("matched_keywords"))
 
 
 @catalog.add("extract_fields", sql(f"SELECT id, {', '.join(FIELD_PATTERNS)} FROM fields"))
 def _(v):
-    return extract_fields(v.intake_docs).select("id", *FIELD_PATTERNS)
+    return extract_fields(v.wide.intake_docs).select("id", *FIELD_PATTERNS)
 
 
 @catalog.add("documents_fields", "SELECT doc_id, " + ", ".join(
     f"nullif(trim(regexp_extract(text, {pattern(n)}, 1)), '') AS {n}" for n in FIELD_PATTERNS) + " FROM documents")
 def _(v):
-    return v.table("documents").select("doc_id", *[field(F.col("text"), n).alias(n) for n in FIELD_PATTERNS])
+    return extract_fields(v.wide.table("documents")).select("doc_id", *FIELD_PATTERNS)
 
 
 def _text_score(n: int, total: int) -> str:
@@ -86,13 +86,13 @@ def _text_score(n: int, total: int) -> str:
         contains(low, 'token')::INT + contains(low, 'password')::INT + contains(low, 'secret')::INT + contains(low, 'key')::INT AS b
       FROM (SELECT doc_id, lower(text) AS low FROM documents))""")
 def _(v):
-    return classify(v.table("documents"), TEXT_RULES).select("doc_id", "doc_type", "classification_confidence")
+    return classify(v.wide.table("documents"), TEXT_RULES).select("doc_id", "doc_type", "classification_confidence")
 
 
 @catalog.add("validate_missing", sql("SELECT id, doc_type, missing_fields, validation_errors FROM processed"))
 def _(v):
-    docs = classify(v.intake_docs, RULES).withColumn(
-        "extracted_fields", F.map_filter(F.create_map(*[p for n in FIELD_PATTERNS for p in (F.lit(n), field(F.col("text"), n))]),
+    docs = classify(v.wide.intake_docs, RULES).withColumn(
+        "extracted_fields", F.map_filter(F.create_map(*[p for n in FIELD_PATTERNS for p in (F.lit(n), field(F.col("text"), F.lower("text"), n))]),
                                          lambda _, x: x.isNotNull()))
     return validate(docs, RULES).select("id", "doc_type", joined("missing_fields").alias("missing_fields"),
                                         joined("validation_errors", ";").alias("validation_errors"))
@@ -105,13 +105,13 @@ def _(v):
 
 @catalog.add("urgency", sql(f"SELECT id, CASE WHEN {URGENT} THEN 'high' ELSE 'normal' END AS urgency FROM intake_docs"))
 def _(v):
-    return v.intake_docs.select("id", scores.urgency(F.lower("text")).alias("urgency"))
+    return v.wide.intake_docs.select("id", scores.urgency(F.lower("text")).alias("urgency"))
 
 
 @catalog.add("review_flags", sql(f"""SELECT id, confidence, requires_review FROM (
     {judged("classified", "0.7", "'benefits_application', 'other'")})"""))
 def _(v):
-    return process_documents(v.intake_docs, RULES, v.as_of, threshold=0.7, forced=("Benefits_Application", "other")).select(
+    return process_documents(v.wide.intake_docs, RULES, v.as_of, threshold=0.7, forced=("Benefits_Application", "other")).select(
         "id", "confidence", "requires_review")
 
 
@@ -164,7 +164,7 @@ def _(v):
       '\b(cs_[A-Za-z0-9_\-]{10,})\b', 'cs_***redacted***', 'g') AS text
     FROM (SELECT doc_id, text || ' cs_' || lpad(doc_id::VARCHAR, 12, '0') || ' cs_short' AS text FROM documents)""")
 def _(v):
-    d = v.table("documents")
+    d = v.wide.table("documents")
     text = F.concat("text", F.lit(" cs_"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(" cs_short"))
     return d.select("doc_id", mask_pii(text).alias("text"))
 
@@ -172,7 +172,7 @@ def _(v):
 @catalog.add("template_render", sql("""SELECT l.id, l.letter || t.p_brand AS body FROM letters l JOIN templates t ON t.id = l.id"""))
 def _(v):
     t = v.templates.select(F.col("id").alias("tid"), "template_body")
-    both = v.doc_ledger.join(t, F.col("id") == F.col("tid"))
+    both = v.wide.doc_ledger.join(t, F.col("id") == F.col("tid"))
     return both.select("id", render(F.col("template_body"), letter_context(), F.col("extracted_fields")).alias("body"))
 
 
@@ -293,7 +293,7 @@ def _(v):
         CASE WHEN rid IS NOT NULL THEN r_urgency WHEN {URGENT} THEN 'high' ELSE 'normal' END AS urgency
       FROM classified LEFT JOIN {_REPLY_SQL} ON rid = id)''')})"""))
 def _(v):
-    return process_documents(v.intake_docs, RULES, v.as_of, replies=v.replies).select(
+    return process_documents(v.wide.intake_docs, RULES, v.as_of, replies=v.replies).select(
         "id", "classified_by", "doc_type", "department", "urgency", "confidence", "requires_review")
 
 
@@ -310,7 +310,7 @@ _FILLED = """(SELECT * REPLACE (
 @catalog.add("enrichment_merge", sql(f"""SELECT id, applicant_name, address, parcel_number, email, missing_fields, confidence, requires_review
     FROM ({judged(_FILLED)})"""))
 def _(v):
-    out = process_documents(v.intake_docs, RULES, v.as_of, enrichments=v.enrichments)
+    out = process_documents(v.wide.intake_docs, RULES, v.as_of, enrichments=v.enrichments)
     got = F.col("extracted_fields")
     return out.select("id", *[F.try_element_at(got, F.lit(k)).alias(k) for k in ("applicant_name", "address", "parcel_number", "email")],
                       joined("missing_fields").alias("missing_fields"), "confidence", "requires_review")
@@ -322,7 +322,7 @@ def _(v):
     CASE WHEN id % 10 = 3 THEN 'unreadable' ELSE 'doc_type=' || doc_type || ' confidence=' || confidence::VARCHAR || ' requires_review='
       || CASE WHEN requires_review THEN 'True' ELSE 'False' END || ' threshold=0.82' END AS details FROM processed"""))
 def _(v):
-    docs = v.intake_docs.withColumn("extraction_error", F.when(F.col("id") % 10 == 3, "unreadable"))
+    docs = v.wide.intake_docs.withColumn("extraction_error", F.when(F.col("id") % 10 == 3, "unreadable"))
     done = process_documents(docs, RULES, v.as_of)
     log = processing_audit(done, "system", v.as_of).select(F.col("document_id").alias("id"), "action", "details")
     return done.select("id", "doc_type", "status", "requires_review").join(log, "id")
@@ -342,7 +342,7 @@ def _(v):
     FROM (SELECT *, status = 'failed' AS c FROM doc_ledger) l JOIN processed p ON p.id = l.id"""))
 def _(v):
     chosen = v.doc_ledger.filter("status = 'failed'").select("id")
-    out = reprocess(v.doc_ledger, v.intake_docs.select("id", "text"), chosen, RULES, v.as_of)
+    out = reprocess(v.doc_ledger, v.wide.intake_docs.select("id", "text"), chosen, RULES, v.as_of)
     return out.select("id", "doc_type", "status", "confidence", "due_date", "updated_at")
 
 
@@ -365,7 +365,7 @@ def _(v):
         ('needs_review', 'assigned', 'acknowledged', 'failed') ORDER BY CASE status WHEN 'needs_review' THEN 1 WHEN 'assigned' THEN 2
         WHEN 'acknowledged' THEN 3 ELSE 4 END, updated_at DESC, id LIMIT 500)))''')})"""))
 def _(v):
-    return reply_sweep(v.doc_ledger, v.intake_docs.select("id", "text"), v.replies, RULES, v.as_of, 500, include_failed=True)
+    return reply_sweep(v.doc_ledger, v.wide.intake_docs.select("id", "text"), v.replies, RULES, v.as_of, 500, include_failed=True)
 
 
 @catalog.add("due_dates", sql(f"""SELECT id, created_at + to_days({SLA_CASE}) AS due_date FROM
@@ -374,7 +374,7 @@ def _(v):
     from clerkwise.functions.dates import due_date
 
     created = F.when(F.col("id") % 20 != 0, F.col("created_at"))
-    sla = lookup(RULES, F.col("doc_type"), "sla_days", "int")
+    sla = lookup(RULES, "doc_type", "sla_days")
     return v.doc_ledger.select("id", due_date(created, sla, v.as_of).alias("due_date"))
 
 

@@ -23,7 +23,8 @@ RESULT_COLUMNS = ("status", "doc_type", "department", "urgency", "confidence", "
 
 def extract_fields(df: DataFrame, text: str = "text") -> DataFrame:
     """One column per field, null when absent."""
-    return df.withColumns({name: field(F.col(text), name) for name in FIELD_PATTERNS})
+    low = df.withColumn("__low", F.lower(text))
+    return low.withColumns({name: field(F.col(text), F.col("__low"), name) for name in FIELD_PATTERNS}).drop("__low")
 
 
 def process_documents(df: DataFrame, rules: DataFrame | list[Rule], as_of: Column,
@@ -39,14 +40,15 @@ def process_documents(df: DataFrame, rules: DataFrame | list[Rule], as_of: Colum
     out = df
     if "extraction_confidence" not in df.columns:
         out = out.withColumn("extraction_confidence", F.lit(0.99))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    out = compute_once(out, {"extracted_fields": fields_map({n: field(text, n) for n in FIELD_PATTERNS}),
-                             "urgency": scores.urgency(F.lower(text))})
-    out = classify(out, rules)
-    out = out.withColumn("department", lookup(rules, F.col("doc_type"), "department", "string"))
+    text, low = F.coalesce(F.col("text"), F.lit("")), F.col("__lowered")
+    out = compute_once(out, {"__lowered": F.lower(text)})
+    out = compute_once(out, {"extracted_fields": fields_map({n: field(text, low, n) for n in FIELD_PATTERNS}),
+                             "urgency": scores.urgency(low)})
+    out = classify(out, rules, lowered="__lowered").drop("__lowered")
+    out = out.withColumn("department", lookup(rules, "doc_type", "department"))
     if replies is not None:
         out = prefer_replies(out, replies, rules)
-    required = lookup(rules, F.col("doc_type"), "required_fields", "array<string>")
+    required = lookup(rules, "doc_type", "required_fields")
     out = compute_once(out, {"missing_fields": missing_fields(F.col("extracted_fields"), required)})
     if enrichments is not None:
         out = merge_enrichment(out, enrichments, required)
@@ -55,7 +57,7 @@ def process_documents(df: DataFrame, rules: DataFrame | list[Rule], as_of: Colum
     score = scores.penalised_confidence(F.col("classification_confidence"), F.col("extraction_confidence"), errors)
     out = out.withColumn("__score", score)
     flag = scores.needs_review(F.col("__score"), errors, F.col("doc_type"), threshold, forced)
-    sla = lookup(rules, F.col("doc_type"), "sla_days", "int")
+    sla = lookup(rules, "doc_type", "sla_days")
     created = F.col("created_at") if "created_at" in df.columns else F.lit(None).cast("timestamp")
     out = out.withColumns({"confidence": F.round("__score", 4), "requires_review": flag, "sla_days": sla})
     out = out.withColumns({

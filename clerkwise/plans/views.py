@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clerkwise.functions.dates import days, instant
-from clerkwise.session import use_utc
+from clerkwise.session import spread, use_utc
 from clerkwise.sources.tables import read_table
 
 AS_OF = "1998-07-01 00:00:00"
@@ -40,12 +40,18 @@ def pick(values: tuple, index: Column) -> Column:
 class Views:
     """The derived tables of one data folder, built on first use."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = use_utc(spark), folder
+    def __init__(self, spark: SparkSession, folder: str, spread_scans: bool = False):
+        self.spark, self.folder, self.spread_scans = use_utc(spark), folder, spread_scans
         self.as_of, self.events_as_of = instant(AS_OF), instant(EVENTS_AS_OF)
 
     def table(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.folder, name)
+        scan = read_table(self.spark, self.folder, name)
+        return spread(scan) if self.spread_scans and name in ("orders", "documents") else scan
+
+    @cached_property
+    def wide(self) -> Views:
+        """The same tables for work that is heavy per row."""
+        return Views(self.spark, self.folder, spread_scans=True)
 
     @cached_property
     def intake_docs(self) -> DataFrame:

@@ -80,6 +80,23 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
     return df
 
 
+def is_small(df: DataFrame, max_rows: int) -> bool:
+    """Whether a table has at most ``max_rows`` rows; reads no more than that."""
+    return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a scan with very few splits to all cores.
+
+    For work that is heavy per row. A scan whose splits already occupy a quarter
+    of the cores, as any large table does, stays as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.isStreaming or scan.rdd.getNumPartitions() * 4 > cores:
+        return scan
+    return scan.repartition(cores)
+
+
 def number_rows(df: DataFrame, order: list[str], name: str,
                 keys: list[str] | None = None) -> DataFrame:
     """Exact 1-based row numbers per ``keys`` (or over all rows) in ``order``.
