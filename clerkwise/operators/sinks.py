@@ -58,7 +58,9 @@ def csv_lines(docs: DataFrame) -> DataFrame:
 
 def write_csv(docs: DataFrame, path: str) -> None:
     (csv_rows(docs).write.mode("overwrite").option("header", True).option("quoteAll", True)
-     .option("escape", '"').option("emptyValue", "").csv(path))
+     .option("escape", '"').option("emptyValue", "")
+     # The writer would otherwise trim every value.
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_processed_copy(files: DataFrame, statuses: DataFrame, path: str) -> None:

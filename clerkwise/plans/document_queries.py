@@ -302,18 +302,23 @@ _FILLED = """(SELECT * REPLACE (
     CASE WHEN id % 4 = 0 AND was <> '' THEN coalesce(email, 'j@x.org') ELSE email END AS email,
     CASE WHEN id % 4 = 1 AND was <> '' THEN coalesce(address, rtrim(substr(repeat('12 Long Road ', 30), 1, 240))) ELSE address END AS address,
     CASE WHEN id % 4 = 1 AND was <> '' AND doc_type IN ('building_permit', 'zoning_variance') THEN coalesce(parcel_number, 'P' || id)
-      ELSE parcel_number END AS parcel_number)
+      ELSE parcel_number END AS parcel_number),
+    array_to_string(list_filter([CASE WHEN id % 4 = 1 AND was <> '' AND address IS NULL THEN 'address' END,
+      CASE WHEN id % 4 = 0 AND was <> '' AND applicant_name IS NULL THEN 'applicant_name' END,
+      CASE WHEN id % 4 = 0 AND was <> '' AND email IS NULL THEN 'email' END,
+      CASE WHEN id % 4 = 1 AND was <> '' AND doc_type IN ('building_permit', 'zoning_variance') AND parcel_number IS NULL THEN 'parcel_number' END],
+      lambda n: n IS NOT NULL), ',') AS filled_fields
   FROM (SELECT * EXCLUDE (missing, missing_fields, validation_errors, n_errors, score, confidence, requires_review, sla_days),
     missing_fields AS was FROM (JUDGED)))""".replace("JUDGED", judged("classified"))
 
 
-@catalog.add("enrichment_merge", sql(f"""SELECT id, applicant_name, address, parcel_number, email, missing_fields, confidence, requires_review
+@catalog.add("enrichment_merge", sql(f"""SELECT id, applicant_name, address, parcel_number, email, missing_fields, filled_fields, confidence, requires_review
     FROM ({judged(_FILLED)})"""))
 def _(v):
     out = process_documents(v.wide.intake_docs, RULES, v.as_of, enrichments=v.enrichments)
     got = F.col("extracted_fields")
     return out.select("id", *[F.try_element_at(got, F.lit(k)).alias(k) for k in ("applicant_name", "address", "parcel_number", "email")],
-                      joined("missing_fields").alias("missing_fields"), "confidence", "requires_review")
+                      joined("missing_fields").alias("missing_fields"), joined("filled_fields").alias("filled_fields"), "confidence", "requires_review")
 
 
 @catalog.add("failure_isolation", sql("""SELECT id, CASE WHEN id % 10 = 3 THEN NULL ELSE doc_type END AS doc_type,

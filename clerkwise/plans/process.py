@@ -99,10 +99,9 @@ def merge_enrichment(df: DataFrame, enrichments: DataFrame, required: Column) ->
     nothing = F.from_json(F.lit("{}"), "map<string,string>")
     extra = F.when(F.size("missing_fields") > 0, F.col("enriched_fields")).otherwise(nothing)
     typed = typed.withColumn("__extra", extra)
-    typed = typed.withColumns({
-        "filled_fields": filled_names(F.col("extracted_fields"), F.col("__extra")),
-        "extracted_fields": fill_fields(F.col("extracted_fields"), F.col("__extra")),
-    })
+    # Two steps: inside a lambda a name would mean the new column of the same list.
+    typed = typed.withColumn("filled_fields", filled_names(F.col("extracted_fields"), F.col("__extra")))
+    typed = typed.withColumn("extracted_fields", fill_fields(F.col("extracted_fields"), F.col("__extra")))
     return typed.withColumn(
         "missing_fields", missing_fields(F.col("extracted_fields"), F.col("__required"))
     ).drop("__required", "__eid", "__reply", "__extra", "enriched_fields", "enriched_confidence", "enriched_notes")

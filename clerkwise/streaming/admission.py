@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 OUTPUT = "`key` string, id long, ts timestamp, allowed boolean, remaining int"
 
@@ -21,7 +21,7 @@ class AdmissionProcessor(StatefulProcessor):
         self.window = window_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getValueState("recent", StructType.fromDDL("times array<bigint>"))
+        self.recent = handle.getValueState("recent", StructType([StructField("times", ArrayType(LongType()))]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         times = list(self.recent.get()[0]) if self.recent.exists() else []
