@@ -5,9 +5,11 @@ from __future__ import annotations
 import operator
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clerkwise.functions.once import compute_once
+
 # Field patterns. (?iU) makes Java treat case and spaces as Unicode.
 FIELD_PATTERNS = {
     "applicant_name": r"(?iU)(?:applicant|name|owner)\s*[:\-]\s*([A-Za-z][A-Za-z ,.'-]{2,80})",
@@ -54,9 +56,14 @@ PROVIDER_MIME = {
 }
 
 
+# Every character that counts as white space at the ends of a text.
+WHITE_SPACE = (" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+               "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(col: Column) -> Column:
     """Drop any Unicode white space at both ends (SQL TRIM only drops spaces)."""
-    return F.regexp_replace(col, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(col, F.lit(WHITE_SPACE))
 
 
 # Words of which one must occur for a pattern to match at all.
@@ -83,16 +90,31 @@ def may_match(text: Column, lowered: Column, name: str) -> Column:
     return reduce(operator.or_, tests)
 
 
-def field(text: Column, lowered: Column, name: str) -> Column:
-    """First match of one field pattern, trimmed; null when the pattern is absent."""
-    pattern = FIELD_PATTERNS[name]
-    possible = may_match(text, lowered, name)
-    if name != "address":
-        return F.when(possible, F.nullif(F.trim(F.regexp_extract(text, pattern, 1)), F.lit("")))
-    # An address may match with blanks only: present but empty. The whole match
-    # tells that apart from no match at all.
-    whole = F.regexp_extract(text, pattern, 0)
-    return F.when(possible & (whole != ""), F.trim(F.regexp_extract(whole, pattern, 1)))
+def raw_match(text: Column, lowered: Column, name: str) -> Column:
+    """What a field pattern finds, '' or null when it finds nothing; for an
+    address the whole match, see ``field_value``."""
+    group = 0 if name == "address" else 1
+    return F.when(may_match(text, lowered, name), F.regexp_extract(text, FIELD_PATTERNS[name], group))
+
+
+def field_value(raw: Column, name: str) -> Column:
+    """Trimmed field from the column of a raw match; null when absent.
+
+    An address may match with blanks only: present but empty. Its whole match
+    tells that apart from no match, and the same pattern cuts the value out.
+    """
+    value = F.regexp_extract(raw, FIELD_PATTERNS[name], 1) if name == "address" else raw
+    return F.when(raw != "", F.trim(value))
+
+
+def field_columns(df: DataFrame, text: Column, lowered: Column) -> tuple[DataFrame, dict[str, Column]]:
+    """The frame with the raw matches, and one expression per field over them.
+
+    Two steps, because the value refers to its match more than once.
+    """
+    raw = {name: f"__raw_{name}" for name in FIELD_PATTERNS}
+    out = compute_once(df, {raw[name]: raw_match(text, lowered, name) for name in FIELD_PATTERNS})
+    return out, {name: field_value(F.col(raw[name]), name) for name in FIELD_PATTERNS}
 
 
 def fields_map(columns: dict[str, Column]) -> Column:

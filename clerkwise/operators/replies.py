@@ -18,20 +18,31 @@ FIELD_LIMIT = 240
 KEYWORD_LIMIT = 20
 
 
-def json_payload(reply: Column) -> Column:
-    """The JSON object inside a model reply: after its code fence is removed, or
-    else the widest brace block. Null when neither is an object."""
-    bare = strip(reply)
-    fenced = F.regexp_replace(bare, "^`+|`+$", "")
-    fenced = F.when(F.startswith(fenced, F.lit("json")), F.substring(fenced, 5, 2**31 - 1)).otherwise(fenced)
-    candidate = F.when(F.startswith(bare, F.lit("```")), fenced).otherwise(bare)
-    block = F.nullif(F.regexp_extract(reply, r"(?s)\{.*\}", 0), F.lit(""))
-    return F.coalesce(_object_or_null(candidate), _object_or_null(block))
+def with_payload(df: DataFrame, reply: str, name: str) -> DataFrame:
+    """Add the JSON object inside a model reply as text: the reply after its code
+    fence is removed, or else its widest brace block. Null when neither is an
+    object."""
+    out = compute_once(df, {"__bare": strip(F.col(reply))})
+    bare, inner = F.col("__bare"), F.btrim(F.col("__bare"), F.lit("`"))
+    inner = F.when(F.startswith(inner, F.lit("json")), F.substring(inner, 5, 2**31 - 1)).otherwise(inner)
+    out = compute_once(out, {"__whole": F.when(F.startswith(bare, F.lit("```")), inner).otherwise(bare)})
+    out = compute_once(out, {"__whole": _object_or_null(F.col("__whole"))})
+    block = F.when(F.col("__whole").isNull() & F.contains(F.col(reply), F.lit("{")),
+                   F.regexp_extract(reply, r"(?s)\{.*\}", 0))
+    out = compute_once(out, {"__block": block})
+    return out.withColumn(name, F.coalesce("__whole", _object_or_null(F.col("__block")))).drop("__bare", "__whole", "__block")
 
 
 def _object_or_null(text: Column) -> Column:
-    shape = F.schema_of_variant(F.try_parse_json(text))
-    return F.when(F.startswith(shape, F.lit("OBJECT")), text)
+    """The text when it is one JSON object and nothing else.
+
+    The parser stops after the first value, so the text is tried inside a list
+    and inside an object: only white space may follow to be valid in both.
+    """
+    listed = F.schema_of_variant(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
+    nested = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
+    alone = F.startswith(listed, F.lit("ARRAY<OBJECT")) & nested.isNotNull()
+    return F.when(F.startswith(strip(text), F.lit("{")), F.when(alone, text))
 
 
 def _number(payload: Column, path: str) -> Column:
@@ -47,7 +58,7 @@ def normalise_replies(df: DataFrame, rules: DataFrame | list[Rule], reply: str =
     object keep null columns and so fall back to the rules."""
     rules = as_rules(rules)
     known = [r.doc_type for r in rules]
-    parsed = compute_once(df, {"__json": json_payload(F.col(reply))})
+    parsed = with_payload(df, reply, "__json")
     parsed = compute_once(parsed, {"__v": F.try_parse_json(F.col("__json"))})
     payload = F.col("__v")
     there = F.col("__json").isNotNull()
@@ -72,7 +83,7 @@ def normalise_replies(df: DataFrame, rules: DataFrame | list[Rule], reply: str =
 def normalise_enrichment(df: DataFrame, reply: str = "reply",
                          required: str = "required_fields") -> DataFrame:
     """Add enriched_fields (map), enriched_confidence and enriched_notes."""
-    parsed = compute_once(df, {"__json": json_payload(F.col(reply))})
+    parsed = with_payload(df, reply, "__json")
     parsed = compute_once(parsed, {"__v": F.try_parse_json(F.col("__json"))})
     inner = F.try_variant_get(F.col("__v"), "$.fields", "map<string,string>")
     has_fields = F.try_variant_get(F.col("__v"), "$.fields", "variant").isNotNull()

@@ -6,7 +6,7 @@ pass are merged afterwards, the later write of a column winning.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -84,9 +84,10 @@ def _matches() -> Column:
     return cond & (low.isNull() | (score >= low)) & (high.isNull() | (score <= high))
 
 
-def match_workflows(docs: DataFrame, rules: DataFrame, trigger: str,
+def matched_actions(docs: DataFrame, rules: DataFrame, trigger: str, keep: list[str],
                     limit: int = RULES_PER_SCOPE) -> DataFrame:
-    """(document_id, rule_id, rule_name, pos, action_type, config) of one pass.
+    """One row per document, matching rule and action, with the ``keep`` columns
+    of the document.
 
     ``rules`` are raw rule rows. The join is an equi join on the rule scope with
     the filters as its condition. Rules are a settings table: counted to be
@@ -99,113 +100,167 @@ def match_workflows(docs: DataFrame, rules: DataFrame, trigger: str,
     scoped = hint(scoped_rules(parse_rules(rules), trigger, limit))
     owners = hint(rules.filter("workspace_id is not null and enabled").filter(F.col("trigger_event") == trigger)
                   .select(F.col("workspace_id").alias("__scope")).distinct())
-    narrow = docs.select("id", "workspace_id", "confidence", *FILTER_FIELDS)
-    placed = narrow.join(owners, F.col("workspace_id") == F.col("__scope"), "left").withColumn(
-        "__scope", F.coalesce("__scope", F.lit(GLOBAL))).drop("workspace_id")
-    pairs = placed.join(scoped.drop("workspace_id"), (F.col("__scope") == F.col("scope")) & _matches(), "inner")
-    actions = pairs.select(F.col("id").alias("document_id"), "rule_id", "rule_name",
+    needed = list(dict.fromkeys([*keep, "id", "workspace_id", "confidence", *FILTER_FIELDS]))
+    placed = docs.select(*needed).join(owners, F.col("workspace_id") == F.col("__scope"), "left").withColumn(
+        "__scope", F.coalesce("__scope", F.lit(GLOBAL)))
+    wanted = scoped.drop("workspace_id", "enabled", "trigger_event")
+    pairs = placed.join(wanted, (F.col("__scope") == F.col("scope")) & _matches(), "inner")
+    actions = pairs.select(*keep, F.col("id").alias("document_id"), "rule_id", "rule_name",
                            F.posexplode("actions").alias("pos", "action"))
     nothing = F.from_json(F.lit("{}"), "map<string,string>")
     return actions.select(
-        "document_id", "rule_id", "rule_name", "pos",
+        *keep, "document_id", "rule_id", "rule_name", "pos",
         F.lower(strip(F.coalesce(F.col("action.type"), F.lit("")))).alias("action_type"),
         F.coalesce(F.col("action.config"), nothing).alias("config"))
 
 
-@dataclass
+def match_workflows(docs: DataFrame, rules: DataFrame, trigger: str,
+                    limit: int = RULES_PER_SCOPE) -> DataFrame:
+    """(document_id, rule_id, rule_name, pos, action_type, config) of one pass."""
+    return matched_actions(docs, rules, trigger, [], limit)
+
+
 class WorkflowEffects:
-    documents: DataFrame
-    audit: DataFrame
-    notifications: DataFrame
-    outbox: DataFrame
-    webhooks: DataFrame
+    """Effects of one pass, each a DataFrame built when it is asked for.
+
+    ``acted`` comes from ``matched_actions`` with the document columns kept, so
+    the documents are not joined again. Persist it when more than one effect is
+    written.
+    """
+
+    def __init__(self, acted: DataFrame, templates: DataFrame, workspaces: DataFrame, trigger: str,
+                 as_of: Column, actor: str = "system"):
+        self.acted, self.templates, self.workspaces = acted, templates, workspaces
+        self.trigger, self.as_of, self.actor = trigger, as_of, actor
+
+    @cached_property
+    def _assigned(self) -> DataFrame:
+        return assign_actions(self.acted, self.workspaces)
+
+    @cached_property
+    def _moved(self) -> DataFrame:
+        return transition_actions(self.acted)
+
+    @cached_property
+    def _told(self) -> DataFrame:
+        return notification_actions(self.acted.filter("action_type = 'create_notification'"), self.trigger)
+
+    @cached_property
+    def _mailed(self) -> DataFrame:
+        return email_actions(self.acted.filter("action_type = 'send_template_email'"), self.templates)
+
+    @cached_property
+    def _posted(self) -> DataFrame:
+        return webhook_actions(self.acted.filter("action_type = 'webhook_post'"), self.trigger, self.actor, self.as_of)
+
+    @cached_property
+    def documents(self) -> DataFrame:
+        return changed_documents(self.acted, self.workspaces)
+
+    @cached_property
+    def audit(self) -> DataFrame:
+        event = [F.lit(f" event={self.trigger}")]
+
+        def say(key: str, col: str) -> list[Column]:
+            return [F.lit(f" {key}="), F.col(col).cast("string")]
+
+        parts = [
+            (self._assigned, "workflow_assigned", say("assigned_to", "new_assignee")),
+            (self._moved, "workflow_transition", say("from", "from_status") + say("to", "new_status")),
+            (self._told, "workflow_notification_created", event + say("type", "type")),
+            (self._mailed, "workflow_email_queued", say("to", "to_email") + say("template_id", "template_id")),
+            (self._posted, "workflow_webhook_queued", event + say("url", "url")),
+        ]
+        return _stack([
+            rows.select("document_id", "workspace_id", "rule_id", "pos", F.lit(action).alias("action"), F.lit(self.actor).alias("actor"),
+                        F.concat(F.lit("rule="), F.col("rule_name"), *details).alias("details"), self.as_of.alias("created_at"))
+            for rows, action, details in parts])
+
+    @cached_property
+    def notifications(self) -> DataFrame:
+        by_rule, nobody = F.concat(F.lit("Rule: "), F.col("rule_name")), F.lit(None).cast("string")
+        name = F.coalesce("filename", F.lit("None"))
+        moved = F.concat(name, F.lit(": "), F.col("from_status"), F.lit(" -> "), F.col("new_status"))
+        parts = [
+            (self._assigned, F.lit("assignment"), F.concat(F.lit("Assigned by workflow: "), name), by_rule, F.col("new_assignee")),
+            (self._moved, F.lit("status_change"), moved, by_rule, nobody),
+            (self._told, F.col("type"), F.col("title"), F.col("message"), F.col("user_id")),
+        ]
+        return _stack([
+            rows.select("document_id", "workspace_id", "rule_id", "pos", user.alias("user_id"), kind.alias("type"), title.alias("title"),
+                        message.alias("message"), F.lit(False).alias("is_read"), self.as_of.alias("created_at"))
+            for rows, kind, title, message, user in parts])
+
+    @cached_property
+    def outbox(self) -> DataFrame:
+        return self._mailed.select("document_id", "workspace_id", "rule_id", "pos", "to_email", "subject", "body",
+                                   F.lit("pending").alias("status"), self.as_of.alias("created_at"))
+
+    @cached_property
+    def webhooks(self) -> DataFrame:
+        return self._posted.select("document_id", "workspace_id", "rule_id", "pos", "url", "payload")
+
+
+def _stack(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _option(key: str) -> Column:
     return strip(F.coalesce(F.try_element_at(F.col("config"), F.lit(key)), F.lit("")))
 
 
-def apply_workflows(docs: DataFrame, matches: DataFrame, templates: DataFrame,
-                    workspaces: DataFrame, trigger: str, as_of: Column,
-                    actor: str = "system") -> WorkflowEffects:
-    """Effects of one pass as five DataFrames."""
-    snapshot = docs.withColumnRenamed("id", "__id")
-    acted = matches.join(snapshot, F.col("document_id") == F.col("__id"), "inner").withColumn("id", F.col("__id")).drop("__id")
-    assigned = assign_actions(acted.filter("action_type = 'assign'"), workspaces)
-    moved = transition_actions(acted.filter("action_type = 'transition'"))
-    told = notification_actions(acted.filter("action_type = 'create_notification'"), trigger)
-    mailed = email_actions(acted.filter("action_type = 'send_template_email'"), templates)
-    posted = webhook_actions(acted.filter("action_type = 'webhook_post'"), trigger, actor, as_of)
-    rule = F.concat(F.lit("rule="), F.col("rule_name"))
-
-    def audit(rows: DataFrame, action: str, *details: Column) -> DataFrame:
-        return rows.select(
-            "document_id", "workspace_id", "rule_id", "pos", F.lit(action).alias("action"),
-            F.lit(actor).alias("actor"), F.concat(rule, *details).alias("details"), as_of.alias("created_at"))
-
-    def say(key: str, value: Column) -> list[Column]:
-        return [F.lit(f" {key}="), value]
-
-    log = audit(assigned, "workflow_assigned", *say("assigned_to", F.col("new_assignee")))
-    log = log.unionByName(audit(moved, "workflow_transition", *say("from", F.col("from_status")), *say("to", F.col("new_status"))))
-    log = log.unionByName(audit(told, "workflow_notification_created", *say("event", F.lit(trigger)), *say("type", F.col("type"))))
-    log = log.unionByName(audit(mailed, "workflow_email_queued", *say("to", F.col("to_email")), *say("template_id", F.col("template_id").cast("string"))))
-    log = log.unionByName(audit(posted, "workflow_webhook_queued", *say("event", F.lit(trigger)), *say("url", F.col("url"))))
-
-    def notice(rows: DataFrame, kind: Column, title: Column, message: Column, user: Column) -> DataFrame:
-        return rows.select(
-            "document_id", "workspace_id", "rule_id", "pos", user.alias("user_id"), kind.alias("type"),
-            title.alias("title"), message.alias("message"), F.lit(False).alias("is_read"), as_of.alias("created_at"))
-
-    by_rule = F.concat(F.lit("Rule: "), F.col("rule_name"))
-    nobody = F.lit(None).cast("string")
-    name = F.coalesce("filename", F.lit("None"))
-    notices = notice(assigned, F.lit("assignment"), F.concat(F.lit("Assigned by workflow: "), name), by_rule, F.col("new_assignee"))
-    notices = notices.unionByName(notice(
-        moved, F.lit("status_change"),
-        F.concat(name, F.lit(": "), F.col("from_status"), F.lit(" -> "), F.col("new_status")), by_rule, nobody))
-    notices = notices.unionByName(notice(told, F.col("type"), F.col("title"), F.col("message"), F.col("user_id")))
-    outbox = mailed.select(
-        "document_id", "workspace_id", "rule_id", "pos", "to_email", "subject", "body",
-        F.lit("pending").alias("status"), as_of.alias("created_at"))
-    return WorkflowEffects(changed_documents(assigned, moved), log, notices, outbox,
-                           posted.select("document_id", "workspace_id", "rule_id", "pos", "url", "payload"))
+def _with_owner(acted: DataFrame, workspaces: DataFrame) -> DataFrame:
+    owners = workspaces.select(F.col("id").alias("__ws"), F.col("owner_id").alias("__owner"))
+    return acted.join(owners, F.col("workspace_id") == F.col("__ws"), "left")
 
 
-def assign_actions(acted: DataFrame, workspaces: DataFrame) -> DataFrame:
-    """Assignments that take effect: new_assignee and new_status (null = kept)."""
-    owners = workspaces.select(F.col("id").alias("__ws"), F.col("owner_id").alias("__owner"))
-    joined = acted.join(owners, F.col("workspace_id") == F.col("__ws"), "left")
+def _assignment() -> dict[str, Column]:
+    """new_assignee of an assignment that takes effect, and its new_status."""
     owner = F.when(F.lower(_option("assignee")) == "workspace_owner", F.nullif("__owner", F.lit("")))
     assignee = F.coalesce(F.nullif(_option("user_id"), F.lit("")), owner)
     taken = F.coalesce(strip(F.col("assigned_to")), F.lit("")) != ""
-    skip = truthy(F.col("config"), "only_if_unassigned", True) & taken
+    go = ~(truthy(F.col("config"), "only_if_unassigned", True) & taken) & assignee.isNotNull()
     to_assigned = truthy(F.col("config"), "set_status_assigned", True) & F.lower(strip(F.col("status"))).isin(*TO_ASSIGN)
-    return (
-        joined.withColumn("new_assignee", assignee).filter(F.col("new_assignee").isNotNull() & ~skip)
-        .withColumn("new_status", F.when(to_assigned, F.lit("assigned"))).drop("__ws", "__owner")
-    )
+    return {"new_assignee": F.when(go, assignee), "new_status": F.when(go & to_assigned, F.lit("assigned"))}
 
 
-def transition_actions(acted: DataFrame) -> DataFrame:
-    """Transitions along an allowed edge: from_status, new_status, new_notes."""
+def _transition() -> dict[str, Column]:
+    """new_status of a transition along an allowed edge, and its new_notes."""
     status = F.nullif(F.coalesce(F.try_element_at(F.col("config"), F.lit("status")), F.lit("")), F.lit(""))
     target = F.lower(strip(F.coalesce(status, F.try_element_at(F.col("config"), F.lit("to_status")), F.lit(""))))
     current = F.lower(strip(F.coalesce("status", F.lit(""))))
-    moved = compute_once(acted, {"from_status": current, "new_status": target,
-                               "new_notes": F.nullif(_option("notes"), F.lit(""))})
-    return moved.filter(transition_allowed(F.col("from_status"), F.col("new_status")))
+    go = transition_allowed(current, target)
+    return {"from_status": current, "new_status": F.when(go, target),
+            "new_notes": F.when(go, F.nullif(_option("notes"), F.lit("")))}
+
+
+def assign_actions(acted: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """Assignments that take effect: new_assignee and new_status (null = kept)."""
+    rows = _with_owner(acted.filter("action_type = 'assign'"), workspaces)
+    return compute_once(rows, _assignment()).filter("new_assignee is not null").drop("__ws", "__owner")
 
 
-def changed_documents(assigned: DataFrame, moved: DataFrame) -> DataFrame:
-    """Per document the last written value of each column; null = not written."""
-    writes = assigned.select("document_id", "rule_id", "pos", F.col("new_assignee").alias("assigned_to"),
-                             F.col("new_status").alias("status")).unionByName(
-        moved.select("document_id", "rule_id", "pos", F.col("new_status").alias("status"),
-                     F.col("new_notes").alias("reviewer_notes")), allowMissingColumns=True)
+def transition_actions(acted: DataFrame) -> DataFrame:
+    """Transitions along an allowed edge: from_status, new_status, new_notes."""
+    return compute_once(acted.filter("action_type = 'transition'"), _transition()).filter("new_status is not null")
+
+
+def changed_documents(acted: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """Per document the last written value of each column; null = not written.
+
+    Both kinds of write come from one pass over the actions.
+    """
+    rows = _with_owner(acted.filter("action_type in ('assign', 'transition')"), workspaces)
+    assigning = F.col("action_type") == "assign"
+    assign, move = _assignment(), _transition()
+    writes = compute_once(rows.select("document_id", "rule_id", "pos", "action_type", "assigned_to", "status", "config", "__owner"), {
+        "w_assigned_to": F.when(assigning, assign["new_assignee"]),
+        "w_status": F.when(assigning, assign["new_status"]).otherwise(move["new_status"]),
+        "w_reviewer_notes": F.when(~assigning, move["new_notes"]),
+    }).filter("w_assigned_to is not null or w_status is not null")
     at = F.struct("rule_id", "pos")
     return writes.groupBy("document_id").agg(*[
-        F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c)
+        F.max_by(f"w_{c}", F.when(F.col(f"w_{c}").isNotNull(), at)).alias(c)
         for c in ("assigned_to", "status", "reviewer_notes")])
 
 
@@ -284,8 +339,8 @@ def webhook_actions(acted: DataFrame, trigger: str, actor: str, as_of: Column) -
 
 def run_workflows(docs: DataFrame, rules: DataFrame, templates: DataFrame, workspaces: DataFrame,
                   trigger: str, as_of: Column, actor: str = "system") -> WorkflowEffects:
-    matches = match_workflows(docs, rules, trigger)
-    return apply_workflows(docs, matches, templates, workspaces, trigger, as_of, actor)
+    acted = matched_actions(docs, rules, trigger, [c for c in docs.columns if c != "extracted_text"])
+    return WorkflowEffects(acted, templates, workspaces, trigger, as_of, actor)
 
 
 def after_pass(docs: DataFrame, effects: WorkflowEffects, as_of: Column) -> DataFrame:

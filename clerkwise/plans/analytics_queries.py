@@ -438,7 +438,7 @@ def _(v):
         SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY created_at, sequence) AS n FROM sub_events) WHERE n = 1))
     WHERE status IS NOT NULL GROUP BY subscription_id"""))
 def _(v):
-    return billing.subscription_fold(v.subscription_events)
+    return billing.subscription_fold(v.wide.subscription_events)
 
 
 @catalog.add("sliding_admission", """

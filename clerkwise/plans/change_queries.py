@@ -318,7 +318,7 @@ def _listed(df, *meta: str):
 
 def _key_payload(v: Views, table: str, key: str, build):
     """One stored API reply per row of a table."""
-    t = v.table(table)
+    t = v.wide.table(table)
     return t.select(F.to_json(build(F.col(key), F.col(key).cast("string"))).alias("payload"))
 
 

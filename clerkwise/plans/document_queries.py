@@ -15,15 +15,15 @@ from clerkwise.functions.codec import json_list, json_object, mail_options, upda
 from clerkwise.functions.dates import money
 from clerkwise.functions.rendering import event_context, letter_context, recipient, render
 from clerkwise.functions.text import (
-    FIELD_PATTERNS, basename, doc_type_key, extension, field, mask_pii, mime_guess, provider_mime)
+    FIELD_PATTERNS, basename, doc_type_key, extension, mask_pii, mime_guess, provider_mime)
 from clerkwise.operators.analytics import queue_snapshot
 from clerkwise.operators.classify import classify, route, validate
-from clerkwise.operators.replies import flatten_ocr, json_payload, normalise_enrichment, normalise_replies
+from clerkwise.operators.replies import flatten_ocr, normalise_enrichment, normalise_replies, with_payload
 from clerkwise.operators.rules import Rule, literal_rules, lookup, normalize_rules, rule_errors, rule_key_order
 from clerkwise.plans.catalog import catalog, joined
 from clerkwise.plans.duck import DONE, EVENTS_AS_OF, SLA, SLA_CASE, URGENT, case_by_type, judged, pattern, pick, sql
 from clerkwise.plans.process import (
-    extract_fields, process_documents, processing_audit, reply_sweep, reprocess, reupload, review_notifications)
+    extract_field_map, extract_fields, process_documents, processing_audit, reply_sweep, reprocess, reupload, review_notifications)
 from clerkwise.plans.views import Views, days
 from clerkwise.sources.files import extract_text
 
@@ -91,9 +91,8 @@ def _(v):
 
 @catalog.add("validate_missing", sql("SELECT id, doc_type, missing_fields, validation_errors FROM processed"))
 def _(v):
-    docs = classify(v.wide.intake_docs, RULES).withColumn(
-        "extracted_fields", F.map_filter(F.create_map(*[p for n in FIELD_PATTERNS for p in (F.lit(n), field(F.col("text"), F.lower("text"), n))]),
-                                         lambda _, x: x.isNotNull()))
+    docs = extract_field_map(v.wide.intake_docs.withColumn("__lowered", F.lower("text")))
+    docs = classify(docs, RULES, lowered="__lowered")
     return validate(docs, RULES).select("id", "doc_type", joined("missing_fields").alias("missing_fields"),
                                         joined("validation_errors", ";").alias("validation_errors"))
 
@@ -246,8 +245,8 @@ def _(v):
     SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'Complaint' WHEN 1 THEN 'mystery' WHEN 3 THEN 'court_filing' END AS doc_type
     FROM orders WHERE o_orderkey % 6 <> 2""")
 def _(v):
-    payload = F.try_parse_json(json_payload(F.col("reply")))
-    return v.replies.select("id", F.trim(F.try_variant_get(payload, "$.doc_type", "string")).alias("doc_type"))
+    payload = F.try_parse_json("payload")
+    return with_payload(v.wide.replies, "reply", "payload").select("id", F.trim(F.try_variant_get(payload, "$.doc_type", "string")).alias("doc_type"))
 
 
 _REPLY_SQL = """(SELECT o_orderkey AS rid, CASE o_orderkey % 6 WHEN 0 THEN 'complaint' WHEN 1 THEN 'other' WHEN 3 THEN 'court_filing' END AS r_type,
@@ -260,7 +259,7 @@ _REPLY_SQL = """(SELECT o_orderkey AS rid, CASE o_orderkey % 6 WHEN 0 THEN 'comp
 @catalog.add("reply_normalise", f"""SELECT rid AS id, r_type AS reply_doc_type, r_dept AS reply_department, r_urgency AS reply_urgency,
     r_conf AS reply_confidence, r_words AS reply_keywords, CASE WHEN rid % 6 = 0 THEN 'r' END AS reply_rationale FROM {_REPLY_SQL}""")
 def _(v):
-    return normalise_replies(v.replies, RULES).filter("reply_doc_type is not null").select(
+    return normalise_replies(v.wide.replies, RULES).filter("reply_doc_type is not null").select(
         "id", "reply_doc_type", "reply_department", "reply_urgency", "reply_confidence", joined("reply_keywords").alias("reply_keywords"),
         "reply_rationale")
 
@@ -273,7 +272,7 @@ def _(v):
       CASE WHEN o_orderkey % 4 = 0 THEN 'n' END AS notes FROM orders""")
 def _(v):
     required = F.array(*[F.lit(x) for x in ("applicant_name", "address", "parcel_number", "date")])
-    out = normalise_enrichment(v.enrichments.withColumn("required_fields", required))
+    out = normalise_enrichment(v.wide.enrichments.withColumn("required_fields", required))
     got = F.col("enriched_fields")
     return out.select("id", *[F.try_element_at(got, F.lit(k)).alias(k) for k in ("applicant_name", "address", "parcel_number", "email")],
                       F.size(got).cast("long").alias("n"), F.col("enriched_confidence").alias("confidence"), F.col("enriched_notes").alias("notes"))
@@ -293,7 +292,7 @@ def _(v):
         CASE WHEN rid IS NOT NULL THEN r_urgency WHEN {URGENT} THEN 'high' ELSE 'normal' END AS urgency
       FROM classified LEFT JOIN {_REPLY_SQL} ON rid = id)''')})"""))
 def _(v):
-    return process_documents(v.wide.intake_docs, RULES, v.as_of, replies=v.replies).select(
+    return process_documents(v.wide.intake_docs, RULES, v.as_of, replies=v.wide.replies).select(
         "id", "classified_by", "doc_type", "department", "urgency", "confidence", "requires_review")
 
 
@@ -315,7 +314,7 @@ _FILLED = """(SELECT * REPLACE (
 @catalog.add("enrichment_merge", sql(f"""SELECT id, applicant_name, address, parcel_number, email, missing_fields, filled_fields, confidence, requires_review
     FROM ({judged(_FILLED)})"""))
 def _(v):
-    out = process_documents(v.wide.intake_docs, RULES, v.as_of, enrichments=v.enrichments)
+    out = process_documents(v.wide.intake_docs, RULES, v.as_of, enrichments=v.wide.enrichments)
     got = F.col("extracted_fields")
     return out.select("id", *[F.try_element_at(got, F.lit(k)).alias(k) for k in ("applicant_name", "address", "parcel_number", "email")],
                       joined("missing_fields").alias("missing_fields"), joined("filled_fields").alias("filled_fields"), "confidence", "requires_review")
@@ -370,7 +369,7 @@ def _(v):
         ('needs_review', 'assigned', 'acknowledged', 'failed') ORDER BY CASE status WHEN 'needs_review' THEN 1 WHEN 'assigned' THEN 2
         WHEN 'acknowledged' THEN 3 ELSE 4 END, updated_at DESC, id LIMIT 500)))''')})"""))
 def _(v):
-    return reply_sweep(v.doc_ledger, v.wide.intake_docs.select("id", "text"), v.replies, RULES, v.as_of, 500, include_failed=True)
+    return reply_sweep(v.doc_ledger, v.wide.intake_docs.select("id", "text"), v.wide.replies, RULES, v.as_of, 500, include_failed=True)
 
 
 @catalog.add("due_dates", sql(f"""SELECT id, created_at + to_days({SLA_CASE}) AS due_date FROM

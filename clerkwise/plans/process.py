@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from clerkwise.functions import scores
 from clerkwise.functions.dates import due_date
 from clerkwise.functions.once import compute_once
-from clerkwise.functions.text import FIELD_PATTERNS, field, fields_map
+from clerkwise.functions.text import field_columns, fields_map
 from clerkwise.operators.classify import classify, missing_fields, validation_errors
 from clerkwise.operators.listing import sweep_candidates
 from clerkwise.operators.replies import fill_fields, filled_names, normalise_enrichment, normalise_replies
@@ -23,8 +23,14 @@ RESULT_COLUMNS = ("status", "doc_type", "department", "urgency", "confidence", "
 
 def extract_fields(df: DataFrame, text: str = "text") -> DataFrame:
     """One column per field, null when absent."""
-    low = df.withColumn("__low", F.lower(text))
-    return low.withColumns({name: field(F.col(text), F.col("__low"), name) for name in FIELD_PATTERNS}).drop("__low")
+    out, fields = field_columns(compute_once(df, {"__lowered": F.lower(text)}), F.col(text), F.col("__lowered"))
+    return out.select(*df.columns, *[col.alias(name) for name, col in fields.items()])
+
+
+def extract_field_map(df: DataFrame, text: str = "text", lowered: str = "__lowered") -> DataFrame:
+    """The present fields as the map extracted_fields."""
+    out, fields = field_columns(df, F.coalesce(text, F.lit("")), F.col(lowered))
+    return out.select(*df.columns, fields_map(fields).alias("extracted_fields"))
 
 
 def process_documents(df: DataFrame, rules: DataFrame | list[Rule], as_of: Column,
@@ -42,8 +48,7 @@ def process_documents(df: DataFrame, rules: DataFrame | list[Rule], as_of: Colum
         out = out.withColumn("extraction_confidence", F.lit(0.99))
     text, low = F.coalesce(F.col("text"), F.lit("")), F.col("__lowered")
     out = compute_once(out, {"__lowered": F.lower(text)})
-    out = compute_once(out, {"extracted_fields": fields_map({n: field(text, low, n) for n in FIELD_PATTERNS}),
-                             "urgency": scores.urgency(low)})
+    out = compute_once(extract_field_map(out), {"urgency": scores.urgency(low)})
     out = classify(out, rules, lowered="__lowered").drop("__lowered")
     out = out.withColumn("department", lookup(rules, "doc_type", "department"))
     if replies is not None:

@@ -46,7 +46,7 @@ class Views:
 
     def table(self, name: str) -> DataFrame:
         scan = read_table(self.spark, self.folder, name)
-        return spread(scan) if self.spread_scans and name in ("orders", "documents") else scan
+        return spread(scan) if self.spread_scans and name in ("orders", "documents", "lineitem") else scan
 
     @cached_property
     def wide(self) -> Views:

@@ -18,11 +18,7 @@ from clerkwise.sources.files import BINARY_SCHEMA, extract_text, fingerprint
 def folder_stream(spark: SparkSession, folder: str) -> DataFrame:
     """New files of a folder with their fingerprint (names starting with ``.``
     or ``_`` are left out by the source)."""
-    files = spark.readStream.format("binaryFile").schema(BINARY_SCHEMA).load(folder)
-    return files.withColumns({
-        "filename": basename(F.col("path")),
-        "file_hash": fingerprint(F.col("path"), F.col("length"), F.col("modificationTime")),
-    }).withColumn("content_type", F.coalesce(mime_guess(F.col("filename")), F.lit("application/octet-stream")))
+    return _described(spark.readStream.format("binaryFile").schema(BINARY_SCHEMA).load(folder))
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -35,28 +31,63 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 LEDGER = "file_hash string, filename string, source_path string, document_id string, created_at timestamp"
 
 
+def _described(files: DataFrame) -> DataFrame:
+    return files.withColumns({
+        "filename": basename(F.col("path")),
+        "file_hash": fingerprint(F.col("path"), F.col("length"), F.col("modificationTime")),
+    }).withColumn("content_type", F.coalesce(mime_guess(F.col("filename")), F.lit("application/octet-stream")))
+
+
+def _fresh(files: DataFrame, ledger: str, batch: int) -> DataFrame:
+    """Acceptable files whose fingerprint no other batch has taken in."""
+    known = read_or_empty(files.sparkSession, ledger, LEDGER + ", batch long").filter(F.col("batch") != batch)
+    good = validate_files(files).filter("reject_reason is null").drop("reject_reason")
+    return new_only(good, known, ["file_hash"], ["path"])
+
+
+def _store(fresh: DataFrame, ledger: str, documents: str, batch: int, as_of: Column) -> None:
+    """Write the documents of a batch and then their ledger rows. Each batch has
+    its own folder, replaced whole, so a batch that runs again adds nothing."""
+    rows = new_documents(fresh, ["file_hash"], "watched_folder", as_of)
+    rows.write.mode("overwrite").parquet(f"{documents}/batch={batch}")
+    # The ledger is written from the stored documents, so both agree.
+    stored = fresh.sparkSession.read.schema(rows.schema).parquet(f"{documents}/batch={batch}")
+    stored.select("file_hash", "filename", F.col("path").alias("source_path"), F.col("id").alias("document_id"),
+                  "created_at").write.mode("overwrite").parquet(f"{ledger}/batch={batch}")
+
+
 def ingest_stream(spark: SparkSession, folder: str, ledger: str, documents: str, checkpoint: str,
                   as_of: Column, trigger: dict | None = None) -> StreamingQuery:
-    """Take in new and changed files of a folder.
+    """Take in the new files of a folder. Rejected files stay out of the ledger.
 
-    Rejected files stay out of the ledger. A batch that is run again after a
-    failure writes the same rows: each batch has its own folder, replaced whole.
+    The file source offers every path once; ``ingest_folder`` also takes in
+    files that changed.
     """
     def take(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        known = read_or_empty(session, ledger, LEDGER + ", batch long").filter(F.col("batch") != number)
-        fresh = new_only(validate_files(batch).filter("reject_reason is null"), known, ["file_hash"], ["path"])
-        rows = new_documents(fresh, ["file_hash"], "watched_folder", as_of)
-        rows.drop("reject_reason").write.mode("overwrite").parquet(f"{documents}/batch={number}")
-        # The ledger is written from the stored documents, so both agree.
-        stored = session.read.parquet(f"{documents}/batch={number}")
-        stored.select("file_hash", "filename", F.col("path").alias("source_path"), F.col("id").alias("document_id"),
-                      "created_at").write.mode("overwrite").parquet(f"{ledger}/batch={number}")
+        _store(_fresh(batch, ledger, number), ledger, documents, number, as_of)
 
     return (folder_stream(spark, folder).writeStream.foreachBatch(take)
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
 
 
+def ingest_folder(spark: SparkSession, folder: str, ledger: str, documents: str, batch: int, as_of: Column) -> None:
+    """One scheduled scan: take in new and changed files of a folder.
+
+    The first pass reads names, sizes and times only. The second reads content,
+    and the oldest fresh time is pushed to the scan so that older files are not
+    opened. ``batch`` numbers the scan; use the same number to run it again.
+    """
+    files = spark.read.format("binaryFile").load(folder)
+    fresh = _fresh(_described(files.drop("content")), ledger, batch)
+    oldest = fresh.agg(F.min("modificationTime")).first()[0]
+    if oldest is None:
+        return
+    wanted = fresh.select(F.col("path").alias("__path"), F.col("modificationTime").alias("__time"))
+    content = files.filter(F.col("modificationTime") >= F.lit(oldest)).join(
+        wanted, (F.col("path") == F.col("__path")) & (F.col("modificationTime") == F.col("__time")), "left_semi")
+    _store(_described(content), ledger, documents, batch, as_of)
+
+
 SYNC_LOG = """connector_type string, external_id string, filename string, document_id string,
               metadata_json string, created_at timestamp"""
 

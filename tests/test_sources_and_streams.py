@@ -10,7 +10,7 @@ from clerkwise.operators.rules import literal_rules
 from clerkwise.sources import connectors
 from clerkwise.sources.files import extract_text, read_files
 from clerkwise.streaming.admission import admit_stream
-from clerkwise.streaming.ingest import ingest_stream, process_stream, retention_run, sla_run, sync_stream
+from clerkwise.streaming.ingest import ingest_folder, ingest_stream, process_stream, retention_run, sla_run, sync_stream
 from tests.helpers import docs, rows, ts
 
 AS_OF = "2024-03-10 00:00:00"
@@ -65,6 +65,27 @@ def test_folder_stream_takes_each_version_once(spark, tmp_path):
     assert stored.filter("status = 'ingested' and source_channel = 'watched_folder'").count() == 8
 
 
+def test_folder_scan_takes_changed_files_too(spark, tmp_path):
+    inbox, ledger, documents = (tmp_path / n for n in ("in", "ledger", "docs"))
+    inbox.mkdir()
+    fill(inbox)
+
+    def run(batch):
+        ingest_folder(spark, str(inbox), str(ledger), str(documents), batch, instant(AS_OF))
+        return spark.read.parquet(str(documents)).count()
+
+    assert run(0) == 7
+    assert run(0) == 7
+    assert run(1) == 7
+    time.sleep(1.1)
+    (inbox / "a.txt").write_text("changed")
+    (inbox / "z.txt").write_text("new")
+    assert run(2) == 9
+    got = spark.read.parquet(str(documents)).filter("batch = 2").select("filename", F.col("content").cast("string"))
+    assert rows(got, "filename") == [("a.txt", "changed"), ("z.txt", "new")]
+    assert run(3) == 9
+
+
 def test_processing_stream_equals_batch(spark, tmp_path):
     inbox = tmp_path / "in"
     inbox.mkdir()
