@@ -441,13 +441,16 @@ def _(v):
     return billing.subscription_fold(v.wide.subscription_events)
 
 
-@catalog.add("sliding_admission", """
+ADMISSION_SQL = """
     WITH RECURSIVE ev AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
     walk AS (SELECT event_id, user_id, n, true AS allowed, 1 AS remaining, [t] AS recent FROM ev WHERE n = 1
       UNION ALL SELECT e.event_id, e.user_id, e.n, len(w.live) < 2, CASE WHEN len(w.live) < 2 THEN 2 - len(w.live) - 1 ELSE 0 END::INT,
         CASE WHEN len(w.live) < 2 THEN list_append(w.live, e.t) ELSE w.live END
       FROM (SELECT k.*, list_filter(k.recent, lambda x: x >= e2.t - 86400000000) AS live FROM walk k JOIN ev e2 ON e2.user_id = k.user_id AND e2.n = k.n + 1) w
       JOIN ev e ON e.user_id = w.user_id AND e.n = w.n + 1)
-    SELECT event_id, allowed, remaining FROM walk""")
+    SELECT event_id, allowed, remaining FROM walk"""
+
+
+@catalog.add("sliding_admission", ADMISSION_SQL)
 def _(v):
     return admit_sliding(v.requests, "user_id", "ts", "event_id", 2, 86400).select("event_id", "allowed", "remaining")

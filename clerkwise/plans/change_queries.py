@@ -250,6 +250,21 @@ def _(v):
     return imports.import_errors(_outcomes(v), ["position"]).select("position", "error")
 
 
+@catalog.add("files_ingested", sql("SELECT count(*) AS files_ingested FROM checked WHERE reject_reason IS NULL"))
+def _(v):
+    return imports.files_ingested(imports.validate_files(v.listing).filter("reject_reason is null"))
+
+
+@catalog.add("sync_log_rows", sql("""SELECT connector_type, external_id, sha256(connector_type || chr(1) || external_id) AS document_id, metadata_json FROM (
+    SELECT connector_type, external_id, arg_min('{"position":"' || position || '"}', position) AS metadata_json FROM checked WHERE reject_reason IS NULL
+      AND (connector_type, external_id) NOT IN (SELECT (connector_type, external_id) FROM sync_ledger) GROUP BY ALL)"""))
+def _(v):
+    good = imports.validate_files(v.listing).filter("reject_reason is null")
+    fresh = imports.new_only(good, v.sync_ledger, ["connector_type", "external_id"], ["position"])
+    fresh = fresh.withColumn("metadata", F.create_map(F.lit("position"), F.col("position").cast("string")))
+    return imports.sync_log_rows(fresh, v.as_of).select("connector_type", "external_id", "document_id", "metadata_json")
+
+
 @catalog.add("new_documents", sql("""SELECT sha256(position::VARCHAR) AS id, sha256(position::VARCHAR) || '_' || filename AS storage_path, 'connector_s3' AS source_channel,
     'ingested' AS status, 'normal' AS urgency, content_type FROM checked WHERE reject_reason IS NULL"""))
 def _(v):
@@ -576,6 +591,28 @@ def _(v):
     return mail.account_mail(events, v.users, "account_welcome", "Desk", v.as_of).select("to_email", "subject", "body")
 
 
+@catalog.add("outbox_upgrades", sql("""SELECT user_id, '__account__' AS document_id, 'u' || user_id || '@example.com' AS to_email, 'Desk: your plan is now ' || plan AS subject,
+    'Your plan on Desk has been upgraded to ' || plan || '.' || chr(10) AS body FROM (SELECT o_custkey AS user_id, o_orderkey,
+      CASE o_orderpriority WHEN '1-URGENT' THEN 'Enterprise' ELSE 'Pro' END AS plan FROM orders WHERE o_orderstatus = 'P')"""))
+def _(v):
+    cust = F.col("o_custkey").cast("string")
+    events = v.table("orders").filter("o_orderstatus = 'P'").select(
+        F.col("o_custkey").alias("event_id"), F.concat(F.lit("u"), cust).alias("user_id"), F.concat(F.lit("u"), cust, F.lit("@example.com")).alias("email"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "ENTERPRISE").alias("plan_tier"))
+    out = mail.account_mail(events, v.users, "account_plan_change", "Desk", v.as_of)
+    return out.select(F.col("event_id").alias("user_id"), "document_id", "to_email", "subject", "body")
+
+
+@catalog.add("outbox_invitations", sql("""SELECT 'i' || event_id || '@example.com' AS to_email, 'You are invited to Desk' AS subject,
+    CASE WHEN event_id % 2 = 0 THEN 'An administrator' ELSE event_type END || ' invites you to Desk.' || chr(10) || chr(10) || 'Create your account here:' || chr(10)
+      || 'https://join/' || event_id || chr(10) || chr(10) || 'The link is valid for 7 days.' || chr(10) AS body FROM events"""))
+def _(v):
+    k = F.col("event_id").cast("string")
+    events = v.table("events").select(F.lit(None).cast("string").alias("user_id"), F.concat(F.lit("i"), k, F.lit("@example.com")).alias("email"),
+                                      F.when(F.col("event_id") % 2 == 1, F.col("event_type")).alias("inviter"), F.concat(F.lit("https://join/"), k).alias("link"))
+    return mail.account_mail(events, v.users, "account_invitation", "Desk", v.as_of).select("to_email", "subject", "body")
+
+
 @catalog.add("delivery_update", sql("""SELECT id, CASE WHEN status <> 'pending' THEN status WHEN id % 2 = 0 THEN 'sent' ELSE 'failed' END AS status,
     CASE WHEN status = 'pending' AND id % 2 = 1 THEN 'refused' END AS error, CASE WHEN status = 'pending' AND id % 2 = 0 THEN TIMESTAMP '1998-07-01' ELSE sent_at END AS sent_at FROM emails"""))
 def _(v):

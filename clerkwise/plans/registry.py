@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clerkwise.plans import analytics_queries, change_queries, document_queries  # noqa: F401
+from clerkwise.plans import analytics_queries, change_queries, document_queries, stream_queries  # noqa: F401
 from clerkwise.plans.catalog import catalog, runner
 
 

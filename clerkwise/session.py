@@ -44,13 +44,12 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, shared by all executors.
 
-    The cluster names the shared folder in ``spark.checkpoint.dir``; a folder of
-    our own is set only for a local session that names none.
+    The cluster names it in ``spark.checkpoint.dir``; a folder of our own is set
+    only for a local session that names none.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -59,6 +58,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="clerkwise-ckpt-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
