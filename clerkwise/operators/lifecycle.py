@@ -41,6 +41,14 @@ def transition_audit(outcomes: DataFrame, actor: str, as_of: Column) -> DataFram
         as_of.alias("created_at"))
 
 
+def transition_notifications(outcomes: DataFrame, docs: DataFrame, as_of: Column) -> DataFrame:
+    names = docs.select(F.col("id").alias("__id"), "filename", "workspace_id")
+    moved = outcomes.filter("applied").join(names, F.col("document_id") == F.col("__id"), "inner")
+    title = F.concat(F.col("filename"), F.lit(": "), F.col("from_status"), F.lit(" → "), F.col("to_status"))
+    return moved.select(F.lit("status_change").alias("type"), title.alias("title"), F.lit("").alias("message"), "document_id",
+                        "workspace_id", F.lit(False).alias("is_read"), as_of.alias("created_at"))
+
+
 def _with_documents(docs: DataFrame, requests: DataFrame, columns: list[str]) -> DataFrame:
     """Requests LEFT JOIN documents on the id, with a found flag."""
     side = docs.select(F.col("id").alias("__id"), *columns)
@@ -75,6 +83,16 @@ def assignment_notifications(changed: DataFrame, as_of: Column) -> DataFrame:
         "document_id", F.lit(False).alias("is_read"), as_of.alias("created_at"))
 
 
+def auto_assignment_notifications(changed: DataFrame, docs: DataFrame, as_of: Column) -> DataFrame:
+    names = docs.select(F.col("id").alias("__id"), "filename", "workspace_id")
+    told = changed.join(names, F.col("document_id") == F.col("__id"), "inner")
+    return told.select(
+        F.col("assigned_to").alias("user_id"), F.lit("assignment").alias("type"),
+        F.concat(F.lit("Document assigned: "), F.coalesce("filename", F.lit("document"))).alias("title"),
+        F.lit("Auto-assigned by the automation run.").alias("message"), "document_id", "workspace_id",
+        F.lit(False).alias("is_read"), as_of.alias("created_at"))
+
+
 def auto_assign(docs: DataFrame, user: str = DEFAULT_ASSIGNEE, limit: int = 200) -> DataFrame:
     """The first ``limit`` unassigned documents in queue order go to ``user``."""
     if not 1 <= limit <= 1000:
@@ -131,6 +149,16 @@ def review(docs: DataFrame, reviews: DataFrame, rules: DataFrame | list[Rule]) -
         F.col("notes").alias("reviewer_notes"))
 
 
+def review_audit(reviews: DataFrame, rules: DataFrame | list[Rule], actor: str, as_of: Column) -> DataFrame:
+    """One audit row per review with the decision and the types known that day."""
+    known = ",".join(sorted(r.doc_type for r in as_rules(rules)))
+    details = F.concat(
+        F.lit("approve="), F.initcap(F.col("approve").cast("string")), F.lit(" corrected_doc_type="),
+        F.coalesce("corrected_doc_type", F.lit("None")), F.lit(f" allowed_types={known}"))
+    return reviews.select("document_id", F.lit("reviewed").alias("action"), F.lit(actor).alias("actor"),
+                          details.alias("details"), as_of.alias("created_at"))
+
+
 def bulk(docs: DataFrame, requests: DataFrame) -> DataFrame:
     """Outcome per request (document_id, action, user_id, to_status).
 
@@ -163,6 +191,21 @@ def bulk(docs: DataFrame, requests: DataFrame) -> DataFrame:
         F.when(done & (action == "approve"), F.lit(False)).otherwise(F.col("requires_review")).alias("requires_review"))
 
 
+def bulk_audit(outcomes: DataFrame, actor: str, as_of: Column) -> DataFrame:
+    """Audit rows of the bulk requests that took effect."""
+    kind = F.col("action")
+    name = (F.when(kind == "approve", "bulk_approved").when(kind == "assign", "bulk_assigned").otherwise("bulk_transition"))
+    details = (F.when(kind == "assign", F.concat(F.lit("assigned_to="), F.col("assigned_to")))
+               .when(kind == "transition", F.concat(F.lit("to="), F.col("status"))))
+    return outcomes.filter("outcome = 'ok'").select(
+        "document_id", name.alias("action"), F.lit(actor).alias("actor"), details.alias("details"), as_of.alias("created_at"))
+
+
+def bulk_errors(outcomes: DataFrame, limit: int = 50) -> DataFrame:
+    """The errors a bulk report shows."""
+    return outcomes.filter("outcome = 'error'").select("document_id", "action", "error").orderBy("document_id", "action", "error").limit(limit)
+
+
 def bulk_counts(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(F.count_if(F.col("outcome") == "ok").alias("success_count"),
                         F.count_if(F.col("outcome") == "error").alias("error_count"))

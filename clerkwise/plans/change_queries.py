@@ -47,6 +47,13 @@ def _(v):
     return lifecycle.transition_audit(lifecycle.apply_transitions(v.doc_ledger, _status_requests(v)), "clerk", v.as_of)
 
 
+@catalog.add("transition_notifications", sql(f"""SELECT m.document_id, d.filename || ': ' || m.current || ' → ' || m.to_status AS title, d.workspace_id
+    FROM {_MOVES} m JOIN doc_ledger d ON d.id = m.document_id WHERE m.ok"""))
+def _(v):
+    moved = lifecycle.apply_transitions(v.doc_ledger, _status_requests(v))
+    return lifecycle.transition_notifications(moved, v.doc_ledger, v.as_of).select("document_id", "title", "workspace_id")
+
+
 def _assign_requests(v: Views):
     return v.table("events").select((F.col("event_id") * 2).alias("document_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_id"))
 
@@ -71,6 +78,13 @@ def _(v):
     return lifecycle.auto_assign(v.doc_ledger, limit=1000)
 
 
+@catalog.add("auto_assign_notifications", sql(f"""SELECT id AS document_id, 'triage_queue' AS user_id, 'Document assigned: ' || filename AS title, workspace_id FROM doc_ledger
+    WHERE status IN ('needs_review', 'acknowledged') AND {BLANK} ORDER BY due_date ASC NULLS LAST, updated_at DESC, id LIMIT 500"""))
+def _(v):
+    changed = lifecycle.auto_assign(v.doc_ledger, limit=500)
+    return lifecycle.auto_assignment_notifications(changed, v.doc_ledger, v.as_of).select("document_id", "user_id", "title", "workspace_id")
+
+
 @catalog.add("auto_assign_counts", sql(f"""SELECT least(n, 1000) AS assigned_count, greatest(n - 1000, 0) AS remaining_unassigned FROM (
     SELECT count(*) AS n FROM doc_ledger WHERE status IN ('needs_review', 'acknowledged') AND {BLANK})"""))
 def _(v):
@@ -87,15 +101,25 @@ def _(v):
         CASE WHEN e.event_id % 5 <> 0 AND e.event_id % 4 = 1 THEN 'complaint' ELSE d.doc_type END AS kind, d.* EXCLUDE (id, doc_type)
       FROM events e JOIN doc_ledger d ON d.id = e.event_id * 2))"""))
 def _(v):
+    out = lifecycle.review(v.doc_ledger, _reviews(v), RULES)
+    got = F.col("extracted_fields")
+    return out.select("document_id", "status", "doc_type", "department", F.try_element_at(got, F.lit("applicant_name")).alias("applicant_name"),
+                      F.try_element_at(got, F.lit("email")).alias("email"), joined("missing_fields").alias("missing_fields"), "requires_review", "reviewer_notes")
+
+
+def _reviews(v: Views):
     k = F.col("event_id")
-    reviews = v.table("events").select(
+    return v.table("events").select(
         (k * 2).alias("document_id"), (k % 5 != 0).alias("approve"), F.concat(F.lit("n"), k.cast("string")).alias("notes"),
         F.when(k % 4 == 1, "complaint").alias("corrected_doc_type"), F.when(k % 7 == 0, "Desk 7").alias("corrected_department"),
         F.when(k % 3 == 0, F.create_map(F.lit("applicant_name"), F.concat(F.lit("Fixed "), k.cast("string")))).alias("corrected_fields"))
-    out = lifecycle.review(v.doc_ledger, reviews, RULES)
-    got = F.col("extracted_fields")
-    return out.select("document_id", "status", "doc_type", "department", F.try_element_at(got, F.lit("applicant_name")).alias("applicant_name"),
-                      F.try_element_at(got, F.lit("email")).alias("email"), joined("missing_fields").alias("missing_fields"), "requires_review", "reviewer_notes")
+
+
+@catalog.add("review_audit", """SELECT event_id * 2 AS document_id, 'reviewed' AS action, 'approve=' || CASE WHEN event_id % 5 <> 0 THEN 'True' ELSE 'False' END
+    || ' corrected_doc_type=' || CASE WHEN event_id % 4 = 1 THEN 'complaint' ELSE 'None' END
+    || ' allowed_types=benefits_application,building_permit,business_license,complaint,court_filing,foi_request,other,zoning_variance' AS details FROM events""")
+def _(v):
+    return lifecycle.review_audit(_reviews(v), RULES, "clerk", v.as_of).select("document_id", "action", "details")
 
 
 _ACTIONS = ("approve", "assign", "transition", "shred")
@@ -144,6 +168,17 @@ def _(v):
     return lifecycle.retry_jobs(v.jobs.filter("status = 'failed'"), v.events_as_of).select("id", "status", "finished_at", "started_at")
 
 
+@catalog.add("bulk_audit", sql(f"""SELECT document_id, CASE action WHEN 'approve' THEN 'bulk_approved' WHEN 'assign' THEN 'bulk_assigned' ELSE 'bulk_transition' END AS action,
+    CASE action WHEN 'assign' THEN 'assigned_to=' || user_id WHEN 'transition' THEN 'to=' || to_status END AS details FROM {_BULK} WHERE why IS NULL"""))
+def _(v):
+    return lifecycle.bulk_audit(lifecycle.bulk(v.doc_ledger, _bulk_requests(v)), "clerk", v.as_of).select("document_id", "action", "details")
+
+
+@catalog.add("bulk_errors", sql(f"SELECT document_id, action, document_id || ': ' || why AS error FROM {_BULK} WHERE why IS NOT NULL ORDER BY document_id, action, error LIMIT 50"))
+def _(v):
+    return lifecycle.bulk_errors(lifecycle.bulk(v.doc_ledger, _bulk_requests(v)))
+
+
 # --- table changes --------------------------------------------------------
 
 def _status_changes(v: Views):
@@ -230,11 +265,14 @@ def _(v):
     return imports.new_only(v.listing, v.sync_ledger, ["connector_type", "external_id"], ["position"]).select("connector_type", "external_id", "position")
 
 
+_WHY = "filename || ': ' || CASE WHEN length = 0 THEN 'Empty file content.' ELSE 'Validation failed — ' || reject_reason END"
+
+
 def _outcomes(v: Views):
     return imports.import_outcomes(v.listing, v.sync_ledger, ["connector_type", "external_id"], ["position"])
 
 
-@catalog.add("import_outcomes", sql("SELECT position, outcome, CASE WHEN outcome = 'failed' THEN filename || ': ' || reject_reason END AS error FROM outcomes"))
+@catalog.add("import_outcomes", sql(f"SELECT position, outcome, CASE WHEN outcome = 'failed' THEN {_WHY} END AS error FROM outcomes"))
 def _(v):
     return _outcomes(v).select("position", "outcome", "error")
 
@@ -245,7 +283,7 @@ def _(v):
     return imports.import_summary(_outcomes(v))
 
 
-@catalog.add("import_errors", sql("SELECT position, filename || ': ' || reject_reason AS error FROM outcomes WHERE outcome = 'failed' ORDER BY position LIMIT 50"))
+@catalog.add("import_errors", sql(f"SELECT position, {_WHY} AS error FROM outcomes WHERE outcome = 'failed' ORDER BY position LIMIT 50"))
 def _(v):
     return imports.import_errors(_outcomes(v), ["position"]).select("position", "error")
 
@@ -265,6 +303,13 @@ def _(v):
     return imports.sync_log_rows(fresh, v.as_of).select("connector_type", "external_id", "document_id", "metadata_json")
 
 
+@catalog.add("connector_audit", sql("""SELECT sha256(connector_type || chr(1) || external_id) AS document_id, 'ws1' AS workspace_id, 'connector_imported' AS action,
+    'source=connector_' || connector_type || ' external_id=' || external_id AS details FROM outcomes WHERE outcome = 'imported'"""))
+def _(v):
+    fresh = _outcomes(v).filter("outcome = 'imported'")
+    return imports.connector_audit(fresh, "ws1", "connector_import", v.as_of).select("document_id", "workspace_id", "action", "details")
+
+
 @catalog.add("new_documents", sql("""SELECT sha256(position::VARCHAR) AS id, sha256(position::VARCHAR) || '_' || filename AS storage_path, 'connector_s3' AS source_channel,
     'ingested' AS status, 'normal' AS urgency, content_type FROM checked WHERE reject_reason IS NULL"""))
 def _(v):

@@ -44,6 +44,9 @@ class AdmissionProcessor(StatefulProcessor):
 def admit_stream(events: DataFrame, key: str, ts: str, event_id: str, limit: int, window_seconds: int) -> DataFrame:
     """Admission of a stream whose events of a key arrive in time order.
 
+    A task sorts the events of a key in one micro-batch, so give the source a
+    rate limit (``maxBytesPerTrigger``, ``maxFilesPerTrigger``).
+
     Needs the RocksDB state store
     (``spark.sql.streaming.stateStore.providerClass``).
     """

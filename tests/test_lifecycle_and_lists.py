@@ -129,3 +129,26 @@ def test_default_and_latest(spark):
                                  "id int, user_id string, plan_tier string, status string, created_at timestamp")
     assert joins.active_subscription(subs, ["user_id"]).first()["plan_tier"] == "pro"
     assert joins.latest_row(subs, ["user_id"], "id").first()["status"] == "canceled"
+
+
+def test_lists_read_only_what_they_show(spark, tmp_path):
+    docs(spark, {}).withColumn("extracted_text", F.lit("long")).write.parquet(str(tmp_path / "docs"))
+    stored = spark.read.parquet(str(tmp_path / "docs"))
+    shown = listing.list_documents(stored, now(), status="needs_review", workspace_id="w").select("id", "updated_at")
+    plan = shown._jdf.queryExecution().executedPlan().toString()
+    assert "extracted_text" not in plan and "EqualTo(status,needs_review)" in plan and "EqualTo(workspace_id,w)" in plan
+    assert "TakeOrderedAndProject" in plan
+    page = listing.audit_page(spark.createDataFrame([(1, "d0", "a", "x")], "id int, document_id string, action string, actor string"), stored, 5)
+    assert "extracted_text" not in page._jdf.queryExecution().executedPlan().toString()
+    totals = analytics.queue_snapshot(stored)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<status:string,department:string>" in totals
+
+
+def test_rows_for_the_logs(spark):
+    snapshot = docs(spark, {"status": "routed"}, {"status": "needs_review"})
+    requests = spark.createDataFrame([("d0", "approved", None), ("d1", "archived", None)], "document_id string, to_status string, notes string")
+    moved = lifecycle.apply_transitions(snapshot, requests)
+    assert [r["title"] for r in lifecycle.transition_notifications(moved, snapshot, now()).collect()] == ["f.txt: routed → approved"]
+    changed = lifecycle.auto_assign(snapshot)
+    assert [r["title"] for r in lifecycle.auto_assignment_notifications(changed, snapshot, now()).collect()] == ["Document assigned: f.txt"]
+    assert lifecycle.assignment_audit(changed, "a", now(), "auto_assigned").first()["details"] == "assigned_to=triage_queue"

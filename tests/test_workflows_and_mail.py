@@ -173,3 +173,9 @@ def test_exports(spark, tmp_path):
     sinks.append_log(log, str(tmp_path / "log"))
     kept = spark.read.parquet(str(tmp_path / "log")).filter("day >= '2024-01-02'")
     assert kept.count() == 2 and "PartitionFilters: [isnotnull(day" in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_processed_copies(spark, tmp_path):
+    files = spark.createDataFrame([("d0", "a.txt", bytearray(b"x")), ("d1", "b.txt", bytearray(b"y"))], "id string, filename string, content binary")
+    sinks.write_processed_copy(files, docs(spark, {"status": "routed"}), str(tmp_path / "out"))
+    assert rows(spark.read.parquet(str(tmp_path / "out")).select("filename", "status")) == [("a.txt", "routed")]
