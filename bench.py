@@ -14,11 +14,11 @@ from clerkwise.plans import registry
 from clerkwise.session import build_session
 
 QUERIES = [
-    "queue_snapshot", "processed_documents", "documents_fields", "documents_classified", "reply_precedence", "mask_pii",
-    "template_render", "analytics_totals", "ledger_queues", "overdue_documents", "unassigned_queue", "activity_feed",
-    "default_workspace", "effective_plan", "subscription_fold", "billing_stats", "system_health", "latency_histogram",
-    "import_outcomes", "transition_apply", "review_merge", "update_by_key", "upsert_snapshot", "workflow_match",
-    "workflow_changes", "sla_scan", "outbox_auto", "servicenow_listing", "slug_unique", "sliding_admission",
+    "ledger_queues", "analytics_totals", "overdue_documents", "unassigned_queue", "activity_feed", "default_workspace",
+    "effective_plan", "subscription_fold", "billing_stats", "system_health", "latency_histogram", "import_outcomes",
+    "transition_apply", "review_merge", "update_by_key", "upsert_snapshot", "sla_scan", "slug_unique", "mask_pii",
+    "documents_fields", "documents_classified", "template_render", "servicenow_listing", "outbox_auto", "workflow_match",
+    "workflow_changes", "processed_documents", "queue_snapshot", "reply_precedence", "sliding_admission",
 ]
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clerkwise.functions.codec import overlay
-from clerkwise.functions.predicates import TO_ASSIGN, blank, empty, transition_allowed, unassigned_to_triage
+from clerkwise.functions.predicates import TO_ASSIGN, empty, transition_allowed, unassigned_to_triage
 from clerkwise.operators.listing import triage_order
 from clerkwise.operators.rules import Rule, as_rules, lookup
 

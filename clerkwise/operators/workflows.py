@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from clerkwise.functions.codec import json_object, truthy
+from clerkwise.functions.codec import truthy
 from clerkwise.functions.once import compute_once
 from clerkwise.functions.predicates import TO_ASSIGN, transition_allowed
 from clerkwise.functions.rendering import event_context, letter_context, recipient, render

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clerkwise.functions.dates import instant
-from clerkwise.functions.predicates import in_workspace_or_global, is_overdue, unassigned_to_triage
+from clerkwise.functions.predicates import in_workspace_or_global, unassigned_to_triage
 from clerkwise.functions.text import slug_base
 from clerkwise.operators import analytics, billing, joins, listing
 from clerkwise.operators.admission import admit_sliding
 from clerkwise.plans.catalog import catalog
-from clerkwise.plans.duck import AS_OF, DONE, EVENTS_AS_OF, pick, sql
-from clerkwise.plans.views import pick as choose
+from clerkwise.plans.duck import AS_OF, EVENTS_AS_OF, sql
 
 OPEN = "('ingested','needs_review','acknowledged','assigned','in_progress','failed')"
 AUTOMATED = "('routed','approved','corrected','completed','archived')"

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from clerkwise.functions.dates import instant
 from clerkwise.functions.predicates import visible_to
-from clerkwise.operators import changes, imports, joins, lifecycle, mail, sinks, sla, workflows
+from clerkwise.operators import changes, imports, lifecycle, mail, sinks, sla, workflows
 from clerkwise.operators.rules import literal_rules
 from clerkwise.plans.catalog import catalog, joined
 from clerkwise.plans.duck import AS_OF, EDGES, EVENTS_AS_OF, case_by_type, pick, sql
-from clerkwise.plans.views import STATUSES, Views, days
+from clerkwise.plans.views import STATUSES, Views
 from clerkwise.plans.views import pick as choose
 from clerkwise.sources import connectors
 from clerkwise.sources.tables import reconcile

@@ -21,10 +21,10 @@ from clerkwise.operators.classify import classify, route, validate
 from clerkwise.operators.replies import flatten_ocr, normalise_enrichment, normalise_replies, with_payload
 from clerkwise.operators.rules import Rule, literal_rules, lookup, normalize_rules, rule_errors, rule_key_order
 from clerkwise.plans.catalog import catalog, joined
-from clerkwise.plans.duck import DONE, EVENTS_AS_OF, SLA, SLA_CASE, URGENT, case_by_type, judged, pattern, pick, sql
+from clerkwise.plans.duck import SLA, SLA_CASE, URGENT, case_by_type, judged, pattern, pick, sql
 from clerkwise.plans.process import (
     extract_field_map, extract_fields, process_documents, processing_audit, reply_sweep, reprocess, reupload, review_notifications)
-from clerkwise.plans.views import Views, days
+from clerkwise.plans.views import Views
 from clerkwise.sources.files import extract_text
 
 RULES = literal_rules(SLA)

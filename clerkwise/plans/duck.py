@@ -197,9 +197,6 @@ VIEWS: dict[str, str] = {
         CASE WHEN l_quantity > 10 THEN l_shipdate + INTERVAL 30 DAY END AS period_end, l_shipdate AS created_at FROM lineitem""",
 }
 
-_BASE = {"matches": ["doc_ledger", "rules"], "outcomes": ["checked", "sync_ledger"]}
-
-
 def sql(body: str) -> str:
     """The body preceded by the derived tables it mentions."""
     wanted: set[str] = set()

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from clerkwise.functions.text import basename, mime_guess
 from clerkwise.operators.changes import purge_before, retention_cutoff
-from clerkwise.operators.imports import document_id, new_documents, new_only, sync_log_rows, validate_files
+from clerkwise.operators.imports import new_documents, new_only, sync_log_rows, validate_files
 from clerkwise.operators.rules import Rule
 from clerkwise.operators.sla import overdue_notifications, sla_scan
 from clerkwise.plans.process import process_documents

@@ -41,7 +41,7 @@ def test_outcomes_equal_a_row_loop(spark):
     out = imports.import_outcomes(df, ledger, ["connector_type", "external_id"], ["position"])
     assert [r["outcome"] for r in out.orderBy("position").collect()] == want
     assert tuple(imports.import_summary(out).first()) == (want.count("imported"), want.count("skipped"), want.count("failed"))
-    assert imports.import_errors(out, ["position"]).first()["error"].startswith("a.exe: File extension")
+    assert imports.import_errors(out, ["position"]).first()["error"].startswith("a.exe: Validation failed — File extension")
     fresh = imports.new_only(df, ledger, ["connector_type", "external_id"], ["position"])
     assert sorted(r["position"] for r in fresh.collect()) == [0, 4, 5]
 

@@ -9,7 +9,7 @@ from clerkwise.operators import classify as classify_module
 from clerkwise.operators.rules import (
     Rule, default_rules, literal_rules, normalize_rules, rule_errors, rule_key_order, rule_list)
 from clerkwise.plans.process import process_documents, processing_audit, reply_sweep, reprocess, review_notifications
-from tests.helpers import docs, rows, ts
+from tests.helpers import docs, ts
 
 NOW = "2024-03-10 00:00:00"
 PERMIT = ("Building permit\nApplicant: John Doe\nAddress: 12 Main Street\nParcel Number: P-1234\nDate: 02/07/2026\n"

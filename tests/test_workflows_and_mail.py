@@ -1,7 +1,5 @@
 import json
 
-from pyspark.sql import functions as F
-
 from clerkwise.functions.dates import instant
 from clerkwise.operators import mail, sinks, sla, workflows
 from tests.helpers import docs, rows, ts
