@@ -116,21 +116,16 @@ def bootstrap_workspace(users: DataFrame, workspaces: DataFrame, workspace_id: s
     The owner is the oldest admin, else the oldest user.
     """
     admin = F.lower(F.trim(F.col("role"))) == "admin"
-    owner = users.agg(
-        F.min_by("id", F.struct((~F.coalesce(admin, F.lit(False))).cast("int"), "created_at", "id")).alias("owner_id"))
-    none_yet = workspaces.agg((F.count(F.lit(1)) == 0).alias("__free"))
-    # Both sides are single rows.
-    made = owner.filter("owner_id is not null").withColumn("__one", F.lit(1)).join(
-        F.broadcast(none_yet.withColumn("__one", F.lit(1))), "__one").filter("__free")
-    workspace = made.select(
-        F.lit(workspace_id).alias("id"), F.lit("Default").alias("name"),
-        F.lit("default").alias("slug"), "owner_id", F.lit("free").alias("plan_tier"),
-        F.lit("{}").alias("settings"), as_of.alias("created_at"), as_of.alias("updated_at"))
-    members = users.withColumn("__one", F.lit(1)).join(
-        F.broadcast(made.select("owner_id", "__one")), "__one").select(
-        F.lit(workspace_id).alias("workspace_id"), F.col("id").alias("user_id"),
-        F.when(F.col("id") == F.col("owner_id"), "admin").otherwise("member").alias("role"),
-        as_of.alias("joined_at"))
+    order = F.struct((~F.coalesce(admin, F.lit(False))).cast("int"), "created_at", "id")
+    owner = users.agg(F.min_by("id", order)).first()[0]
+    needed = F.lit(owner is not None and workspaces.isEmpty())
+    default, who = F.lit(workspace_id), F.lit(owner)
+    workspace = users.filter(needed & (F.col("id") == who)).select(
+        default.alias("id"), F.lit("Default").alias("name"), F.lit("default").alias("slug"), who.alias("owner_id"),
+        F.lit("free").alias("plan_tier"), F.lit("{}").alias("settings"), as_of.alias("created_at"), as_of.alias("updated_at"))
+    members = users.filter(needed).select(
+        default.alias("workspace_id"), F.col("id").alias("user_id"),
+        F.when(F.col("id") == who, "admin").otherwise("member").alias("role"), as_of.alias("joined_at"))
     return workspace, members
 
 

@@ -6,6 +6,7 @@ pass are merged afterwards, the later write of a column winning.
 
 from __future__ import annotations
 
+import json
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,12 +31,13 @@ SMALL_TEMPLATE_TABLE = 20_000
 GLOBAL = "*global*"
 ANY = "*any*"
 
+_TEXTS = ("name", "filters_json", "actions_json")
 _ACTIONS = "array<struct<type:string,config:map<string,string>>>"
 
 
 def parse_rules(rules: DataFrame) -> DataFrame:
-    """Rule rows with typed filters and actions. Malformed JSON means no filter
-    and no action."""
+    """Scoped rule rows with typed filters and actions. Malformed JSON means no
+    filter and no action."""
     v = F.try_parse_json("filters_json")
     parsed = compute_once(rules, {"__v": v})
     f = F.col("__v")
@@ -52,25 +54,23 @@ def parse_rules(rules: DataFrame) -> DataFrame:
     name = F.coalesce(F.nullif("name", F.lit("")), F.concat(F.lit("workflow-"), F.col("id").cast("string")))
     actions = F.coalesce(F.from_json("actions_json", _ACTIONS), F.array().cast(_ACTIONS))
     parsed = parsed.withColumns(out)
-    return parsed.select(
-        F.col("id").alias("rule_id"), "workspace_id", name.alias("rule_name"), "enabled", "trigger_event",
-        *out, actions.alias("actions"))
+    return parsed.select("scope", F.col("id").alias("rule_id"), name.alias("rule_name"), *out, actions.alias("actions"))
 
 
 def scoped_rules(rules: DataFrame, trigger: str, limit: int = RULES_PER_SCOPE) -> DataFrame:
-    """Rules by the scope they are read in: per workspace its own and the global
-    ones (the first ``limit`` by id), plus the global scope on its own."""
-    live = rules.filter(F.col("enabled") & (F.col("trigger_event") == trigger))
-    shared = live.filter("workspace_id is null")
-    scopes = live.filter("workspace_id is not null").select(F.col("workspace_id").alias("scope")).distinct()
+    """Parsed rules by the scope they are read in: per workspace its own and the
+    global ones (the first ``limit`` by id), plus the global scope on its own."""
+    live = rules.filter(F.col("enabled") & (F.col("trigger_event") == trigger)).select("id", "workspace_id", *_TEXTS)
     own = live.filter("workspace_id is not null").withColumn("scope", F.col("workspace_id"))
-    # Global rules are at most ``limit`` per scope, so this join is bounded.
-    first_shared = shared.orderBy("rule_id").limit(limit).withColumn("__one", F.lit(1))
-    lent = scopes.withColumn("__one", F.lit(1)).join(F.broadcast(first_shared), "__one").drop("__one")
-    alone = first_shared.drop("__one").withColumn("scope", F.lit(GLOBAL))
-    every = own.unionByName(lent).unionByName(alone)
-    rank = F.row_number().over(W.partitionBy("scope").orderBy("rule_id"))
-    return every.withColumn("__rank", rank).filter(F.col("__rank") <= limit).drop("__rank")
+    shared = live.filter("workspace_id is null").orderBy("id").limit(limit)
+    # At most ``limit`` global rules, lent to every scope as one literal.
+    rows = [{"id": r["id"], **{c: r[c] for c in _TEXTS}} for r in shared.collect()]
+    literal = F.from_json(F.lit(json.dumps(rows)), f"array<struct<id:bigint,{','.join(f'{c}:string' for c in _TEXTS)}>>")
+    lent = own.select("scope").distinct().select("scope", F.explode(literal).alias("rule")).select("scope", "rule.*")
+    alone = shared.withColumn("scope", F.lit(GLOBAL))
+    every = own.unionByName(lent, allowMissingColumns=True).unionByName(alone)
+    rank = F.row_number().over(W.partitionBy("scope").orderBy("id"))
+    return parse_rules(every.withColumn("__rank", rank).filter(F.col("__rank") <= limit).drop("__rank"))
 
 
 def _matches() -> Column:
@@ -97,14 +97,13 @@ def matched_actions(docs: DataFrame, rules: DataFrame, trigger: str, keep: list[
     # Every scope repeats at most ``limit`` global rules, so the count of the raw
     # table bounds the scoped one.
     hint = F.broadcast if is_small(rules, SMALL_RULE_TABLE) else (lambda df: df)
-    scoped = hint(scoped_rules(parse_rules(rules), trigger, limit))
+    scoped = hint(scoped_rules(rules, trigger, limit))
     owners = hint(rules.filter("workspace_id is not null and enabled").filter(F.col("trigger_event") == trigger)
                   .select(F.col("workspace_id").alias("__scope")).distinct())
     needed = list(dict.fromkeys([*keep, "id", "workspace_id", "confidence", *FILTER_FIELDS]))
     placed = docs.select(*needed).join(owners, F.col("workspace_id") == F.col("__scope"), "left").withColumn(
         "__scope", F.coalesce("__scope", F.lit(GLOBAL)))
-    wanted = scoped.drop("workspace_id", "enabled", "trigger_event")
-    pairs = placed.join(wanted, (F.col("__scope") == F.col("scope")) & _matches(), "inner")
+    pairs = placed.join(scoped, (F.col("__scope") == F.col("scope")) & _matches(), "inner")
     actions = pairs.select(*keep, F.col("id").alias("document_id"), "rule_id", "rule_name",
                            F.posexplode("actions").alias("pos", "action"))
     nothing = F.from_json(F.lit("{}"), "map<string,string>")
@@ -401,8 +400,6 @@ PRESET_TEMPLATES = [
 
 
 def preset_rules(spark) -> DataFrame:
-    import json
-
     rows = [(pack, name, trigger, json.dumps(filters), json.dumps(actions))
             for pack, name, trigger, filters, actions in PRESET_RULES]
     return spark.createDataFrame(
