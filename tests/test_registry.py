@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, alike, normal
+from clerkwise.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -22,14 +23,14 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.queries()) == set(registry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_equals_sql(spark, duck, name):
-    frame = entry.queries()[name](spark, FOLDER)
+    frame = registry.queries()[name](spark, FOLDER)
     got = pd.DataFrame([tuple(r) for r in frame.collect()], columns=frame.columns, dtype=object)
-    result = duck.execute(entry.oracle_sql()[name])
+    result = duck.execute(registry.oracle_sql()[name])
     columns = [c[0] for c in result.description]
     kinds = {c[0]: str(c[1]) for c in result.description}
     want = pd.DataFrame(result.fetchall(), columns=columns, dtype=object)
