@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from clerkwise.llm.frames import id_remainder, table
 from clerkwise.llm.language import fit_language, identify_language
+from clerkwise.llm.quality import fit_quality, score_quality
+from clerkwise.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,8 +19,30 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def _documents_and_labels(spark: SparkSession, folder: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with their fold, and the labels that may be learned from."""
+    held_out = id_remainder(F.col("doc_id"), 5) == 0
+    docs = table(spark, folder, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    labels = table(spark, folder, "labels").where(~held_out & F.col(label).isNotNull()).select("doc_id", label)
+    return docs, labels
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _documents_and_labels(spark, folder, "toxic")
+    model = fit_toxicity(docs, labels)
+    return score_toxicity(docs, model, ("doc_id", "held_out")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _documents_and_labels(spark, folder, "quality")
+    model = fit_quality(docs, labels)
+    return score_quality(docs, model, ("doc_id", "held_out")).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_toxicity": op2_toxicity,
+    "op8_quality": op8_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
