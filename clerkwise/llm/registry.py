@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clerkwise.llm import oracles
+from clerkwise.llm.contamination import contamination
 from clerkwise.llm.frames import id_remainder, table
 from clerkwise.llm.language import fit_language, identify_language
 from clerkwise.llm.quality import fit_quality, score_quality
@@ -33,6 +35,13 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_toxicity(docs, model, ("doc_id", "held_out")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = _documents_and_labels(spark, folder, "quality")
     model = fit_quality(docs, labels)
@@ -42,10 +51,13 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
+    "op5_decontamination": op5_decontamination,
     "op8_quality": op8_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontamination": oracles.CONTAMINATION,
+}
 
 
 def queries() -> dict:
