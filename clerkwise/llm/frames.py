@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -38,3 +39,21 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
 def bounded_sample(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
     """At most ``rows`` rows, those whose id hashes lowest: the same rows on every run."""
     return df.orderBy(F.xxhash64(key), key).limit(rows)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``. Set here only where it is unset and Spark is local."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "/tmp/checkpoints"
+    return folder
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: cuts lineage and fixes the rows for later steps."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/corpus/{what}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

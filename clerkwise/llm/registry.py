@@ -9,10 +9,19 @@ from clerkwise.llm import oracles
 from clerkwise.llm.contamination import contamination
 from clerkwise.llm.frames import id_remainder, table
 from clerkwise.llm.language import fit_language, identify_language
+from clerkwise.llm.packing import pack_documents
 from clerkwise.llm.quality import fit_quality, score_quality
 from clerkwise.llm.toxicity import fit_toxicity, score_toxicity
 
 
+def vocabulary() -> dict[str, str]:
+    """The installed vocabulary files; any other tokenizer file may be given to the operator instead."""
+    import public_tokenizers
+
+    return {"tokenizer": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"),
+            "pattern": public_tokenizers.PATTERN}
+
+
 def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     rest = id_remainder(F.col("doc_id"), 4)
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", (rest == 2).alias("held_out"))
@@ -48,11 +57,16 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(docs, model, ("doc_id", "held_out")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents"), **vocabulary())
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op5_decontamination": op5_decontamination,
     "op8_quality": op8_quality,
+    "op9_packing": op9_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
