@@ -25,3 +25,24 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+LINES = """
+WITH doc AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), place AS (
+  SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS p FROM doc WHERE len(l) > 2
+), win AS (
+  SELECT doc_id, p, l[p] AS a, l[p + 1] AS b, l[p + 2] AS c FROM place
+), ranked AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, p) AS nth FROM win
+), gone AS (
+  SELECT DISTINCT doc_id, unnest([p, p + 1, p + 2]) AS q FROM ranked WHERE nth > 1
+), line AS (
+  SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS q FROM doc
+), kept AS (
+  SELECT doc_id, count(*) AS n_lines, count(gone.q) AS n_removed,
+         coalesce(string_agg(x, chr(10) ORDER BY q) FILTER (WHERE gone.q IS NULL), '') AS text
+  FROM line LEFT JOIN gone USING (doc_id, q) GROUP BY doc_id
+)
+SELECT doc_id, n_lines::BIGINT AS n_lines, n_removed::BIGINT AS n_removed, sha256(text) AS kept_sha256 FROM kept
+"""

@@ -9,6 +9,7 @@ from clerkwise.llm import oracles
 from clerkwise.llm.contamination import contamination
 from clerkwise.llm.frames import id_remainder, table
 from clerkwise.llm.language import fit_language, identify_language
+from clerkwise.llm.line_windows import drop_repeated_lines
 from clerkwise.llm.packing import pack_documents
 from clerkwise.llm.quality import fit_quality, score_quality
 from clerkwise.llm.toxicity import fit_toxicity, score_toxicity
@@ -61,16 +62,23 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), **vocabulary())
 
 
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = drop_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op5_decontamination": op5_decontamination,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": oracles.CONTAMINATION,
+    "op10_line_dedup": oracles.LINES,
 }
 
 
