@@ -10,6 +10,7 @@ from clerkwise.llm.contamination import contamination
 from clerkwise.llm.frames import id_remainder, table
 from clerkwise.llm.language import fit_language, identify_language
 from clerkwise.llm.line_windows import drop_repeated_lines
+from clerkwise.llm.near_duplicates import near_duplicates
 from clerkwise.llm.packing import pack_documents
 from clerkwise.llm.quality import fit_quality, score_quality
 from clerkwise.llm.toxicity import fit_toxicity, score_toxicity
@@ -52,6 +53,10 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = _documents_and_labels(spark, folder, "quality")
     model = fit_quality(docs, labels)
@@ -71,6 +76,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op5_decontamination": op5_decontamination,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
@@ -78,6 +84,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": oracles.CONTAMINATION,
+    "op6_minhash_near_dedup": oracles.NEAR,
     "op10_line_dedup": oracles.LINES,
 }
 
