@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clerkwise.llm import oracles
 from clerkwise.llm.contamination import contamination
+from clerkwise.llm.edit_embedding import fingerprint_documents
 from clerkwise.llm.frames import id_remainder, table
 from clerkwise.llm.language import fit_language, identify_language
 from clerkwise.llm.line_windows import drop_repeated_lines
@@ -46,6 +47,10 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_toxicity(docs, model, ("doc_id", "held_out")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint_documents(table(spark, folder, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
@@ -75,6 +80,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
+    "op4_fingerprints": op4_fingerprints,
     "op5_decontamination": op5_decontamination,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op8_quality": op8_quality,
