@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,3 +58,28 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/corpus/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def about(documents: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``documents`` less most rows whose ``key`` is not in ``wanted``; no wanted row is missing.
+
+    A bit map of the hashed keys, at most 16 MB, goes to every task, so that texts nobody asks for
+    need not be shuffled. The caller still joins; with more keys than bits only less is saved.
+    """
+    spark = documents.sparkSession
+    bits = 1 << min(27, max(16, int(wanted.count() * 8).bit_length()))
+    slot = F.pmod(F.xxhash64(key), F.lit(bits))
+    words = (wanted.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 32).alias("w"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("v")).toPandas())
+    bitmap = np.zeros(bits // 32, dtype="<u4")
+    bitmap[words["w"].to_numpy(dtype=np.int64)] = words["v"].to_numpy(dtype=np.int64).astype(np.uint32)
+    shared = spark.sparkContext.broadcast(bitmap)
+    rows = documents.select("*", slot.alias("__slot"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            s = part.column("__slot").to_numpy(zero_copy_only=False)
+            keep = (shared.value[s // 32] >> (s % 32).astype(np.uint32)) & 1
+            yield part.filter(pa.array(keep.astype(bool)))
+
+    return rows.mapInArrow(pick, rows.schema).drop("__slot")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clerkwise.llm.components import components
-from clerkwise.llm.frames import map_texts, written
+from clerkwise.llm.frames import about, map_texts, written
 from clerkwise.llm.text_arrays import LOWER_CODES, SPACED, Powers, mix, span_hashes, text_bytes, word_spans
 
 WORDS = 5
@@ -129,26 +129,10 @@ def _apart(members: DataFrame) -> DataFrame:
 def confirm(pairs: DataFrame, classes: DataFrame, documents: DataFrame, percent: int = SIMILAR) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full shingle sets have the similarity.
 
-    The sets are made anew from one document of each class that occurs in a pair; a bit map of
-    bounded size spares the others the way through the shuffle.
+    The sets are made anew from one document of each class that occurs in a pair.
     """
-    spark = documents.sparkSession
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = written(nodes.join(classes.select("node", "doc_id"), "node"), "wanted")
-    bits = 1 << min(27, max(16, int(wanted.count() * 8).bit_length()))
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    words = (wanted.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 32).alias("w"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("v")).toPandas())
-    bitmap = np.zeros(bits // 32, dtype="<u4")
-    bitmap[words["w"].to_numpy(dtype=np.int64)] = words["v"].to_numpy(dtype=np.int64).astype(np.uint32)
-    shared = spark.sparkContext.broadcast(bitmap)
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            s = part.column("slot").to_numpy(zero_copy_only=False)
-            keep = (shared.value[s // 32] >> (s % 32).astype(np.uint32)) & 1
-            yield part.filter(pa.array(keep.astype(bool)))
-
     keep = []
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -160,9 +144,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, documents: DataFrame, percent:
                                            pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "node", "shingles"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    some = documents.select("doc_id", "text", slot.alias("slot"))
-    some = some.mapInArrow(pick, some.schema)
-    sets = map_texts(some, run, f"doc_id {kind}, node bigint, shingles array<bigint>")
+    sets = map_texts(about(documents.select("doc_id", "text"), wanted), run, f"doc_id {kind}, node bigint, shingles array<bigint>")
     # A class is represented by the document chosen for it; rows that repeat its id and text are alike.
     chosen = sets.join(wanted.select(F.col("node").alias("n"), F.col("doc_id").alias("d")),
                        (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")

@@ -72,3 +72,22 @@ WITH RECURSIVE doc AS (
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM least LEFT JOIN size USING (doc_id)
 """
+
+PASSAGES = r"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), place AS (
+  SELECT doc_id, p, array_to_string(w[p : p + 49], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM doc WHERE len(w) >= 50)
+), first AS (
+  SELECT k, min(doc_id) AS low FROM place GROUP BY 1 HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS q FROM place JOIN first USING (k) WHERE low < doc_id
+), word AS (
+  SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS q FROM doc
+), kept AS (
+  SELECT doc_id, count(*) AS n, count(gone.q) AS n_removed, string_agg(x, ' ' ORDER BY q) FILTER (WHERE gone.q IS NULL) AS text
+  FROM word LEFT JOIN gone USING (doc_id, q) GROUP BY 1
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (doc_id)
+"""

@@ -13,6 +13,7 @@ from clerkwise.llm.language import fit_language, identify_language
 from clerkwise.llm.line_windows import drop_repeated_lines
 from clerkwise.llm.near_duplicates import near_duplicates
 from clerkwise.llm.packing import pack_documents
+from clerkwise.llm.passages import drop_repeated_passages
 from clerkwise.llm.quality import fit_quality, score_quality
 from clerkwise.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -62,6 +63,10 @@ def op6_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return drop_repeated_passages(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = _documents_and_labels(spark, folder, "quality")
     model = fit_quality(docs, labels)
@@ -83,6 +88,7 @@ QUERIES = {
     "op4_fingerprints": op4_fingerprints,
     "op5_decontamination": op5_decontamination,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
@@ -91,6 +97,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": oracles.CONTAMINATION,
     "op6_minhash_near_dedup": oracles.NEAR,
+    "op7_substring_dedup": oracles.PASSAGES,
     "op10_line_dedup": oracles.LINES,
 }
 
