@@ -52,11 +52,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts lineage and fixes the rows for later steps."""
+    """``df`` written to the shared folder and read again: cuts lineage and fixes the rows for later steps.
+
+    The shuffle files of the write go with its end, so a job of many steps needs the disk of
+    one step. The tables may be deleted once the final result is stored.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/corpus/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -15,6 +15,7 @@ from clerkwise.llm.near_duplicates import near_duplicates
 from clerkwise.llm.packing import pack_documents
 from clerkwise.llm.passages import drop_repeated_passages
 from clerkwise.llm.quality import fit_quality, score_quality
+from clerkwise.llm.substrings import drop_repeated_bytes
 from clerkwise.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -48,6 +49,10 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_toxicity(docs, model, ("doc_id", "held_out")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return drop_repeated_bytes(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_documents(table(spark, folder, "documents"))
 
@@ -85,6 +90,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_fingerprints": op4_fingerprints,
     "op5_decontamination": op5_decontamination,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,

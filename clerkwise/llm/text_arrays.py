@@ -129,6 +129,23 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers:
     return mix(out)
 
 
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
+    """Like ``span_hashes`` for ranges that may overlap; they are sorted by start."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):
+        base = int(starts[at])
+        to = max(int(np.searchsorted(starts, base + SEGMENT_BYTES, "right")), at + 1)
+        size = int(ends[at:to].max()) - base
+        powers.reach(size + 1)
+        total = np.zeros(size + 1, dtype=np.uint64)
+        np.cumsum(BYTE_CODES[data[base:base + size]] * powers.up[:size], out=total[1:])
+        a, b = starts[at:to] - base, ends[at:to] - base
+        out[at:to] = (total[b] - total[a]) * powers.down[a] + (b - a).astype(np.uint64)
+        at = to
+    return mix(out)
+
+
 def window_hashes(symbols: np.ndarray, width: int, powers: Powers) -> np.ndarray:
     """Hashes of all runs of ``width`` consecutive 64-bit symbols."""
     count = len(symbols) - width + 1
