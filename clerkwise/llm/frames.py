@@ -14,10 +14,6 @@ from pyspark.sql.types import StructType
 from clerkwise.llm.text_arrays import slices
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
 def map_texts(df: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str | StructType,
               limit: int | None = None) -> DataFrame:
     """``run`` over bounded slices of ``df``; ``df`` has a column ``text``. Needs no shuffle."""

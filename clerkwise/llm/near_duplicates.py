@@ -82,7 +82,7 @@ def index_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def describe(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (which set; null for an empty one) and signature of every row."""
+    """doc_id, a hash of the text, n_shingles, node (which set; null for an empty one) and signature of every row."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     keep = []
 
@@ -95,10 +95,11 @@ def describe(documents: DataFrame) -> DataFrame:
         nodes = [node_of(s) if len(s) else None for s in sets]
         signs = [next(marks).tobytes() if len(s) else None for s in sets]
         return pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(signs, pa.binary())],
-            ["doc_id", "n_shingles", "node", "signature"])
+            [part.column("doc_id"), part.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()),
+             pa.array(signs, pa.binary())], ["doc_id", "text_hash", "n_shingles", "node", "signature"])
 
-    return map_texts(documents.select("doc_id", "text"), run, f"doc_id {kind}, n_shingles bigint, node bigint, signature binary")
+    rows = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return map_texts(rows, run, f"doc_id {kind}, text_hash bigint, n_shingles bigint, node bigint, signature binary")
 
 
 def _places(column: pa.Array) -> np.ndarray:
@@ -243,7 +244,7 @@ def _split(members: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, rounds: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``documents`` (doc_id, text).
+    """doc_id, n_shingles, component_id, kept and a hash of the text for every row of ``documents`` (doc_id, text).
 
     ``component_id`` is the least doc_id connected by links of similarity 0.75 or more; ``kept``
     marks that document. Null and empty texts have no shingles and stand alone. Rows with a
@@ -277,4 +278,14 @@ def near_duplicates(documents: DataFrame, rounds: int = 2) -> DataFrame:
     of_class = classes.select("node", "doc_id").join(groups, "node", "left").select("node", F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("least"))
     out = described.join(of_class, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"),
+                      "text_hash")
+
+
+def keep_one_of_each(documents: DataFrame) -> DataFrame:
+    """The rows of ``documents``, all columns as they are, that ``near_duplicates`` keeps; rows that
+    repeat both id and text stay once."""
+    kept = near_duplicates(documents).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    rows = documents.withColumn("__text_hash", F.xxhash64("text"))
+    stay = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi")
+    return stay.dropDuplicates(["doc_id", "__text_hash"]).select(*documents.columns)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from clerkwise.llm import oracles
 from clerkwise.llm.contamination import contamination
 from clerkwise.llm.edit_embedding import fingerprint_documents
-from clerkwise.llm.frames import id_remainder, table
+from clerkwise.llm.frames import id_remainder
+from clerkwise.llm.inputs import documents_and_labels, table, vocabulary
 from clerkwise.llm.language import fit_language, identify_language
 from clerkwise.llm.line_windows import drop_repeated_lines
 from clerkwise.llm.near_duplicates import near_duplicates
@@ -19,14 +21,6 @@ from clerkwise.llm.substrings import drop_repeated_bytes
 from clerkwise.llm.toxicity import fit_toxicity, score_toxicity
 
 
-def vocabulary() -> dict[str, str]:
-    """The installed vocabulary files; any other tokenizer file may be given to the operator instead."""
-    import public_tokenizers
-
-    return {"tokenizer": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"),
-            "pattern": public_tokenizers.PATTERN}
-
-
 def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     rest = id_remainder(F.col("doc_id"), 4)
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", (rest == 2).alias("held_out"))
@@ -35,16 +29,8 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
-def _documents_and_labels(spark: SparkSession, folder: str, label: str) -> tuple[DataFrame, DataFrame]:
-    """Documents with their fold, and the labels that may be learned from."""
-    held_out = id_remainder(F.col("doc_id"), 5) == 0
-    docs = table(spark, folder, "documents").select("doc_id", "text", held_out.alias("held_out"))
-    labels = table(spark, folder, "labels").where(~held_out & F.col(label).isNotNull()).select("doc_id", label)
-    return docs, labels
-
-
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
-    docs, labels = _documents_and_labels(spark, folder, "toxic")
+    docs, labels = documents_and_labels(spark, folder, "toxic")
     model = fit_toxicity(docs, labels)
     return score_toxicity(docs, model, ("doc_id", "held_out")).select("doc_id", "held_out", "score", "predicted")
 
@@ -65,7 +51,7 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+    return near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,7 +59,7 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
-    docs, labels = _documents_and_labels(spark, folder, "quality")
+    docs, labels = documents_and_labels(spark, folder, "quality")
     model = fit_quality(docs, labels)
     return score_quality(docs, model, ("doc_id", "held_out")).select("doc_id", "held_out", "score", "predicted")
 
@@ -98,6 +84,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -108,6 +95,10 @@ ORACLE_SQL: dict[str, str] = {
 }
 
 
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
