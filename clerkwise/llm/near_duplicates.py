@@ -243,7 +243,7 @@ def _split(members: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key bigint, node bigint, root bigint")
 
 
-def near_duplicates(documents: DataFrame, rounds: int = 2) -> DataFrame:
+def near_duplicates(documents: DataFrame, rounds: int = 2, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and a hash of the text for every row of ``documents`` (doc_id, text).
 
     ``component_id`` is the least doc_id connected by links of similarity 0.75 or more; ``kept``
@@ -265,8 +265,8 @@ def near_duplicates(documents: DataFrame, rounds: int = 2) -> DataFrame:
         if turn < rounds:
             pairs = _votes(rooted, classes)
         else:
-            hot = _split(rooted.where(F.col("size") > HOT), classes)
-            pairs = _compare(rooted.where(F.col("size") <= HOT).select("key", "node", "root").unionAll(_apart(hot).select("key", "node", "root")), classes)
+            split = _split(rooted.where(F.col("size") > hot), classes)
+            pairs = _compare(rooted.where(F.col("size") <= hot).select("key", "node", "root").unionAll(_apart(split).select("key", "node", "root")), classes)
         found = written(confirm(written(pairs, "pairs"), classes, documents), "confirmed")
         links = found if links is None else links.unionAll(found)
         joined = components(links)
