@@ -135,13 +135,13 @@ def doc_type_key(col: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(plain, "_+", "_"), "^_+|_+$", "")
 
 
-def slug_base(name: Column) -> Column:
-    """Lower-case letters and digits joined by single dashes, at most 64 characters."""
+def slug_base(name: Column, most: int | None = None) -> Column:
+    """Lower-case letters and digits joined by single dashes, cut to ``most`` characters if given."""
     source = strip(F.when(F.coalesce(name, F.lit("")) == "", F.lit("workspace")).otherwise(name))
     dashed = F.regexp_replace(F.lower(source), r"[^\p{L}\p{N}]+", "-")
     trimmed = F.regexp_replace(dashed, "^-+|-+$", "")
     base = F.when(trimmed == "", F.lit("workspace")).otherwise(trimmed)
-    return F.substring(base, 1, 64)
+    return base if most is None else F.substring(base, 1, most)
 
 
 def basename(path: Column) -> Column:

@@ -104,12 +104,16 @@ def subscription_fold(events: DataFrame) -> DataFrame:
 
     Events: event_id, sequence (arrival number), subscription_id, event_type,
     provider_status, plan_tier, period_end, created_at. A repeated event id is
-    ignored; a null value keeps the older one. Every fold is a ``max_by`` that
-    combines on the map side.
+    ignored; a null value keeps the older one. Only a checkout creates a subscription: events
+    before its first one change nothing, and without one there is no row. An event belongs to one
+    subscription, so one shuffle by subscription serves all steps.
     """
-    once = events.groupBy("event_id").agg(
-        F.min_by(F.struct(*[c for c in events.columns if c != "event_id"]), F.struct("created_at", "sequence")).alias("e")
-    ).select("event_id", "e.*")
+    placed = events.repartition("subscription_id")
+    nth = F.row_number().over(W.partitionBy("subscription_id", "event_id").orderBy("created_at", "sequence"))
+    once = placed.withColumn("__nth", nth).filter("__nth = 1").drop("__nth")
+    begun = F.min(F.when(F.col("event_type") == "checkout.session.completed", F.struct("created_at", "sequence")))
+    once = (once.withColumn("__begun", begun.over(W.partitionBy("subscription_id")))
+            .filter(F.struct("created_at", "sequence") >= F.col("__begun")).drop("__begun"))
     kind = F.col("event_type")
     mapped = F.coalesce(F.try_element_at(_literal_map(STATUS_MAP), F.col("provider_status")), F.lit("active"))
     change = kind.isin("customer.subscription.updated", "customer.subscription.deleted")

@@ -6,6 +6,8 @@ the caller writes it to a new path and swaps.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,9 +56,15 @@ def insert_ignore(base: DataFrame, new: DataFrame, keys: list[str], order: list[
     return base.unionByName(new_rows(base, new, keys, order), allowMissingColumns=True)
 
 
+def null_safe_anti(rows: DataFrame, taken: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` whose key is not in ``taken``; a null in a key equals a null."""
+    other = taken.select(*[F.col(k).alias(f"__taken_{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(other[f"__taken_{k}"]) for k in keys])
+    return rows.join(other, same, "left_anti")
+
+
 def new_rows(base: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    taken = base.select(*keys).distinct()
-    return first_per_key(new.join(taken, keys, "left_anti"), keys, order)
+    return first_per_key(null_safe_anti(new, base.select(*keys).distinct(), keys), keys, order)
 
 
 def upsert(base: DataFrame, new: DataFrame, keys: list[str], order: list[str],
@@ -67,16 +75,17 @@ def upsert(base: DataFrame, new: DataFrame, keys: list[str], order: list[str],
     """
     last = last_per_key(new, keys, order)
     if keep:
-        old = base.select(*keys, *[F.col(c).alias(f"__old_{c}") for c in keep], F.lit(True).alias("__old"))
-        last = last.join(old, keys, "left").withColumns({
+        old = base.select(*[F.col(k).alias(f"__key_{k}") for k in keys], *[F.col(c).alias(f"__old_{c}") for c in keep], F.lit(True).alias("__old"))
+        same = reduce(lambda a, b: a & b, [last[k].eqNullSafe(old[f"__key_{k}"]) for k in keys])
+        last = last.join(old, same, "left").withColumns({
             c: F.when(F.col("__old"), F.col(f"__old_{c}")).otherwise(F.col(c)) for c in keep
         }).select(*last.columns)
-    rest = base.join(last.select(*keys), keys, "left_anti")
+    rest = null_safe_anti(base, last.select(*keys), keys)
     return rest.unionByName(last, allowMissingColumns=True).select(*base.columns)
 
 
 def delete_keys(base: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
-    return base.join(gone.select(*keys).distinct(), keys, "left_anti")
+    return null_safe_anti(base, gone.select(*keys).distinct(), keys)
 
 
 def purge_before(df: DataFrame, ts_col: str, cutoff: Column) -> DataFrame:

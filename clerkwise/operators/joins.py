@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def payments_with_email(payments: DataFrame, users: DataFrame, limit: int = 20) -> DataFrame:
+def payments_with_email(payments: DataFrame, users: DataFrame, limit: int) -> DataFrame:
     """Newest payments with the payer's address; cut before the join."""
     newest = payments.orderBy(F.col("id").desc()).limit(limit)
     people = users.select(F.col("id").alias("__user"), F.col("email").alias("user_email"))
@@ -123,20 +123,22 @@ def notification_rows(events: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def unique_slugs(workspaces: DataFrame, order: list[str], base: Column) -> DataFrame:
-    """Slug per workspace: the base, then base-2, base-3 … in creation order.
+    """Slug per workspace: the base, then base-2, base-3 ... in creation order.
 
-    A name that itself spells ``x-2`` may collide with a numbered slug of
-    ``x``; such rows are found by ``slug_collisions``.
+    A base belongs to the first workspace whose name spells it; a number whose slug is
+    another workspace's base (``x-2``) is passed over. A numbered slug ends in its number, so no other
+    two can be equal.
     """
     from clerkwise.session import number_rows
 
     based = workspaces.withColumn("slug_base", base)
     numbered = number_rows(based, order, "__n", ["slug_base"])
-    return numbered.withColumn(
-        "slug", F.when(F.col("__n") == 1, F.col("slug_base"))
-        .otherwise(F.concat("slug_base", F.lit("-"), F.col("__n").cast("string")))).drop("__n")
-
-
-def slug_collisions(slugged: DataFrame) -> DataFrame:
-    """Slugs taken more than once, to be numbered again in a second pass."""
-    return slugged.groupBy("slug").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    spelled = based.select("slug_base").distinct().select(
+        F.regexp_extract("slug_base", "^(.+)-([1-9][0-9]*)$", 1).alias("__base"),
+        F.regexp_extract("slug_base", "^(.+)-([1-9][0-9]*)$", 2).try_cast("long").alias("__taken")).filter("__taken >= 2")
+    taken = spelled.groupBy("__base").agg(F.array_sort(F.collect_set("__taken")).alias("__taken"))
+    marked = numbered.join(taken, F.col("slug_base") == F.col("__base"), "left")
+    number = F.aggregate(F.coalesce("__taken", F.array().cast("array<bigint>")), F.col("__n").cast("bigint"),
+                         lambda n, t: F.when((n > 1) & (t <= n), n + 1).otherwise(n))
+    slug = F.when(F.col("__n") == 1, F.col("slug_base")).otherwise(F.concat("slug_base", F.lit("-"), number.cast("string")))
+    return marked.withColumn("slug", slug).drop("__n", "__base", "__taken")

@@ -93,18 +93,18 @@ def auto_assignment_notifications(changed: DataFrame, docs: DataFrame, as_of: Co
         F.lit(False).alias("is_read"), as_of.alias("created_at"))
 
 
-def auto_assign(docs: DataFrame, user: str = DEFAULT_ASSIGNEE, limit: int = 200) -> DataFrame:
-    """The first ``limit`` unassigned documents in queue order go to ``user``."""
-    if not 1 <= limit <= 1000:
-        raise ValueError("limit must be between 1 and 1000")
+def auto_assign(docs: DataFrame, user: str = DEFAULT_ASSIGNEE, limit: int | None = None) -> DataFrame:
+    """The first ``limit`` unassigned documents in queue order, or all of them, go to ``user``."""
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be positive")
     queue = docs.filter(unassigned_to_triage())
-    chosen = triage_order(queue).limit(limit)
+    chosen = queue if limit is None else triage_order(queue).limit(limit)
     return chosen.select(
         F.col("id").alias("document_id"), F.lit(user).alias("assigned_to"),
         F.col("status").alias("from_status"), assigned_status(F.col("status")).alias("status"))
 
 
-def auto_assign_counts(docs: DataFrame, limit: int = 200) -> DataFrame:
+def auto_assign_counts(docs: DataFrame, limit: int) -> DataFrame:
     waiting = F.count_if(unassigned_to_triage())
     return docs.agg(waiting.alias("__n")).select(
         F.least(F.col("__n"), F.lit(limit)).cast("long").alias("assigned_count"),
@@ -201,7 +201,7 @@ def bulk_audit(outcomes: DataFrame, actor: str, as_of: Column) -> DataFrame:
         "document_id", name.alias("action"), F.lit(actor).alias("actor"), details.alias("details"), as_of.alias("created_at"))
 
 
-def bulk_errors(outcomes: DataFrame, limit: int = 50) -> DataFrame:
+def bulk_errors(outcomes: DataFrame, limit: int) -> DataFrame:
     """The errors a bulk report shows."""
     return outcomes.filter("outcome = 'error'").select("document_id", "action", "error").orderBy("document_id", "action", "error").limit(limit)
 

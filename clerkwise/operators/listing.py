@@ -28,7 +28,7 @@ def light(df: DataFrame) -> DataFrame:
 
 def list_documents(docs: DataFrame, as_of: Column, status: str | None = None,
                    department: str | None = None, assigned_to: str | None = None,
-                   workspace_id: str | None = None, limit: int = 100) -> DataFrame:
+                   workspace_id: str | None = None, *, limit: int) -> DataFrame:
     """Newest documents under ANDed filters; status ``overdue`` is computed."""
     out = scope(light(docs), workspace_id)
     if status:
@@ -56,7 +56,7 @@ def triage_order(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("due_date").asc_nulls_last(), F.col("updated_at").desc_nulls_last(), "id")
 
 
-def unassigned_queue(docs: DataFrame, limit: int = 200, workspace_id: str | None = None) -> DataFrame:
+def unassigned_queue(docs: DataFrame, limit: int, workspace_id: str | None = None) -> DataFrame:
     return triage_order(scope(light(docs), workspace_id).filter(unassigned_to_triage())).limit(limit)
 
 
@@ -87,7 +87,7 @@ def search_filename(docs: DataFrame, needle: str) -> DataFrame:
     return out.filter(F.contains(F.lower("filename"), F.lit(wanted))) if wanted else out
 
 
-def review_shortlist(docs: DataFrame, limit: int = 5) -> DataFrame:
+def review_shortlist(docs: DataFrame, limit: int) -> DataFrame:
     """First documents to look at: flagged or in needs_review, newest first."""
     wanted = F.col("requires_review") | (F.col("status") == "needs_review")
     return newest(light(docs).filter(wanted), limit)
@@ -107,10 +107,18 @@ def with_age(docs: DataFrame, as_of: Column) -> DataFrame:
 
 def audit_page(audit: DataFrame, docs: DataFrame, limit: int, offset: int = 0,
                action: str | None = None, actor: str | None = None,
-               document_id: str | None = None) -> DataFrame:
+               document_id: str | None = None, before_id=None) -> DataFrame:
     """One page of the audit log with file names. The page is cut before the
-    join, so the join sees ``limit`` rows."""
-    page = _audit_filter(audit, action, actor, document_id).orderBy(F.col("id").desc()).offset(offset).limit(limit)
+    join, so the join sees ``limit`` rows.
+
+    Pages by ``before_id``, the last id of the page before, cost the same at any
+    depth: a pushed filter and a top-k. An ``offset`` gathers all rows up to the page.
+    """
+    rows = _audit_filter(audit, action, actor, document_id)
+    if before_id is not None:
+        rows = rows.filter(F.col("id") < F.lit(before_id))
+    rows = rows.orderBy(F.col("id").desc())
+    page = (rows.offset(offset) if offset else rows).limit(limit)
     return with_filename(page, docs)
 
 
@@ -125,7 +133,7 @@ def audit_total(audit: DataFrame, **filters) -> DataFrame:
     return _audit_filter(audit, **filters).agg(F.count(F.lit(1)).alias("total"))
 
 
-def activity_feed(audit: DataFrame, docs: DataFrame, limit: int = 15,
+def activity_feed(audit: DataFrame, docs: DataFrame, limit: int,
                   workspace_id: str | None = None) -> DataFrame:
     """Newest audit events with the file name of their document."""
     recent = scope(audit, workspace_id).orderBy(F.col("id").desc()).limit(limit)
@@ -137,12 +145,12 @@ def with_filename(audit: DataFrame, docs: DataFrame) -> DataFrame:
     return audit.join(names, F.col("document_id") == F.col("__doc"), "left").drop("__doc")
 
 
-def document_trail(audit: DataFrame, document_id, limit: int = 50) -> DataFrame:
+def document_trail(audit: DataFrame, document_id, limit: int) -> DataFrame:
     return audit.filter(F.col("document_id") == F.lit(document_id)).orderBy(F.col("id").desc()).limit(limit)
 
 
 def notifications_for(notifications: DataFrame, user_id: str | None, workspace_id: str | None = None,
-                      unread_only: bool = False, limit: int = 50) -> DataFrame:
+                      unread_only: bool = False, *, limit: int) -> DataFrame:
     out = scope(notifications.filter(visible_to(user_id)), workspace_id)
     if unread_only:
         out = out.filter(~F.col("is_read"))

@@ -14,8 +14,6 @@ from clerkwise.operators.rules import Rule, as_rules, lookup
 # Enrichment answers that mean "not there", and the contact aliases.
 PLACEHOLDERS = ("", "n/a", "na", "none", "null", "unknown", "not provided", "missing")
 EMAIL_ALIASES = ("email", "applicant_email", "contact_email", "sender_email")
-FIELD_LIMIT = 240
-KEYWORD_LIMIT = 20
 
 
 def with_payload(df: DataFrame, reply: str, name: str) -> DataFrame:
@@ -53,9 +51,9 @@ def _string(payload: Column, path: str) -> Column:
     return F.try_variant_get(payload, path, "string")
 
 
-def normalise_replies(df: DataFrame, rules: DataFrame | list[Rule], reply: str = "reply") -> DataFrame:
+def normalise_replies(df: DataFrame, rules: DataFrame | list[Rule], reply: str = "reply", keywords: int | None = None) -> DataFrame:
     """Add reply_* columns read from classifier replies; rows without a usable
-    object keep null columns and so fall back to the rules."""
+    object keep null columns and so fall back to the rules. ``keywords`` bounds the list."""
     rules = as_rules(rules)
     known = [r.doc_type for r in rules]
     parsed = with_payload(df, reply, "__json")
@@ -74,15 +72,15 @@ def normalise_replies(df: DataFrame, rules: DataFrame | list[Rule], reply: str =
         "reply_urgency": F.when(there, F.when(urgency.isin("high", "normal"), urgency)
                                 .otherwise(F.lit("normal"))),
         "reply_confidence": F.when(there, clamp_confidence(_number(payload, "$.confidence"))),
-        "reply_keywords": F.when(there, F.coalesce(F.slice(words, 1, KEYWORD_LIMIT),
+        "reply_keywords": F.when(there, F.coalesce(words if keywords is None else F.slice(words, 1, keywords),
                                                    F.array().cast("array<string>"))),
         "reply_rationale": F.when(there, _string(payload, "$.rationale")),
     }).drop("__json", "__v")
 
 
 def normalise_enrichment(df: DataFrame, reply: str = "reply",
-                         required: str = "required_fields") -> DataFrame:
-    """Add enriched_fields (map), enriched_confidence and enriched_notes."""
+                         required: str = "required_fields", longest: int | None = None) -> DataFrame:
+    """Add enriched_fields (map), enriched_confidence and enriched_notes. ``longest`` cuts values."""
     parsed = with_payload(df, reply, "__json")
     parsed = compute_once(parsed, {"__v": F.try_parse_json(F.col("__json"))})
     inner = F.try_variant_get(F.col("__v"), "$.fields", "map<string,string>")
@@ -94,7 +92,7 @@ def normalise_enrichment(df: DataFrame, reply: str = "reply",
     trimmed = F.transform_values(raw, lambda _, v: strip(F.coalesce(v, F.lit("None"))))
     kept = F.map_filter(trimmed, lambda k, v: F.array_contains(allowed, k)
                         & ~F.lower(v).isin(*PLACEHOLDERS))
-    short = F.transform_values(kept, lambda _, v: strip(F.substring(v, 1, FIELD_LIMIT)))
+    short = F.transform_values(kept, lambda _, v: strip(v if longest is None else F.substring(v, 1, longest)))
     fields = F.map_filter(short, lambda _, v: v != "")
     nothing = F.from_json(F.lit("{}"), "map<string,string>")
     return parsed.withColumns({

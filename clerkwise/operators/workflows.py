@@ -18,15 +18,10 @@ from clerkwise.functions.once import compute_once
 from clerkwise.functions.predicates import TO_ASSIGN, transition_allowed
 from clerkwise.functions.rendering import event_context, letter_context, recipient, render
 from clerkwise.functions.text import strip
-from clerkwise.session import is_small
+from clerkwise.session import broadcast_if_small
 
-# Fields a rule may filter on, and how many rules apply per scope.
+# Fields a rule may filter on.
 FILTER_FIELDS = ("doc_type", "department", "status", "urgency", "source_channel")
-RULES_PER_SCOPE = 200
-
-# Tables with at most this many rows are broadcast.
-SMALL_RULE_TABLE = 1_000
-SMALL_TEMPLATE_TABLE = 20_000
 
 GLOBAL = "*global*"
 ANY = "*any*"
@@ -57,20 +52,19 @@ def parse_rules(rules: DataFrame) -> DataFrame:
     return parsed.select("scope", F.col("id").alias("rule_id"), name.alias("rule_name"), *out, actions.alias("actions"))
 
 
-def scoped_rules(rules: DataFrame, trigger: str, limit: int = RULES_PER_SCOPE) -> DataFrame:
-    """Parsed rules by the scope they are read in: per workspace its own and the
-    global ones (the first ``limit`` by id), plus the global scope on its own."""
+def live_rules(rules: DataFrame, trigger: str) -> DataFrame:
+    """Enabled rules of a trigger under the scope they are read in: a workspace or the global one."""
     live = rules.filter(F.col("enabled") & (F.col("trigger_event") == trigger)).select("id", "workspace_id", *_TEXTS)
-    own = live.filter("workspace_id is not null").withColumn("scope", F.col("workspace_id"))
-    shared = live.filter("workspace_id is null").orderBy("id").limit(limit)
-    # At most ``limit`` global rules, lent to every scope as one literal.
-    rows = [{"id": r["id"], **{c: r[c] for c in _TEXTS}} for r in shared.collect()]
-    literal = F.from_json(F.lit(json.dumps(rows)), f"array<struct<id:bigint,{','.join(f'{c}:string' for c in _TEXTS)}>>")
-    lent = own.select("scope").distinct().select("scope", F.explode(literal).alias("rule")).select("scope", "rule.*")
-    alone = shared.withColumn("scope", F.lit(GLOBAL))
-    every = own.unionByName(lent, allowMissingColumns=True).unionByName(alone)
+    return live.withColumn("scope", F.coalesce("workspace_id", F.lit(GLOBAL))).drop("workspace_id")
+
+
+def first_rules(live: DataFrame, limit: int) -> DataFrame:
+    """Only the first ``limit`` rules by id that a workspace sees, its own and the global ones together."""
+    own, shared = live.filter(F.col("scope") != GLOBAL), live.filter(F.col("scope") == GLOBAL).orderBy("id").limit(limit)
+    # At most ``limit`` global rules are looked at for each workspace.
+    seen = own.unionByName(shared.drop("scope").join(own.select("scope").distinct(), F.lit(True)).select(*own.columns))
     rank = F.row_number().over(W.partitionBy("scope").orderBy("id"))
-    return parse_rules(every.withColumn("__rank", rank).filter(F.col("__rank") <= limit).drop("__rank"))
+    return seen.withColumn("__rank", rank).filter(F.col("__rank") <= limit).drop("__rank").unionByName(shared)
 
 
 def _matches() -> Column:
@@ -85,24 +79,26 @@ def _matches() -> Column:
 
 
 def matched_actions(docs: DataFrame, rules: DataFrame, trigger: str, keep: list[str],
-                    limit: int = RULES_PER_SCOPE) -> DataFrame:
+                    limit: int | None = None) -> DataFrame:
     """One row per document, matching rule and action, with the ``keep`` columns
-    of the document.
+    of the document. All rules apply; ``limit`` bounds those a workspace sees, if given.
 
-    ``rules`` are raw rule rows. The join is an equi join on the rule scope with
-    the filters as its condition. Rules are a settings table: counted to be
-    small they are broadcast, otherwise both sides shuffle on the scope and AQE
-    splits a hot workspace.
+    ``rules`` are raw rule rows. A document is looked up under its workspace and under the global
+    scope; the join is an equi join on that scope with the filters as its condition. The rules are
+    broadcast when their size in bytes is measured to be small; otherwise both
+    sides shuffle on the scope and AQE splits a hot one.
     """
-    # Every scope repeats at most ``limit`` global rules, so the count of the raw
-    # table bounds the scoped one.
-    hint = F.broadcast if is_small(rules, SMALL_RULE_TABLE) else (lambda df: df)
-    scoped = hint(scoped_rules(rules, trigger, limit))
-    owners = hint(rules.filter("workspace_id is not null and enabled").filter(F.col("trigger_event") == trigger)
-                  .select(F.col("workspace_id").alias("__scope")).distinct())
+    live = live_rules(rules, trigger)
     needed = list(dict.fromkeys([*keep, "id", "workspace_id", "confidence", *FILTER_FIELDS]))
-    placed = docs.select(*needed).join(owners, F.col("workspace_id") == F.col("__scope"), "left").withColumn(
-        "__scope", F.coalesce("__scope", F.lit(GLOBAL)))
+    if limit is None:
+        scopes = F.array_compact(F.array(F.col("workspace_id"), F.lit(GLOBAL)))
+        placed = docs.select(*needed, F.explode(scopes).alias("__scope"))
+    else:
+        live = first_rules(live, limit)
+        owners = live.select(F.col("scope").alias("__scope")).filter(F.col("__scope") != GLOBAL).distinct()
+        placed = docs.select(*needed).join(broadcast_if_small(owners), F.col("workspace_id") == F.col("__scope"), "left").withColumn(
+            "__scope", F.coalesce("__scope", F.lit(GLOBAL)))
+    scoped = broadcast_if_small(parse_rules(live))
     pairs = placed.join(scoped, (F.col("__scope") == F.col("scope")) & _matches(), "inner")
     actions = pairs.select(*keep, F.col("id").alias("document_id"), "rule_id", "rule_name",
                            F.posexplode("actions").alias("pos", "action"))
@@ -114,7 +110,7 @@ def matched_actions(docs: DataFrame, rules: DataFrame, trigger: str, keep: list[
 
 
 def match_workflows(docs: DataFrame, rules: DataFrame, trigger: str,
-                    limit: int = RULES_PER_SCOPE) -> DataFrame:
+                    limit: int | None = None) -> DataFrame:
     """(document_id, rule_id, rule_name, pos, action_type, config) of one pass."""
     return matched_actions(docs, rules, trigger, [], limit)
 
@@ -295,9 +291,7 @@ def email_actions(acted: DataFrame, templates: DataFrame) -> DataFrame:
     number = F.expr("try_cast(trim(config['template_id']) as bigint)")
     hint = F.lower(_option("template_name_hint"))
     asked = acted.withColumns({"__want": number, "__hint": F.when(number.isNull(), F.nullif(hint, F.lit("")))})
-    scoped = _template_scopes(templates)
-    if is_small(templates, SMALL_TEMPLATE_TABLE):
-        scoped = F.broadcast(scoped)
+    scoped = broadcast_if_small(_template_scopes(templates))
     # Few distinct (workspace, id or hint) pairs stand for all actions.
     wishes = asked.filter("__want is not null or __hint is not null").select(
         F.col("workspace_id").alias("__ww"), F.col("__want").alias("__wid"), F.col("__hint").alias("__wh")).distinct()

@@ -23,7 +23,7 @@ PAY_AS_OF = "1998-07-01 00:00:00"
 @catalog.add("list_documents", sql("""SELECT id, status, department, updated_at FROM doc_ledger
     WHERE status = 'needs_review' AND department = 'BUILDING' AND workspace_id = 'ws1' ORDER BY updated_at DESC, id LIMIT 100"""))
 def _(v):
-    return listing.list_documents(v.doc_ledger, v.as_of, status="needs_review", department="BUILDING", workspace_id="ws1").select(
+    return listing.list_documents(v.doc_ledger, v.as_of, status="needs_review", department="BUILDING", workspace_id="ws1", limit=100).select(
         "id", "status", "department", "updated_at")
 
 
@@ -71,12 +71,12 @@ def _(v):
 @catalog.add("unassigned_queue", sql(f"""SELECT id, due_date, updated_at FROM doc_ledger WHERE status IN ('needs_review', 'acknowledged') AND {BLANK}
     ORDER BY due_date ASC NULLS LAST, updated_at DESC, id LIMIT 200"""))
 def _(v):
-    return listing.unassigned_queue(v.doc_ledger).select("id", "due_date", "updated_at")
+    return listing.unassigned_queue(v.doc_ledger, 200).select("id", "due_date", "updated_at")
 
 
 @catalog.add("assigned_to_user", sql("SELECT id, updated_at FROM doc_ledger WHERE assigned_to = 'u3' ORDER BY updated_at DESC, id LIMIT 100"))
 def _(v):
-    return listing.list_documents(v.doc_ledger, v.as_of, assigned_to="u3").select("id", "updated_at")
+    return listing.list_documents(v.doc_ledger, v.as_of, assigned_to="u3", limit=100).select("id", "updated_at")
 
 
 @catalog.add("filename_search", sql("SELECT id, filename FROM doc_ledger WHERE lower(filename) LIKE '%12%.pdf%'  AND contains(lower(filename), '.pdf')"))
@@ -98,7 +98,7 @@ def _(v):
 @catalog.add("review_shortlist", sql("""SELECT id, status FROM doc_ledger WHERE requires_review OR status = 'needs_review'
     ORDER BY updated_at DESC, id LIMIT 5"""))
 def _(v):
-    return listing.review_shortlist(v.doc_ledger).select("id", "status")
+    return listing.review_shortlist(v.doc_ledger, 5).select("id", "status")
 
 
 @catalog.add("sweep_candidates", sql("""SELECT id, status FROM doc_ledger WHERE status IN ('needs_review', 'assigned', 'acknowledged')
@@ -130,7 +130,7 @@ def _(v):
 
 @catalog.add("document_trail", sql("""SELECT id, action, created_at FROM audit_events WHERE document_id = 4 ORDER BY id DESC LIMIT 50"""))
 def _(v):
-    return listing.document_trail(v.audit_events, 4).select("id", "action", "created_at")
+    return listing.document_trail(v.audit_events, 4, 50).select("id", "action", "created_at")
 
 
 @catalog.add("activity_feed", sql("""SELECT a.id, a.document_id, a.action, a.actor, a.details, a.created_at, d.filename
@@ -143,7 +143,7 @@ def _(v):
 @catalog.add("notification_list", sql("""SELECT id, type, user_id FROM notifications WHERE (user_id = 'u3' OR user_id IS NULL)
     AND workspace_id = 'ws1' AND NOT is_read ORDER BY id DESC LIMIT 50"""))
 def _(v):
-    return listing.notifications_for(v.notifications, "u3", "ws1", unread_only=True).select("id", "type", "user_id")
+    return listing.notifications_for(v.notifications, "u3", "ws1", unread_only=True, limit=50).select("id", "type", "user_id")
 
 
 @catalog.add("unread_count", sql("""SELECT count(*) AS total FROM notifications WHERE (user_id = 'u3' OR user_id IS NULL) AND workspace_id = 'ws1' AND NOT is_read"""))
@@ -182,7 +182,7 @@ def _(v):
 @catalog.add("payments_with_user", sql("""SELECT p.id, p.user_id, p.event_type, p.amount_cents, u.email AS user_email
     FROM (SELECT * FROM payments ORDER BY id DESC LIMIT 20) p LEFT JOIN users u ON u.id = p.user_id"""))
 def _(v):
-    return joins.payments_with_email(v.payments, v.users).select("id", "user_id", "event_type", "amount_cents", "user_email")
+    return joins.payments_with_email(v.payments, v.users, 20).select("id", "user_id", "event_type", "amount_cents", "user_email")
 
 
 @catalog.add("user_workspaces", sql("SELECT w.id, m.user_id, w.plan_tier, m.role AS member_role FROM workspaces w JOIN members m ON m.workspace_id = w.id"))
@@ -258,7 +258,7 @@ def _(v):
     name = F.when(key % 3 == 0, "City Hall!").when(key % 3 == 1, "  Town -- Works ").otherwise(
         F.concat("c_mktsegment", F.lit(" #"), (key % 5).cast("string")))
     named = c.select(key.alias("k"), name.alias("name"), (F.lit("1995-01-01").cast("timestamp") + F.make_dt_interval((key % 97).cast("int"))).alias("created_at"))
-    return joins.unique_slugs(named, ["created_at", "k"], slug_base(F.col("name"))).select("k", "slug")
+    return joins.unique_slugs(named, ["created_at", "k"], slug_base(F.col("name"), 64)).select("k", "slug")
 
 
 @catalog.add("queue_rollup", sql("""SELECT count(*) AS total, count_if(status = 'needs_review')::BIGINT AS needs_review,
@@ -434,7 +434,8 @@ def _(v):
         WHEN ended THEN 'canceled' WHEN kind = 'updated' THEN mapped END AS status,
         CASE WHEN kind = 'checkout' THEN coalesce(plan_tier, 'pro') WHEN ended THEN 'free' END AS plan
       FROM (SELECT *, kind = 'deleted' OR (kind = 'updated' AND mapped = 'canceled') AS ended FROM (
-        SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY created_at, sequence) AS n FROM sub_events) WHERE n = 1))
+        SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY created_at, sequence) AS n FROM sub_events) WHERE n = 1)
+      QUALIFY place >= min(place) FILTER (kind = 'checkout') OVER (PARTITION BY subscription_id))
     WHERE status IS NOT NULL GROUP BY subscription_id"""))
 def _(v):
     return billing.subscription_fold(v.wide.subscription_events)

@@ -176,7 +176,7 @@ def _(v):
 
 @catalog.add("bulk_errors", sql(f"SELECT document_id, action, document_id || ': ' || why AS error FROM {_BULK} WHERE why IS NOT NULL ORDER BY document_id, action, error LIMIT 50"))
 def _(v):
-    return lifecycle.bulk_errors(lifecycle.bulk(v.doc_ledger, _bulk_requests(v)))
+    return lifecycle.bulk_errors(lifecycle.bulk(v.doc_ledger, _bulk_requests(v)), 50)
 
 
 # --- table changes --------------------------------------------------------
@@ -285,7 +285,7 @@ def _(v):
 
 @catalog.add("import_errors", sql(f"SELECT position, {_WHY} AS error FROM outcomes WHERE outcome = 'failed' ORDER BY position LIMIT 50"))
 def _(v):
-    return imports.import_errors(_outcomes(v), ["position"]).select("position", "error")
+    return imports.import_errors(_outcomes(v), ["position"], 50).select("position", "error")
 
 
 @catalog.add("files_ingested", sql("SELECT count(*) AS files_ingested FROM checked WHERE reject_reason IS NULL"))
@@ -335,9 +335,9 @@ def _(v):
 
 
 @catalog.add("content_coerce", """SELECT doc_id, strlen(text)::INT AS text_bytes, strlen(doc_id::VARCHAR)::INT AS number_bytes, sha256(text) AS digest,
-    strlen('{"a":"' || lang || '"}')::INT AS object_bytes, strlen('["' || lang || '"]')::INT AS list_bytes FROM documents""")
+    strlen('{"a": "' || lang || '", "b": null}')::INT AS object_bytes, strlen('["' || lang || '"]')::INT AS list_bytes FROM documents""")
 def _(v):
-    d = v.table("documents").withColumns({"obj": F.struct(F.col("lang").alias("a")), "arr": F.array("lang"), "bin": F.encode("text", "UTF-8")})
+    d = v.table("documents").withColumns({"obj": F.struct(F.col("lang").alias("a"), F.lit(None).cast("int").alias("b")), "arr": F.array("lang"), "bin": F.encode("text", "UTF-8")})
     kinds = {f.name: f.dataType for f in d.schema.fields}
 
     def size(name):
@@ -383,19 +383,19 @@ def _key_payload(v: Views, table: str, key: str, build):
 
 
 @catalog.add("s3_listing", """SELECT 's3_bkt_' || key AS external_id, 'd' || doc_id || '.txt' AS filename, 'text/plain' AS content_type,
-    'https://s3.example.com/bkt/' || key AS download_url, n_chars AS size_bytes, 'bkt' AS bucket, key FROM (
-    SELECT *, 'in/' || lang || '/d' || doc_id || '.txt' AS key FROM documents) WHERE doc_id % 7 <> 0 AND lang = 'en'""")
+    'https://s3.example.com/bkt/' || replace(replace(key, ' ', '%20'), '#', '%23') AS download_url, n_chars AS size_bytes, 'bkt' AS bucket, key FROM (
+    SELECT *, 'in/' || lang || '/# ' || doc_id % 3 || '/d' || doc_id || '.txt' AS key FROM documents) WHERE doc_id % 7 <> 0 AND lang = 'en'""")
 def _(v):
     k = F.col("doc_id").cast("string")
-    key = F.concat(F.lit("in/"), "lang", F.when(F.col("doc_id") % 7 == 0, F.lit("/")).otherwise(F.concat(F.lit("/d"), k, F.lit(".txt"))))
+    key = F.concat(F.lit("in/"), "lang", F.when(F.col("doc_id") % 7 == 0, F.lit("/")).otherwise(F.concat(F.lit("/# "), (F.col("doc_id") % 3).cast("string"), F.lit("/d"), k, F.lit(".txt"))))
     objects = v.table("documents").select(key.alias("key"), F.col("n_chars").alias("size"))
     return _listed(connectors.object_store(objects, "s3", "bkt", "https://s3.example.com/bkt", "in/en"), "bucket", "key")
 
 
-@catalog.add("gcs_listing", """SELECT 'gcs_bkt_' || key AS external_id, 'd' || doc_id AS filename, lang AS content_type, 'https://gcs.example.com/' || key AS download_url,
-    nullif(CASE WHEN doc_id % 3 = 0 THEN 0 ELSE n_chars END, 0) AS size_bytes, key AS object_name FROM (SELECT *, lang || '/d' || doc_id AS key FROM documents)""")
+@catalog.add("gcs_listing", """SELECT 'gcs_bkt_' || key AS external_id, 'd' || doc_id AS filename, lang AS content_type, 'https://gcs.example.com/storage/v1/b/bkt/o/' || replace(replace(key, ' ', '%20'), '/', '%2F') || '?alt=media' AS download_url,
+    nullif(CASE WHEN doc_id % 3 = 0 THEN 0 ELSE n_chars END, 0) AS size_bytes, key AS object_name FROM (SELECT *, lang || ' x/d' || doc_id AS key FROM documents)""")
 def _(v):
-    objects = v.table("documents").select(F.concat("lang", F.lit("/d"), F.col("doc_id").cast("string")).alias("key"), F.col("lang").alias("content_type"),
+    objects = v.table("documents").select(F.concat("lang", F.lit(" x/d"), F.col("doc_id").cast("string")).alias("key"), F.col("lang").alias("content_type"),
                                           F.when(F.col("doc_id") % 3 == 0, "0").otherwise(F.col("n_chars").cast("string")).alias("size"))
     return _listed(connectors.object_store(objects, "gcs", "bkt", "https://gcs.example.com"), "object_name")
 
@@ -454,25 +454,25 @@ def _(v):
 
 @catalog.add("salesforce_listing", """
     SELECT 'sf_' || o_orderkey AS external_id, 'n' || o_orderkey AS filename, 'text/plain' AS content_type,
-      'https://sf.example.com/services/data/sobjects/Attachment/' || o_orderkey || '/Body' AS download_url, o_custkey AS size_bytes,
-      strftime(o_orderdate, '%Y-%m-%d') AS created_date FROM orders ORDER BY o_orderdate DESC, 'sf_' || o_orderkey LIMIT 500""")
+      'https://sf.example.com/services/data/v59.0/sobjects/Attachment/' || o_orderkey || '/Body' AS download_url, o_custkey AS size_bytes,
+      strftime(o_orderdate, '%Y-%m-%d') AS created_date FROM orders """)
 def _(v):
     key = F.col("o_orderkey").cast("string")
     rec = F.struct(key.alias("Id"), F.concat(F.lit("n"), key).alias("Name"), F.lit("text/plain").alias("ContentType"), F.col("o_custkey").alias("BodyLength"),
                    F.lit("p").alias("ParentId"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("CreatedDate"))
     payload = v.table("orders").select(F.to_json(F.struct(F.array(rec).alias("records"))).alias("payload"))
-    return _listed(connectors.newest_first(connectors.salesforce(payload, "https://sf.example.com"), 500), "created_date")
+    return _listed(connectors.salesforce(payload, "https://sf.example.com"), "created_date")
 
 
 @catalog.add("sharepoint_listing", """
     SELECT 'sp_' || o_orderkey || '_s' || o_orderkey || '.docx' AS external_id, 's' || o_orderkey || '.docx' AS filename,
       'application/vnd.openxmlformats-officedocument.wordprocessingml.document' AS content_type,
-      'https://sp.example.com/_api/web/getfilebyserverrelativeurl(''/lib/' || o_orderkey || ''')/$value' AS download_url,
-      CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey END AS size_bytes, '/lib/' || o_orderkey AS file_ref, 'Documents' AS library FROM orders WHERE o_orderkey % 8 <> 0""")
+      'https://sp.example.com/_api/web/getfilebyserverrelativeurl(''/my%20lib/' || o_orderkey || ''')/$value' AS download_url,
+      CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey END AS size_bytes, '/my lib/' || o_orderkey AS file_ref, 'Documents' AS library FROM orders WHERE o_orderkey % 8 <> 0""")
 def _(v):
     def build(key, text):
         item = F.struct(text.alias("Id"), F.when(key % 8 != 0, F.concat(F.lit("s"), text, F.lit(".docx"))).alias("FileLeafRef"),
-                        F.concat(F.lit("/lib/"), text).alias("FileRef"), F.struct(F.when(key % 3 == 0, "n/a").otherwise(text).alias("Length")).alias("File"))
+                        F.concat(F.lit("/my lib/"), text).alias("FileRef"), F.struct(F.when(key % 3 == 0, "n/a").otherwise(text).alias("Length")).alias("File"))
         return F.struct(F.struct(F.array(item).alias("results")).alias("d"))
 
     return _listed(connectors.sharepoint(_key_payload(v, "orders", "o_orderkey", build), "https://sp.example.com"), "file_ref", "library")

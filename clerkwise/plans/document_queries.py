@@ -259,7 +259,7 @@ _REPLY_SQL = """(SELECT o_orderkey AS rid, CASE o_orderkey % 6 WHEN 0 THEN 'comp
 @catalog.add("reply_normalise", f"""SELECT rid AS id, r_type AS reply_doc_type, r_dept AS reply_department, r_urgency AS reply_urgency,
     r_conf AS reply_confidence, r_words AS reply_keywords, CASE WHEN rid % 6 = 0 THEN 'r' END AS reply_rationale FROM {_REPLY_SQL}""")
 def _(v):
-    return normalise_replies(v.wide.replies, RULES).filter("reply_doc_type is not null").select(
+    return normalise_replies(v.wide.replies, RULES, keywords=20).filter("reply_doc_type is not null").select(
         "id", "reply_doc_type", "reply_department", "reply_urgency", "reply_confidence", joined("reply_keywords").alias("reply_keywords"),
         "reply_rationale")
 
@@ -272,7 +272,7 @@ def _(v):
       CASE WHEN o_orderkey % 4 = 0 THEN 'n' END AS notes FROM orders""")
 def _(v):
     required = F.array(*[F.lit(x) for x in ("applicant_name", "address", "parcel_number", "date")])
-    out = normalise_enrichment(v.wide.enrichments.withColumn("required_fields", required))
+    out = normalise_enrichment(v.wide.enrichments.withColumn("required_fields", required), longest=240)
     got = F.col("enriched_fields")
     return out.select("id", *[F.try_element_at(got, F.lit(k)).alias(k) for k in ("applicant_name", "address", "parcel_number", "email")],
                       F.size(got).cast("long").alias("n"), F.col("enriched_confidence").alias("confidence"), F.col("enriched_notes").alias("notes"))

@@ -42,6 +42,19 @@ def _rows_of(df: DataFrame, schema: str, path: Callable[[Column], Column], name:
     return df.select(*[c for c in df.columns if c != "payload"], F.posexplode(path(parsed)).alias("position", name))
 
 
+def escaped(col: Column, keep_slash: bool = True) -> Column:
+    """Percent-escaped for a URL path: a blank is %20, a slash stays if asked for."""
+    quoted = F.replace(F.replace(F.replace(F.url_encode(col), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    return F.replace(quoted, F.lit("%2F"), F.lit("/")) if keep_slash else quoted
+
+
+def object_url(kind: str, bucket: str, endpoint: str, key: Column) -> Column:
+    """Where the bytes of an object are: S3 by path, GCS by its media address with the whole key as one segment."""
+    if kind == "gcs":
+        return F.concat(F.lit(f"{endpoint}/storage/v1/b/{bucket}/o/"), escaped(key, False), F.lit("?alt=media"))
+    return F.concat(F.lit(f"{endpoint}/"), escaped(key))
+
+
 def object_store(objects: DataFrame, kind: str, bucket: str, endpoint: str,
                  prefix: str = "") -> DataFrame:
     """S3 or GCS objects (key, size[, content_type]); folder markers are left out."""
@@ -54,7 +67,7 @@ def object_store(objects: DataFrame, kind: str, bucket: str, endpoint: str,
     meta_key = "object_name" if kind == "gcs" else "key"
     return _documents(
         wanted, kind, external_id=F.concat(F.lit(f"{kind}_{bucket}_"), key), filename=name, content_type=given,
-        download_url=F.concat(F.lit(endpoint.rstrip("/") + "/"), key), size_bytes=size,
+        download_url=object_url(kind, bucket, endpoint.rstrip("/"), key), size_bytes=size,
         metadata={"bucket": F.lit(bucket), meta_key: key})
 
 
@@ -112,7 +125,7 @@ def jira(df: DataFrame) -> DataFrame:
                   "author": _text(att["author"]["displayName"]), "created": _text(att["created"])})
 
 
-def salesforce(df: DataFrame, instance_url: str) -> DataFrame:
+def salesforce(df: DataFrame, instance_url: str, version: str = "v59.0") -> DataFrame:
     """Attachment records. ``created_date`` in the metadata gives newest-first."""
     rows = _rows_of(
         df, "records array<struct<Id:string,Name:string,ContentType:string,BodyLength:long,ParentId:string,CreatedDate:string>>",
@@ -121,7 +134,7 @@ def salesforce(df: DataFrame, instance_url: str) -> DataFrame:
     return _documents(
         rows, "salesforce", external_id=F.concat(F.lit("sf_"), _text(rec["Id"])),
         filename=F.coalesce(rec["Name"], F.lit("attachment")), content_type=rec["ContentType"],
-        download_url=F.concat(F.lit(f"{instance_url}/services/data/sobjects/Attachment/"), rec["Id"], F.lit("/Body")),
+        download_url=F.concat(F.lit(f"{instance_url}/services/data/{version}/sobjects/Attachment/"), rec["Id"], F.lit("/Body")),
         size_bytes=rec["BodyLength"],
         metadata={"parent_id": _text(rec["ParentId"]), "created_date": _text(rec["CreatedDate"])})
 
@@ -141,7 +154,7 @@ def sharepoint(df: DataFrame, site_url: str, library: str = "Documents") -> Data
     return _documents(
         rows, "sharepoint", external_id=F.concat(F.lit("sp_"), _text(item["Id"]), F.lit("_"), name),
         filename=name, content_type=mime_guess(name),
-        download_url=F.concat(F.lit(f"{site_url}/_api/web/getfilebyserverrelativeurl('"), ref, F.lit("')/$value")),
+        download_url=F.concat(F.lit(f"{site_url}/_api/web/getfilebyserverrelativeurl('"), escaped(F.replace(ref, F.lit("'"), F.lit("''"))), F.lit("')/$value")),
         size_bytes=item["File"]["Length"].try_cast("long"),
         metadata={"library": F.lit(library), "file_ref": ref, "item_id": _text(item["Id"])})
 

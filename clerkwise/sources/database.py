@@ -21,7 +21,7 @@ def read_database(spark: SparkSession, url: str, query: str, **options: str) ->
     ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions``
     split the read, for every kind of database.
     """
-    select = check_query(query).rstrip(";")
+    select = check_query(spark, query).rstrip(";")
     scheme = url.split("://", 1)[0].lower() if "://" in url else "sqlite"
     if scheme in JDBC_SCHEMES:
         target = f"jdbc:{JDBC_SCHEMES[scheme]}://{url.split('://', 1)[1]}"

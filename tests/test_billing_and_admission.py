@@ -43,7 +43,7 @@ def test_subscription_log(spark):
         ("e8", 9, "v", "customer.subscription.updated", "unpaid", None, None, at(2)),
     ]
     got = rows(billing.subscription_fold(spark.createDataFrame(log, EVENT)), "subscription_id")
-    assert got == [("s", "active", "enterprise", at(28), None), ("t", "canceled", "free", None, at(2)), ("v", "past_due", None, None, None)]
+    assert got == [("s", "active", "enterprise", at(28), None), ("t", "canceled", "free", None, at(2))]
 
 
 def test_quota_and_batch(spark, monkeypatch):

@@ -56,7 +56,7 @@ def test_names(spark):
     assert column(spark, ["a/b/c.txt", "dir/sub/"], text.basename) == ["c.txt", "sub"]
     assert column(spark, ["a.pdf", "b.JPG", "c.zip"], text.mime_guess) == ["application/pdf", "image/jpeg", None]
     assert column(spark, ["  Permit / Type-A!! ", "__x__", " \t"], text.doc_type_key) == ["permit_type_a", "x", ""]
-    assert column(spark, ["City Hall!", " A--b ", "!!!", None, "x" * 80], text.slug_base) == ["city-hall", "a-b", "workspace", "workspace", "x" * 64]
+    assert column(spark, ["City Hall!", " A--b ", "!!!", None, "x" * 80], lambda c: text.slug_base(c, 64)) == ["city-hall", "a-b", "workspace", "workspace", "x" * 64]
 
 
 def test_classification_confidence_equals_python(spark):

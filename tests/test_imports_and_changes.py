@@ -41,7 +41,7 @@ def test_outcomes_equal_a_row_loop(spark):
     out = imports.import_outcomes(df, ledger, ["connector_type", "external_id"], ["position"])
     assert [r["outcome"] for r in out.orderBy("position").collect()] == want
     assert tuple(imports.import_summary(out).first()) == (want.count("imported"), want.count("skipped"), want.count("failed"))
-    assert imports.import_errors(out, ["position"]).first()["error"].startswith("a.exe: Validation failed — File extension")
+    assert imports.import_errors(out, ["position"], 50).first()["error"].startswith("a.exe: Validation failed — File extension")
     fresh = imports.new_only(df, ledger, ["connector_type", "external_id"], ["position"])
     assert sorted(r["position"] for r in fresh.collect()) == [0, 4, 5]
 
@@ -86,10 +86,10 @@ def test_readonly_guard(spark):
     assert got[8] == "Query contains a disallowed keyword: 'replace'." and got[9] is None
     for query, reason in zip(queries, got):
         if reason is None:
-            assert imports.check_query(query) == query.strip()
+            assert imports.check_query(spark, query) == query.strip()
         else:
             with pytest.raises(ValueError):
-                imports.check_query(query)
+                imports.check_query(spark, query)
 
 
 def test_merge_upsert_insert_delete(spark):
@@ -152,7 +152,9 @@ def test_slugs(spark):
 
     out = joins.unique_slugs(df, ["at"], slug_base(F.col("name")))
     assert [r["slug"] for r in out.orderBy("at").collect()] == ["town-hall", "town-hall-2", "park", "town-hall-3"]
-    assert joins.slug_collisions(out).count() == 0
+    spelled = spark.createDataFrame([("A-2", 1), ("A", 2), ("A", 3), ("a 2", 4), ("A-2-2", 5), ("a", 6), ("A-4", 7)], "name string, at int")
+    got = joins.unique_slugs(spelled, ["at"], slug_base(F.col("name"))).orderBy("at").collect()
+    assert [r["slug"] for r in got] == ["a-2", "a", "a-3", "a-2-3", "a-2-2", "a-5", "a-4"]
 
 
 def test_size_checks(spark):

@@ -134,7 +134,7 @@ def test_default_and_latest(spark):
 def test_lists_read_only_what_they_show(spark, tmp_path):
     docs(spark, {}).withColumn("extracted_text", F.lit("long")).write.parquet(str(tmp_path / "docs"))
     stored = spark.read.parquet(str(tmp_path / "docs"))
-    shown = listing.list_documents(stored, now(), status="needs_review", workspace_id="w").select("id", "updated_at")
+    shown = listing.list_documents(stored, now(), status="needs_review", workspace_id="w", limit=100).select("id", "updated_at")
     plan = shown._jdf.queryExecution().executedPlan().toString()
     assert "extracted_text" not in plan and "EqualTo(status,needs_review)" in plan and "EqualTo(workspace_id,w)" in plan
     assert "TakeOrderedAndProject" in plan

@@ -14,7 +14,7 @@ def test_payload(spark):
 
 def replies(spark, *values):
     df = spark.createDataFrame(list(enumerate(values)), "i int, reply string")
-    return normalise_replies(df, literal_rules()).orderBy("i").collect()
+    return normalise_replies(df, literal_rules(), keywords=20).orderBy("i").collect()
 
 
 def test_classifier_reply(spark):
@@ -33,7 +33,8 @@ def test_enrichment(spark):
         (0, '{"fields": {" address ": " 1 Elm ", "date": "N/A", "zzz": "1", "contact_email": "a@b.c", "parcel_number": null}, "confidence": 2}', ["address", "date", "parcel_number"]),
         (1, '{"address": "%s", "confidence": 0.5}' % ("x" * 300), ["address"]), (2, '{"fields": null, "address": "y"}', ["address"]), (3, "?", ["address"]),
     ], "i int, reply string, required_fields array<string>")
-    got = {r["i"]: r for r in normalise_enrichment(df).collect()}
+    got = {r["i"]: r for r in normalise_enrichment(df, longest=240).collect()}
+    assert normalise_enrichment(df).filter("i = 1").first()["enriched_fields"] == {"address": "x" * 300}
     assert got[0]["enriched_fields"]["contact_email"] == "a@b.c" and "zzz" not in got[0]["enriched_fields"]
     assert "date" not in got[0]["enriched_fields"] and "parcel_number" not in got[0]["enriched_fields"]
     assert got[0]["enriched_confidence"] == 0.99

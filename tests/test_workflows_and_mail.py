@@ -45,10 +45,16 @@ def test_scope_and_limit(spark):
 
 
 def test_large_rule_table_takes_the_shuffle_path(spark, monkeypatch):
-    monkeypatch.setattr(workflows, "SMALL_RULE_TABLE", 1)
+    monkeypatch.setattr(workflows, "broadcast_if_small", lambda df: df)
     test_scope_and_limit(spark)
 
 
+def test_every_rule_of_a_scope_applies(spark):
+    rules = [rule(i, actions=[action("assign", user_id=f"u{i}")], workspace="w" if i % 2 else None) for i in range(450)]
+    got = workflows.match_workflows(docs(spark, {}, {"workspace_id": None}), spark.createDataFrame(rules, RULE), "go")
+    assert sorted((r["document_id"], r["count"]) for r in got.groupBy("document_id").count().collect()) == [("d0", 450), ("d1", 225)]
+
+
 def effects(spark, snapshot, rules, templates=(), spaces=()):
     return workflows.run_workflows(
         snapshot, spark.createDataFrame(list(rules), RULE), spark.createDataFrame(list(templates), TEMPLATE),
