@@ -4,13 +4,12 @@ An event is admitted when fewer than ``limit`` admitted events of its key lie in
 the trailing window (an event exactly one window old still counts). Refused
 events use up nothing, so a decision depends on the decisions before it.
 
-A key's whole history must not land in one task. Time is cut into blocks a few
-windows wide, and every (key, block) is decided on its own from a guessed entry
-state: what one window of events before the block leaves over. Blocks whose
-guess differs from the exit state of the block before are decided again from
-that state, until none differs. The first block of a key is always right and
-each round settles at least one more, so the loop ends and its result is exact;
-since guesses are rarely wrong, a round after the first touches few blocks.
+A key's history is cut where that dependence ends. Time is divided into blocks; a block rests if no
+event of the window before it has ``limit`` events in its own trailing window: all of those are
+admitted whatever came earlier, so the state at the block's start is known. A
+resting block starts a segment, and the others go on with the segment before them. All
+segments are decided at once, each as one sorted stream that holds one window of
+admitted times. The number of passes is fixed; a key that never rests is one segment.
 """
 
 from __future__ import annotations
@@ -18,131 +17,102 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from clerkwise.session import checkpointed
-
 BLOCK_WINDOWS = 4
 
-ENTRY, WARM, EVENT, EXIT = 0, 1, 2, 3
-_COLUMNS = ["key", "block", "kind", "id", "allowed", "remaining", "reset_us", "state"]
-_SCHEMA = "`key` string, block long, kind int, id long, allowed boolean, remaining int, reset_us long, state array<long>"
-
 
 def admit_sliding(events: DataFrame, key: str, ts: str, event_id: str, limit: int,
                   window_seconds: int, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """Decision per event: event_id, allowed, remaining and reset_seconds.
 
-    Events of a key are taken in (ts, event_id) order. Each round reads the
-    three columns again; checkpoint ``events`` first if they are dear to make.
+    Events of a key are taken in (ts, event_id) order; a null key is a key like
+    any other. The three columns are read a few times; write ``events`` first if they are dear to make.
     """
     if limit <= 0:
         return events.select(event_id, F.lit(True).alias("allowed"), F.lit(0).alias("remaining"),
                              F.lit(window_seconds).alias("reset_seconds"))
+    if block_windows < 2:
+        raise ValueError("a block spans two windows at least")
     window = window_seconds * 1_000_000
     width = window * block_windows
     times = events.select(
         F.col(key).cast("string").alias("key"), F.col(event_id).cast("long").alias("id"),
         F.unix_micros(F.col(ts).cast("timestamp")).alias("ts")
     ).withColumn("block", F.floor(F.col("ts") / F.lit(width)).cast("long"))
-    first = times.withColumn("kind", F.lit(EVENT))
-    # The last window of a block warms up the next one.
-    late = times.filter(F.pmod("ts", F.lit(width)) >= width - window)
-    warm = late.withColumns({"block": F.col("block") + 1, "kind": F.lit(WARM)})
-    rounds = [(checkpointed(_decide(first.unionByName(warm), limit, window, width)), None)]
-    states = checkpointed(_states(rounds[0][0]))
-    while True:
-        wrong = checkpointed(_wrong_entries(states, window, width))
-        if wrong.isEmpty():
-            break
-        blocks = wrong.select("key", "block")
-        again = first.join(blocks, ["key", "block"], "left_semi").unionByName(wrong, allowMissingColumns=True)
-        rounds.append((checkpointed(_decide(again, limit, window, width)), blocks))
-        states = checkpointed(states.join(blocks, ["key", "block"], "left_anti").unionByName(_states(rounds[-1][0])))
-    return _last_decisions(rounds).select(
+    # What the next block has to know: the window before it, and the window before that to judge it.
+    late = times.filter(F.pmod("ts", F.lit(width)) >= width - 2 * window).withColumn("block", F.col("block") + 1)
+    last_window = F.col("ts") >= F.col("block") * F.lit(width) - window
+    earlier = F.lag("ts", limit).over(W.partitionBy("key", "block").orderBy("ts", "id"))
+    busy = (late.withColumn("earlier", earlier).filter(last_window & (F.col("earlier") >= F.col("ts") - window))
+            .select(F.col("key").alias("busy_key"), F.col("block").alias("busy_block")).distinct())
+    blocks = times.select("key", "block").distinct().join(
+        busy, F.col("key").eqNullSafe(F.col("busy_key")) & (F.col("block") == F.col("busy_block")), "left")
+    rests = F.col("busy_block").isNull()
+    segments = blocks.select(
+        F.col("key").alias("own_key"), F.col("block").alias("own_block"), rests.alias("rests"),
+        F.sum(rests.cast("int")).over(W.partitionBy("key").orderBy("block")).alias("segment"))
+    own = F.col("key").eqNullSafe(F.col("own_key")) & (F.col("block") == F.col("own_block"))
+    rows = times.join(segments, own).select("key", "segment", "ts", "id", F.lit(False).alias("known"))
+    # Known to be admitted: the window before a segment.
+    before = late.filter(last_window).join(segments.filter("rests"), own).select("key", "segment", "ts", "id", F.lit(True).alias("known"))
+    placed = rows.unionByName(before).repartition("key", "segment").sortWithinPartitions("key", "segment", "ts", "id")
+    decided = placed.mapInArrow(_decide(limit, window), "id long, allowed boolean, remaining int, reset_us long")
+    return decided.select(
         F.col("id").alias(event_id), "allowed", "remaining",
         F.when(F.col("allowed"), F.lit(window_seconds))
         .otherwise(F.greatest(F.lit(1), F.floor(F.col("reset_us") / 1_000_000).cast("int"))).alias("reset_seconds"))
 
 
-def _states(decided: DataFrame) -> DataFrame:
-    """Entry and exit states: two rows per (key, block), never the events."""
-    return decided.filter(F.col("kind") != EVENT).select("key", "block", "kind", "state")
-
-
-def _last_decisions(rounds: list[tuple[DataFrame, DataFrame | None]]) -> DataFrame:
-    """Events of every round less the blocks that a later round decided again."""
-    out, redone = None, None
-    for decided, blocks in reversed(rounds):
-        part = decided.filter(F.col("kind") == EVENT)
-        if redone is not None:
-            part = part.join(redone, ["key", "block"], "left_anti")
-        out = part if out is None else out.unionByName(part)
-        if blocks is not None:
-            redone = blocks if redone is None else redone.unionByName(blocks)
-    return out
-
-
-def _decide(rows: DataFrame, limit: int, window: int, width: int) -> DataFrame:
-    """Decide blocks. A block's rows come sorted: its entry state or its warm-up
-    events, then its events. A task holds one window of admitted times at most."""
-    if "state" not in rows.columns:
-        rows = rows.withColumn("state", F.lit(None).cast("array<long>"))
-    placed = rows.select("key", "block", "kind", "ts", "id", "state").repartition("key", "block").sortWithinPartitions(
-        "key", "block", "kind", "ts", "id")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        recent: deque[int] = deque()
-        place, started = None, False
-
-        def frame(rows: list[tuple]) -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=_COLUMNS)
-            return out.astype({"id": "Int64", "remaining": "Int32", "reset_us": "Int64", "allowed": "boolean"})
-
+def _decide(limit: int, window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, recent = None, deque()
         for batch in batches:
-            out: list[tuple] = []
-            for key, block, kind, ts, event, state in batch.itertuples(index=False, name=None):
-                if place != (key, block):
-                    if started:
-                        out.append((*place, EXIT, None, None, None, None, list(recent)))
-                    place, started, recent = (key, block), False, deque()
-                if kind == ENTRY:
-                    recent = deque(int(t) for t in state)
-                    continue
-                if not started and kind == EVENT:
-                    started = True
-                    while recent and recent[0] < block * width - window:
-                        recent.popleft()
-                    out.append((key, block, ENTRY, None, None, None, None, list(recent)))
-                ts = int(ts)
-                while recent and recent[0] < ts - window:
-                    recent.popleft()
-                allowed = len(recent) < limit
-                if allowed:
-                    recent.append(ts)
-                if kind == EVENT:
-                    reset = window if allowed else window - (ts - recent[0])
-                    out.append((key, block, EVENT, int(event), allowed, limit - len(recent) if allowed else 0, reset, None))
-            if out:
-                yield frame(out)
-        if started:
-            yield frame([(*place, EXIT, None, None, None, None, list(recent))])
-
-    return placed.mapInPandas(run, _SCHEMA)
-
-
-def _wrong_entries(states: DataFrame, window: int, width: int) -> DataFrame:
-    """Blocks whose entry state differs from what the block before leaves over,
-    with the right state.
-
-    Blocks are at least one window wide, so only the block before matters; where
-    that one is empty, everything older has expired.
-    """
-    entry = states.filter(F.col("kind") == ENTRY).select("key", "block", F.col("state").alias("used"))
-    left = states.filter(F.col("kind") == EXIT).select("key", (F.col("block") + 1).alias("block"), F.col("state").alias("left"))
-    start = F.col("block") * F.lit(width)
-    alive = F.filter(F.coalesce("left", F.array().cast("array<long>")), lambda t: t >= start - window)
-    joined = entry.join(left, ["key", "block"], "left").withColumn("state", alive)
-    return joined.filter(F.col("used") != F.col("state")).select("key", "block", F.lit(ENTRY).alias("kind"), "state")
+            if not batch.num_rows:
+                continue
+            keys = batch.column("key").dictionary_encode()
+            names = keys.dictionary.to_pylist()
+            code = keys.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            segment, ts, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("segment", "ts", "id"))
+            known = batch.column("known").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(code) != 0) | (np.diff(segment) != 0)) + 1
+            allowed, remaining = np.ones(len(ts), dtype=bool), np.zeros(len(ts), dtype=np.int32)
+            reset = np.full(len(ts), window, dtype=np.int64)
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ts)], strict=True):
+                now = (names[code[a]] if code[a] >= 0 else None, segment[a])
+                if now != place:
+                    place, recent = now, deque()
+                recent = _walk(ts[a:b], known[a:b], recent, limit, window, allowed[a:b], remaining[a:b], reset[a:b])
+            keep = ~known
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[keep]), pa.array(allowed[keep]), pa.array(remaining[keep]), pa.array(reset[keep])],
+                ["id", "allowed", "remaining", "reset_us"])
+
+    return run
+
+
+def _walk(ts, known, recent: deque, limit: int, window: int, allowed, remaining, reset) -> deque:
+    """Decide sorted times of one segment in place; returns the admitted times still in the window."""
+    before = np.fromiter(recent, dtype=np.int64, count=len(recent))
+    every = np.concatenate([before, ts])
+    inside = np.arange(len(every)) - np.searchsorted(every, every - window, "left")
+    inside = inside[len(before):]
+    if (inside < limit).all():
+        # Nobody is refused: the admitted events are all events.
+        remaining[:] = limit - 1 - inside
+        left = every[np.searchsorted(every, ts[-1] - window, "left"):]
+        return deque(left.tolist())
+    for i, (t, sure) in enumerate(zip(ts.tolist(), known.tolist(), strict=True)):
+        while recent and recent[0] < t - window:
+            recent.popleft()
+        if sure or len(recent) < limit:
+            recent.append(t)
+            remaining[i] = max(limit - len(recent), 0)
+        else:
+            allowed[i] = False
+            reset[i] = window - (t - recent[0])
+    return recent

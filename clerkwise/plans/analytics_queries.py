@@ -451,6 +451,19 @@ ADMISSION_SQL = """
     SELECT event_id, allowed, remaining FROM walk"""
 
 
+_SATURATED_SQL = ADMISSION_SQL.replace(
+    "SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events",
+    "SELECT event_id, user_id % 11 AS user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id % 11 ORDER BY ts, event_id) AS n FROM events"
+).replace("86400000000", "3600000000")
+
+
+@catalog.add("admission_saturated", _SATURATED_SQL)
+def _(v):
+    """Few keys, far more events than an hour admits, hundreds of blocks for each key."""
+    busy = v.requests.withColumn("key", F.col("user_id") % 11)
+    return admit_sliding(busy, "key", "ts", "event_id", 2, 3600).select("event_id", "allowed", "remaining")
+
+
 @catalog.add("sliding_admission", ADMISSION_SQL)
 def _(v):
     return admit_sliding(v.requests, "user_id", "ts", "event_id", 2, 86400).select("event_id", "allowed", "remaining")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+# Events per output frame.
+CHUNK = 100_000
+
 OUTPUT = "`key` string, id long, ts timestamp, allowed boolean, remaining int"
 
 
@@ -21,36 +26,47 @@ class AdmissionProcessor(StatefulProcessor):
         self.window = window_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getValueState("recent", StructType([StructField("times", ArrayType(LongType()))]))
+        self.recent = handle.getValueState(
+            "recent", StructType([StructField("times", ArrayType(LongType())), StructField("last", LongType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times = list(self.recent.get()[0]) if self.recent.exists() else []
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["us", "id"], kind="stable")
-        allowed, remaining = [], []
-        for us in batch["us"]:
-            times = [t for t in times if t >= us - self.window]
-            allowed.append(len(times) < self.limit)
-            if allowed[-1]:
-                times.append(int(us))
-            remaining.append(max(self.limit - len(times), 0) if allowed[-1] else 0)
-        self.recent.update((times,))
-        yield pd.DataFrame({"key": key[0], "id": batch["id"], "ts": batch["ts"], "allowed": allowed,
-                            "remaining": remaining}).astype({"remaining": "int32"})
+        times, last = (deque(self.recent.get()[0]), self.recent.get()[1]) if self.recent.exists() else (deque(), None)
+        # Two numbers an event are held for the sort, not the rows.
+        parts = [(f["us"].to_numpy(), f["id"].to_numpy()) for f in rows]
+        us, ids = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        order = np.lexsort((ids, us))
+        for a in range(0, len(order), CHUNK):
+            some = order[a:a + CHUNK]
+            allowed, remaining = [], []
+            for t in us[some].tolist():
+                # A late event is judged at the time its key has reached.
+                last = t if last is None else max(t, last)
+                while times and times[0] < last - self.window:
+                    times.popleft()
+                allowed.append(len(times) < self.limit)
+                if allowed[-1]:
+                    times.append(last)
+                remaining.append(self.limit - len(times) if allowed[-1] else 0)
+            yield pd.DataFrame({"key": key[0], "id": ids[some], "ts": pd.to_datetime(us[some], unit="us", utc=True), "allowed": allowed,
+                                "remaining": remaining}).astype({"remaining": "int32"})
+        self.recent.update((list(times), last))
 
     def close(self) -> None:
         pass
 
 
 def admit_stream(events: DataFrame, key: str, ts: str, event_id: str, limit: int, window_seconds: int) -> DataFrame:
-    """Admission of a stream whose events of a key arrive in time order.
+    """Admission of a stream, events of a key in time order within a micro-batch.
 
-    A task sorts the events of a key in one micro-batch, so give the source a
+    Late events, older than one already decided for their key, are judged at that one's time: the
+    clock of a key never goes back. The state holds ``limit`` times at most for every key ever seen. A task holds
+    two numbers per event of one key and micro-batch, so give the source a
     rate limit (``maxBytesPerTrigger``, ``maxFilesPerTrigger``).
 
     Needs the RocksDB state store
     (``spark.sql.streaming.stateStore.providerClass``).
     """
     rows = events.select(F.col(key).cast("string").alias("key"), F.col(event_id).cast("long").alias("id"),
-                         F.col(ts).cast("timestamp").alias("ts")).withColumn("us", F.unix_micros("ts"))
+                         F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
     return rows.groupBy("key").transformWithStateInPandas(
         AdmissionProcessor(limit, window_seconds), OUTPUT, "Append", "None")

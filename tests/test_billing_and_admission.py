@@ -82,6 +82,14 @@ def test_admission_equals_a_loop_under_a_hot_key(spark, limit, window, span):
     assert got == loop(events, limit, window)
 
 
+def test_null_keys_and_a_key_that_never_rests(spark):
+    start = ts("2024-01-01 00:00:00")
+    events = [(None if i % 3 else "k", start + timedelta(seconds=i / 10), i) for i in range(4000)]
+    got = {r["n"]: (r["allowed"], r["remaining"]) for r in
+           admit_sliding(spark.createDataFrame(events, "k string, at timestamp, n long"), "k", "at", "n", 20, 60).collect()}
+    assert got == loop([("" if k is None else k, at, n) for k, at, n in events], 20, 60)
+
+
 def test_admission_boundary_and_reset(spark):
     start = ts("2024-01-01 00:00:00")
     events = [("k", start + timedelta(seconds=s), i) for i, s in enumerate((0, 1, 2, 60, 60.5, 61.5))]
