@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clerkwise.functions.dates import iso_utc
@@ -10,6 +10,7 @@ from clerkwise.functions.predicates import APPROVED
 from clerkwise.functions.text import basename
 
 # Columns of the CSV export.
+METADATA = "document_id string, status string, trigger string, source_path string, export_path string, exported_at string, run string"
 CSV_COLUMNS = ("id", "filename", "status", "doc_type", "department", "assigned_to", "due_date")
 
 
@@ -32,12 +33,28 @@ def export_audit(exported: DataFrame, actor: str, as_of: Column) -> DataFrame:
                  F.lit(" path="), F.col("export_path")).alias("details"), as_of.alias("created_at"))
 
 
-def write_export(metadata: DataFrame, content: DataFrame, path: str) -> None:
-    """Metadata as JSON and content as Parquet under ``path``; a rerun replaces
-    both. Content: document_id, content."""
-    metadata.write.mode("overwrite").json(f"{path}/metadata")
+def write_export(metadata: DataFrame, content: DataFrame, path: str, run: str) -> None:
+    """Metadata as JSON and content as Parquet under ``path``, in a folder of this ``run``.
+
+    Earlier runs stay; the same run again replaces only itself. ``read_export`` gives the last
+    export of each document. Content: document_id, content.
+    """
+    metadata.write.mode("overwrite").json(f"{path}/metadata/run={run}")
     kept = content.join(metadata.select("document_id", "export_path"), "document_id", "inner")
-    kept.write.mode("overwrite").parquet(f"{path}/content")
+    kept.write.mode("overwrite").parquet(f"{path}/content/run={run}")
+
+
+def last_run(df: DataFrame, key: str) -> DataFrame:
+    """Of rows written by several runs the ones of each key's last run, in order of the run's name."""
+    return df.join(df.groupBy(F.col(key).alias("__key")).agg(F.max("run").alias("__run")),
+                   F.col(key).eqNullSafe(F.col("__key")) & (F.col("run") == F.col("__run")), "left_semi")
+
+
+def read_export(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Metadata and content of all exported documents, each as last exported."""
+    metadata = spark.read.schema(METADATA).json(f"{path}/metadata")
+    content = spark.read.option("basePath", f"{path}/content").parquet(f"{path}/content").withColumn("run", F.col("run").cast("string"))
+    return last_run(metadata, "document_id"), last_run(content, "document_id")
 
 
 def csv_rows(docs: DataFrame) -> DataFrame:
@@ -63,11 +80,23 @@ def write_csv(docs: DataFrame, path: str) -> None:
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
-def write_processed_copy(files: DataFrame, statuses: DataFrame, path: str) -> None:
-    """Content of processed files by final status. Files: id, filename, content."""
-    files.join(statuses.select("id", "status"), "id", "inner").write.mode("overwrite").partitionBy("status").parquet(path)
+def write_processed_copy(files: DataFrame, statuses: DataFrame, path: str, run: str) -> None:
+    """Content of processed files by final status, in a folder of this ``run``. Files: id, filename, content.
+
+    Earlier runs stay; the same run again replaces only itself.
+    """
+    files.join(statuses.select("id", "status"), "id", "inner").write.mode("overwrite").partitionBy("status").parquet(f"{path}/run={run}")
+
+
+def read_processed_copies(spark: SparkSession, path: str) -> DataFrame:
+    """Every processed file under its last status."""
+    return last_run(spark.read.parquet(path).withColumn("run", F.col("run").cast("string")), "id")
+
 
+def append_log(rows: DataFrame, path: str, batch: str, ts_col: str = "created_at") -> None:
+    """Append to a log partitioned by day, so that retention drops partitions.
 
-def append_log(rows: DataFrame, path: str, ts_col: str = "created_at") -> None:
-    """Append to a log partitioned by day, so that retention drops partitions."""
-    rows.withColumn("day", F.to_date(ts_col)).write.mode("append").partitionBy("day").parquet(path)
+    The rows of a ``batch`` have partitions of their own, which the same batch replaces if it runs again.
+    """
+    placed = rows.withColumn("day", F.to_date(ts_col)).withColumn("batch", F.lit(batch))
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from clerkwise.functions.dates import instant
@@ -12,6 +14,7 @@ from clerkwise.plans.catalog import catalog, joined
 from clerkwise.plans.duck import AS_OF, EDGES, EVENTS_AS_OF, case_by_type, pick, sql
 from clerkwise.plans.views import STATUSES, Views
 from clerkwise.plans.views import pick as choose
+from clerkwise.session import shared_folder
 from clerkwise.sources import connectors
 from clerkwise.sources.tables import reconcile
 
@@ -671,6 +674,30 @@ def _(v):
     return sinks.approved_export(v.doc_ledger, "/out/", "review", v.as_of)
 
 
+@catalog.add("export_merge", sql("""SELECT id::VARCHAR AS document_id, CASE WHEN id % 3 = 0 THEN 'second' ELSE 'first' END AS "trigger", '/out/' || id || '_' || filename AS export_path,
+    strlen(filename)::INT AS content_bytes FROM doc_ledger WHERE status IN ('approved', 'corrected')"""))
+def _(v):
+    """Two exports, the second of a part of the documents; each document once, as last exported."""
+    place = f"{shared_folder(v.spark)}/export-{uuid4().hex}"
+    for run, docs in (("1", v.doc_ledger), ("2", v.doc_ledger.filter("id % 3 = 0"))):
+        done = sinks.approved_export(docs, "/out", "first" if run == "1" else "second", v.as_of)
+        content = docs.select(F.col("id").alias("document_id"), F.encode("filename", "UTF-8").alias("content"))
+        sinks.write_export(done, content, place, run)
+    stored, bodies = sinks.read_export(v.spark, place)
+    sizes = bodies.select(F.col("document_id").cast("string").alias("document_id"), F.length("content").alias("content_bytes"))
+    return stored.join(sizes, "document_id").select("document_id", "trigger", "export_path", "content_bytes")
+
+
+@catalog.add("processed_copies", sql("""SELECT id, CASE WHEN id % 2 = 0 THEN 'approved' ELSE status END AS status, filename FROM doc_ledger"""))
+def _(v):
+    """Copies of two runs: half of the documents move to another status in the second."""
+    place = f"{shared_folder(v.spark)}/copies-{uuid4().hex}"
+    files = v.doc_ledger.select("id", "filename", F.encode("filename", "UTF-8").alias("content"))
+    sinks.write_processed_copy(files, v.doc_ledger, place, "1")
+    sinks.write_processed_copy(files, v.doc_ledger.filter("id % 2 = 0").withColumn("status", F.lit("approved")), place, "2")
+    return sinks.read_processed_copies(v.spark, place).select(F.col("id").cast("long").alias("id"), "status", "filename")
+
+
 @catalog.add("export_audit", sql("""SELECT id AS document_id, 'approved_exported' AS action, 'clerk' AS actor,
     'status=' || status || ' trigger=review path=/out/' || id || '_' || filename AS details FROM doc_ledger WHERE status IN ('approved', 'corrected')"""))
 def _(v):

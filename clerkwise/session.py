@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +9,8 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 200_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
+LOCAL_FOLDER = "/tmp/checkpoints"
+
 
 def build_session(app: str = "clerkwise", master: str | None = None,
                   shuffle_partitions: int | None = None,
@@ -47,20 +47,25 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, shared by all executors.
 
-    The cluster names it in ``spark.checkpoint.dir``; a folder of our own is set
-    only for a local session that names none.
+    The cluster names it in ``spark.checkpoint.dir``; ``LOCAL_FOLDER`` is set
+    only for a session inside one process that names none, as in tests.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="clerkwise-ckpt-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(spark))
     return context.getCheckpointDir()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables that outlive a step: the one that ``spark.checkpoint.dir`` names."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = LOCAL_FOLDER
+    return folder.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint."""
     checkpoint_folder(df.sparkSession)

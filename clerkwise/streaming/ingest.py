@@ -38,22 +38,38 @@ def _described(files: DataFrame) -> DataFrame:
     }).withColumn("content_type", F.coalesce(mime_guess(F.col("filename")), F.lit("application/octet-stream")))
 
 
-def _fresh(files: DataFrame, ledger: str, batch: int) -> DataFrame:
-    """Acceptable files whose fingerprint no other batch has taken in."""
-    known = read_or_empty(files.sparkSession, ledger, LEDGER + ", batch long").filter(F.col("batch") != batch)
+def _others(spark: SparkSession, ledger: str, columns: str, run: str, batch: int) -> DataFrame:
+    """What other batches have taken in; a batch that runs again does not see itself."""
+    known = read_or_empty(spark, ledger, columns + ", run string, batch long")
+    return known.filter((F.col("run") != run) | (F.col("batch") != batch))
+
+
+def _fresh(files: DataFrame, ledger: str, run: str, batch: int) -> DataFrame:
+    """Acceptable files whose fingerprint no other batch has taken in. The content stays out of
+    the shuffle that finds them: only the key columns are compared."""
     good = validate_files(files).filter("reject_reason is null").drop("reject_reason")
-    return new_only(good, known, ["file_hash"], ["path"])
+    known = _others(files.sparkSession, ledger, LEDGER, run, batch)
+    if "content" not in files.columns:
+        return new_only(good, known, ["file_hash"], ["path"])
+    # A fingerprint holds the path, and a batch has each path once.
+    return good.join(known.select("file_hash").distinct(), "file_hash", "left_anti")
 
 
-def _store(fresh: DataFrame, ledger: str, documents: str, batch: int, as_of: Column) -> None:
-    """Write the documents of a batch and then their ledger rows. Each batch has
-    its own folder, replaced whole, so a batch that runs again adds nothing."""
+def _store(fresh: DataFrame, ledger: str, documents: str, run: str, batch: int, as_of: Column) -> None:
+    """Write the documents of a batch and then their ledger rows. Each batch of each run has
+    its own folder, replaced whole, so a batch that runs again adds nothing and no other run's is touched."""
+    place = f"run={run}/batch={batch}"
     rows = new_documents(fresh, ["file_hash"], "watched_folder", as_of)
-    rows.write.mode("overwrite").parquet(f"{documents}/batch={batch}")
+    rows.write.mode("overwrite").parquet(f"{documents}/{place}")
     # The ledger is written from the stored documents, so both agree.
-    stored = fresh.sparkSession.read.schema(rows.schema).parquet(f"{documents}/batch={batch}")
+    stored = fresh.sparkSession.read.schema(rows.schema).parquet(f"{documents}/{place}")
     stored.select("file_hash", "filename", F.col("path").alias("source_path"), F.col("id").alias("document_id"),
-                  "created_at").write.mode("overwrite").parquet(f"{ledger}/batch={batch}")
+                  "created_at").write.mode("overwrite").parquet(f"{ledger}/{place}")
+
+
+def _run_of(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the stream that a checkpoint belongs to; a new checkpoint has a new one."""
+    return spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
 
 
 def ingest_stream(spark: SparkSession, folder: str, ledger: str, documents: str, checkpoint: str,
@@ -64,28 +80,30 @@ def ingest_stream(spark: SparkSession, folder: str, ledger: str, documents: str,
     files that changed.
     """
     def take(batch: DataFrame, number: int) -> None:
-        _store(_fresh(batch, ledger, number), ledger, documents, number, as_of)
+        run = _run_of(spark, checkpoint)
+        _store(_fresh(batch, ledger, run, number), ledger, documents, run, number, as_of)
 
     return (folder_stream(spark, folder).writeStream.foreachBatch(take)
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
 
 
-def ingest_folder(spark: SparkSession, folder: str, ledger: str, documents: str, batch: int, as_of: Column) -> None:
+def ingest_folder(spark: SparkSession, folder: str, ledger: str, documents: str, batch: int, as_of: Column,
+                  run: str = "scan") -> None:
     """One scheduled scan: take in new and changed files of a folder.
 
     The first pass reads names, sizes and times only. The second reads content,
     and the oldest fresh time is pushed to the scan so that older files are not
-    opened. ``batch`` numbers the scan; use the same number to run it again.
+    opened. ``batch`` numbers the scans of a ``run``; use the same number to run one again.
     """
     files = spark.read.format("binaryFile").load(folder)
-    fresh = _fresh(_described(files.drop("content")), ledger, batch)
+    fresh = _fresh(_described(files.drop("content")), ledger, run, batch)
     oldest = fresh.agg(F.min("modificationTime")).first()[0]
     if oldest is None:
         return
     wanted = fresh.select(F.col("path").alias("__path"), F.col("modificationTime").alias("__time"))
     content = files.filter(F.col("modificationTime") >= F.lit(oldest)).join(
         wanted, (F.col("path") == F.col("__path")) & (F.col("modificationTime") == F.col("__time")), "left_semi")
-    _store(_described(content), ledger, documents, batch, as_of)
+    _store(_described(content), ledger, documents, run, batch, as_of)
 
 
 SYNC_LOG = """connector_type string, external_id string, filename string, document_id string,
@@ -98,11 +116,14 @@ def sync_stream(listing: DataFrame, ledger: str, checkpoint: str, as_of: Column,
     documents with a ``position``; refused ones stay out of the ledger."""
     from clerkwise.sources.connectors import acceptable
 
+    spark = listing.sparkSession
+
     def take(batch: DataFrame, number: int) -> None:
-        known = read_or_empty(batch.sparkSession, ledger, SYNC_LOG + ", batch long").filter(F.col("batch") != number)
+        run = _run_of(spark, checkpoint)
+        known = _others(batch.sparkSession, ledger, SYNC_LOG, run, number)
         good = acceptable(batch).filter("reject_reason is null")
         fresh = new_only(good, known, ["connector_type", "external_id"], ["position"])
-        sync_log_rows(fresh, as_of).write.mode("overwrite").parquet(f"{ledger}/batch={number}")
+        sync_log_rows(fresh, as_of).write.mode("overwrite").parquet(f"{ledger}/run={run}/batch={number}")
 
     return (listing.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

@@ -63,6 +63,12 @@ def test_folder_stream_takes_each_version_once(spark, tmp_path):
     stored = spark.read.parquet(str(documents))
     assert stored.count() == 8 and stored.select("id").distinct().count() == 8
     assert stored.filter("status = 'ingested' and source_channel = 'watched_folder'").count() == 8
+    # A new checkpoint starts its batch numbers anew; nothing that is stored may go.
+    checkpoint = tmp_path / "other"
+    ingest_stream(spark, str(inbox), str(ledger), str(documents), str(checkpoint), instant(AS_OF)).awaitTermination(120)
+    (inbox / "k.txt").write_text("late")
+    ingest_stream(spark, str(inbox), str(ledger), str(documents), str(checkpoint), instant(AS_OF)).awaitTermination(120)
+    assert rows(spark.read.parquet(str(documents)).select("filename"), "filename") == [(n,) for n in sorted([*good, "j.txt", "k.txt"])]
 
 
 def test_folder_scan_takes_changed_files_too(spark, tmp_path):

@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from clerkwise.functions.dates import instant
 from clerkwise.operators import mail, sinks, sla, workflows
 from tests.helpers import docs, rows, ts
@@ -165,21 +167,26 @@ def test_exports(spark, tmp_path):
     assert [(r["document_id"], r["status"], r["export_path"]) for r in meta.collect()] == [("d0", "approved", '/out/d0_a "q".txt')]
     content = spark.createDataFrame([("d0", bytearray(b"x")), ("d1", bytearray(b"y"))], "document_id string, content binary")
     for _ in range(2):
-        sinks.write_export(meta, content, str(tmp_path / "export"))
-    assert spark.read.json(str(tmp_path / "export/metadata")).count() == 1
-    assert spark.read.parquet(str(tmp_path / "export/content")).count() == 1
+        sinks.write_export(meta, content, str(tmp_path / "export"), "1")
+    other = sinks.approved_export(docs(spark, {"id": "d1", "status": "approved"}, {"id": "d0", "status": "corrected"}), "/out", "again", now())
+    sinks.write_export(other, content, str(tmp_path / "export"), "2")
+    stored, bodies = sinks.read_export(spark, str(tmp_path / "export"))
+    assert rows(stored.select("document_id", "status"), "document_id") == [("d0", "corrected"), ("d1", "approved")]
+    assert rows(bodies.select("document_id", F.col("content").cast("string")), "document_id") == [("d0", "x"), ("d1", "y")]
     sinks.write_csv(snapshot.limit(1), str(tmp_path / "csv"))
     lines = [line.value for line in spark.read.text(str(tmp_path / "csv")).collect()]
     assert '"d0","a ""q"".txt"," Approved","","","",""' in lines
     assert sinks.csv_lines(snapshot.limit(1)).first()["line"] in lines
     log = spark.createDataFrame([(1, ts("2024-01-01 10:00:00")), (2, ts("2024-01-02 10:00:00"))], "id int, created_at timestamp")
-    sinks.append_log(log, str(tmp_path / "log"))
-    sinks.append_log(log, str(tmp_path / "log"))
+    for batch in ("b1", "b1", "b2"):
+        sinks.append_log(log, str(tmp_path / "log"), batch)
     kept = spark.read.parquet(str(tmp_path / "log")).filter("day >= '2024-01-02'")
     assert kept.count() == 2 and "PartitionFilters: [isnotnull(day" in kept._jdf.queryExecution().executedPlan().toString()
 
 
 def test_processed_copies(spark, tmp_path):
     files = spark.createDataFrame([("d0", "a.txt", bytearray(b"x")), ("d1", "b.txt", bytearray(b"y"))], "id string, filename string, content binary")
-    sinks.write_processed_copy(files, docs(spark, {"status": "routed"}), str(tmp_path / "out"))
-    assert rows(spark.read.parquet(str(tmp_path / "out")).select("filename", "status")) == [("a.txt", "routed")]
+    for run, changes in (("1", [{"status": "routed"}]), ("1", [{"status": "routed"}]), ("2", [{"id": "d1", "status": "failed"}]), ("3", [{"status": "approved"}])):
+        sinks.write_processed_copy(files, docs(spark, *changes), str(tmp_path / "out"), run)
+    got = sinks.read_processed_copies(spark, str(tmp_path / "out")).select("filename", "status")
+    assert rows(got, "filename") == [("a.txt", "approved"), ("b.txt", "failed")]
