@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import operator
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -107,18 +108,21 @@ def field_value(raw: Column, name: str) -> Column:
     return F.when(raw != "", F.trim(value))
 
 
-def field_columns(df: DataFrame, text: Column, lowered: Column) -> tuple[DataFrame, dict[str, Column]]:
-    """The frame with the raw matches, and one expression per field over them.
+def field_columns(df: DataFrame, text: Column, lowered: Column,
+                  names: Iterable[str] | None = None) -> tuple[DataFrame, dict[str, Column]]:
+    """The frame with the raw matches, and one expression per field (of ``names``, if given) over them.
 
     Two steps, because the value refers to its match more than once.
     """
-    raw = {name: f"__raw_{name}" for name in FIELD_PATTERNS}
-    out = compute_once(df, {raw[name]: raw_match(text, lowered, name) for name in FIELD_PATTERNS})
-    return out, {name: field_value(F.col(raw[name]), name) for name in FIELD_PATTERNS}
+    raw = {name: f"__raw_{name}" for name in FIELD_PATTERNS if names is None or name in names}
+    out = compute_once(df, {column: raw_match(text, lowered, name) for name, column in raw.items()}) if raw else df
+    return out, {name: field_value(F.col(column), name) for name, column in raw.items()}
 
 
 def fields_map(columns: dict[str, Column]) -> Column:
     """Map of the present fields, in pattern order."""
+    if not columns:
+        return F.from_json(F.lit("{}"), "map<string,string>")
     entries = [part for name, col in columns.items() for part in (F.lit(name), col)]
     return F.map_filter(F.create_map(*entries), lambda _, value: value.isNotNull())
 

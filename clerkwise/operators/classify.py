@@ -22,8 +22,8 @@ _BEST = "struct<hits:int,back:int,doc_type:string,n:int,matched:array<string>>"
 
 
 def classify(df: DataFrame, rules: DataFrame | list[Rule], text: str = "text",
-             lowered: str | None = None) -> DataFrame:
-    """Add doc_type, classification_confidence and matched_keywords.
+             lowered: str | None = None, keywords: bool = True) -> DataFrame:
+    """Add doc_type, classification_confidence and, unless told not to, matched_keywords.
 
     A keyword counts when it is a substring of the lower-cased text (column
     ``lowered`` if there is one already). Most hits win; on a tie the rule that
@@ -46,13 +46,14 @@ def classify(df: DataFrame, rules: DataFrame | list[Rule], text: str = "text",
             return " ".join([best, *[f"WHEN {i} THEN {value}" for i, value in enumerate(values)], none])
 
         words = F.expr(of_best([string_array(r.keywords) for r in rules]))
-        out = compute_once(base, {
+        made = {
             "doc_type": F.coalesce(F.expr(of_best([string_literal(r.doc_type) for r in rules])), F.lit("other")),
             "classification_confidence": classification_confidence(
                 F.col("__top.hits"), F.expr(f"coalesce({of_best([str(len(r.keywords)) for r in rules])}, 1)")),
-            "matched_keywords": F.coalesce(F.filter(words, lambda k: F.contains(F.col("__low"), k)),
-                                           F.array().cast("array<string>")),
-        })
+        }
+        if keywords:
+            made["matched_keywords"] = F.coalesce(F.filter(words, lambda k: F.contains(F.col("__low"), k)), F.array().cast("array<string>"))
+        out = compute_once(base, made)
         return out.drop("__low", "__top", *[f"__h{i}" for i in range(len(rules))])
     slices = [_best_of(part) for part in _slices(rules)]
     best = F.greatest(*slices) if len(slices) > 1 else slices[0]

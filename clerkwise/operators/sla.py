@@ -60,3 +60,19 @@ def escalate(scanned: DataFrame, fallback_user: str, as_of: Column,
         F.concat(F.lit("Escalated: "), name).alias("title"),
         F.concat(F.lit("Auto-reassigned after "), text, F.lit("d overdue.")).alias("message"),
         as_of.alias("created_at"))
+
+
+def overdue_run(docs: DataFrame, notifications: DataFrame, rules: DataFrame, templates: DataFrame, workspaces: DataFrame,
+                as_of: Column, fallback_user: str, after_days: int = ESCALATION_DAYS):
+    """One scheduled run: notices of overdue documents, the effects of their ``document_overdue`` workflow
+    pass, the escalations, and the documents with what the pass and then the escalations wrote."""
+    from clerkwise.operators.changes import update_by_key
+    from clerkwise.operators.workflows import after_pass, run_workflows
+
+    scanned = sla_scan(docs, notifications, as_of)
+    effects = run_workflows(scanned.drop("days_overdue"), rules, templates, workspaces, "document_overdue", as_of)
+    escalated = escalate(scanned, fallback_user, as_of, after_days)
+    written = after_pass(docs, effects, as_of)
+    if fallback_user:
+        written = update_by_key(written, escalated.select(F.col("document_id").alias("id"), "assigned_to"), "id", ["assigned_to"], as_of)
+    return overdue_notifications(scanned, as_of), effects, escalated, written

@@ -49,12 +49,15 @@ def parse_rules(rules: DataFrame) -> DataFrame:
     name = F.coalesce(F.nullif("name", F.lit("")), F.concat(F.lit("workflow-"), F.col("id").cast("string")))
     actions = F.coalesce(F.from_json("actions_json", _ACTIONS), F.array().cast(_ACTIONS))
     parsed = parsed.withColumns(out)
-    return parsed.select("scope", F.col("id").alias("rule_id"), name.alias("rule_name"), *out, actions.alias("actions"))
+    kept = ["trigger_event"] if "trigger_event" in rules.columns else []
+    return parsed.select("scope", *kept, F.col("id").alias("rule_id"), name.alias("rule_name"), *out, actions.alias("actions"))
 
 
-def live_rules(rules: DataFrame, trigger: str) -> DataFrame:
-    """Enabled rules of a trigger under the scope they are read in: a workspace or the global one."""
-    live = rules.filter(F.col("enabled") & (F.col("trigger_event") == trigger)).select("id", "workspace_id", *_TEXTS)
+def live_rules(rules: DataFrame, trigger: str | None) -> DataFrame:
+    """Enabled rules, of one trigger or of all, under the scope they are read in: a workspace or the global one."""
+    live = rules.filter("enabled").select("id", "workspace_id", "trigger_event", *_TEXTS)
+    if trigger is not None:
+        live = live.filter(F.col("trigger_event") == trigger)
     return live.withColumn("scope", F.coalesce("workspace_id", F.lit(GLOBAL))).drop("workspace_id")
 
 
@@ -78,10 +81,16 @@ def _matches() -> Column:
     return cond & (low.isNull() | (score >= low)) & (high.isNull() | (score <= high))
 
 
-def matched_actions(docs: DataFrame, rules: DataFrame, trigger: str, keep: list[str],
+def status_trigger() -> Column:
+    """The trigger of the pass that follows a document's processing: document_<status>."""
+    return F.concat(F.lit("document_"), F.lower(strip(F.col("status"))))
+
+
+def matched_actions(docs: DataFrame, rules: DataFrame, trigger: str | None, keep: list[str],
                     limit: int | None = None) -> DataFrame:
     """One row per document, matching rule and action, with the ``keep`` columns
-    of the document. All rules apply; ``limit`` bounds those a workspace sees, if given.
+    of the document. All rules apply; ``limit`` bounds those a workspace sees, if given. Without a ``trigger`` each
+    document has that of its status.
 
     ``rules`` are raw rule rows. A document is looked up under its workspace and under the global
     scope; the join is an equi join on that scope with the filters as its condition. The rules are
@@ -99,7 +108,10 @@ def matched_actions(docs: DataFrame, rules: DataFrame, trigger: str, keep: list[
         placed = docs.select(*needed).join(broadcast_if_small(owners), F.col("workspace_id") == F.col("__scope"), "left").withColumn(
             "__scope", F.coalesce("__scope", F.lit(GLOBAL)))
     scoped = broadcast_if_small(parse_rules(live))
-    pairs = placed.join(scoped, (F.col("__scope") == F.col("scope")) & _matches(), "inner")
+    own = F.col("__scope") == F.col("scope")
+    if trigger is None:
+        own = own & (status_trigger() == F.col("trigger_event"))
+    pairs = placed.join(scoped, own & _matches(), "inner")
     actions = pairs.select(*keep, F.col("id").alias("document_id"), "rule_id", "rule_name",
                            F.posexplode("actions").alias("pos", "action"))
     nothing = F.from_json(F.lit("{}"), "map<string,string>")
@@ -123,10 +135,11 @@ class WorkflowEffects:
     written.
     """
 
-    def __init__(self, acted: DataFrame, templates: DataFrame, workspaces: DataFrame, trigger: str,
+    def __init__(self, acted: DataFrame, templates: DataFrame, workspaces: DataFrame, trigger: str | None,
                  as_of: Column, actor: str = "system"):
         self.acted, self.templates, self.workspaces = acted, templates, workspaces
-        self.trigger, self.as_of, self.actor = trigger, as_of, actor
+        self.trigger = status_trigger() if trigger is None else F.lit(trigger)
+        self.as_of, self.actor = as_of, actor
 
     @cached_property
     def _assigned(self) -> DataFrame:
@@ -154,7 +167,7 @@ class WorkflowEffects:
 
     @cached_property
     def audit(self) -> DataFrame:
-        event = [F.lit(f" event={self.trigger}")]
+        event = [F.lit(" event="), self.trigger]
 
         def say(key: str, col: str) -> list[Column]:
             return [F.lit(f" {key}="), F.col(col).cast("string")]
@@ -259,14 +272,14 @@ def changed_documents(acted: DataFrame, workspaces: DataFrame) -> DataFrame:
         for c in ("assigned_to", "status", "reviewer_notes")])
 
 
-def notification_actions(acted: DataFrame, trigger: str) -> DataFrame:
+def notification_actions(acted: DataFrame, trigger: Column) -> DataFrame:
     context, fields = event_context(), F.col("extracted_fields")
     raw_title = F.nullif(F.coalesce(F.try_element_at(F.col("config"), F.lit("title")), F.lit("")), F.lit(""))
     title = render(strip(F.coalesce(raw_title, F.lit("Workflow event"))), context, fields)
     message = F.when(_option("message") != "", render(_option("message"), context, fields))
     return acted.withColumns({
         "title": title,
-        "message": F.coalesce(message, F.lit(f"Event: {trigger}")),
+        "message": F.coalesce(message, F.concat(F.lit("Event: "), trigger)),
         "type": F.coalesce(F.nullif(_option("type"), F.lit("")), F.lit("workflow")),
         "user_id": F.nullif(_option("user_id"), F.lit("")),
     })
@@ -319,19 +332,20 @@ def compose_mail(rows: DataFrame) -> DataFrame:
     return mailed.filter("to_email is not null and body <> ''")
 
 
-def webhook_actions(acted: DataFrame, trigger: str, actor: str, as_of: Column) -> DataFrame:
+def webhook_actions(acted: DataFrame, trigger: Column, actor: str, as_of: Column) -> DataFrame:
     """Payload rows for later delivery; no call is made."""
     document = F.struct("id", "filename", "status", "doc_type", "department", "urgency",
                         "confidence", "assigned_to", "due_date", "source_channel")
     payload = F.to_json(F.struct(
-        F.lit(trigger).alias("event"), F.col("rule_name").alias("rule"), F.lit(actor).alias("actor"),
+        trigger.alias("event"), F.col("rule_name").alias("rule"), F.lit(actor).alias("actor"),
         "workspace_id", document.alias("document"), "extracted_fields",
         "missing_fields", "validation_errors", as_of.alias("sent_at")), {"ignoreNullFields": "false"})
     return acted.withColumns({"url": _option("url"), "payload": payload}).filter("url <> ''")
 
 
 def run_workflows(docs: DataFrame, rules: DataFrame, templates: DataFrame, workspaces: DataFrame,
-                  trigger: str, as_of: Column, actor: str = "system") -> WorkflowEffects:
+                  trigger: str | None, as_of: Column, actor: str = "system") -> WorkflowEffects:
+    """Effects of one pass; without a ``trigger`` it is the pass of each document's status."""
     acted = matched_actions(docs, rules, trigger, [c for c in docs.columns if c != "extracted_text"])
     return WorkflowEffects(acted, templates, workspaces, trigger, as_of, actor)
 
@@ -344,6 +358,16 @@ def after_pass(docs: DataFrame, effects: WorkflowEffects, as_of: Column) -> Data
                           ["assigned_to", "status", "reviewer_notes"], as_of)
 
 
+def run_passes(docs: DataFrame, rules: DataFrame, templates: DataFrame, workspaces: DataFrame, trigger: str,
+               as_of: Column) -> tuple[list[WorkflowEffects], DataFrame]:
+    """The pass of ``trigger`` and, on the documents as it left them, the pass of their status;
+    with the documents after both."""
+    first = run_workflows(docs, rules, templates, workspaces, trigger, as_of)
+    between = after_pass(docs, first, as_of)
+    second = run_workflows(between, rules, templates, workspaces, None, as_of)
+    return [first, second], after_pass(between, second, as_of)
+
+
 # Starter packs. Each entry: pack id, rule name, trigger, filters, actions.
 PRESET_RULES = [
     ("gov-intake-triage", "Triage: Auto-assign needs_review", "document_needs_review", {},

@@ -550,6 +550,40 @@ def _(v):
     return workflows.after_pass(v.doc_ledger, _effects(v), v.as_of).select("id", "status", "assigned_to", "updated_at")
 
 
+def _late_rules(v):
+    """The rules of other triggers, dealt to the passes that follow: by status and for overdue documents."""
+    key = F.col("id")
+    trigger = F.when(key == 11, "document_acknowledged").when(key == 17, "document_approved").when(key == 23, "document_assigned")
+    return v.workflow_rules.withColumn("trigger_event", F.coalesce(trigger, F.col("trigger_event")))
+
+
+_AFTER_FIRST = """(SELECT d.* REPLACE (coalesce(c.status, d.status) AS status, coalesce(c.assigned_to, d.assigned_to) AS assigned_to) FROM doc_ledger d LEFT JOIN (
+    SELECT document_id, arg_max(assigned_to, place) FILTER (assigned_to IS NOT NULL) AS assigned_to, arg_max(status, place) FILTER (status IS NOT NULL) AS status FROM (
+      SELECT id AS document_id, rule_id * 10 + pos AS place, new_assignee AS assigned_to, new_status AS status FROM assigned
+      UNION ALL SELECT id, rule_id * 10 + pos, NULL, new_status FROM moved) GROUP BY document_id) c ON c.document_id = d.id)"""
+
+
+@catalog.add("workflow_status_pass", sql(f"""
+    SELECT d.id AS document_id, r.rule_id, r.pos, r.action_type, 'document_' || d.status AS "trigger" FROM {_AFTER_FIRST} d
+    JOIN (VALUES (11, 0, 'transition', 'acknowledged'), (17, 0, 'send_template_email', 'approved'), (23, 0, 'assign', 'assigned'), (23, 1, 'transition', 'assigned'))
+      r(rule_id, pos, action_type, status) ON r.status = d.status AND d.workspace_id = 'ws1' AND CASE r.rule_id WHEN 11 THEN d.confidence <= 0.25
+        WHEN 17 THEN coalesce(d.doc_type IN ('complaint', 'foi_request'), false) AND d.urgency = 'high' ELSE true END"""))
+def _(v):
+    effects, _ = workflows.run_passes(v.wide.doc_ledger, _late_rules(v), v.templates, v.workspaces, "document_processed", v.as_of)
+    return effects[1].acted.select("document_id", F.col("rule_id").cast("int").alias("rule_id"), "pos", "action_type", workflows.status_trigger().alias("trigger"))
+
+
+@catalog.add("overdue_workflows", sql(f"""SELECT id, CASE WHEN late >= 3 AND coalesce(assigned_to, '') <> 'u2' THEN 'u2' WHEN late IS NOT NULL AND workspace_id = 'ws1' THEN 'u5' ELSE assigned_to END AS assigned_to
+    FROM (SELECT *, CASE WHEN due_date < {AS_OF} AND status NOT IN ('approved', 'corrected', 'completed', 'archived') AND id NOT IN (
+        SELECT document_id FROM notifications WHERE type = 'overdue' AND created_at >= {AS_OF} - INTERVAL 1 DAY)
+      THEN date_diff('second', due_date, {AS_OF}) // 86400 END AS late FROM doc_ledger)"""))
+def _(v):
+    """The default of three days."""
+    rules = v.workflow_rules.withColumn("trigger_event", F.when(F.col("id") == 23, "document_overdue").otherwise(F.col("trigger_event")))
+    *_, written = sla.overdue_run(v.wide.doc_ledger, v.notifications, rules, v.templates, v.workspaces, v.as_of, "u2")
+    return written.select("id", "assigned_to")
+
+
 @catalog.add("preset_missing", """
     SELECT s_suppkey, p.name, p.trigger_event FROM supplier JOIN (VALUES ('Contracts: Auto-assign on ingestion', 'document_ingested', 0),
       ('Contracts: Notify when overdue', 'document_overdue', 1)) p(name, trigger_event, k) ON p.k = s_suppkey % 2 WHERE s_suppkey % 3 <> 0""")

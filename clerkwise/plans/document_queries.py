@@ -44,7 +44,7 @@ def processed(v: Views):
 @catalog.add("queue_snapshot", sql("""SELECT department, count(*) AS total, count_if(requires_review)::BIGINT AS needs_review,
     count_if(NOT requires_review)::BIGINT AS ready FROM processed GROUP BY department"""))
 def _(v):
-    return queue_snapshot(processed(v))
+    return queue_snapshot(process_documents(v.wide.intake_docs, RULES, v.as_of, wanted=("department", "requires_review")))
 
 
 @catalog.add("processed_documents", sql("""SELECT id, doc_type, department, urgency, confidence, requires_review,
@@ -110,7 +110,8 @@ def _(v):
 @catalog.add("review_flags", sql(f"""SELECT id, confidence, requires_review FROM (
     {judged("classified", "0.7", "'benefits_application', 'other'")})"""))
 def _(v):
-    return process_documents(v.wide.intake_docs, RULES, v.as_of, threshold=0.7, forced=("Benefits_Application", "other")).select(
+    return process_documents(v.wide.intake_docs, RULES, v.as_of, threshold=0.7, forced=("Benefits_Application", "other"),
+                             wanted=("confidence", "requires_review")).select(
         "id", "confidence", "requires_review")
 
 

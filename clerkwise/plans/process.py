@@ -17,6 +17,7 @@ from clerkwise.operators.replies import fill_fields, filled_names, normalise_enr
 from clerkwise.operators.rules import Rule, as_rules, lookup
 
 # Columns that processing writes back to a document.
+CHECKED_FIELDS = ("parcel_number", "date")  # judged by their format whatever the rules require
 RESULT_COLUMNS = ("status", "doc_type", "department", "urgency", "confidence", "requires_review",
                   "extracted_fields", "missing_fields", "validation_errors", "sla_days", "due_date")
 
@@ -27,17 +28,21 @@ def extract_fields(df: DataFrame, text: str = "text") -> DataFrame:
     return out.select(*df.columns, *[col.alias(name) for name, col in fields.items()])
 
 
-def extract_field_map(df: DataFrame, text: str = "text", lowered: str = "__lowered") -> DataFrame:
+def extract_field_map(df: DataFrame, text: str = "text", lowered: str = "__lowered",
+                      names: Iterable[str] | None = None) -> DataFrame:
     """The present fields as the map extracted_fields."""
-    out, fields = field_columns(df, F.coalesce(text, F.lit("")), F.col(lowered))
+    out, fields = field_columns(df, F.coalesce(text, F.lit("")), F.col(lowered), names)
     return out.select(*df.columns, fields_map(fields).alias("extracted_fields"))
 
 
 def process_documents(df: DataFrame, rules: DataFrame | list[Rule], as_of: Column,
                       replies: DataFrame | None = None, enrichments: DataFrame | None = None,
-                      threshold: float = scores.REVIEW_THRESHOLD, forced: Iterable[str] = ()) -> DataFrame:
+                      threshold: float = scores.REVIEW_THRESHOLD, forced: Iterable[str] = (), wanted: Iterable[str] | None = None) -> DataFrame:
     """Add the result columns to rows of (id, text, extraction_confidence, created_at).
 
+    ``wanted`` names the result columns that will be read; patterns and keyword lists that none of
+    them needs are not evaluated, and the map extracted_fields then holds only fields that are judged.
+
     Without stored replies this is one narrow projection: no join, no shuffle.
     ``replies`` and ``enrichments`` (id, reply) are joined on the id. Rows whose
     ``extraction_error`` column, if there is one, is set become ``failed``.
@@ -48,8 +53,14 @@ def process_documents(df: DataFrame, rules: DataFrame | list[Rule], as_of: Colum
         out = out.withColumn("extraction_confidence", F.lit(0.99))
     text, low = F.coalesce(F.col("text"), F.lit("")), F.col("__lowered")
     out = compute_once(out, {"__lowered": F.lower(text)})
-    out = compute_once(extract_field_map(out), {"urgency": scores.urgency(low)})
-    out = classify(out, rules, lowered="__lowered").drop("__lowered")
+    names, listed = None, True
+    if wanted is not None and replies is None and enrichments is None:
+        wanted = set(wanted)
+        listed = "matched_keywords" in wanted
+        if "extracted_fields" not in wanted:
+            names = {f for rule in rules for f in rule.required_fields} | set(CHECKED_FIELDS)
+    out = compute_once(extract_field_map(out, names=names), {"urgency": scores.urgency(low)})
+    out = classify(out, rules, lowered="__lowered", keywords=listed).drop("__lowered")
     out = out.withColumn("department", lookup(rules, "doc_type", "department"))
     if replies is not None:
         out = prefer_replies(out, replies, rules)
