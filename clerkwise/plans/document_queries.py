@@ -418,6 +418,21 @@ def _as_docx(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[["conv_id", "turn"]].assign(content=contents)
 
 
+@catalog.add("broken_archives", """
+    SELECT conv_id, turn, turn % 5 = 4 AS failed, CASE WHEN turn % 5 = 4 THEN 'pipeline_failed' ELSE 'pipeline_processed' END AS action,
+      turn % 5 = 4 AS has_error FROM conversations""")
+def _(v):
+    """Every fifth archive is cut off: its row fails with a reason, the others go on."""
+    made = v.table("conversations").select("conv_id", "turn", "role", "text").mapInPandas(_as_docx, "conv_id long, turn long, content binary")
+    broken = F.when(F.col("turn") % 5 == 4, F.encode(F.lit("not an archive"), "UTF-8")).otherwise(F.col("content"))
+    files = made.select("conv_id", "turn", F.concat_ws("/", "conv_id", "turn").alias("id"), F.lit("turn.docx").alias("filename"),
+                        F.lit(None).cast("string").alias("content_type"), broken.alias("content"), F.lit("1998-01-01").cast("timestamp").alias("created_at"))
+    done = process_documents(extract_text(files, errors=True), RULES, v.as_of)
+    log = processing_audit(done, "system", v.as_of).select(F.col("document_id").alias("id"), "action")
+    return done.select("conv_id", "turn", "id", (F.col("status") == "failed").alias("failed"),
+                       F.col("extraction_error").isNotNull().alias("has_error")).join(log, "id").drop("id")
+
+
 @catalog.add("docx_text", """
     SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN '' ELSE array_to_string(list_transform(string_split(text, chr(10)),
       lambda t: CASE WHEN trim(t) = '' THEN role ELSE role || ' ' || trim(t) END), chr(10)) END AS text,
