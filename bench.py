@@ -18,7 +18,8 @@ QUERIES = [
     "effective_plan", "subscription_fold", "billing_stats", "system_health", "latency_histogram", "import_outcomes",
     "transition_apply", "review_merge", "update_by_key", "upsert_snapshot", "sla_scan", "slug_unique", "mask_pii",
     "documents_fields", "documents_classified", "template_render", "servicenow_listing", "outbox_auto", "workflow_match",
-    "workflow_changes", "processed_documents", "queue_snapshot", "reply_precedence", "sliding_admission",
+    "workflow_changes", "workflow_audit", "workflow_notifications", "workflow_outbox", "workflow_status_pass", "quota_admission", "processed_documents", "queue_snapshot", "reply_precedence", "sliding_admission",
+    "admission_saturated", "stream_admission", "stream_processing",
 ]
 
 

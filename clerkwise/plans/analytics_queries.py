@@ -336,12 +336,11 @@ def _(v):
 
 
 @catalog.add("quota_admission", sql(f"""SELECT b.id, q.cap IS NULL OR b.n <= greatest(q.cap - q.used, 0) AS allowed
-    FROM (SELECT id, workspace_id, row_number() OVER (PARTITION BY workspace_id ORDER BY created_at, id) AS n FROM doc_ledger
-      WHERE created_at >= TIMESTAMP '2001-01-01' AND created_at < TIMESTAMP '2001-07-01') b
+    FROM (SELECT id, workspace_id, row_number() OVER (PARTITION BY workspace_id ORDER BY created_at, id) AS n FROM doc_ledger) b
     JOIN {_QUOTA % '2001-08-01'} q ON q.workspace_id = b.workspace_id"""))
 def _(v):
     quota = billing.quota_check(v.doc_ledger, v.workspaces, instant(QUOTA_AS_OF))
-    batch = v.doc_ledger.filter("created_at >= '2001-01-01' and created_at < '2001-07-01'").select("id", "workspace_id", "created_at")
+    batch = v.doc_ledger.select("id", "workspace_id", "created_at")
     return billing.admit_batch(batch, quota, ["created_at", "id"]).select("id", "allowed")
 
 

@@ -16,7 +16,7 @@ from clerkwise.plans.views import STATUSES, Views
 from clerkwise.plans.views import pick as choose
 from clerkwise.session import shared_folder
 from clerkwise.sources import connectors
-from clerkwise.sources.tables import reconcile
+from clerkwise.sources.tables import copy_tables, reconcile
 
 RULES = literal_rules()
 BLANK = "(assigned_to IS NULL OR trim(assigned_to) = '')"
@@ -185,12 +185,12 @@ def _(v):
 # --- table changes --------------------------------------------------------
 
 def _status_changes(v: Views):
-    rows = v.table("events").select((F.col("event_id") * 3 % 1000).alias("id"), F.col("event_id").alias("seq"),
+    rows = v.table("events").select(F.expr("event_id div 2 * 3").alias("id"), F.col("event_id").alias("seq"),
                                     choose(STATUSES, F.col("event_id") % 10).alias("status"))
     return changes.last_per_key(rows, ["id"], ["seq"])
 
 
-_LAST = f"""(SELECT event_id * 3 % 1000 AS id, max(event_id) AS seq, arg_max({pick(STATUSES, 'event_id % 10')}, event_id) AS status FROM events GROUP BY ALL)"""
+_LAST = f"""(SELECT event_id // 2 * 3 AS id, max(event_id) AS seq, arg_max({pick(STATUSES, 'event_id % 10')}, event_id) AS status FROM events GROUP BY ALL)"""
 
 
 @catalog.add("update_by_key", sql(f"""SELECT d.id, coalesce(c.status, d.status) AS status, CASE WHEN c.id IS NULL THEN d.updated_at ELSE {AS_OF} END AS updated_at
@@ -214,7 +214,7 @@ def _(v):
     UNION ALL SELECT c.id + 500, coalesce(d.workspace_id, 'new'), c.status FROM {_LAST} c LEFT JOIN doc_ledger d ON d.id = c.id + 500"""))
 def _(v):
     base = v.doc_ledger.select("id", "workspace_id", "status")
-    new = v.table("events").select((F.col("event_id") * 3 % 1000 + 500).alias("id"), F.lit("new").alias("workspace_id"),
+    new = v.table("events").select((F.expr("event_id div 2 * 3") + 500).alias("id"), F.lit("new").alias("workspace_id"),
                                    choose(STATUSES, F.col("event_id") % 10).alias("status"), F.col("event_id").alias("seq"))
     return changes.upsert(base, new, ["id"], ["seq"], keep=["workspace_id"])
 
@@ -370,6 +370,13 @@ def _(v):
     return reconcile("documents", v.table("documents"), v.table("labels"))
 
 
+@catalog.add("table_copy", """SELECT 'documents' AS "table", count(*) AS source_rows, count(*) AS target_rows FROM documents
+    UNION ALL SELECT 'users', count(*), count(*) FROM customer UNION ALL SELECT 'events', count(*), count(*) FROM events""")
+def _(v):
+    sources = {"documents": v.table("documents"), "users": v.table("customer"), "events": v.table("events")}
+    return copy_tables(sources, f"{shared_folder(v.spark)}/copy-{uuid4().hex}")
+
+
 # --- connector listings ---------------------------------------------------
 
 _LISTED = ("external_id", "filename", "content_type", "download_url", "size_bytes")
