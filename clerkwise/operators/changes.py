@@ -118,6 +118,13 @@ BACKFILLED = ("documents", "notifications", "audit_events", "subscriptions", "in
               "outbound_emails", "connector_configs", "jobs", "templates", "payment_events")
 
 
+def backfill_workspace(tables: dict[str, DataFrame], workspaces: DataFrame, workspace_id: str) -> dict[str, DataFrame]:
+    """The tables with their unowned rows in the default workspace; unchanged when any workspace exists."""
+    if not workspaces.isEmpty():
+        return tables
+    return {name: backfill(df, "workspace_id", F.lit(workspace_id)) if name in BACKFILLED else df for name, df in tables.items()}
+
+
 def bootstrap_workspace(users: DataFrame, workspaces: DataFrame, workspace_id: str,
                         as_of: Column) -> tuple[DataFrame, DataFrame]:
     """Default workspace and its members, both empty when a workspace exists.

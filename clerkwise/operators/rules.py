@@ -91,10 +91,11 @@ def normalize_rules(raw: DataFrame, alphabetical: bool = False) -> DataFrame:
     present = rules.filter("doc_type = 'other'").select("doc_type")
     rules = rules.unionByName(fallback.join(present, "doc_type", "left_anti"))
     if alphabetical:
-        from pyspark.sql import Window as W
+        from clerkwise.session import number_rows
 
-        # A settings table; the window over all of it is as small as the file.
-        rules = rules.withColumn("rule_order", F.row_number().over(W.orderBy("doc_type")) - 1)
+        columns = rules.columns
+        numbered = number_rows(rules.drop("rule_order"), ["doc_type"], "rule_order")
+        rules = numbered.withColumn("rule_order", (F.col("rule_order") - 1).cast("int")).select(*columns)
     return rules
 
 

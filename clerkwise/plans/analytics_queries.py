@@ -324,6 +324,11 @@ def _(v):
     return billing.documents_this_month(v.doc_ledger, instant("1998-07-19 08:00:00"))
 
 
+@catalog.add("user_documents_this_month", sql("SELECT assigned_to, count(*) AS used FROM doc_ledger WHERE created_at >= TIMESTAMP '1996-03-01' GROUP BY ALL"))
+def _(v):
+    return billing.documents_this_month(v.doc_ledger, instant("1996-03-19 08:00:00"), "assigned_to")
+
+
 _QUOTA = """(SELECT w.id AS workspace_id, w.plan_tier, coalesce(u.used, 0) AS used, CASE w.plan_tier WHEN 'free' THEN 50 WHEN 'pro' THEN 5000 END AS cap
     FROM workspaces w LEFT JOIN (SELECT workspace_id, count(*) AS used FROM doc_ledger WHERE created_at >= TIMESTAMP '%s' GROUP BY ALL) u
     ON u.workspace_id = w.id)"""

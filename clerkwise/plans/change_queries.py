@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from uuid import uuid4
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clerkwise.functions.dates import instant
@@ -17,6 +19,7 @@ from clerkwise.plans.views import pick as choose
 from clerkwise.session import shared_folder
 from clerkwise.sources import connectors
 from clerkwise.sources.tables import copy_tables, reconcile
+from clerkwise.streaming.ingest import retention_run
 
 RULES = literal_rules()
 BLANK = "(assigned_to IS NULL OR trim(assigned_to) = '')"
@@ -164,6 +167,33 @@ def _(v):
     return lifecycle.mark_read(v.notifications, visible_to("u3"), v.events_as_of).select("id", "is_read", "read_at", "changed")
 
 
+@catalog.add("mark_read_ids", sql(f"""SELECT id, is_read OR hit AS is_read, CASE WHEN hit THEN {EVENTS_AS_OF} ELSE read_at END AS read_at, hit AS changed FROM (
+    SELECT *, coalesce((user_id = 'u3' OR user_id IS NULL) AND id IN (SELECT event_id FROM events WHERE event_id % 3 = 0), false) AS hit FROM notifications)"""))
+def _(v):
+    ids = v.table("events").filter("event_id % 3 = 0").select(F.col("event_id").alias("id"))
+    return lifecycle.mark_read(v.notifications, visible_to("u3"), v.events_as_of, ids).select("id", "is_read", "read_at", "changed")
+
+
+@catalog.add("backfill_tables", sql("""SELECT 'documents' AS "table", CASE WHEN id % 2 = 0 THEN 'ws-default' ELSE workspace_id END AS workspace_id, count(*) AS n FROM doc_ledger GROUP BY ALL
+    UNION ALL SELECT 'audit_events', coalesce(workspace_id, 'ws-default'), count(*) FROM audit_events GROUP BY ALL
+    UNION ALL SELECT 'notifications', coalesce(workspace_id, 'ws-default'), count(*) FROM notifications GROUP BY ALL
+    UNION ALL SELECT 'users', NULL, count(*) FROM users"""))
+def _(v):
+    ledger = v.doc_ledger.withColumn("workspace_id", F.when(F.col("id") % 2 != 0, F.col("workspace_id")))
+    tables = {"documents": ledger, "audit_events": v.audit_events, "notifications": v.notifications,
+              "users": v.users.withColumn("workspace_id", F.lit(None).cast("string"))}
+    done = changes.backfill_workspace(tables, v.workspaces.filter("id = 'no such workspace'"), "ws-default")
+    counts = [df.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table"), "workspace_id", "n") for name, df in done.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@catalog.add("retention_tables", sql("""SELECT 'audit_events' AS "table", count(*) AS kept FROM audit_events WHERE created_at >= TIMESTAMP '2031-01-14' - INTERVAL 2555 DAY
+    UNION ALL SELECT 'notifications', count(*) FROM notifications WHERE created_at >= TIMESTAMP '2031-01-14' - INTERVAL 730 DAY"""))
+def _(v):
+    done = retention_run({"audit_events": v.audit_events, "notifications": v.notifications}, instant("2031-01-14 00:00:00"))
+    return reduce(DataFrame.unionByName, [df.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("kept")) for name, df in done.items()])
+
+
 @catalog.add("job_retry", sql(f"""SELECT id, CASE WHEN attempts < max_attempts THEN 'queued' ELSE 'failed' END AS status,
     CASE WHEN attempts >= max_attempts THEN {EVENTS_AS_OF} END AS finished_at, CASE WHEN attempts >= max_attempts THEN started_at END AS started_at
     FROM jobs WHERE status = 'failed'"""))

@@ -321,6 +321,15 @@ def _(v):
                       joined("missing_fields").alias("missing_fields"), joined("filled_fields").alias("filled_fields"), "confidence", "requires_review")
 
 
+@catalog.add("stored_rule_order", """SELECT doc_type, (row_number() OVER (ORDER BY doc_type) - 1)::INT AS rule_order FROM (
+    SELECT p_type || '-' || p_partkey AS doc_type FROM part UNION ALL SELECT 'other')""")
+def _(v):
+    p = v.table("part")
+    raw = p.select(F.concat("p_type", F.lit("-"), F.col("p_partkey").cast("string")).alias("doc_type"), F.lit(0).alias("rule_order"), F.array("p_name").alias("keywords"),
+                   F.col("p_brand").alias("department"), F.array("p_name").alias("required_fields"), F.col("p_size").alias("sla_days"))
+    return normalize_rules(raw, alphabetical=True).select("doc_type", "rule_order")
+
+
 @catalog.add("failure_isolation", sql("""SELECT id, CASE WHEN id % 10 = 3 THEN NULL ELSE doc_type END AS doc_type,
     CASE WHEN id % 10 = 3 THEN 'failed' WHEN requires_review THEN 'needs_review' ELSE 'routed' END AS status,
     requires_review OR id % 10 = 3 AS requires_review, CASE WHEN id % 10 = 3 THEN 'pipeline_failed' ELSE 'pipeline_processed' END AS action,
