@@ -11,18 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from clerkwise.llm.text_arrays import slices
+from clerkwise.llm.text_arrays import SLICE_BYTES, slices
+from clerkwise.session import shared_folder
 
 
-def map_texts(df: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str | StructType,
-              limit: int | None = None) -> DataFrame:
+def map_texts(df: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str | StructType) -> DataFrame:
     """``run`` over bounded slices of ``df``; ``df`` has a column ``text``. Needs no shuffle."""
-    from clerkwise.llm.text_arrays import SLICE_BYTES
-
-    size = limit or SLICE_BYTES
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", size):
+        for part in slices(batches, "text", SLICE_BYTES):
             yield run(part)
 
     return df.mapInArrow(work, schema)
@@ -38,16 +34,6 @@ def bounded_sample(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
     return df.orderBy(F.xxhash64(key), key).limit(rows)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Set here only where it is unset and Spark is local."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "/tmp/checkpoints"
-    return folder
-
-
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -58,7 +44,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     one step. The tables may be deleted once the final result is stored.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/corpus/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/corpus/{what}-{uuid.uuid4().hex}"
     before = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:

@@ -50,7 +50,7 @@ def _lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return text_bytes(pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), "")))
 
 
-def presence(column: pa.Array, first: int, last: int, data, offsets) -> np.ndarray:
+def presence(first: int, last: int, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Presence rows of the texts ``first`` to ``last``; a long text is read in pieces."""
     block = np.zeros((last - first, DIMS), dtype=np.float32)
     for row in range(first, last):
@@ -90,7 +90,7 @@ def fit_language(documents: DataFrame, per_language: int = 400, landmarks_per_la
 
     def slots(part: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = _lowered(part.column("text"))
-        found = [np.flatnonzero(presence(None, i, i + 1, data, offsets)[0]).astype("<u2").tobytes() for i in range(part.num_rows)]
+        found = [np.flatnonzero(presence(i, i + 1, data, offsets)[0]).astype("<u2").tobytes() for i in range(part.num_rows)]
         return pa.RecordBatch.from_arrays([part.column("lang"), part.column("place"), pa.array(found, pa.binary())],
                                           ["lang", "place", "slots"])
 
@@ -130,7 +130,7 @@ def identify_language(documents: DataFrame, model: LanguageModel, keep: tuple[st
         best, sure = np.zeros(part.num_rows, dtype=np.int64), np.zeros(part.num_rows)
         for a in range(0, part.num_rows if languages else 0, BLOCK):
             b = min(a + BLOCK, part.num_rows)
-            block = presence(None, a, b, data, offsets)
+            block = presence(a, b, data, offsets)
             value = (block @ weights) / np.sqrt(np.maximum(block.sum(axis=1), 1))[:, None]
             chance = np.exp(4 * (value - value.max(axis=1, keepdims=True)))
             best[a:b], sure[a:b] = value.argmax(axis=1), 1 / chance.sum(axis=1)
