@@ -93,7 +93,8 @@ class QualityModel:
     def score(self, stats: np.ndarray) -> np.ndarray:
         if not len(self.levels):
             return np.full(len(stats), 0.5)
-        return np.interp(self.features(stats) @ self.weights, self.steps, self.levels)
+        # Rounded, since a row's last bits depend on the rows it is multiplied with.
+        return np.round(np.interp(np.round(self.features(stats) @ self.weights, 9), self.steps, self.levels), 9)
 
 
 def pool_adjacent(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
