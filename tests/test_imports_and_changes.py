@@ -174,3 +174,31 @@ def test_table_copy(spark, tmp_path):
     assert rows(counts) == [("documents", 3, 3), ("users", 7, 7)]
     again = copy_tables({"documents": spark.range(2)}, str(tmp_path), truncate=False)
     assert rows(again) == [("documents", 2, 5)]
+
+
+def test_null_keys_are_keys(spark):
+    base = spark.createDataFrame([(None, "old"), ("a", "old")], "k string, v string")
+    new = spark.createDataFrame([(None, "new", 1), (None, "newer", 2), ("b", "new", 3)], "k string, v string, n int")
+    assert changes.new_rows(base, new, ["k"], ["n"]).select("k").collect() == [("b",)]
+    got = changes.upsert(base, new, ["k"], ["n"])
+    assert sorted((str(r["k"]), r["v"]) for r in got.collect()) == [("None", "newer"), ("a", "old"), ("b", "new")]
+    assert changes.delete_keys(base, new, ["k"]).collect() == [("a", "old")]
+
+
+def test_content_as_text(spark):
+    from pyspark.sql import types as T
+
+    numbers = [1.0, -2.5, 1e16, 1.5e16, 123456789.25, 1e-4, 1.5e-5, 1e22, 1e300, -1e-300, 0.0, float("inf"), float("nan")]
+    got = column(spark, numbers, lambda c: imports.coerce_content(c, T.DoubleType()).cast("string"), "double")
+    assert got == [str(n) for n in numbers]
+    made = spark.createDataFrame([(1, None, [1, 2], {"k": True}, "é\"")], "a int, b string, c array<int>, d map<string,boolean>, e string")
+    whole = made.select(F.struct("*").alias("x"))
+    got = whole.select(imports.coerce_content(F.col("x"), whole.schema["x"].dataType).cast("string")).first()[0]
+    assert got == '{"a": 1, "b": null, "c": [1, 2], "d": {"k": true}, "e": "é\\""}'
+    assert imports.unsupported_content(T.TimestampType()) and not imports.unsupported_content(T.LongType())
+
+
+def test_content_of_a_type_without_text(spark):
+    table = spark.createDataFrame([(1, "a.txt", ts("2024-01-01 00:00:00")), (2, "b.txt", None)], "id long, filename string, content timestamp")
+    got = imports.import_rows(table, "id").orderBy("position").collect()
+    assert [r["error"] for r in got] == ["Row 1: Unsupported content type: timestamp", "Row 2: Content value is empty."]

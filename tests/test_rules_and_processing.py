@@ -9,7 +9,7 @@ from clerkwise.operators import classify as classify_module
 from clerkwise.operators.rules import (
     Rule, default_rules, literal_rules, normalize_rules, rule_errors, rule_key_order, rule_list)
 from clerkwise.plans.process import process_documents, processing_audit, reply_sweep, reprocess, review_notifications
-from tests.helpers import docs, ts
+from tests.helpers import docs, rows, ts
 
 NOW = "2024-03-10 00:00:00"
 PERMIT = ("Building permit\nApplicant: John Doe\nAddress: 12 Main Street\nParcel Number: P-1234\nDate: 02/07/2026\n"
@@ -148,3 +148,17 @@ def test_reply_sweep_counts(spark):
 def test_processing_needs_no_shuffle(spark):
     plan = process_documents(texts(spark, PERMIT), literal_rules(), instant(NOW))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan and "Python" not in plan
+
+
+def test_columns_nobody_reads_are_not_made(spark):
+    from clerkwise.functions.text import FIELD_PATTERNS
+    from clerkwise.plans.process import process_documents
+
+    text = "Building permit for construction\nApplicant: John Doe\nAddress: 12 Main Street\nParcel: P-1234\nDate: 02/07/2026\nAmount: $5.00"
+    df = spark.createDataFrame([(1, text), (2, "noise complaint"), (3, None)], "id int, text string").withColumn("created_at", instant("2024-01-01 00:00:00"))
+    names = ("doc_type", "department", "requires_review", "confidence", "missing_fields", "validation_errors")
+    whole = process_documents(df, literal_rules(), instant("2024-03-10 00:00:00")).select("id", *names)
+    part = process_documents(df, literal_rules(), instant("2024-03-10 00:00:00"), wanted=names).select("id", *names)
+    assert rows(part, "id") == rows(whole, "id")
+    plan = part.select("department", "requires_review")._jdf.queryExecution().optimizedPlan().toString()
+    assert "matched_keywords" not in plan and FIELD_PATTERNS["amount"][:20] not in plan and FIELD_PATTERNS["date"][:12] in plan

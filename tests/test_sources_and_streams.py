@@ -175,3 +175,9 @@ def test_listing_edges(spark):
     except ValueError as error:
         assert "Unknown connector type: fax" in str(error)
     assert os.sep == "/"
+
+
+def test_download_addresses(spark):
+    keys = spark.createDataFrame([("in/a b#1.txt", 5)], "key string, size long")
+    urls = [connectors.object_store(keys, kind, "b", "https://h").first()["download_url"] for kind in ("s3", "gcs")]
+    assert urls == ["https://h/in/a%20b%231.txt", "https://h/storage/v1/b/b/o/in%2Fa%20b%231.txt?alt=media"]
