@@ -6,9 +6,9 @@ by the pigeonhole principle, differ in at most one place of some of the 16 chunk
 every chunk is entered in the index four times, each time without one of its places, and
 every pair under the distance meets in some entry. Candidates are confirmed on the full sets.
 
-Large groups are never paired off. In each entry the members first vote for one hub, votes are
-checked, and what is linked counts as one; only members that are still apart are compared
-with each other.
+Large groups are never paired off. In each entry the members first vote for one hub, then for
+their nearest member of another component, a few rounds; votes are checked, and what is
+linked counts as one. Only members that are still apart are then compared with each other.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ CHUNK = 4
 ERRORS = 1
 DISTANCE = PLACES // CHUNK * (ERRORS + 1) - 1
 SIMILAR = 75  # per cent
-HOT = 1000    # members of an index entry from which it is split by a second chunk
+HOT = 16384   # members of an index entry beyond which it is split by a second chunk
 
 _random = np.random.default_rng(606)
 FACTORS = _random.integers(1, 1 << 31, PLACES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -174,30 +174,11 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.select(["node", "hub"]).filter(pa.array(far <= DISTANCE))
 
 
-def _compare(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """All pairs (a, b) of an entry's members that are in different components and near by signature."""
+def _grouped(members: DataFrame, classes: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` over the members (key, node, root, signature) of whole entries at a time, sorted by key."""
     rows = members.select("key", "node", "root").join(classes.select("node", "signature"), "node")
     rows = rows.select("key", "node", "root", "signature").repartition("key").sortWithinPartitions("key")
 
-    def pairs(table: pa.Table) -> pa.RecordBatch:
-        key, node, root = (table.column(c).to_numpy() for c in ("key", "node", "root"))
-        sign = _places(table.column("signature"))
-        found = []
-        at, step = np.arange(len(key)), 1
-        while True:
-            at = at[at + step < len(key)]
-            at = at[key[at] == key[at + step]]
-            if not len(at):
-                break
-            two = at[root[at] != root[at + step]]
-            for a in range(0, len(two), 1 << 16):
-                some = two[a:a + (1 << 16)]
-                some = some[(sign[some] != sign[some + step]).sum(axis=1) <= DISTANCE]
-                found.append(np.stack([np.minimum(node[some], node[some + step]), np.maximum(node[some], node[some + step])], axis=1))
-            step += 1
-        links = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], ["a", "b"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for part in batches:
@@ -206,16 +187,87 @@ def _compare(members: DataFrame, classes: DataFrame) -> DataFrame:
             key = part.column("key").to_numpy(zero_copy_only=False)
             cut = int(np.searchsorted(key, key[-1]))
             if cut:
-                yield pairs(pa.Table.from_batches([*held, part.slice(0, cut)]))
+                yield work(pa.Table.from_batches([*held, part.slice(0, cut)]))
                 held = []
             elif held and held[-1].column("key")[0].as_py() != key[0]:
-                yield pairs(pa.Table.from_batches(held))
+                yield work(pa.Table.from_batches(held))
                 held = []
             held.append(part.slice(cut))
         if held:
-            yield pairs(pa.Table.from_batches(held))
+            yield work(pa.Table.from_batches(held))
+
+    return rows.mapInArrow(run, schema)
+
+
+def _near_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Places i and j of all members of one entry that are in different components and near by signature,
+    their distance, and which of the signature's places are equal; in bounded portions."""
+    key, root = table.column("key").to_numpy(), table.column("root").to_numpy()
+    sign = _places(table.column("signature"))
+    at, step = np.arange(len(key)), 1
+    while True:
+        at = at[at + step < len(key)]
+        at = at[key[at] == key[at + step]]
+        if not len(at):
+            return
+        two = at[root[at] != root[at + step]]
+        for a in range(0, len(two), 1 << 16):
+            some = two[a:a + (1 << 16)]
+            same = sign[some] == sign[some + step]
+            far = PLACES - same.sum(axis=1)
+            near = far <= DISTANCE
+            if near.any():
+                yield some[near], some[near] + step, far[near], same[near]
+        step += 1
+
+
+def _nearest(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """For each node its nearest node (a, b) in another component, if that is near enough."""
+    def work(table: pa.Table) -> pa.RecordBatch:
+        node = table.column("node").to_numpy()
+        best = np.full(len(node), PLACES + 1, dtype=np.int64)
+        other = np.zeros(len(node), dtype=np.int64)
+        for i, j, far, _ in _near_pairs(table):
+            for x, y in ((i, j), (j, i)):
+                nearer = far < best[x]
+                best[x[nearer]], other[x[nearer]] = far[nearer], node[y[nearer]]
+        found = best <= DISTANCE
+        return pa.RecordBatch.from_arrays([pa.array(node[found]), pa.array(other[found]), pa.array(best[found])], ["a", "b", "far"])
+
+    found = _grouped(members, classes, work, "a bigint, b bigint, far bigint")
+    return found.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _compare(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """All pairs (a, b) of members of an entry that are in different components and near by signature.
+
+    A pair that meets in several entries is named in the first of them only.
+    """
+    def work(table: pa.Table) -> pa.RecordBatch:
+        node, entry = table.column("node").to_numpy(), table.column("key").to_numpy() >> 48
+        found = [np.zeros((0, 2), dtype=np.int64)]
+        for i, j, _, same in _near_pairs(table):
+            # An entry leaves one place of its chunk out; the two share it if the chunk's other places are equal.
+            chunks = same.reshape(-1, PLACES // CHUNK, CHUNK)
+            shared = (chunks.sum(axis=2, keepdims=True) - chunks >= CHUNK - 1).reshape(-1, PLACES)
+            first = shared.argmax(axis=1) == entry[i]
+            found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1)[first])
+        links = np.concatenate(found)
+        return pa.RecordBatch.from_arrays([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], ["a", "b"])
+
+    return _grouped(members, classes, work, "a bigint, b bigint")
+
+
+def _compare_split(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """The same for entries that were split; a pair may meet more than once."""
+    def work(table: pa.Table) -> pa.RecordBatch:
+        node = table.column("node").to_numpy()
+        found = [np.zeros((0, 2), dtype=np.int64)]
+        found += [np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1) for i, j, _, _ in _near_pairs(table)]
+        links = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], ["a", "b"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    return _grouped(members, classes, work, "a bigint, b bigint")
 
 
 def _split(members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -243,7 +295,7 @@ def _split(members: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key bigint, node bigint, root bigint")
 
 
-def near_duplicates(documents: DataFrame, rounds: int = 2, hot: int = HOT) -> DataFrame:
+def near_duplicates(documents: DataFrame, rounds: int = 3, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and a hash of the text for every row of ``documents`` (doc_id, text).
 
     ``component_id`` is the least doc_id connected by links of similarity 0.75 or more; ``kept``
@@ -260,13 +312,18 @@ def near_duplicates(documents: DataFrame, rounds: int = 2, hot: int = HOT) -> Da
     members = written(entries.join(shared, "key"), "members")
     links = None
     roots = members.select("node").distinct().withColumn("root", F.col("node"))
+    if rounds < 1:
+        raise ValueError("at least one round of votes")
     for turn in range(rounds + 1):
         rooted = written(_apart(members.select("key", "node").join(roots, "node")), "apart")
-        if turn < rounds:
+        few, many = rooted.where(F.col("size") <= hot), rooted.where(F.col("size") > hot)
+        if turn == 0:
             pairs = _votes(rooted, classes)
+        elif turn < rounds:
+            pairs = _nearest(few, classes)
         else:
-            split = _split(rooted.where(F.col("size") > hot), classes)
-            pairs = _compare(rooted.where(F.col("size") <= hot).select("key", "node", "root").unionAll(_apart(split).select("key", "node", "root")), classes)
+            split = _apart(_split(many, classes))
+            pairs = _compare(few, classes).unionAll(_compare_split(split, classes)).distinct()
         found = written(confirm(written(pairs, "pairs"), classes, documents), "confirmed")
         links = found if links is None else links.unionAll(found)
         joined = components(links)

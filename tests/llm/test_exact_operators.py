@@ -86,7 +86,7 @@ def test_substrings(spark, docs, none):
 
 def test_near_duplicates(spark, docs, none):
     want = brute.near(DOCS)
-    for rounds, hot in ((2, 1000), (0, 2)):
+    for rounds, hot in ((3, 1000), (1, 2)):
         got = near_duplicates(docs, rounds, hot)
         assert rows(got, "doc_id", "n_shingles", "component_id", "kept") == want
     left = keep_one_of_each(docs)
