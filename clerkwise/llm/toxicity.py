@@ -61,7 +61,7 @@ def word_slots(part: pa.RecordBatch, powers: Powers) -> tuple[np.ndarray, np.nda
     return (np.concatenate(found) >> np.uint64(44)).astype(np.int64), np.concatenate(rows)
 
 
-def fit_toxicity(documents: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 12000, words: int = 800,
+def fit_toxicity(documents: DataFrame, labels: DataFrame, positives: int = 2500, unlabelled: int = 6000, words: int = 800,
                  prior: float | None = None, steps: int = 400) -> ToxicityModel:
     """Train on texts (doc_id, text) with labels (doc_id, toxic) that may be read.
 
