@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from clerkwise.llm import oracles
+from clerkwise.llm.banding import fingerprint_groups
 from clerkwise.llm.contamination import contamination
-from clerkwise.llm.edit_embedding import fingerprint_documents
 from clerkwise.llm.frames import id_remainder
 from clerkwise.llm.inputs import documents_and_labels, table, vocabulary
 from clerkwise.llm.language import fit_language, identify_language
@@ -40,7 +40,7 @@ def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    return fingerprint_documents(table(spark, folder, "documents"))
+    return fingerprint_groups(table(spark, folder, "documents"))
 
 
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:

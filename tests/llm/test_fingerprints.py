@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 
+from clerkwise.llm import banding
 from clerkwise.llm import edit_embedding as ee
 
 from .brute import texts
@@ -69,3 +70,55 @@ def test_next_document_and_edited_text(spark):
     assert ee.fingerprint_documents(docs.limit(0)).count() == 0
     one = ee.fingerprint_documents(docs.where("doc_id is null")).collect()
     assert one[0]["edited_sha256"] == hashlib.sha256(b"nullnul").hexdigest()
+
+
+def near_rows(n=220, seed=9):
+    """Texts with families of few edits, far apart in the order of ids."""
+    rnd = random.Random(seed)
+    base = ["".join(rnd.choice("abcdefgh ") for _ in range(600)) for _ in range(n // 4)]
+    out = list(base)
+    for k in range(n - len(base)):
+        t = base[k % 7] if k % 2 else out[rnd.randrange(len(out))]
+        for _ in range(k % 3):
+            p = rnd.randrange(len(t))
+            t = t[:p] + rnd.choice(["", "x", t[p] + "y"]) + t[p + 1:]
+        out.append(t)
+    return out
+
+
+def test_bands_find_every_pair_within_the_distance(spark):
+    rows = near_rows()
+    samples = ee.Samples()
+    prints = ee.fingerprints([ee.classes_of(t) for t in rows], samples)
+    bits = np.unpackbits((prints[:, ::2] << 4 | prints[:, 1::2]).astype(np.uint8), axis=1)
+    far = (bits[:, None, :] != bits[None, :, :]).sum(axis=2)
+    near = far <= banding.DISTANCE
+    label = np.arange(len(rows))
+    while True:
+        least = np.where(near, label[None, :], len(rows)).min(axis=1)
+        if (least == label).all():
+            break
+        label = least
+    assert len(set(label)) < len(set(rows)) and (near & (far > 0)).sum() > 100
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    # Also with entries cut into many blocks.
+    for block in (banding.BLOCK, 4):
+        out = {r["doc_id"]: r for r in banding.fingerprint_groups(docs, block).collect()}
+        assert len(out) == len(rows) and [out[i]["fingerprint"] for i in range(len(rows))] == ee.as_text(prints)
+        names = [out[i]["representative"] for i in range(len(rows))]
+        first = {}
+        assert [first.setdefault(n, i) for i, n in enumerate(names)] == label.tolist()
+        assert all(n in {out[j]["fingerprint"] for j in np.flatnonzero(label == label[i])} for i, n in enumerate(names))
+    assert banding.fingerprint_groups(docs.limit(0)).count() == 0
+
+
+def test_links_are_verified(spark):
+    prints = np.random.default_rng(3).integers(0, 256, (300, 64), dtype=np.uint8)
+    for k in range(100):
+        prints[100 + k] = prints[k]
+        prints[100 + k].view(np.uint64)[k % 8] ^= np.uint64((1 << (15 + k % 16)) - 1)
+    frame = spark.createDataFrame([(i, bytearray(p.tobytes())) for i, p in enumerate(prints)], "node long, print binary")
+    links, members = banding.fingerprint_links(frame)
+    got = {(r["a"], r["b"]): r["distance"] for r in links.collect()}
+    assert got == {(100 + k, k): 15 + k % 16 for k in range(100) if 15 + k % 16 <= banding.DISTANCE}
+    assert {r["node"]: r["root"] for r in members.collect()} == {x: b for a, b in got for x in (a, b)}
