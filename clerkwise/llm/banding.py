@@ -57,7 +57,7 @@ def band_entries(prints: DataFrame) -> DataFrame:
 def _verified(dealt: DataFrame, prints: DataFrame) -> DataFrame:
     """Links (a, b, distance) of pairs of a group within the distance. A pair that other links of the group connect already is
     not named again, so a group of n members has at most n - 1 links however many of its pairs are near."""
-    def work(table: pa.Table) -> pa.RecordBatch:
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         node, words = table.column("node").to_numpy(), _bytes(table.column("print")).view(np.uint64)
         # Members that are connected have one label within their group; labels are joined as links are found.
         _, label = np.unique(table.column("root").to_numpy(), return_inverse=True)
@@ -84,7 +84,7 @@ def _verified(dealt: DataFrame, prints: DataFrame) -> DataFrame:
                     above[:] = above[above]
                 label[:] = above[label]
         columns = np.array(found, dtype=np.int64).reshape(-1, 3)
-        return pa.RecordBatch.from_arrays([pa.array(columns[:, k].copy()) for k in range(3)], ["a", "b", "distance"])
+        yield pa.RecordBatch.from_arrays([pa.array(columns[:, k].copy()) for k in range(3)], ["a", "b", "distance"])
 
     return by_group(dealt, prints, work, "a bigint, b bigint, distance bigint")
 

@@ -51,7 +51,7 @@ def block_pairs(members: DataFrame, most: int) -> DataFrame:
     return placed.join(to, ["key", "block"]).select("key", "node", "root", "low", "high", "block")
 
 
-def by_group(dealt: DataFrame, payload: DataFrame, work: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+def by_group(dealt: DataFrame, payload: DataFrame, work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``work`` over whole groups at a time, sorted by group and block; ``payload`` (node and others) is added to the rows."""
     rows = dealt.join(payload, "node")
     rows = rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "block")
@@ -66,15 +66,15 @@ def by_group(dealt: DataFrame, payload: DataFrame, work: Callable[[pa.Table], pa
             last = [int(c[-1]) for c in columns]
             cut = int(np.flatnonzero(np.all([c == x for c, x in zip(columns, last, strict=True)], axis=0))[0])
             if cut:
-                yield work(pa.Table.from_batches([*held, part.slice(0, cut)]))
+                yield from work(pa.Table.from_batches([*held, part.slice(0, cut)]))
                 held = []
             elif held and group != last:
-                yield work(pa.Table.from_batches(held))
+                yield from work(pa.Table.from_batches(held))
                 held = []
             held.append(part.slice(cut))
             group = last
         if held:
-            yield work(pa.Table.from_batches(held))
+            yield from work(pa.Table.from_batches(held))
 
     return rows.mapInArrow(run, schema)
 

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clerkwise.llm.blocks import apart, block_pairs, by_group, pairs_apart, whole
 from clerkwise.llm.components import components
 from clerkwise.llm.frames import about, map_texts, written
 from clerkwise.llm.text_arrays import LOWER_CODES, SPACED, Powers, mix, span_hashes, text_bytes, word_spans
@@ -35,7 +36,7 @@ SIMILAR = 75  # per cent
 # similarity asked for an eighth of the bits differs; 4.5 standard deviations more are allowed.
 SKETCH = 2048
 SKETCH_DISTANCE = int(SKETCH / 8 + 4.5 * (SKETCH * 7 / 64) ** 0.5)
-HOT = 16384   # members of an index entry beyond which it is split by a second chunk
+HOT = 16384   # members of an index entry beyond which it is compared in blocks of so many
 
 _random = np.random.default_rng(606)
 FACTORS = _random.integers(1, 1 << 31, PLACES + SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -131,14 +132,6 @@ def index_entries(classes: DataFrame) -> DataFrame:
     return classes.select("node", "signature").mapInArrow(run, "key bigint, node bigint")
 
 
-def _apart(members: DataFrame) -> DataFrame:
-    """The rows (key, node, root) of entries whose members are not all connected yet, with the entry's hub and size."""
-    entries = (members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("hub_root"),
-                                          F.max("root").alias("last_root"), F.min(F.struct("root", "node")).alias("hub"))
-               .where("hub_root <> last_root").select("key", "size", "hub_root", F.col("hub.node").alias("hub")))
-    return members.join(entries, "key")
-
-
 def confirm(pairs: DataFrame, classes: DataFrame, documents: DataFrame, percent: int = SIMILAR) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full shingle sets have the similarity.
 
@@ -186,57 +179,22 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.select(["node", "hub"]).filter(pa.array(far <= DISTANCE))
 
 
-def _grouped(members: DataFrame, classes: DataFrame, work, schema: str) -> DataFrame:
-    """``work`` over the members (key, node, root, signature) of whole entries at a time, sorted by key."""
-    rows = members.select("key", "node", "root").join(classes.select("node", "signature"), "node")
-    rows = rows.select("key", "node", "root", "signature").repartition("key").sortWithinPartitions("key")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for part in batches:
-            if not part.num_rows:
-                continue
-            key = part.column("key").to_numpy(zero_copy_only=False)
-            cut = int(np.searchsorted(key, key[-1]))
-            if cut:
-                yield work(pa.Table.from_batches([*held, part.slice(0, cut)]))
-                held = []
-            elif held and held[-1].column("key")[0].as_py() != key[0]:
-                yield work(pa.Table.from_batches(held))
-                held = []
-            held.append(part.slice(cut))
-        if held:
-            yield work(pa.Table.from_batches(held))
-
-    return rows.mapInArrow(run, schema)
-
-
 def _near_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Places i and j of all members of one entry that are in different components and near by signature and sketch,
+    """Places i and j of all members of one group that are in different components and near by signature and sketch,
     their distance, and which of the signature's places are equal; in bounded portions."""
-    key, root = table.column("key").to_numpy(), table.column("root").to_numpy()
     sign, sketch = _signs(table.column("signature"))
-    at, step = np.arange(len(key)), 1
-    while True:
-        at = at[at + step < len(key)]
-        at = at[key[at] == key[at + step]]
-        if not len(at):
-            return
-        two = at[root[at] != root[at + step]]
-        for a in range(0, len(two), 1 << 16):
-            some = two[a:a + (1 << 16)]
-            same = sign[some] == sign[some + step]
-            far = PLACES - same.sum(axis=1)
-            near = np.flatnonzero(far <= DISTANCE)
-            near = near[np.bitwise_count(sketch[some[near]] ^ sketch[some[near] + step]).sum(axis=1) <= SKETCH_DISTANCE]
-            if len(near):
-                yield some[near], some[near] + step, far[near], same[near]
-        step += 1
+    for i, j in pairs_apart(table, table.column("root").to_numpy()):
+        same = sign[i] == sign[j]
+        far = PLACES - same.sum(axis=1)
+        near = np.flatnonzero(far <= DISTANCE)
+        near = near[np.bitwise_count(sketch[i[near]] ^ sketch[j[near]]).sum(axis=1) <= SKETCH_DISTANCE]
+        if len(near):
+            yield i[near], j[near], far[near], same[near]
 
 
 def _nearest(members: DataFrame, classes: DataFrame) -> DataFrame:
     """For each node its nearest node (a, b) in another component, if that is near enough."""
-    def work(table: pa.Table) -> pa.RecordBatch:
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         node = table.column("node").to_numpy()
         best = np.full(len(node), PLACES + 1, dtype=np.int64)
         other = np.zeros(len(node), dtype=np.int64)
@@ -245,67 +203,31 @@ def _nearest(members: DataFrame, classes: DataFrame) -> DataFrame:
                 nearer = far < best[x]
                 best[x[nearer]], other[x[nearer]] = far[nearer], node[y[nearer]]
         found = best <= DISTANCE
-        return pa.RecordBatch.from_arrays([pa.array(node[found]), pa.array(other[found]), pa.array(best[found])], ["a", "b", "far"])
+        yield pa.RecordBatch.from_arrays([pa.array(node[found]), pa.array(other[found]), pa.array(best[found])], ["a", "b", "far"])
 
-    found = _grouped(members, classes, work, "a bigint, b bigint, far bigint")
+    found = by_group(whole(members), classes.select("node", "signature"), work, "a bigint, b bigint, far bigint")
     return found.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _compare(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """All pairs (a, b) of members of an entry that are in different components and near by signature.
+def _compare(members: DataFrame, classes: DataFrame, hot: int) -> DataFrame:
+    """All pairs (a, b) of members of an entry (key, node, root, size) that are in different components and near by signature.
 
-    A pair that meets in several entries is named in the first of them only.
+    Entries of more than ``hot`` members are compared block by block. A pair that meets in several
+    entries is named in the first of them only.
     """
-    def work(table: pa.Table) -> pa.RecordBatch:
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         node, entry = table.column("node").to_numpy(), table.column("key").to_numpy() >> 48
-        found = [np.zeros((0, 2), dtype=np.int64)]
         for i, j, _, same in _near_pairs(table):
             # An entry leaves one place of its chunk out; the two share it if the chunk's other places are equal.
             chunks = same.reshape(-1, PLACES // CHUNK, CHUNK)
             shared = (chunks.sum(axis=2, keepdims=True) - chunks >= CHUNK - 1).reshape(-1, PLACES)
             first = shared.argmax(axis=1) == entry[i]
-            found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1)[first])
-        links = np.concatenate(found)
-        return pa.RecordBatch.from_arrays([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], ["a", "b"])
-
-    return _grouped(members, classes, work, "a bigint, b bigint")
-
-
-def _compare_split(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """The same for entries that were split; a pair may meet more than once."""
-    def work(table: pa.Table) -> pa.RecordBatch:
-        node = table.column("node").to_numpy()
-        found = [np.zeros((0, 2), dtype=np.int64)]
-        found += [np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1) for i, j, _, _ in _near_pairs(table)]
-        links = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], ["a", "b"])
-
-    return _grouped(members, classes, work, "a bigint, b bigint")
-
-
-def _split(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Entries of very many members, entered again by pairs of chunks.
-
-    Two members of one entry that are near have, but for one case in ten million at the
-    similarity asked for, another chunk with at most one difference.
-    """
-    rows = members.select("key", "node", "root").join(classes.select("node", "signature"), "node")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            for a in range(0, part.num_rows, 2000):
-                some = part.slice(a, 2000)
-                if not some.num_rows:
-                    continue
-                keys = index_keys(_places(some.column("signature")))
-                key = some.column("key").to_numpy(zero_copy_only=False)
-                other = (key >> 48)[:, None] // CHUNK != np.arange(PLACES)[None, :] // CHUNK
-                row, place = np.nonzero(other)
-                both = mix((key[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ keys[row, place].astype(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(both), some.column("node").take(pa.array(row)), some.column("root").take(pa.array(row))],
-                                                 ["key", "node", "root"])
+            if first.any():
+                x, y = node[i[first]], node[j[first]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-    return rows.mapInArrow(run, "key bigint, node bigint, root bigint")
+    dealt = whole(members.where(F.col("size") <= hot)).unionByName(block_pairs(members.where(F.col("size") > hot), hot))
+    return by_group(dealt, classes.select("node", "signature"), work, "a bigint, b bigint")
 
 
 def near_duplicates(documents: DataFrame, rounds: int = 3, hot: int = HOT) -> DataFrame:
@@ -328,15 +250,13 @@ def near_duplicates(documents: DataFrame, rounds: int = 3, hot: int = HOT) -> Da
     if rounds < 1:
         raise ValueError("at least one round of votes")
     for turn in range(rounds + 1):
-        rooted = written(_apart(members.select("key", "node").join(roots, "node")), "apart")
-        few, many = rooted.where(F.col("size") <= hot), rooted.where(F.col("size") > hot)
+        rooted = written(apart(members.select("key", "node").join(roots, "node")), "apart")
         if turn == 0:
             pairs = _votes(rooted, classes)
         elif turn < rounds:
-            pairs = _nearest(few, classes)
+            pairs = _nearest(rooted.where(F.col("size") <= hot), classes)
         else:
-            split = _apart(_split(many, classes))
-            pairs = _compare(few, classes).unionAll(_compare_split(split, classes)).distinct()
+            pairs = _compare(rooted, classes, hot).distinct()
         found = written(confirm(written(pairs, "pairs"), classes, documents), "confirmed")
         links = found if links is None else links.unionAll(found)
         joined = components(links)

@@ -1,8 +1,11 @@
 """The operators with one right answer, against plain Python."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from clerkwise.llm import near_duplicates as nd
+from clerkwise.llm.blocks import block_pairs
 from clerkwise.llm.components import components
 from clerkwise.llm.contamination import contamination, drop_contaminated
 from clerkwise.llm.line_windows import drop_repeated_lines
@@ -121,3 +124,20 @@ def test_large_groups_stay_whole(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     got = rows(near_duplicates(docs, hot=20).select(F.col("doc_id"), "n_shingles", "component_id", "kept"), "doc_id", "n_shingles", "component_id", "kept")
     assert got == brute.near(list(enumerate(texts)))
+
+
+def test_no_group_holds_more_than_two_blocks(spark):
+    """Entries of any size: every pair of different roots meets in one group, and blocks of one root are not compared."""
+    roots = [5] * 40 + list(range(100, 123)) + [7] * 20
+    members = spark.createDataFrame([(k, n, r) for k in (1, 2) for n, r in enumerate(roots)], "key long, node long, root long")
+    groups = {}
+    for r in block_pairs(members, 8).collect():
+        groups.setdefault((r["key"], r["low"], r["high"]), []).append(r)
+    assert max(map(len, groups.values())) <= 16
+    met = []
+    for (key, low, high), rows_ in groups.items():
+        assert len({r["root"] for r in rows_}) > 1
+        met += [(key, *sorted((x["node"], y["node"]))) for k, x in enumerate(rows_) for y in rows_[:k]
+                if x["root"] != y["root"] and (low == high or x["block"] != y["block"])]
+    want = {(k, a, b) for k in (1, 2) for b in range(len(roots)) for a in range(b) if roots[a] != roots[b]}
+    assert len(met) == len(set(met)) and set(met) == want
