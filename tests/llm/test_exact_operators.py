@@ -141,3 +141,18 @@ def test_no_group_holds_more_than_two_blocks(spark):
                 if x["root"] != y["root"] and (low == high or x["block"] != y["block"])]
     want = {(k, a, b) for k in (1, 2) for b in range(len(roots)) for a in range(b) if roots[a] != roots[b]}
     assert len(met) == len(set(met)) and set(met) == want
+
+
+def test_a_pair_of_one_shared_chunk_meets_in_a_large_entry(spark):
+    """Two signatures within the distance that share chunk 0 only, among many members of its entries."""
+    signs = np.random.default_rng(1).integers(0, 1 << 16, (40, nd.PLACES + nd.SKETCH // 16)).astype("<u2")
+    signs[:, :nd.CHUNK] = signs[0, :nd.CHUNK]
+    signs[1] = signs[0]
+    differ = [c + k for c in range(nd.CHUNK, nd.PLACES, nd.CHUNK) for k in (0, 1)]
+    signs[1, differ] ^= np.uint16(1)
+    assert len(differ) <= nd.DISTANCE
+    classes = spark.createDataFrame([(n, bytearray(s.tobytes())) for n, s in enumerate(signs)], "node long, signature binary")
+    members = nd.apart(nd.index_entries(classes).withColumn("root", F.col("node")))
+    assert members.agg(F.max("size")).first()[0] == 40
+    for hot in (8, 1000):
+        assert [tuple(r) for r in nd._compare(members, classes, hot).collect()] == [(0, 1)]
