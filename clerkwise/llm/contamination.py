@@ -32,7 +32,7 @@ MATCH_ARROW = pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int
 class TestBlock:
     """Words of some benchmark items. Item i has the words ``edge[i]`` to ``edge[i + 1]``."""
 
-    items: list[str]
+    items: list[str | None]
     vocabulary: np.ndarray  # sorted word hashes; a word's number is its place + 1
     words: np.ndarray       # word numbers, a 0 after each item
     start: np.ndarray       # test suffixes: place in ``words``
@@ -50,7 +50,7 @@ def _with_breaks(symbols: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.
     return out, edge[:-1] + np.arange(rows)
 
 
-def test_block(item_ids: list[str], texts: list[str | None], window: int) -> TestBlock:
+def test_block(item_ids: list[str | None], texts: list[str | None], window: int) -> TestBlock:
     data, offsets = text_bytes(pa.array(texts, pa.string()))
     starts, ends, edge = word_spans(data, offsets, ALNUM)
     hashes = span_hashes(data, starts, ends, Powers(), LOWER_CODES)
@@ -146,12 +146,12 @@ def search_shard(data: np.ndarray, offsets: np.ndarray, block: TestBlock, powers
 
 def _blocks(benchmark: DataFrame, window: int, item_id: str, text: str, block_bytes: int) -> Iterator[TestBlock]:
     """The benchmark in blocks; each is collected by itself and is bounded by about ``block_bytes``."""
-    rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).where("item is not null and text is not null")
+    rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).where("text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = size // block_bytes + 1
     for k in range(count):
         part = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k) if count > 1 else rows
-        found = sorted((r["item"], r["text"]) for r in part.collect())
+        found = sorted(((r["item"], r["text"]) for r in part.collect()), key=lambda f: (f[0] is None, f[0] or "", f[1]))
         yield test_block([i for i, _ in found], [t for _, t in found], window)
 
 
@@ -164,8 +164,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     items found, as text) and ``matches`` (longest verbatim matches with their places). Words
     are runs of digits, letters a-z in any case and non-ASCII characters.
 
-    Null or empty texts have no words and no matches; items with null id or text are not
-    searched; repeated rows and ids are kept as they are; other columns are ignored.
+    Null or empty texts have no words and no matches; items with a null text are not searched, and those
+    with a null id are left out of ``items`` only; repeated rows and ids are kept as they are; other columns are ignored.
     """
     spark = documents.sparkSession
     kind = documents.schema[doc_id].dataType.simpleString()
@@ -192,7 +192,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
                 for r in np.flatnonzero(pc.list_value_length(matches).fill_null(0).to_numpy(zero_copy_only=False)):
                     mine = matches[int(r)].as_py()
                     hit[r] = covered(np.array([m["doc_word"] for m in mine]), np.array([m["length"] for m in mine]), int(words[r])).sum()
-                    items[r] = sorted({m["item_id"] for m in mine})
+                    items[r] = sorted({m["item_id"] for m in mine} - {None})
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(words), pa.array(hit), pa.array(items, pa.list_(pa.string())), matches],
                     ["doc_id", "n_words", "n_hit", "items", "matches"])

@@ -46,7 +46,7 @@ def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        "doc_id", "n_words", "n_hit", F.size(F.array_distinct("matches.item_id")).cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 

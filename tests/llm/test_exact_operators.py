@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clerkwise.llm import near_duplicates as nd
+from clerkwise.llm import registry
 from clerkwise.llm.blocks import block_pairs
 from clerkwise.llm.components import components
 from clerkwise.llm.contamination import contamination, drop_contaminated
@@ -156,3 +157,19 @@ def test_a_pair_of_one_shared_chunk_meets_in_a_large_entry(spark):
     assert members.agg(F.max("size")).first()[0] == 40
     for hot in (8, 1000):
         assert [tuple(r) for r in nd._compare(members, classes, hot).collect()] == [(0, 1)]
+
+
+def test_items_of_null_id_are_searched(spark, tmp_path):
+    """As the operator's SQL counts them: hit and counted, but not in the list of ids."""
+    passage = [f"w{k}" for k in range(12)]
+    docs = spark.createDataFrame([(1, " ".join(["x", *passage, "y"])), (2, " ".join(["z", *passage[:11], "q"])), (3, "x y")], "doc_id int, text string")
+    bench = spark.createDataFrame([(None, " ".join(passage)), ("i1", " ".join(passage[:10]))], "item_id string, text string")
+    got = rows(contamination(docs, bench), "doc_id", "n_words", "n_hit", "items")
+    assert got == [(1, 14, 12, ["i1"]), (2, 13, 11, ["i1"]), (3, 2, 0, [])]
+    only = bench.where("item_id is null")
+    assert rows(contamination(docs, only), "doc_id", "n_hit", "items") == [(1, 12, []), (2, 11, []), (3, 0, [])]
+    assert rows(drop_contaminated(docs, only), "doc_id") == [(3,)]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert rows(registry.queries()["op5_decontamination"](spark, str(tmp_path)), "doc_id", "n_items", "contaminated") == [
+        (1, 2, True), (2, 2, True), (3, 0, False)]
