@@ -91,3 +91,43 @@ WITH doc AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM doc LEFT JOIN kept USING (doc_id)
 """
+
+
+def _nibbles() -> list[int]:
+    """CRC-32 (reflected) of the sixteen values of four bits."""
+    table = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    return table
+
+
+def crc32(text: str) -> str:
+    """SQL for the CRC-32 of a text's UTF-8 bytes, four bits at a time, the low four of a byte first."""
+    digits = f"string_split(regexp_replace(hex(encode({text})), '(.)(.)', '\\2\\1', 'g'), '')"
+    values = f"list_transform({digits}, lambda h: ('0x0' || h)::BIGINT)"
+    step = f"lambda c, n: xor(c >> 4, {_nibbles()}[xor(c & 15, n) + 1])"
+    return f"CASE WHEN {text} = '' THEN 0 ELSE xor(list_reduce({values}, {step}, 4294967295::BIGINT), 4294967295) END"
+
+
+def shards(count: int) -> str:
+    """Rendezvous hashing over shards of equal weight: the least -ln(draw) is the greatest draw."""
+    def best(n: int) -> str:
+        draws = f"list_transform(range(0, {n}), lambda s: {{'draw': substr(md5(k || ':' || s), 1, 13), 'shard': -s}})"
+        return f"(-list_sort({draws})[-1].shard)::INTEGER"
+
+    return f"""
+WITH doc AS (
+  SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS k, coalesce(text, '') AS t FROM documents
+), placed AS (
+  SELECT doc_id, strlen(t)::BIGINT + 1 AS size, ({crc32("t")})::BIGINT AS text_crc32, {best(count)} AS shard, {best(count + 1)} AS grown_shard,
+         md5(k) AS place
+  FROM doc
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY place, size, text_crc32) - 1 AS slot, grown_shard
+FROM placed
+"""
+
+
+SHARDS = shards(8)

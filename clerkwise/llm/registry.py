@@ -17,6 +17,7 @@ from clerkwise.llm.near_duplicates import near_duplicates
 from clerkwise.llm.packing import pack_documents
 from clerkwise.llm.passages import drop_repeated_passages
 from clerkwise.llm.quality import fit_quality, score_quality
+from clerkwise.llm.sharding import SHARDS, assign_shards
 from clerkwise.llm.substrings import drop_repeated_bytes
 from clerkwise.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -73,6 +74,10 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return assign_shards(table(spark, folder, "documents"), [1.0] * SHARDS)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -84,6 +89,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_sharding": op11_sharding,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -92,6 +98,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_minhash_near_dedup": oracles.NEAR,
     "op7_substring_dedup": oracles.PASSAGES,
     "op10_line_dedup": oracles.LINES,
+    "op11_sharding": oracles.SHARDS,
 }
 
 
