@@ -9,7 +9,9 @@ import corpus_pipeline
 from clerkwise.llm import oracles
 from clerkwise.llm.banding import fingerprint_groups
 from clerkwise.llm.contamination import contamination
+from clerkwise.llm.conversations import audit_conversations, damage
 from clerkwise.llm.frames import id_remainder
+from clerkwise.llm.hard_negatives import mine_hard_negatives
 from clerkwise.llm.inputs import documents_and_labels, table, vocabulary
 from clerkwise.llm.language import fit_language, identify_language
 from clerkwise.llm.line_windows import drop_repeated_lines
@@ -78,6 +80,17 @@ def op11_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return assign_shards(table(spark, folder, "documents"), [1.0] * SHARDS)
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    talks = table(spark, folder, "conversations")
+    return audit_conversations(damage(talks), talks)
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(vectors.select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -90,6 +103,8 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
     "op11_sharding": op11_sharding,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -99,6 +114,7 @@ ORACLE_SQL: dict[str, str] = {
     "op7_substring_dedup": oracles.PASSAGES,
     "op10_line_dedup": oracles.LINES,
     "op11_sharding": oracles.SHARDS,
+    "op13_hard_negatives": oracles.NEGATIVES,
 }
 
 
