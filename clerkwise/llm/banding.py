@@ -1,8 +1,9 @@
 """Documents at a small edit distance, by banding of sampled fingerprint bits and verification.
 
-The 512 bits of a fingerprint are dealt by chance into 24 bands. Two fingerprints that differ in at
-most 23 bits agree in some band, whatever bits those are; so every pair within that
-distance meets in an index entry (band, value of its bits). Pairs that meet are verified on the full
+Each of 24 bands is a sample of 40 of the 512 bits of a fingerprint, drawn for itself, so bands may share bits. Two
+fingerprints that agree in all bits of a band meet in an index entry (band, value of its bits). Of pairs that differ in 23 bits 98
+per cent meet in some band, of those that differ in 16 or less all but one in 1700; two unrelated texts meet by
+chance in less than one case of 10^9, so what is compared grows with the texts, not with their pairs. Pairs that meet are verified on the full
 fingerprints. Equal fingerprints are one member of the index, however many documents have them.
 """
 
@@ -22,11 +23,12 @@ from clerkwise.llm.frames import written
 
 BITS = 4 * PLACES
 BANDS = 24
-DISTANCE = BANDS - 1
+WIDTH = 40           # bits of a band
+DISTANCE = 23        # bits in which linked fingerprints may differ
 BLOCK = 8192   # members of an index entry beyond which it is compared in blocks
 
-_order = np.random.default_rng(404).permutation(BITS)
-SAMPLED = [np.sort(_order[band::BANDS]) for band in range(BANDS)]
+_random = np.random.default_rng(404)
+SAMPLED = [np.sort(_random.choice(BITS, WIDTH, replace=False)) for _ in range(BANDS)]
 
 
 def _bytes(column: pa.Array) -> np.ndarray:
@@ -38,7 +40,7 @@ def band_keys(prints: np.ndarray) -> np.ndarray:
     bits = np.unpackbits(prints, axis=1)
     out = np.empty((len(prints), BANDS), dtype=np.int64)
     for band, sampled in enumerate(SAMPLED):
-        out[:, band] = bits[:, sampled].astype(np.int64) @ (np.int64(1) << np.arange(len(sampled), dtype=np.int64)) | (np.int64(band) << 32)
+        out[:, band] = bits[:, sampled].astype(np.int64) @ (np.int64(1) << np.arange(len(sampled), dtype=np.int64)) | (np.int64(band) << WIDTH)
     return out
 
 
@@ -93,8 +95,8 @@ def fingerprint_links(prints: DataFrame, block: int = BLOCK) -> tuple[DataFrame,
     """Links (a, b, distance) between distinct fingerprints (node, print) that differ in at most ``DISTANCE`` bits, and the
     membership (node, root) of all linked ones.
 
-    Two fingerprints have one root exactly if a chain of pairs within the distance connects them;
-    the links named are enough of those pairs to connect each root's fingerprints.
+    Every link is verified, and two fingerprints have one root exactly if a chain of pairs that are within the distance and
+    share a band connects them; the links named are enough of those pairs to connect each root's fingerprints.
     """
     entries = band_entries(prints)
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -119,7 +121,8 @@ def fingerprint_groups(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of ``fingerprint_documents`` and ``representative``: the fingerprint that names the group of each.
 
     Documents whose fingerprints differ in at most ``DISTANCE`` of 512 bits, wherever they stand in the order
-    of ids, have the same representative; so have those that a chain of such documents connects.
+    of ids, have the same representative if their fingerprints share a band (98 per cent at the full distance, nearly all below); so have those that a
+    chain of such documents connects. Nulls, ties, repeated rows and other columns as in ``fingerprint_documents``.
     """
     described = written(fingerprint_documents(documents).withColumn("node", F.xxhash64("fingerprint")), "fingerprints")
     prints = written(described.groupBy("node").agg(F.first(F.unhex("fingerprint")).alias("print")), "prints")

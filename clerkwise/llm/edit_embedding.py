@@ -6,6 +6,10 @@ The characters met, step by step, are the embedding: after an edit two walks soo
 step again, so texts at a small edit distance differ in few steps. A fingerprint samples one
 step for each of its places, the same steps for texts of like length, and keeps four bits of the
 character met. Equal texts have equal fingerprints.
+
+A text of more than 65 536 characters is walked in parts of as many, each from its own place: Python steps do not grow
+with the longest text. An edit that moves the text by a few characters moves the start of every later part by as many, and each
+part falls into step again as after any edit.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from clerkwise.llm.text_arrays import mix
 PLACES = 128
 STEPS = 2          # steps per character
 PAD = 64           # class of the walk's steps behind the end of the text
+PART_CHARS = 1 << 16  # a longer walk is set to its place in the text again after so many characters, and its parts go side by side
 WALK_CHARS = 1 << 22
 BLOCK_STEPS = 2048
 
@@ -35,9 +40,14 @@ def classes_of(text: str) -> np.ndarray:
     return ((points * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)).astype(np.uint8)
 
 
+def _step_bits(steps: np.ndarray) -> np.ndarray:
+    """The shared random bits of steps, one for each class."""
+    return mix((steps + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def _moves(first: int, count: int) -> np.ndarray:
     """For steps ``first`` onwards whether a walk at a character of each class goes on; on the pad it stays."""
-    bits = mix(np.arange(first + 1, first + count + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    bits = _step_bits(np.arange(first, first + count))
     out = np.zeros((count, PAD + 1), dtype=np.int64)
     out[:, :PAD] = (bits[:, None] >> np.arange(PAD, dtype=np.uint64)) & np.uint64(1)
     return out
@@ -82,32 +92,54 @@ class Samples:
         return out
 
 
+def _lanes(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The parts of all walks, those of most steps first: text, part of its walk, steps. A walk is cut every ``STEPS * PART_CHARS`` steps."""
+    parts = -(-steps // (STEPS * PART_CHARS))
+    owner = np.repeat(np.arange(len(steps)), parts)
+    part = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+    todo = np.minimum(steps[owner] - part * STEPS * PART_CHARS, STEPS * PART_CHARS)
+    order = np.argsort(-todo, kind="stable")
+    return owner[order], part[order], todo[order]
+
+
 def fingerprints(texts: list[np.ndarray], samples: Samples) -> np.ndarray:
-    """Fingerprint places (0 to 15) of texts given as class arrays; all walks advance together."""
-    order = np.argsort([-len(t) for t in texts], kind="stable")
-    length = np.array([len(texts[i]) for i in order], dtype=np.int64)
+    """Fingerprint places (0 to 15) of texts given as class arrays; all walks, and the parts of long ones, advance together."""
+    length = np.array([len(t) for t in texts], dtype=np.int64)
     steps = np.maximum(STEPS * length, 1)
     # Each text is followed by one pad, on which a walk that has left the text stays.
-    flat = np.concatenate([np.append(texts[i], np.uint8(PAD)) for i in order])
+    flat = np.concatenate([x for t in texts for x in (t, np.full(1, PAD, np.uint8))])
     start = np.cumsum(length + 1) - (length + 1)
+    owner, part, todo = _lanes(steps)
+    lane = np.empty((len(texts), int(part.max()) + 1), dtype=np.int64)
+    lane[owner, part] = np.arange(len(owner))
+    # The sampled steps, in the order in which they are reached.
     wanted = samples.of(steps)
-    total = int(steps[0])
-    # How many walks are still going at each step; longer ones come first.
-    active = np.searchsorted(-steps, -np.arange(total), "left")
-    begin = np.concatenate([[0], np.cumsum(active)])
-    met = np.empty(int(begin[-1]), dtype=np.uint8)
-    at = start.copy()
+    inside = (wanted % (STEPS * PART_CHARS)).reshape(-1)
+    order = np.argsort(inside, kind="stable")
+    inside, lanes = inside[order], lane[np.arange(len(texts))[:, None], wanted // (STEPS * PART_CHARS)].reshape(-1)[order]
+    symbols = np.empty(len(order), dtype=np.uint8)
+    at = start[owner] + part * PART_CHARS
+    total = int(todo[0])
+    # How many lanes are still going at each step.
+    active = np.searchsorted(-todo, -np.arange(total), "left")
+    long = bool(part.any())
     for a in range(0, total, BLOCK_STEPS):
-        moves = _moves(a, min(BLOCK_STEPS, total - a))
-        for j in range(len(moves)):
-            n, to = active[a + j], begin[a + j]
+        count = min(BLOCK_STEPS, total - a)
+        begin = np.concatenate([[0], np.cumsum(active[a:a + count])])
+        met = np.empty(int(begin[-1]), dtype=np.uint8)
+        moves = _moves(a, count)
+        words = _step_bits(a + np.arange(part.max() + 1)[:, None] * STEPS * PART_CHARS + np.arange(count)) if long else None
+        for j in range(count):
+            n, to = active[a + j], begin[j]
             here = met[to:to + n]
             np.take(flat, at[:n], out=here, mode="clip")
-            at[:n] += np.take(moves[j], here, mode="clip")
-    symbols = SYMBOL[met[begin[wanted] + np.arange(len(texts))[:, None]]]
-    out = np.empty_like(symbols)
-    out[order] = symbols
-    return out
+            if long:
+                at[:n] += ((words[part[:n], j] >> (here & 63)) & np.uint64(1)).astype(np.int64) * (here < PAD)
+            else:
+                at[:n] += np.take(moves[j], here, mode="clip")
+        now = slice(*np.searchsorted(inside, [a, a + count]))
+        symbols[order[now]] = SYMBOL[met[begin[inside[now] - a] + lanes[now]]]
+    return symbols.reshape(len(texts), PLACES)
 
 
 def as_text(places: np.ndarray) -> list[str]:

@@ -86,7 +86,7 @@ def near_rows(n=220, seed=9):
     return out
 
 
-def test_bands_find_every_pair_within_the_distance(spark):
+def test_bands_find_nearly_every_pair_within_the_distance(spark):
     rows = near_rows()
     samples = ee.Samples()
     prints = ee.fingerprints([ee.classes_of(t) for t in rows], samples)
@@ -105,13 +105,78 @@ def test_bands_find_every_pair_within_the_distance(spark):
     for block in (banding.BLOCK, 4):
         out = {r["doc_id"]: r for r in banding.fingerprint_groups(docs, block).collect()}
         assert len(out) == len(rows) and [out[i]["fingerprint"] for i in range(len(rows))] == ee.as_text(prints)
-        names = [out[i]["representative"] for i in range(len(rows))]
-        first = {}
-        assert [first.setdefault(n, i) for i, n in enumerate(names)] == label.tolist()
+        names = np.array([out[i]["representative"] for i in range(len(rows))])
+        together = names[:, None] == names[None, :]
+        # Nothing is together that no chain of near pairs connects; of the near pairs of different fingerprints nearly all are.
+        assert not (together & (label[:, None] != label[None, :])).any()
+        assert together[near & (far > 0)].mean() >= 0.97 and together[far == 0].all()
         assert all(n in {out[j]["fingerprint"] for j in np.flatnonzero(label == label[i])} for i, n in enumerate(names))
     assert banding.fingerprint_groups(docs.limit(0)).count() == 0
 
 
+def test_recall_of_the_bands():
+    """Pairs at each distance that share a band, and pairs that have nothing to do with each other."""
+    rnd = np.random.default_rng(7)
+    prints = rnd.integers(0, 256, (4000, banding.BITS // 8), dtype=np.uint8)
+    own = banding.band_keys(prints)
+    found = {}
+    for distance in (8, 16, 20, banding.DISTANCE):
+        other = np.unpackbits(prints, axis=1)
+        for row in other:
+            row[rnd.choice(banding.BITS, distance, replace=False)] ^= 1
+        found[distance] = (banding.band_keys(np.packbits(other, axis=1)) == own).any(axis=1).mean()
+    assert found[8] == 1 and found[16] > 0.998 and found[20] > 0.985 and found[banding.DISTANCE] > 0.965
+    # Eight million unrelated pairs.
+    assert len(np.unique(own)) == own.size
+
+
+def test_recall_by_edits(spark):
+    """What share of texts with some random edits is linked with the original: measured, as the README states it."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(2, 9))) for _ in range(400)]
+    rows, edits = [], []
+    for k in range(240):
+        base = " ".join(rnd.choice(words) for _ in range(300))
+        text = base
+        for _ in range((1, 2, 4, 8)[k % 4]):
+            p = rnd.randrange(len(text))
+            text = text[:p] + rnd.choice(["", "x", text[p] + "y"]) + text[p + 1:]
+        rows += [base, text]
+        edits.append((1, 2, 4, 8)[k % 4])
+    out = {r["doc_id"]: r["representative"] for r in banding.fingerprint_groups(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    share = {n: np.mean([out[2 * k] == out[2 * k + 1] for k in range(240) if edits[k] == n]) for n in (1, 2, 4, 8)}
+    print("linked by number of edits", share)
+    assert share[1] >= 0.9 and share[1] >= share[2] >= share[8]
+    assert len(set(out.values())) >= 240
+
+
+def test_long_texts_are_walked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(ee, "PART_CHARS", 100)
+    rows = ["ab c" * 30, "x", "", "the quick brown fox " * 40, "lazy dog " * 23]
+    samples = ee.Samples()
+    got = ee.fingerprints([ee.classes_of(t) for t in rows], samples)
+
+    def walk_in_parts(text):
+        classes, out = ee.classes_of(text), []
+        for step in range(max(ee.STEPS * len(classes), 1)):
+            if step % (ee.STEPS * 100) == 0:
+                at = step // ee.STEPS
+            here = int(classes[at]) if at < len(classes) else ee.PAD
+            out.append(here)
+            at += int(ee._moves(step, 1)[0][here])
+        return np.array(out)
+
+    for t, f in zip(rows, got, strict=True):
+        met = walk_in_parts(t)
+        assert (ee.SYMBOL[met[samples.of(np.array([len(met)]))[0]]] == f).all()
+    monkeypatch.undo()
+    # An edit near the start of a text of many parts; other columns with the names that the operator gives.
+    long = "".join(random.Random(3).choice("abcdefgh ") for _ in range(400_000))
+    docs = spark.createDataFrame([(2, long, "q", 5), (1, long[:50] + "zz" + long[50:], "q", 5)], "doc_id long, text string, fingerprint string, n_chars int")
+    out = {r["doc_id"]: r for r in banding.fingerprint_groups(docs).collect()}
+    assert out[2]["n_chars"] == 400_000 and out[2]["near_next"] > 0.9 and out[1]["representative"] == out[2]["representative"]
+
+
 def test_links_are_verified(spark):
     prints = np.random.default_rng(3).integers(0, 256, (300, 64), dtype=np.uint8)
     for k in range(100):
@@ -120,5 +185,6 @@ def test_links_are_verified(spark):
     frame = spark.createDataFrame([(i, bytearray(p.tobytes())) for i, p in enumerate(prints)], "node long, print binary")
     links, members = banding.fingerprint_links(frame)
     got = {(r["a"], r["b"]): r["distance"] for r in links.collect()}
-    assert got == {(100 + k, k): 15 + k % 16 for k in range(100) if 15 + k % 16 <= banding.DISTANCE}
+    within = {(100 + k, k): 15 + k % 16 for k in range(100) if 15 + k % 16 <= banding.DISTANCE}
+    assert got.items() <= within.items() and len(got) >= 0.95 * len(within)
     assert {r["node"]: r["root"] for r in members.collect()} == {x: b for a, b in got for x in (a, b)}
