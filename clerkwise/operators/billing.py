@@ -99,21 +99,26 @@ def admit_batch(batch: DataFrame, quota: DataFrame, order: list[str]) -> DataFra
     return marked.select(*batch.columns, allowed.alias("allowed"))
 
 
+EVENT_ORDER = ["created_at", "sequence", "event_id", "event_type", "provider_status", "plan_tier", "period_end"]
+
+
 def subscription_fold(events: DataFrame) -> DataFrame:
     """State of each subscription after its event log.
 
     Events: event_id, sequence (arrival number), subscription_id, event_type,
     provider_status, plan_tier, period_end, created_at. A repeated event id is
-    ignored; a null value keeps the older one. Only a checkout creates a subscription: events
+    ignored; a null value keeps the older one. Events are taken by created_at, then sequence; of events alike in both
+    the smaller event_id comes first, then the smaller event_type, provider_status, plan_tier and period_end (nulls first), so the
+    result does not depend on the order of the rows. Only a checkout creates a subscription: events
     before its first one change nothing, and without one there is no row. An event belongs to one
     subscription, so one shuffle by subscription serves all steps.
     """
     placed = events.repartition("subscription_id")
-    nth = F.row_number().over(W.partitionBy("subscription_id", "event_id").orderBy("created_at", "sequence"))
+    nth = F.row_number().over(W.partitionBy("subscription_id", "event_id").orderBy(*EVENT_ORDER))
     once = placed.withColumn("__nth", nth).filter("__nth = 1").drop("__nth")
-    begun = F.min(F.when(F.col("event_type") == "checkout.session.completed", F.struct("created_at", "sequence")))
+    begun = F.min(F.when(F.col("event_type") == "checkout.session.completed", F.struct(*EVENT_ORDER)))
     once = (once.withColumn("__begun", begun.over(W.partitionBy("subscription_id")))
-            .filter(F.struct("created_at", "sequence") >= F.col("__begun")).drop("__begun"))
+            .filter(F.struct(*EVENT_ORDER) >= F.col("__begun")).drop("__begun"))
     kind = F.col("event_type")
     mapped = F.coalesce(F.try_element_at(_literal_map(STATUS_MAP), F.col("provider_status")), F.lit("active"))
     change = kind.isin("customer.subscription.updated", "customer.subscription.deleted")
@@ -128,7 +133,7 @@ def subscription_fold(events: DataFrame) -> DataFrame:
         F.when(kind == "checkout.session.completed", F.coalesce("plan_tier", F.lit("pro")))
         .when(ended, F.lit("free"))
     )
-    at = F.struct("created_at", "sequence")
+    at = F.struct(*EVENT_ORDER)
     effects = once.withColumns({
         "__status": status, "__plan": plan, "__at": at,
         "__end": F.when(kind == "invoice.paid", F.col("period_end")),

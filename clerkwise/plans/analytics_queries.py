@@ -434,11 +434,13 @@ def _(v):
     SELECT subscription_id, arg_max(status, place) FILTER (status IS NOT NULL) AS status, arg_max(plan, place) FILTER (plan IS NOT NULL) AS plan_tier,
       arg_max(period_end, place) FILTER (kind = 'paid' AND period_end IS NOT NULL) AS current_period_end,
       arg_max(created_at, place) FILTER (ended) AS canceled_at
-    FROM (SELECT *, epoch_us(created_at) // 1000000 * 100 + sequence AS place, CASE WHEN kind IN ('checkout', 'paid') THEN 'active' WHEN kind = 'failed' THEN 'past_due'
+    FROM (SELECT *, CASE WHEN kind IN ('checkout', 'paid') THEN 'active' WHEN kind = 'failed' THEN 'past_due'
         WHEN ended THEN 'canceled' WHEN kind = 'updated' THEN mapped END AS status,
         CASE WHEN kind = 'checkout' THEN coalesce(plan_tier, 'pro') WHEN ended THEN 'free' END AS plan
       FROM (SELECT *, kind = 'deleted' OR (kind = 'updated' AND mapped = 'canceled') AS ended FROM (
-        SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY created_at, sequence) AS n FROM sub_events) WHERE n = 1)
+        SELECT *, row_number() OVER (PARTITION BY subscription_id, event_id ORDER BY place) AS n FROM (
+          SELECT *, row_number() OVER (PARTITION BY subscription_id ORDER BY created_at, sequence, event_id, event_type, provider_status NULLS FIRST,
+            plan_tier NULLS FIRST, period_end NULLS FIRST) AS place FROM sub_events)) WHERE n = 1)
       QUALIFY place >= min(place) FILTER (kind = 'checkout') OVER (PARTITION BY subscription_id))
     WHERE status IS NOT NULL GROUP BY subscription_id"""))
 def _(v):

@@ -315,7 +315,7 @@ _FILLED = """(SELECT * REPLACE (
 @catalog.add("enrichment_merge", sql(f"""SELECT id, applicant_name, address, parcel_number, email, missing_fields, filled_fields, confidence, requires_review
     FROM ({judged(_FILLED)})"""))
 def _(v):
-    out = process_documents(v.wide.intake_docs, RULES, v.as_of, enrichments=v.wide.enrichments)
+    out = process_documents(v.wide.intake_docs, RULES, v.as_of, enrichments=v.wide.enrichments, longest=240)
     got = F.col("extracted_fields")
     return out.select("id", *[F.try_element_at(got, F.lit(k)).alias(k) for k in ("applicant_name", "address", "parcel_number", "email")],
                       joined("missing_fields").alias("missing_fields"), joined("filled_fields").alias("filled_fields"), "confidence", "requires_review")

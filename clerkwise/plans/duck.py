@@ -192,6 +192,8 @@ VIEWS: dict[str, str] = {
           GROUP BY ALL) f USING (connector_type, external_id)""",
     "sub_events": f"""SELECT l_orderkey || '-' || (l_linenumber % 5) AS event_id, l_linenumber AS sequence, l_orderkey AS subscription_id,
         {pick(('updated', 'checkout', 'paid', 'failed', 'deleted', 'other'), '(l_partkey + l_linenumber) % 6')} AS kind,
+        {pick(('customer.subscription.updated', 'checkout.session.completed', 'invoice.paid', 'invoice.payment_failed', 'customer.subscription.deleted', 'charge.other'),
+              '(l_partkey + l_linenumber) % 6')} AS event_type, {pick(('active', 'past_due', 'canceled', 'unpaid', 'odd'), 'l_suppkey % 5')} AS provider_status,
         {pick(('active', 'past_due', 'canceled', 'past_due', 'active'), 'l_suppkey % 5')} AS mapped,
         CASE WHEN l_suppkey % 2 = 0 THEN 'enterprise' END AS plan_tier,
         CASE WHEN l_quantity > 10 THEN l_shipdate + INTERVAL 30 DAY END AS period_end, l_shipdate AS created_at FROM lineitem""",

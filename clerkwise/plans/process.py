@@ -37,14 +37,16 @@ def extract_field_map(df: DataFrame, text: str = "text", lowered: str = "__lower
 
 def process_documents(df: DataFrame, rules: DataFrame | list[Rule], as_of: Column,
                       replies: DataFrame | None = None, enrichments: DataFrame | None = None,
-                      threshold: float = scores.REVIEW_THRESHOLD, forced: Iterable[str] = (), wanted: Iterable[str] | None = None) -> DataFrame:
+                      threshold: float = scores.REVIEW_THRESHOLD, forced: Iterable[str] = (), wanted: Iterable[str] | None = None,
+                      longest: int | None = None) -> DataFrame:
     """Add the result columns to rows of (id, text, extraction_confidence, created_at).
 
     ``wanted`` names the result columns that will be read; patterns and keyword lists that none of
     them needs are not evaluated, and the map extracted_fields then holds only fields that are judged.
 
     Without stored replies this is one narrow projection: no join, no shuffle.
-    ``replies`` and ``enrichments`` (id, reply) are joined on the id. Rows whose
+    ``replies`` and ``enrichments`` (id, reply) are joined on the id; ``longest`` cuts the values that
+    enrichments bring to so many characters (None: as they are). Rows whose
     ``extraction_error`` column, if there is one, is set become ``failed``.
     """
     rules = as_rules(rules)
@@ -67,7 +69,7 @@ def process_documents(df: DataFrame, rules: DataFrame | list[Rule], as_of: Colum
     required = lookup(rules, "doc_type", "required_fields")
     out = compute_once(out, {"missing_fields": missing_fields(F.col("extracted_fields"), required)})
     if enrichments is not None:
-        out = merge_enrichment(out, enrichments, required)
+        out = merge_enrichment(out, enrichments, required, longest)
     out = compute_once(out, {"validation_errors": validation_errors(F.col("extracted_fields"), F.col("missing_fields"))})
     errors = F.size("validation_errors")
     score = scores.penalised_confidence(F.col("classification_confidence"), F.col("extraction_confidence"), errors)
@@ -106,12 +108,12 @@ def prefer_replies(df: DataFrame, replies: DataFrame, rules: list[Rule]) -> Data
         "classified_by": F.when(has, "reply").otherwise("rules")}).drop("__rid", *pairs.values())
 
 
-def merge_enrichment(df: DataFrame, enrichments: DataFrame, required: Column) -> DataFrame:
+def merge_enrichment(df: DataFrame, enrichments: DataFrame, required: Column, longest: int | None = None) -> DataFrame:
     """Fill absent or blank fields of documents with missing fields; adds
-    filled_fields and sets missing_fields anew."""
+    filled_fields and sets missing_fields anew. ``longest`` cuts the values."""
     side = enrichments.select(F.col("id").alias("__eid"), F.col("reply").alias("__reply"))
     joined = df.withColumn("__required", required).join(side, F.col("id") == F.col("__eid"), "left")
-    typed = normalise_enrichment(joined, "__reply", "__required")
+    typed = normalise_enrichment(joined, "__reply", "__required", longest)
     nothing = F.from_json(F.lit("{}"), "map<string,string>")
     extra = F.when(F.size("missing_fields") > 0, F.col("enriched_fields")).otherwise(nothing)
     typed = typed.withColumn("__extra", extra)

@@ -46,6 +46,16 @@ def test_subscription_log(spark):
     assert got == [("s", "active", "enterprise", at(28), None), ("t", "canceled", "free", None, at(2))]
 
 
+def test_subscription_events_of_one_moment_have_one_order(spark):
+    now = ts("2024-01-01 00:00:00")
+    log = [("e1", 1, "s", "customer.subscription.deleted", None, None, None, now), ("e1", 1, "s", "checkout.session.completed", None, "pro", None, now),
+           ("e2", 1, "t", "customer.subscription.deleted", None, None, None, now), ("e1", 1, "t", "checkout.session.completed", None, "pro", None, now),
+           ("e4", 2, "u", "checkout.session.completed", None, "pro", None, now), ("e4", 2, "u", "checkout.session.completed", None, None, None, now)]
+    want = [("s", "active", "pro", None, None), ("t", "canceled", "free", None, now), ("u", "active", "pro", None, None)]
+    for turn in (log, log[::-1]):
+        assert rows(billing.subscription_fold(spark.createDataFrame(turn, EVENT).coalesce(1)), "subscription_id") == want
+
+
 def test_quota_and_batch(spark, monkeypatch):
     monkeypatch.setitem(billing.DOCUMENT_LIMIT, "free", 3)
     month = [{"workspace_id": "w", "created_at": ts("2024-03-01 00:00:00")}] * 2 + [{"workspace_id": "w", "created_at": ts("2024-02-29 23:59:59")}]

@@ -115,6 +115,8 @@ def test_enrichment_fills_only_gaps(spark):
     assert got[0]["extracted_fields"] == {"applicant_name": "John Doe", "address": "9 Elm Street"}
     assert got[0]["filled_fields"] == ["address"] and got[0]["missing_fields"] == ["date"]
     assert got[1]["filled_fields"] == []
+    got = process_documents(source, literal_rules(), instant(NOW), enrichments=replies, longest=5).orderBy("id").first()
+    assert got["extracted_fields"] == {"applicant_name": "John Doe", "address": "9 Elm"}
 
 
 def test_failures_stay_apart(spark):
