@@ -18,6 +18,7 @@ from clerkwise.llm.frames import written
 from clerkwise.session import number_rows
 
 GROUP = ["key", "low", "high"]
+PORTION = 1 << 14   # pairs handed out at once
 
 
 def apart(members: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def pairs_apart(table: pa.Table, root: np.ndarray) -> Iterator[tuple[np.ndarray,
         if not len(at):
             return
         two = at[(root[at] != root[at + step]) & (alone[at] | (block[at] != block[at + step]))]
-        for a in range(0, len(two), 1 << 16):
-            some = two[a:a + (1 << 16)]
+        for a in range(0, len(two), PORTION):
+            some = two[a:a + PORTION]
             yield some, some + step
         step += 1

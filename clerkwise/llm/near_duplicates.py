@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from clerkwise.llm.blocks import apart, block_pairs, by_group, pairs_apart, whole
 from clerkwise.llm.components import components
-from clerkwise.llm.frames import about, map_texts, written
+from clerkwise.llm.frames import key_map, map_texts, written
 from clerkwise.llm.text_arrays import LOWER_CODES, SPACED, Powers, mix, span_hashes, text_bytes, word_spans
 
 WORDS = 5
@@ -36,6 +36,7 @@ SIMILAR = 75  # per cent
 # similarity asked for an eighth of the bits differs; 4.5 standard deviations more are allowed.
 SKETCH = 2048
 SKETCH_DISTANCE = int(SKETCH / 8 + 4.5 * (SKETCH * 7 / 64) ** 0.5)
+PORTION = 512  # sets described at once
 HOT = 16384   # members of an index entry beyond which it is compared in blocks of so many
 
 _random = np.random.default_rng(606)
@@ -70,11 +71,23 @@ def node_of(shingles: np.ndarray) -> int:
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """For each set ``PLACES`` 16-bit places and then the sketch, 16 bits to a column; the sets are not empty."""
-    short = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
-    at = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    least = np.stack([np.minimum.reduceat(short * a + b, at) for a, b in zip(FACTORS, SHIFTS, strict=True)])
-    bits = np.packbits((least[PLACES:] >> np.uint32(12) & np.uint32(1)).astype(np.uint8), axis=0)
-    return np.concatenate([least[:PLACES].T.astype("<u2"), np.ascontiguousarray(bits.T).view("<u2")], axis=1)
+    out = np.empty((len(sets), PLACES + SKETCH // 16), dtype="<u2")
+    for first in range(0, len(sets), PORTION):
+        some = sets[first:first + PORTION]
+        short = (np.concatenate(some) >> np.uint64(32)).astype(np.uint32)
+        at = np.cumsum([0] + [len(s) for s in some[:-1]])
+        hashed = np.empty_like(short)
+        bits = np.empty((len(some), SKETCH), dtype=bool)
+        for k, (a, b) in enumerate(zip(FACTORS, SHIFTS, strict=True)):
+            np.multiply(short, a, out=hashed)
+            hashed += b
+            least = np.minimum.reduceat(hashed, at)
+            if k < PLACES:
+                out[first:first + len(some), k] = least & np.uint32(0xFFFF)
+            else:
+                bits[:, k - PLACES] = least >> np.uint32(12) & np.uint32(1)
+        out[first:first + len(some), PLACES:] = np.packbits(bits, axis=1).view("<u2")
+    return out
 
 
 def index_keys(signature: np.ndarray) -> np.ndarray:
@@ -109,9 +122,14 @@ def describe(documents: DataFrame) -> DataFrame:
     return map_texts(rows, run, f"doc_id {kind}, text_hash bigint, n_shingles bigint, node bigint, signature binary")
 
 
-def _signs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Places and sketches of a signature column."""
-    whole = np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, PLACES + SKETCH // 16)
+def _signs(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and sketches of a signature column, whose values are all of one size; read where Arrow holds them."""
+    width = PLACES + SKETCH // 16
+    parts = []
+    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        first = int(np.frombuffer(chunk.buffers()[1], np.int32, 1, chunk.offset * 4)[0]) if len(chunk) else 0
+        parts.append(np.frombuffer(chunk.buffers()[2], "<u2", len(chunk) * width, first) if len(chunk) else np.zeros(0, "<u2"))
+    whole = (np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else np.zeros(0, "<u2")).reshape(-1, width)
     return whole[:, :PLACES], whole[:, PLACES:]
 
 
@@ -137,7 +155,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, documents: DataFrame, percent:
 
     The sets are made anew from one document of each class that occurs in a pair.
     """
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = pairs.select(F.col("a").alias("node")).distinct().unionAll(pairs.select(F.col("b").alias("node")).distinct()).distinct()
     wanted = written(nodes.join(classes.select("node", "doc_id"), "node"), "wanted")
     keep = []
 
@@ -150,11 +168,14 @@ def confirm(pairs: DataFrame, classes: DataFrame, documents: DataFrame, percent:
                                            pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "node", "shingles"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    sets = map_texts(about(documents.select("doc_id", "text"), wanted), run, f"doc_id {kind}, node bigint, shingles array<bigint>")
+    # Left out and described in one Python worker: two in a row would double what the workers of an executor hold.
+    rows, pick, shared = key_map(documents.select("doc_id", "text"), wanted)
+    sets = map_texts(rows, run, f"doc_id {kind}, node bigint, shingles array<bigint>", pick)
     # A class is represented by the document chosen for it; rows that repeat its id and text are alike.
     chosen = sets.join(wanted.select(F.col("node").alias("n"), F.col("doc_id").alias("d")),
                        (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
     sets = written(chosen.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    shared.destroy()
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"),
@@ -230,23 +251,24 @@ def _compare(members: DataFrame, classes: DataFrame, hot: int) -> DataFrame:
     return by_group(dealt, classes.select("node", "signature"), work, "a bigint, b bigint")
 
 
-def near_duplicates(documents: DataFrame, rounds: int = 3, hot: int = HOT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and a hash of the text for every row of ``documents`` (doc_id, text).
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after ``links`` (a, b) between nodes: only the roots that a link connects are looked at again."""
+    of_a = roots.select(F.col("node").alias("a"), F.col("root").alias("x"))
+    of_b = roots.select(F.col("node").alias("b"), F.col("root").alias("y"))
+    between = links.join(of_a, "a").join(of_b, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct()
+    joined = components(between).select(F.col("node").alias("root"), F.col("root").alias("least"))
+    return written(roots.join(joined, "root", "left").select("node", F.coalesce("least", "root").alias("root")), "roots")
 
-    ``component_id`` is the least doc_id connected by links of similarity 0.75 or more; ``kept``
-    marks that document. Null and empty texts have no shingles and stand alone. Rows with a
-    null id are connected like others but are never the least; a component of such rows alone has
-    a null component_id and is kept. Rows that share an id are judged one by one. Other columns
-    are ignored; an empty table gives no rows.
-    """
+
+def _connected(documents: DataFrame, rounds: int, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``describe`` of all rows, the classes (node, doc_id, signature), and (node, root) of all classes that share an index entry."""
     described = written(describe(documents), "described")
     classes = written(described.where("node is not null").groupBy("node")
                       .agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")), "classes")
     entries = index_entries(classes)
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = written(entries.join(shared, "key"), "members")
-    links = None
-    roots = members.select("node").distinct().withColumn("root", F.col("node"))
+    roots = written(members.select("node").distinct().withColumn("root", F.col("node")), "roots")
     if rounds < 1:
         raise ValueError("at least one round of votes")
     for turn in range(rounds + 1):
@@ -257,13 +279,24 @@ def near_duplicates(documents: DataFrame, rounds: int = 3, hot: int = HOT) -> Da
             pairs = _nearest(rooted.where(F.col("size") <= hot), classes)
         else:
             pairs = _compare(rooted, classes, hot).distinct()
-        found = written(confirm(written(pairs, "pairs"), classes, documents), "confirmed")
-        links = found if links is None else links.unionAll(found)
-        joined = components(links)
-        roots = members.select("node").distinct().join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        # What is linked already counts as one node in the rounds that follow.
+        roots = _merged(roots, written(confirm(written(pairs, "pairs"), classes, documents), "confirmed"))
         members = rooted.select("key", "node")
-    least = (joined.join(classes.select("node", "doc_id"), "node").select("root", "doc_id").groupBy("root").agg(F.min("doc_id").alias("least")))
-    groups = joined.join(least, "root").select("node", "least")
+    return described, classes, roots
+
+
+def near_duplicates(documents: DataFrame, rounds: int = 3, hot: int = HOT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept and a hash of the text for every row of ``documents`` (doc_id, text).
+
+    ``component_id`` is the least doc_id connected by links of similarity 0.75 or more; ``kept``
+    marks that document. Null and empty texts have no shingles and stand alone. Rows with a
+    null id are connected like others but are never the least; a component of such rows alone has
+    a null component_id and is kept. Rows that share an id are judged one by one. Other columns
+    are ignored; an empty table gives no rows.
+    """
+    described, classes, roots = _connected(documents, rounds, hot)
+    least = roots.join(classes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("least"))
+    groups = roots.join(least, "root").select("node", "least")
     # One row per class, so the classes of many copies are split by the skew join.
     of_class = classes.select("node", "doc_id").join(groups, "node", "left").select("node", F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("least"))
     out = described.join(of_class, "node", "left")
@@ -272,10 +305,21 @@ def near_duplicates(documents: DataFrame, rounds: int = 3, hot: int = HOT) -> Da
                       "text_hash")
 
 
-def keep_one_of_each(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents``, all columns as they are, that ``near_duplicates`` keeps; rows that
-    repeat both id and text stay once."""
-    kept = near_duplicates(documents).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+def keep_one_of_each(documents: DataFrame, rounds: int = 3, hot: int = HOT) -> DataFrame:
+    """The rows of ``documents``, all columns as they are, less all but one of each group of near duplicates.
+
+    The row of the least doc_id stays, a null id only if the group has no other, and of the rows of that id the one of the least text
+    hash; rows that repeat both id and text stay once. Null and empty texts, and others without a word, stand alone and stay (once, if
+    id and text repeat). Columns of any other names pass through; an empty table gives no rows.
+    """
+    described, _, roots = _connected(documents, rounds, hot)
+    alone = described.where("node is null").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    # A row per class first, so that a class of many copies is one row in the join.
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    firsts = described.where("node is not null").groupBy("node").agg(F.min(order).alias("first"))
+    group = F.coalesce("root", "node")
+    chosen = firsts.join(roots, "node", "left").groupBy(group.alias("group")).agg(F.min("first").alias("first"))
+    kept = chosen.select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash")).unionAll(alone).distinct()
     rows = documents.withColumn("__text_hash", F.xxhash64("text"))
     stay = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi")
     return stay.dropDuplicates(["doc_id", "__text_hash"]).select(*documents.columns)

@@ -9,6 +9,7 @@ from clerkwise.llm import registry
 from clerkwise.llm.blocks import block_pairs
 from clerkwise.llm.components import components
 from clerkwise.llm.contamination import contamination, drop_contaminated
+from clerkwise.llm.frames import join_one
 from clerkwise.llm.line_windows import drop_repeated_lines
 from clerkwise.llm.near_duplicates import keep_one_of_each, near_duplicates
 from clerkwise.llm.passages import drop_repeated_passages
@@ -78,6 +79,26 @@ def test_passages(spark, docs, none):
     assert rows(got, "doc_id", "n_removed") == [(1, 0), (1, 0), (2, 3), (None, 0)]
 
 
+def test_passages_of_repeated_ids(spark):
+    """Every row is a document of its id: 20 loses what also starts in 9, whichever texts id 5 has besides."""
+    a, b = " ".join(f"a{k}" for k in range(8)), " ".join(f"b{k}" for k in range(8))
+    for one, two in ((a, b), (b, a)):
+        odd = [(5, one), (5, two), (9, two), (20, f"x {two} y"), (20, f"{one} z"), (30, "u v w"), (30, "u v w"), (31, "u v w")]
+        got = drop_repeated_passages(spark.createDataFrame(odd, "doc_id int, text string"), 3, 2)
+        assert sorted(tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()) == sorted(brute.passages(odd, 3))
+    many = [(i % 4, t) for i, (_, t) in enumerate(DOCS)] + [(7, t) for _, t in DOCS[:20]]
+    got = drop_repeated_passages(spark.createDataFrame(many, "doc_id int, text string").repartition(3), 4, 2)
+    assert sorted(tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()) == sorted(brute.passages(many, 4))
+
+
+def test_joins_deal_out_hot_keys(spark):
+    rows_ = spark.range(60_000).selectExpr("if(id % 3 = 0, -1, id % 500) AS key", "id AS x", "'r' AS name")
+    ones = rows_.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.max("x").alias("greatest"))
+    got = join_one(rows_.withColumn("__part", F.lit("own")).drop("__part"), ones, "key").agg(
+        F.count(F.lit(1)), F.countDistinct("x"), F.sum(F.expr("if(greatest >= x, 1, 0)"))).first()
+    assert tuple(got) == (60_000, 60_000, 60_000)
+
+
 def test_substrings(spark, docs, none):
     for length, seed, levels in ((12, 4, (4, 2, 1)), (20, 7, (8, 1))):
         got = drop_repeated_bytes(docs, length, seed, levels)
@@ -102,6 +123,17 @@ def test_near_duplicates(spark, docs, none):
     assert sorted(str(r["doc_id"]) for r in keep_one_of_each(odd).collect()) == ["3", "4", "None"]
 
 
+def test_one_row_of_each_group_stays(spark):
+    words = [f"w{k}" for k in range(120)]
+    near = [" ".join([*words[:k], "edit", *words[k:]]) for k in (3, 60, 110)]
+    odd = [(None, t) for t in near] + [(7, "other text of five words"), (7, "Other text of five words"), (None, ""), (None, None), (8, "")]
+    frame = spark.createDataFrame([(i, t, "n", 1) for i, t in odd], "doc_id int, text string, node string, root int")
+    kept = [(r["doc_id"], r["text"]) for r in keep_one_of_each(frame).collect()]
+    assert len(kept) == 5 and sum(i is None and t in near for i, t in kept) == 1 and sum(i == 7 for i, t in kept) == 1
+    assert {(None, ""), (None, None), (8, "")} <= set(kept)
+    assert keep_one_of_each(frame.limit(0)).count() == 0
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40) if i % 9] + [(100, i) for i in range(60, 90)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
