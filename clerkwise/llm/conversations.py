@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +42,10 @@ def code_of(initial: str, fault: str) -> str:
     return chr(ord("A") + INITIALS.index(initial) * len(FAULTS) + FAULTS.index(fault))
 
 
-@cache
-def arcs(code: str) -> tuple[tuple[tuple[str, int, int, int], ...], ...]:
+Arcs = tuple[tuple[tuple[str, int, int, int], ...], ...]
+
+
+def arcs(code: str) -> Arcs:
     """For each state the edits (letter, places on, state, cost) before or at a row of this code, in the order of their letters."""
     initial, fault = divmod(ord(code) - ord("A"), len(FAULTS))
     late = int(FAULTS[fault] == "truncated")
@@ -62,10 +63,9 @@ def arcs(code: str) -> tuple[tuple[tuple[str, int, int, int], ...], ...]:
     return tuple(out)
 
 
-@cache
-def least_cost(code: str) -> int:
-    """What a row costs at least, whatever stands before it."""
-    return min(cost for state in arcs(code) for _, on, _, cost in state if on)
+ARCS: dict[str, Arcs] = {c: arcs(c) for c in (code_of(i, f) for i in INITIALS for f in FAULTS)}
+# What a row costs at least, whatever stands before it.
+LEAST = {c: min(cost for state in found for _, on, _, cost in state if on) for c, found in ARCS.items()}
 
 
 class Lattice:
@@ -77,7 +77,7 @@ class Lattice:
 
     def __init__(self, codes: str, exits: list[int], last: bool, states: tuple[int, ...] = (0, 1, 2, 3)) -> None:
         self.size, self.exits = len(codes), exits
-        self.rows = [arcs(c) for c in codes]
+        self.rows = [ARCS[c] for c in codes]
         self.rows.append(tuple((("I", 0, NEXT[q], INSERT),) if last else () for q in range(STATES)))
         # A feasible start: the rows' least costs and the least exit. States that cannot reach the end never become cheaper.
         floor = min(exits)
@@ -85,7 +85,7 @@ class Lattice:
         for place in range(self.size, -1, -1):
             for q in states:
                 self.price[STATES * place + q] = floor
-            floor += least_cost(codes[place - 1]) if place else 0
+            floor += LEAST[codes[place - 1]] if place else 0
 
     def auction(self, state: int) -> int:
         """Raise prices until the path from ``state`` at the start reaches the end; returns its cost."""

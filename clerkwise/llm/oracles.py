@@ -151,3 +151,71 @@ WITH v AS (
 )
 SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
 """
+
+
+def _fits(said: str, initial: str) -> str:
+    return f"(({initial} = 's' AND {said} = '') OR ({initial} = 'u' AND {said} <> 'u') OR ({initial} = 'a' AND {said} = 'u'))"
+
+
+# The cheapest edits by a recursion over the rows: for each conversation and last initial the least (cost, audit) so far. Two inserts before a
+# row are enough: a third brings the walk back to the initial that one insert reaches.
+REPAIR = f"""
+WITH RECURSIVE hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k
+  FROM conversations
+), dealt AS (
+  SELECT conv_id, turn, role, text, ({crc32("k")}) % 20 AS kind FROM hashed
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM dealt, range(0, 2) AS t(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth, substr(role, 1, 1) AS initial,
+         trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+  FROM damaged
+), judged AS (
+  SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY nth) > 1 THEN 'duplicate'
+                 WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY nth) || initial AS pair
+  FROM placed
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM judged GROUP BY 1
+), walk AS (
+  SELECT conv_id, n, 0::BIGINT AS step, '' AS said, 0::BIGINT AS cost, '' AS audit FROM counted
+  UNION ALL
+  SELECT * FROM (
+    SELECT x.conv_id, x.n, x.step + 1 AS step, CASE letter WHEN 'D' THEN x.said WHEN 'K' THEN initial WHEN 'R' THEN CASE WHEN x.said = 'u' THEN 'a' ELSE 'u' END END AS said,
+           x.cost + CASE letter WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN letter <> 'D' AND fault = 'truncated' THEN 1 ELSE 0 END AS cost,
+           x.audit || letter AS audit
+    FROM (SELECT conv_id, n, step, cost + 2 * k AS cost, audit || repeat('I', k) AS audit,
+                 CASE k WHEN 0 THEN said WHEN 1 THEN CASE WHEN said = 'u' THEN 'a' ELSE 'u' END ELSE CASE WHEN said = 'u' THEN 'u' ELSE 'a' END END AS said
+          FROM walk, range(0, 3) AS t(k)) x
+    JOIN judged j ON x.conv_id IS NOT DISTINCT FROM j.conv_id AND j.nth = x.step + 1, (VALUES ('D'), ('K'), ('R')) AS l(letter)
+    WHERE letter = 'D' OR (fault IN ('none', 'truncated') AND (letter = 'R' OR {_fits("x.said", "initial")}))
+  ) QUALIFY row_number() OVER (PARTITION BY conv_id, said ORDER BY cost, audit) = 1
+), best AS (
+  SELECT conv_id, cost + 2 * k AS cost, audit || repeat('I', k) AS audit
+  FROM walk, range(0, 3) AS t(k)
+  WHERE step = n AND CASE k WHEN 0 THEN said IN ('', 'a') WHEN 1 THEN said = 'u' ELSE said = 's' END
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost + 2 * k, audit || repeat('I', k)) = 1
+), letters AS (
+  SELECT conv_id, unnest(string_split(audit, '')) AS letter, unnest(range(1, strlen(audit) + 1)) AS p FROM best WHERE audit <> ''
+), steps AS (
+  SELECT *, sum((letter <> 'I')::INT) OVER w AS nth, sum((letter <> 'D')::INT) OVER w AS place FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY p)
+), turns AS (
+  SELECT s.conv_id, s.place, s.letter, j.role, CASE WHEN s.letter = 'I' THEN '' ELSE j.text END AS text,
+         coalesce(max((s.place = 1 AND s.letter = 'K' AND j.initial = 's')::INT) OVER (PARTITION BY s.conv_id), 0) AS lead
+  FROM steps s LEFT JOIN judged j ON s.conv_id IS NOT DISTINCT FROM j.conv_id AND s.nth = j.nth WHERE s.letter <> 'D'
+), said AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY place) AS whole
+  FROM turns GROUP BY 1
+), every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+       sha256(coalesce(whole, '')) AS repaired_sha256
+FROM every e LEFT JOIN counted c ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON e.conv_id IS NOT DISTINCT FROM b.conv_id
+     LEFT JOIN said s ON e.conv_id IS NOT DISTINCT FROM s.conv_id
+"""

@@ -114,6 +114,7 @@ ORACLE_SQL: dict[str, str] = {
     "op7_substring_dedup": oracles.PASSAGES,
     "op10_line_dedup": oracles.LINES,
     "op11_sharding": oracles.SHARDS,
+    "op12_conversation_repair": oracles.REPAIR,
     "op13_hard_negatives": oracles.NEGATIVES,
 }
 
