@@ -3,8 +3,8 @@
 Every task sorts the suffixes of a bounded slice of the training words (a shard) and
 binary-searches all test suffixes in it. Only suffixes that can hold a match are sorted: those
 whose first ``shortest`` words all occur in the test texts. A hit is extended to the longest
-verbatim match. Test texts travel in blocks of bounded size; more blocks mean more passes in
-the same stage, so any size of benchmark is searched whole. Nothing is shuffled.
+verbatim match. Test texts travel in blocks of bounded size; more blocks mean more passes, one after
+another, so any size of benchmark is searched whole. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clerkwise.llm.frames import written
 from clerkwise.llm.text_arrays import ALNUM, LOWER_CODES, Powers, covered, slices, span_hashes, text_bytes, word_spans
 
 SHARD_BYTES = 4 << 20
@@ -144,15 +145,15 @@ def search_shard(data: np.ndarray, offsets: np.ndarray, block: TestBlock, powers
     return count, (row, at - first[row], block.item[query], test - block.first[query], length)
 
 
-def _blocks(benchmark: DataFrame, window: int, item_id: str, text: str, block_bytes: int) -> Iterator[TestBlock]:
-    """The benchmark in blocks; each is collected by itself and is bounded by about ``block_bytes``."""
+def _blocks(benchmark: DataFrame, window: int, item_id: str, text: str, block_bytes: int) -> Iterator[tuple[TestBlock, bool]]:
+    """The benchmark in blocks and whether each is the last; each is collected by itself and is bounded by about ``block_bytes``."""
     rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).where("text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = size // block_bytes + 1
     for k in range(count):
         part = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k) if count > 1 else rows
         found = sorted(((r["item"], r["text"]) for r in part.collect()), key=lambda f: (f[0] is None, f[0] or "", f[1]))
-        yield test_block([i for i, _ in found], [t for _, t in found], window)
+        yield test_block([i for i, _ in found], [t for _, t in found], window), k == count - 1
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text",
@@ -171,11 +172,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     kind = documents.schema[doc_id].dataType.simpleString()
     frame = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"),
                              F.array().cast(MATCH).alias("matches"))
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, window, item_id, item_text, block_bytes)]
-
     def search(shared, last):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block, powers = shared.value, Powers()
+            block, powers = TestBlock(**shared.value), Powers()
             for part in slices(batches, "text", SHARD_BYTES):
                 data, offsets = text_bytes(part.column("text"))
                 words, (row, at, item, place, length) = search_shard(data, offsets, block, powers)
@@ -198,21 +197,29 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
                     ["doc_id", "n_words", "n_hit", "items", "matches"])
         return work
 
-    for k, shared in enumerate(blocks):
-        last = k == len(blocks) - 1
+    for block, last in _blocks(benchmark, window, item_id, item_text, block_bytes):
+        shared = spark.sparkContext.broadcast(vars(block))
         schema = f"doc_id {kind}, n_words bigint, n_hit bigint, items array<string>, matches {MATCH}" if last else f"doc_id {kind}, text string, matches {MATCH}"
         frame = frame.mapInArrow(search(shared, last), schema)
+        if not last:
+            # One pass after another, so that only one block is held at a time.
+            frame = written(frame, "searched")
+            shared.destroy()
     return frame
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text",
                       item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``documents``, all columns as they are, that hold no window of a benchmark item."""
+    """The rows of ``documents``, all columns as they are, that hold no window of a benchmark item.
+
+    Null and empty texts hold none and stay; null and repeated ids make no difference, each row is judged by its text. Items of a null text are
+    not searched, items of a null id are. Columns of any other names pass through; an empty table gives no rows, and an empty benchmark takes none away.
+    """
     spark = documents.sparkSession
 
     def clean(shared):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block, powers = shared.value, Powers()
+            block, powers = TestBlock(**shared.value), Powers()
             for part in slices(batches, text, SHARD_BYTES):
                 data, offsets = text_bytes(part.column(text))
                 _, (row, *_rest) = search_shard(data, offsets, block, powers)
@@ -221,6 +228,10 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int =
                 yield part.filter(pa.array(keep))
         return work
 
-    for block in _blocks(benchmark, window, item_id, item_text, block_bytes):
-        documents = documents.mapInArrow(clean(spark.sparkContext.broadcast(block)), documents.schema)
+    for block, last in _blocks(benchmark, window, item_id, item_text, block_bytes):
+        shared = spark.sparkContext.broadcast(vars(block))
+        documents = documents.mapInArrow(clean(shared), documents.schema)
+        if not last:
+            documents = written(documents, "searched")
+            shared.destroy()
     return documents

@@ -72,17 +72,23 @@ def has_letter(column: pa.Array) -> np.ndarray:
 
 
 def fit_language(documents: DataFrame, per_language: int = 400, landmarks_per_language: int = 64,
-                 ridge: float = 1e-2) -> LanguageModel:
-    """Train on rows (doc_id, text, lang) with no null; the caller leaves out what must not be learned.
+                 ridge: float = 1e-2, most_languages: int = 256, most_texts: int = 8000, most_landmarks: int = 512) -> LanguageModel:
+    """Train on rows (doc_id, text, lang); rows with a null in these are left out, and the caller leaves out what must not be learned.
 
     At most ``per_language`` texts of each language, those whose id hashes lowest, are used, and
-    of each text only the occupied n-gram slots reach the driver.
+    of each text only the occupied n-gram slots reach the driver. Of more than ``most_languages`` languages the most frequent are
+    learned (ties by name); with many languages each has fewer texts and landmarks, so that there are about ``most_texts`` and
+    ``most_landmarks`` of them (256 KB a landmark) whatever the table holds. Of rows that repeat an id and a language one text is learned from; an empty table gives a model
+    that knows no language.
     """
     rows = documents.where("doc_id is not null and text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    frequent = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(most_languages)
+    counts = {r["lang"]: r["n"] for r in frequent.collect()}
     languages = tuple(sorted(counts))
     if not languages:
         return LanguageModel((), np.zeros((DIMS, 0), np.float32))
+    per_language = max(1, min(per_language, most_texts // len(languages)))
+    landmarks_per_language = max(1, min(landmarks_per_language, most_landmarks // len(languages)))
     # Every language keeps the ids below a threshold of its own; the few too many are cut on arrival.
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.5 * per_language / n)))])
     place = (F.xxhash64("doc_id") / F.lit(float(1 << 63)) + 1) / 2
@@ -94,7 +100,7 @@ def fit_language(documents: DataFrame, per_language: int = 400, landmarks_per_la
         return pa.RecordBatch.from_arrays([part.column("lang"), part.column("place"), pa.array(found, pa.binary())],
                                           ["lang", "place", "slots"])
 
-    sample = map_texts(picked, slots, "lang string, place double, slots binary").collect()
+    sample = map_texts(picked, slots, "lang string, place double, slots binary").groupBy("lang", "place").agg(F.min("slots").alias("slots")).collect()
     by_language = {k: sorted((r["place"], bytes(r["slots"])) for r in sample if r["lang"] == k)[:per_language] for k in languages}
     texts = [(np.frombuffer(b, "<u2"), j) for j, k in enumerate(languages) for _, b in by_language[k] if b]
     marks = [s for j, k in enumerate(languages) for s in [np.frombuffer(b, "<u2") for _, b in by_language[k] if b][:landmarks_per_language]]
@@ -119,11 +125,11 @@ def identify_language(documents: DataFrame, model: LanguageModel, keep: tuple[st
     names cannot clash; repeated rows give repeated results; an empty table gives none.
     """
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast((model.languages, model.weights))
     columns = [f for f in documents.schema.fields if f.name in keep]
 
     def score(part: pa.RecordBatch) -> pa.RecordBatch:
-        languages, weights = shared.value.languages, shared.value.weights
+        languages, weights = shared.value
         text = part.column("text")
         known = has_letter(text) & bool(languages)
         data, offsets = _lowered(text)

@@ -115,7 +115,9 @@ def fit_quality(documents: DataFrame, labels: DataFrame, rows: int = 60000, feat
 
     ``rows`` bounds the labelled rows that are used (ids with the lowest hashes). Sums for the
     scaling, the normal equations and the calibration bins are made by partition; what reaches
-    the driver is a few matrices of ``features`` squared per partition of the sample.
+    the driver is a few matrices of ``features`` squared per partition of the sample. Null ids and labels are not learned from; of an id's
+    labels the greatest counts, and of rows that repeat an id one text (that of the least statistics); a null text counts as empty; other columns are
+    ignored; without any label the model scores 0.5.
     """
     spark = documents.sparkSession
     labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -126,10 +128,12 @@ def fit_quality(documents: DataFrame, labels: DataFrame, rows: int = 60000, feat
     def measure(part: pa.RecordBatch) -> pa.RecordBatch:
         stats = statistics(part, Powers())
         lists = pa.FixedSizeListArray.from_arrays(pa.array(stats.reshape(-1)), width_of).cast(pa.list_(pa.float64()))
-        return pa.RecordBatch.from_arrays([part.column("quality"), lists], ["quality", "stats"])
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), lists], ["doc_id", "quality", "stats"])
 
-    # A few numbers for each labelled row, at most ``rows`` of them: read once, used three times.
-    known = map_texts(joined, measure, "quality int, stats array<double>").repartition(8).persist()
+    # A few numbers for each labelled id, at most ``rows`` of them: read once, used three times.
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    known = (map_texts(joined, measure, f"doc_id {kind}, quality int, stats array<double>").groupBy("doc_id", "quality").agg(F.min("stats").alias("stats"))
+             .select("quality", "stats").repartition(8).persist())
 
     def summed(make, shape):
         """Element-wise sum of ``make(quality, stats)`` over all rows, one partial sum a partition."""
@@ -182,14 +186,14 @@ def score_quality(documents: DataFrame, model: QualityModel, keep: tuple[str, ..
     columns are ignored, so their names cannot clash; repeated rows give repeated results; an
     empty table gives none. A model without any label scores 0.5.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = documents.sparkSession.sparkContext.broadcast(vars(model))
     columns = [f for f in documents.schema.fields if f.name in keep]
     powers = []
 
     def score(part: pa.RecordBatch) -> pa.RecordBatch:
         if not powers:
             powers.append(Powers())
-        value = shared.value.score(statistics(part, powers[0]))
+        value = QualityModel(**shared.value).score(statistics(part, powers[0]))
         return pa.RecordBatch.from_arrays(
             [*[part.column(f.name) for f in columns], pa.array(value), pa.array((value >= threshold).astype(np.int32))],
             [*[f.name for f in columns], "score", "predicted"])
@@ -199,13 +203,17 @@ def score_quality(documents: DataFrame, model: QualityModel, keep: tuple[str, ..
 
 
 def keep_good(documents: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``documents``, all columns as they are, whose score reaches ``threshold``."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    """The rows of ``documents``, all columns as they are, whose score reaches ``threshold``.
+
+    Only the text decides: null ids make no difference, a null text counts as empty, equal texts go or stay together. Columns of any
+    other names pass through; an empty table gives no rows.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(vars(model))
     powers = []
 
     def good(part: pa.RecordBatch) -> pa.RecordBatch:
         if not powers:
             powers.append(Powers())
-        return part.filter(pa.array(shared.value.score(statistics(part, powers[0])) >= threshold))
+        return part.filter(pa.array(QualityModel(**shared.value).score(statistics(part, powers[0])) >= threshold))
 
     return map_texts(documents, good, documents.schema)

@@ -62,20 +62,23 @@ def word_slots(part: pa.RecordBatch, powers: Powers) -> tuple[np.ndarray, np.nda
 
 
 def fit_toxicity(documents: DataFrame, labels: DataFrame, positives: int = 2500, unlabelled: int = 6000, words: int = 800,
-                 prior: float | None = None, steps: int = 400) -> ToxicityModel:
+                 prior: float | None = None, steps: int = 400, pool: DataFrame | None = None) -> ToxicityModel:
     """Train on texts (doc_id, text) with labels (doc_id, toxic) that may be read.
 
     ``positives`` and ``unlabelled`` bound the training sample; ids with the lowest hashes are
-    taken. ``prior`` is the share of toxic texts; by default the share among the labelled rows.
-    The labels of unlabelled texts are not looked at. Without a confirmed toxic text every text scores 0.
+    taken. The unlabelled texts are drawn from ``pool`` (doc_id), by default the rows of ``labels``; their labels are not looked at.
+    ``prior`` is the share of toxic texts in the pool; by default the share among the labelled rows, so give both or neither.
+    Without a confirmed toxic text every text scores 0. Null ids are not learned from; a null text counts as empty; of an id's labels the
+    greatest counts, and of rows that repeat an id one text (that of the least word slots); other columns are ignored.
     """
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = labels.agg(F.count(F.lit(1)), F.sum((F.col("toxic") == 1).cast("long"))).first()
     if not toxic:
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), -8.0)
     prior = min(max(prior or toxic / n, 1e-4), 0.9)
+    unseen = labels.select("doc_id") if pool is None else pool.where("doc_id is not null").select("doc_id").distinct()
     chosen = (bounded_sample(labels.where("toxic = 1").select("doc_id"), positives).withColumn("role", F.lit(1))
-              .union(bounded_sample(labels.select("doc_id"), unlabelled).withColumn("role", F.lit(0))))
+              .union(bounded_sample(unseen, unlabelled).withColumn("role", F.lit(0))))
     # Both samples are bounded by their row counts, so this side may be lent to every task.
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
@@ -84,9 +87,11 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, positives: int = 2500,
         once = np.unique(row * SLOTS + found)
         edge = np.searchsorted(once, np.arange(part.num_rows + 1) * SLOTS)
         lists = [(once[a:b] % SLOTS).astype("<u4").tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([part.column("role"), pa.array(lists, pa.binary())], ["role", "slots"])
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("role"), pa.array(lists, pa.binary())], ["doc_id", "role", "slots"])
 
-    sample = sorted((r["role"], bytes(r["slots"])) for r in map_texts(rows, slots, "role int, slots binary").collect())
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    found = map_texts(rows, slots, f"doc_id {kind}, role int, slots binary").groupBy("doc_id", "role").agg(F.min("slots").alias("slots"))
+    sample = sorted((r["role"], bytes(r["slots"])) for r in found.select("role", "slots").collect())
     role = np.array([r for r, _ in sample])
     texts = [np.frombuffer(b, "<u4").astype(np.int64) for _, b in sample]
     df = {k: np.bincount(np.concatenate([t for t, r in zip(texts, role, strict=True) if r == k] or [np.zeros(0, np.int64)]), minlength=SLOTS) for k in (0, 1)}
@@ -136,21 +141,21 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, keep: tuple[str,
     Other input columns are ignored, so their names cannot clash; repeated rows give repeated
     results; an empty table gives none.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = documents.sparkSession.sparkContext.broadcast((model.slots, model.weights, model.bias))
     columns = [f for f in documents.schema.fields if f.name in keep]
     powers = []
 
     def score(part: pa.RecordBatch) -> pa.RecordBatch:
-        model = shared.value
+        slots, weights, bias = shared.value
         if not powers:
             powers.append(Powers())
         found, row = word_slots(part, powers[0])
-        value = np.full(part.num_rows, model.bias)
-        if len(model.slots):
-            place = np.minimum(np.searchsorted(model.slots, found), len(model.slots) - 1)
-            hit = np.flatnonzero(model.slots[place] == found)
-            once = np.unique(row[hit] * len(model.slots) + place[hit])
-            np.add.at(value, once // len(model.slots), model.weights[once % len(model.slots)])
+        value = np.full(part.num_rows, bias)
+        if len(slots):
+            place = np.minimum(np.searchsorted(slots, found), len(slots) - 1)
+            hit = np.flatnonzero(slots[place] == found)
+            once = np.unique(row[hit] * len(slots) + place[hit])
+            np.add.at(value, once // len(slots), weights[once % len(slots)])
         chance = 1 / (1 + np.exp(-np.clip(value, -30, 30)))
         return pa.RecordBatch.from_arrays(
             [*[part.column(f.name) for f in columns], pa.array(chance), pa.array((chance >= 0.5).astype(np.int32))],

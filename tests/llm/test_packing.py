@@ -68,3 +68,33 @@ def test_both_encoders_agree():
     fast, slow = Encoder(**words), Encoder(words["tokenizer"], None, None)
     for t in [*texts(3), "I'm we'll don't 'sa  \n\n  x\t\ty 123abc--?!", " lead", "trail  ", "Ünïcödé ñandú", " nbsp\u0085nel"]:
         assert fast.ids(t or "").tolist() == slow.ids(t or "").tolist()
+
+
+def test_both_encoders_agree_on_a_whole_table(spark):
+    words = vocabulary()
+    fast, slow = Encoder(**words), Encoder(words["tokenizer"], None, None)
+    for name in ("documents", "conversations", "benchmark"):
+        for r in spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet").select("text").collect():
+            assert fast.ids(r["text"] or "").tolist() == slow.ids(r["text"] or "").tolist()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_every_sequence_is_the_fullest_possible(seed):
+    """By all sums of the lengths that are left, one sequence after the other."""
+    rnd = np.random.default_rng(seed)
+    counts = np.zeros(41, dtype=np.int64)
+    np.add.at(counts, rnd.integers(1, 41, 25), rnd.integers(1, 9, 25))
+    left = counts.copy()
+    for pattern, times in plan_sequences(counts, 40):
+        for _ in range(times):
+            longest = int(np.flatnonzero(left).max())
+            sums = {longest}
+            rest = left.copy()
+            rest[longest] -= 1
+            for n in np.flatnonzero(rest).tolist():
+                for _ in range(int(rest[n])):
+                    sums |= {s + n for s in sums if s + n <= 40}
+            assert pattern[0][0] == longest and sum(n * c for n, c in pattern) == max(sums)
+            for n, c in pattern:
+                left[n] -= c
+    assert not left.any()
