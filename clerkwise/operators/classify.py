@@ -11,7 +11,8 @@ from clerkwise.functions.literals import string_array, string_literal
 from clerkwise.functions.once import compute_once
 from clerkwise.functions.predicates import empty
 from clerkwise.functions.scores import classification_confidence
-from clerkwise.operators.rules import Rule, as_rules, lookup
+from clerkwise.operators.rule_search import classify_by_table, with_attributes
+from clerkwise.operators.rules import Rule, as_rules, fits_literals, lookup
 
 # Up to this many keywords the test is unrolled into generated code; beyond it
 # the rules travel as array literals and are walked by higher-order functions.
@@ -27,8 +28,11 @@ def classify(df: DataFrame, rules: DataFrame | list[Rule], text: str = "text",
 
     A keyword counts when it is a substring of the lower-cased text (column
     ``lowered`` if there is one already). Most hits win; on a tie the rule that
-    comes first. No hit means ``other``.
+    comes first. No hit means ``other``. A rule table that is too large for the plan is searched as a
+    table (``classify_by_table``).
     """
+    if isinstance(rules, DataFrame) and not fits_literals(rules):
+        return classify_by_table(df, rules, text, lowered, keywords)
     rules = [r for r in as_rules(rules) if r.keywords]
     base = df.withColumn("__low", F.col(lowered) if lowered else F.lower(F.coalesce(F.col(text), F.lit(""))))
     if not rules:
@@ -103,15 +107,21 @@ def _with_result(df: DataFrame) -> DataFrame:
 
 def route(df: DataFrame, rules: DataFrame | list[Rule], doc_type: str = "doc_type") -> DataFrame:
     """Add department from the rule of the type, the fallback rule if unknown."""
+    if isinstance(rules, DataFrame) and not fits_literals(rules):
+        return with_attributes(df, rules, ["department"], doc_type).withColumnRenamed("__rule_department", "department")
     return df.withColumn("department", lookup(as_rules(rules), doc_type, "department"))
 
 
 def validate(df: DataFrame, rules: DataFrame | list[Rule], doc_type: str = "doc_type",
              fields: str = "extracted_fields") -> DataFrame:
     """Add missing_fields and validation_errors."""
-    required = lookup(as_rules(rules), doc_type, "required_fields")
+    table = isinstance(rules, DataFrame) and not fits_literals(rules)
+    if table:
+        df = with_attributes(df, rules, ["required_fields"], doc_type)
+    required = F.col("__rule_required_fields") if table else lookup(as_rules(rules), doc_type, "required_fields")
     out = compute_once(df, {"missing_fields": missing_fields(F.col(fields), required)})
-    return compute_once(out, {"validation_errors": validation_errors(F.col(fields), F.col("missing_fields"))})
+    out = compute_once(out, {"validation_errors": validation_errors(F.col(fields), F.col("missing_fields"))})
+    return out.drop("__rule_required_fields")
 
 
 def missing_fields(fields: Column, required: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clerkwise.functions.codec import wants_mail
 from clerkwise.functions.dates import money
-from clerkwise.operators.workflows import compose_mail
+from clerkwise.operators.workflows import compose_mail, hint_wish, template_offers, with_template
 
 # Template name hints, statuses that trigger a mail, and the
 # document id of account mails.
@@ -55,20 +55,13 @@ def fill(pattern: str, values: dict[str, Column]) -> Column:
     return F.concat(*parts)
 
 
-def first_template(templates: DataFrame, hint: str) -> DataFrame:
-    """The first template by name whose name contains the hint (no or one row)."""
-    fits = templates.filter(F.contains(F.lower("name"), F.lit(hint.lower())))
-    return fits.orderBy("name", "id").limit(1).select(
-        F.lit(hint).alias("__hint"), F.col("id").alias("template_id"), F.col("name").alias("template_name"),
-        "template_body")
-
-
 def auto_mail(docs: DataFrame, templates: DataFrame, as_of: Column) -> DataFrame:
     """Acknowledgment for every document, a request when fields are missing, and
     a status update for four statuses, each from its template.
 
-    One pass: a document explodes into the mails it is due, and the three
-    one-row templates are broadcast.
+    The template is the first by name that contains the hint, among those of the document's workspace and the global
+    ones; a document without a workspace sees all. One pass: a document explodes into the mails it is due, and the
+    templates, one for each hint and scope, are looked up.
     """
     due = F.array_compact(F.array(
         F.struct(F.lit("acknowledgment").alias("type"), F.lit(ACKNOWLEDGMENT).alias("hint")),
@@ -77,10 +70,8 @@ def auto_mail(docs: DataFrame, templates: DataFrame, as_of: Column) -> DataFrame
         F.when(F.col("status").isin(*NOTIFY_STATUSES),
                F.struct(F.lit("status_update").alias("type"), F.lit(STATUS_UPDATE).alias("hint")))))
     wanted = docs.withColumn("__due", F.explode(due))
-    chosen = first_template(templates, ACKNOWLEDGMENT)
-    for hint in (MISSING_INFO, STATUS_UPDATE):
-        chosen = chosen.unionByName(first_template(templates, hint))
-    joined = wanted.join(F.broadcast(chosen), F.col("__due.hint") == F.col("__hint"), "inner")
+    hints = wanted.sparkSession.createDataFrame([(hint_wish(h),) for h in (ACKNOWLEDGMENT, MISSING_INFO, STATUS_UPDATE)], "wish string")
+    joined = with_template(wanted.withColumn("__wish", F.concat(F.lit("hint "), F.col("__due.hint"))), template_offers(hints, templates))
     mailed = compose_mail(joined)
     return mailed.select(
         F.col("id").alias("document_id"), F.col("__due.type").alias("email_type"), "workspace_id",

@@ -119,8 +119,16 @@ def rule_key_order(rules: DataFrame) -> DataFrame:
     return rules.orderBy(F.col("doc_type") == "other", "doc_type")
 
 
+def fits_literals(rules: DataFrame) -> bool:
+    """Whether the table is small enough to travel inside the plan; reads at most one row more than that."""
+    some = rules.select("keywords").limit(RULE_TABLE_MAX_ROWS + 1)
+    rows, size = some.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.array_join("keywords", ""))), F.lit(0))).first()
+    return rows <= RULE_TABLE_MAX_ROWS and size <= RULE_TABLE_MAX_BYTES
+
+
 def rule_list(rules: DataFrame) -> list[Rule]:
-    """The rule table as literals for the plan, behind a size check."""
+    """The rule table as literals for the plan, behind a size check. Larger tables are for ``classify``, ``route``,
+    ``validate`` and ``process_documents``, which read them as tables."""
     rows = rules.limit(RULE_TABLE_MAX_ROWS + 1).collect()
     size = sum(len(k) for r in rows for k in r["keywords"])
     if len(rows) > RULE_TABLE_MAX_ROWS or size > RULE_TABLE_MAX_BYTES:

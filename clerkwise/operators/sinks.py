@@ -45,8 +45,10 @@ def write_export(metadata: DataFrame, content: DataFrame, path: str, run: str) -
 
 
 def last_run(df: DataFrame, key: str) -> DataFrame:
-    """Of rows written by several runs the ones of each key's last run, in order of the run's name."""
-    return df.join(df.groupBy(F.col(key).alias("__key")).agg(F.max("run").alias("__run")),
+    """Of rows written by several runs the ones of each key's last run: runs named by numbers in their order, after all
+    others, and those in the order of their names (times as ISO text sort so)."""
+    order = F.struct(F.col("run").try_cast("decimal(38,0)").alias("number"), F.col("run").alias("name"))
+    return df.join(df.groupBy(F.col(key).alias("__key")).agg(F.max(order)["name"].alias("__run")),
                    F.col(key).eqNullSafe(F.col("__key")) & (F.col("run") == F.col("__run")), "left_semi")
 
 

@@ -18,7 +18,7 @@ from clerkwise.functions.once import compute_once
 from clerkwise.functions.predicates import TO_ASSIGN, transition_allowed
 from clerkwise.functions.rendering import event_context, letter_context, recipient, render
 from clerkwise.functions.text import strip
-from clerkwise.session import broadcast_if_small
+from clerkwise.session import BROADCAST_MAX_ROWS, broadcast_if_small
 
 # Fields a rule may filter on.
 FILTER_FIELDS = ("doc_type", "department", "status", "urgency", "source_channel")
@@ -61,6 +61,47 @@ def live_rules(rules: DataFrame, trigger: str | None) -> DataFrame:
     return live.withColumn("scope", F.coalesce("workspace_id", F.lit(GLOBAL))).drop("workspace_id")
 
 
+# Entries of one rule in the index, at most; filters that would make more are checked after the lookup.
+MOST_ENTRIES = 64
+INDEXED = (*FILTER_FIELDS, "confidence")
+
+
+def _tenth(score: Column) -> Column:
+    """Tenth of a confidence, 0 to 10, as text. It never falls as the score grows; what is not a number counts as the greatest."""
+    return F.when(score.isNotNull(), F.floor(F.least(F.greatest(score * 10, F.lit(0.0)), F.lit(10.0))).cast("string"))
+
+
+def index_rules(parsed: DataFrame, most: int = MOST_ENTRIES) -> DataFrame:
+    """One row for each entry of each rule: ``shape`` says which filters the entry spells out, ``key_*`` with which values.
+
+    A rule is entered once for every combination of the values that its filters allow, a bound on the confidence counting as the tenths it covers. A
+    document that it matches has exactly one of them. A rule that allows no value has no entry.
+    """
+    low, high = F.col("want_min_confidence"), F.col("want_max_confidence")
+    tenths = F.sequence(F.coalesce(_tenth(low), F.lit("0")).cast("int"), F.coalesce(_tenth(high), F.lit("10")).cast("int"))
+    allowed = {name: F.array_distinct(F.filter(f"want_{name}", lambda v: v.isNotNull())) for name in FILTER_FIELDS}
+    allowed["confidence"] = F.when(low.isNotNull() | high.isNotNull(), F.transform(tenths, lambda t: t.cast("string")))
+    out = compute_once(parsed, {f"__all_{name}": values for name, values in allowed.items()} | {"__n": F.lit(1).cast("long")})
+    for name in INDEXED:
+        values = F.col(f"__all_{name}")
+        more = F.col("__n") * F.size(values)
+        taken = F.coalesce(more <= most, F.lit(False))
+        out = compute_once(out, {f"__all_{name}": F.when(taken, values), "__n": F.when(taken, more).otherwise(F.col("__n"))})
+    shape = F.concat(*[F.when(F.col(f"__all_{name}").isNull(), "0").otherwise("1") for name in INDEXED])
+    out = out.withColumn("shape", shape)
+    for name in INDEXED:
+        out = out.withColumn(f"key_{name}", F.explode(F.coalesce(f"__all_{name}", F.array(F.lit("")))))
+    return out.drop("__n", *[f"__all_{name}" for name in INDEXED])
+
+
+def _lookups(shapes: list[str]) -> Column:
+    """The index entries in which a document may find rules: one for each shape in use."""
+    own = [F.coalesce(F.col(name), F.lit("")) for name in FILTER_FIELDS] + [_tenth(F.coalesce(F.col("confidence"), F.lit(0.0)))]
+    return F.array(*[
+        F.struct(F.lit(shape).alias("shape"), *[(value if bit == "1" else F.lit("")).alias(f"key_{name}") for name, bit, value in zip(INDEXED, shape, own, strict=True)])
+        for shape in shapes])
+
+
 def first_rules(live: DataFrame, limit: int) -> DataFrame:
     """Only the first ``limit`` rules by id that a workspace sees, its own and the global ones together."""
     own, shared = live.filter(F.col("scope") != GLOBAL), live.filter(F.col("scope") == GLOBAL).orderBy("id").limit(limit)
@@ -87,15 +128,16 @@ def status_trigger() -> Column:
 
 
 def matched_actions(docs: DataFrame, rules: DataFrame, trigger: str | None, keep: list[str],
-                    limit: int | None = None) -> DataFrame:
+                    limit: int | None = None, small: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """One row per document, matching rule and action, with the ``keep`` columns
     of the document. All rules apply; ``limit`` bounds those a workspace sees, if given. Without a ``trigger`` each
     document has that of its status.
 
-    ``rules`` are raw rule rows. A document is looked up under its workspace and under the global
-    scope; the join is an equi join on that scope with the filters as its condition. The rules are
-    broadcast when their size in bytes is measured to be small; otherwise both
-    sides shuffle on the scope and AQE splits a hot one.
+    ``rules`` are raw rule rows. They are read through an index (``index_rules``): a document looks up one entry for each
+    scope, its workspace and the global one, and each shape of filters in use (at most 64, a handful in practice), so what is compared
+    stays near what matches, however many rules there are. The join is an equi join on scope, shape and values. The index is
+    broadcast when it is measured to be small (at most ``small`` rows, and bounded in bytes); otherwise both
+    sides shuffle on the entry and AQE splits a hot one.
     """
     live = live_rules(rules, trigger)
     needed = list(dict.fromkeys([*keep, "id", "workspace_id", "confidence", *FILTER_FIELDS]))
@@ -107,11 +149,16 @@ def matched_actions(docs: DataFrame, rules: DataFrame, trigger: str | None, keep
         owners = live.select(F.col("scope").alias("__scope")).filter(F.col("__scope") != GLOBAL).distinct()
         placed = docs.select(*needed).join(broadcast_if_small(owners), F.col("workspace_id") == F.col("__scope"), "left").withColumn(
             "__scope", F.coalesce("__scope", F.lit(GLOBAL)))
-    scoped = broadcast_if_small(parse_rules(live))
+    indexed = index_rules(parse_rules(live))
+    # At most one for each set of filters.
+    shapes = sorted(r["shape"] for r in indexed.select("shape").distinct().collect()) or ["0" * len(INDEXED)]
+    placed = placed.withColumn("__at", F.explode(_lookups(shapes)))
     own = F.col("__scope") == F.col("scope")
+    for name in ("shape", *[f"key_{name}" for name in INDEXED]):
+        own = own & (F.col(f"__at.{name}") == F.col(name))
     if trigger is None:
         own = own & (status_trigger() == F.col("trigger_event"))
-    pairs = placed.join(scoped, own & _matches(), "inner")
+    pairs = placed.join(broadcast_if_small(indexed, small), own & _matches(), "inner")
     actions = pairs.select(*keep, F.col("id").alias("document_id"), "rule_id", "rule_name",
                            F.posexplode("actions").alias("pos", "action"))
     nothing = F.from_json(F.lit("{}"), "map<string,string>")
@@ -130,87 +177,121 @@ def match_workflows(docs: DataFrame, rules: DataFrame, trigger: str,
 class WorkflowEffects:
     """Effects of one pass, each a DataFrame built when it is asked for.
 
-    ``acted`` comes from ``matched_actions`` with the document columns kept, so
-    the documents are not joined again. Persist it when more than one effect is
-    written.
+    ``acted`` comes from ``matched_actions`` with the document columns kept, so the documents are not joined again, and every
+    effect reads it once: an action has at most one effect, whose columns stand in its own row (``effect_rows``). ``stored`` writes these
+    rows and reads all effects from there, for when more than one is wanted.
     """
 
-    def __init__(self, acted: DataFrame, templates: DataFrame, workspaces: DataFrame, trigger: str | None,
-                 as_of: Column, actor: str = "system"):
-        self.acted, self.templates, self.workspaces = acted, templates, workspaces
+    def __init__(self, acted: DataFrame, rules: DataFrame, templates: DataFrame, workspaces: DataFrame, trigger: str | None,
+                 as_of: Column, actor: str = "system", kept: DataFrame | None = None):
+        self.acted, self.rules, self.templates, self.workspaces = acted, rules, templates, workspaces
+        self.given, self.as_of, self.actor, self.kept = trigger, as_of, actor, kept
         self.trigger = status_trigger() if trigger is None else F.lit(trigger)
-        self.as_of, self.actor = as_of, actor
 
-    @cached_property
-    def _assigned(self) -> DataFrame:
-        return assign_actions(self.acted, self.workspaces)
+    def rows(self, *kinds: str, without: tuple[str, ...] = ()) -> DataFrame:
+        """Actions of some kinds that took effect, with the columns of their effects."""
+        if self.kept is not None:
+            return self.kept.filter(F.col("action_type").isin(*kinds))
+        offers = mail_offers(self.rules, self.templates, self.given) if "send_template_email" in kinds else None
+        return effect_rows(self.acted, kinds, offers, self.workspaces, self.trigger, self.actor, self.as_of, without)
 
-    @cached_property
-    def _moved(self) -> DataFrame:
-        return transition_actions(self.acted)
-
-    @cached_property
-    def _told(self) -> DataFrame:
-        return notification_actions(self.acted.filter("action_type = 'create_notification'"), self.trigger)
-
-    @cached_property
-    def _mailed(self) -> DataFrame:
-        return email_actions(self.acted.filter("action_type = 'send_template_email'"), self.templates)
-
-    @cached_property
-    def _posted(self) -> DataFrame:
-        return webhook_actions(self.acted.filter("action_type = 'webhook_post'"), self.trigger, self.actor, self.as_of)
+    def stored(self, path: str) -> WorkflowEffects:
+        """The same effects, all read from one table at ``path`` that is written now; it replaces one that is there."""
+        made = self.rows(*EFFECTS)
+        made.write.mode("overwrite").parquet(path)
+        kept = made.sparkSession.read.schema(made.schema).parquet(path)
+        return WorkflowEffects(self.acted, self.rules, self.templates, self.workspaces, self.given, self.as_of, self.actor, kept)
 
     @cached_property
     def documents(self) -> DataFrame:
-        return changed_documents(self.acted, self.workspaces)
+        if self.kept is None:
+            return changed_documents(self.acted, self.workspaces)
+        rows = self.rows("assign", "transition")
+        return _last_writes(rows.select("document_id", "rule_id", "pos", F.col("new_assignee").alias("w_assigned_to"), F.col("new_status").alias("w_status"),
+                                        F.col("new_notes").alias("w_reviewer_notes")))
 
     @cached_property
     def audit(self) -> DataFrame:
-        event = [F.lit(" event="), self.trigger]
-
-        def say(key: str, col: str) -> list[Column]:
-            return [F.lit(f" {key}="), F.col(col).cast("string")]
-
-        parts = [
-            (self._assigned, "workflow_assigned", say("assigned_to", "new_assignee")),
-            (self._moved, "workflow_transition", say("from", "from_status") + say("to", "new_status")),
-            (self._told, "workflow_notification_created", event + say("type", "type")),
-            (self._mailed, "workflow_email_queued", say("to", "to_email") + say("template_id", "template_id")),
-            (self._posted, "workflow_webhook_queued", event + say("url", "url")),
-        ]
-        return _stack([
-            rows.select("document_id", "workspace_id", "rule_id", "pos", F.lit(action).alias("action"), F.lit(self.actor).alias("actor"),
-                        F.concat(F.lit("rule="), F.col("rule_name"), *details).alias("details"), self.as_of.alias("created_at"))
-            for rows, action, details in parts])
+        def say(**named: str) -> Column:
+            return F.concat(*[part for key, name in named.items() for part in (F.lit(f" {key}="), F.col(name).cast("string"))])
+
+        event = F.concat(F.lit(" event="), self.trigger)
+        kind = F.col("action_type")
+        said = {
+            "assign": ("workflow_assigned", say(assigned_to="new_assignee")),
+            "transition": ("workflow_transition", F.concat(say(**{"from": "from_status"}), say(to="new_status"))),
+            "create_notification": ("workflow_notification_created", F.concat(event, say(type="type"))),
+            "send_template_email": ("workflow_email_queued", say(to="to_email", template_id="template_id")),
+            "webhook_post": ("workflow_webhook_queued", F.concat(event, say(url="url"))),
+        }
+        rows = self.rows(*EFFECTS, without=("title", "message", "subject", "payload"))
+        action = reduce(lambda col, k: col.when(kind == k, said[k][0]), said, F)
+        details = reduce(lambda col, k: col.when(kind == k, said[k][1]), said, F)
+        return rows.select("document_id", "workspace_id", "rule_id", "pos", action.alias("action"), F.lit(self.actor).alias("actor"),
+                           F.concat(F.lit("rule="), F.col("rule_name"), details).alias("details"), self.as_of.alias("created_at"))
 
     @cached_property
     def notifications(self) -> DataFrame:
-        by_rule, nobody = F.concat(F.lit("Rule: "), F.col("rule_name")), F.lit(None).cast("string")
+        kind, by_rule = F.col("action_type"), F.concat(F.lit("Rule: "), F.col("rule_name"))
         name = F.coalesce("filename", F.lit("None"))
         moved = F.concat(name, F.lit(": "), F.col("from_status"), F.lit(" -> "), F.col("new_status"))
-        parts = [
-            (self._assigned, F.lit("assignment"), F.concat(F.lit("Assigned by workflow: "), name), by_rule, F.col("new_assignee")),
-            (self._moved, F.lit("status_change"), moved, by_rule, nobody),
-            (self._told, F.col("type"), F.col("title"), F.col("message"), F.col("user_id")),
-        ]
-        return _stack([
-            rows.select("document_id", "workspace_id", "rule_id", "pos", user.alias("user_id"), kind.alias("type"), title.alias("title"),
-                        message.alias("message"), F.lit(False).alias("is_read"), self.as_of.alias("created_at"))
-            for rows, kind, title, message, user in parts])
+        assigned, told = kind == "assign", kind == "create_notification"
+        return self.rows("assign", "transition", "create_notification").select(
+            "document_id", "workspace_id", "rule_id", "pos", F.when(assigned, F.col("new_assignee")).when(told, F.col("user_id")).alias("user_id"),
+            F.when(assigned, "assignment").when(told, F.col("type")).otherwise("status_change").alias("type"),
+            F.when(assigned, F.concat(F.lit("Assigned by workflow: "), name)).when(told, F.col("title")).otherwise(moved).alias("title"),
+            F.when(told, F.col("message")).otherwise(by_rule).alias("message"), F.lit(False).alias("is_read"), self.as_of.alias("created_at"))
 
     @cached_property
     def outbox(self) -> DataFrame:
-        return self._mailed.select("document_id", "workspace_id", "rule_id", "pos", "to_email", "subject", "body",
-                                   F.lit("pending").alias("status"), self.as_of.alias("created_at"))
+        return self.rows("send_template_email").select("document_id", "workspace_id", "rule_id", "pos", "to_email", "subject", "body",
+                                                       F.lit("pending").alias("status"), self.as_of.alias("created_at"))
 
     @cached_property
     def webhooks(self) -> DataFrame:
-        return self._posted.select("document_id", "workspace_id", "rule_id", "pos", "url", "payload")
+        return self.rows("webhook_post").select("document_id", "workspace_id", "rule_id", "pos", "url", "payload")
+
 
+# Kinds of action that have an effect, and the columns that an effect of the kind fills.
+EFFECTS = {
+    "assign": ("new_assignee", "new_status"),
+    "transition": ("from_status", "new_status", "new_notes"),
+    "create_notification": ("title", "message", "type", "user_id"),
+    "send_template_email": ("template_id", "to_email", "subject", "body"),
+    "webhook_post": ("url", "payload"),
+}
 
-def _stack(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+
+def effect_rows(acted: DataFrame, kinds: tuple[str, ...], offers: DataFrame | None, workspaces: DataFrame, trigger: Column, actor: str, as_of: Column,
+                without: tuple[str, ...] = ()) -> DataFrame:
+    """The actions of some kinds that take effect, each with the columns of its own effect; those of other kinds are null.
+
+    One pass over ``acted``. Owners are joined for assignments and ``offers`` (see ``mail_offers``) for mails only. Columns named in
+    ``without`` are not made.
+    """
+    kind = F.col("action_type")
+    rows = acted.filter(kind.isin(*kinds))
+    made: dict[str, dict[str, Column]] = {}
+    if "assign" in kinds:
+        rows = _with_owner(rows, workspaces)
+        made["assign"] = _assignment()
+    if "transition" in kinds:
+        made["transition"] = _transition()
+    if "create_notification" in kinds:
+        made["create_notification"] = _notice(trigger)
+    if "send_template_email" in kinds:
+        rows = with_template(rows.withColumn("__wish", F.when(kind == "send_template_email", _wish(F.col("config")))), offers)
+        made["send_template_email"] = {"template_id": F.col("template_id")} | letter()
+    if "webhook_post" in kinds:
+        made["webhook_post"] = {"url": F.nullif(_option("url"), F.lit("")), "payload": _payload(trigger, actor, as_of)}
+    columns = {}
+    for name in dict.fromkeys(c for k in kinds for c in EFFECTS[k] if c not in without):
+        own = [(k, made[k][name]) for k in kinds if name in made[k]]
+        columns[name] = reduce(lambda col, one: col.when(kind == one[0], one[1]), own, F)
+    rows = compute_once(rows, columns).drop("__ws", "__owner", "template_name", "template_body")
+    takes = {"assign": "new_assignee is not null", "transition": "new_status is not null", "create_notification": "true",
+             "send_template_email": "to_email is not null and body <> ''", "webhook_post": "url is not null"}
+    return rows.filter(" or ".join(f"(action_type = '{k}' and {takes[k]})" for k in kinds))
 
 
 def _option(key: str) -> Column:
@@ -242,17 +323,6 @@ def _transition() -> dict[str, Column]:
             "new_notes": F.when(go, F.nullif(_option("notes"), F.lit("")))}
 
 
-def assign_actions(acted: DataFrame, workspaces: DataFrame) -> DataFrame:
-    """Assignments that take effect: new_assignee and new_status (null = kept)."""
-    rows = _with_owner(acted.filter("action_type = 'assign'"), workspaces)
-    return compute_once(rows, _assignment()).filter("new_assignee is not null").drop("__ws", "__owner")
-
-
-def transition_actions(acted: DataFrame) -> DataFrame:
-    """Transitions along an allowed edge: from_status, new_status, new_notes."""
-    return compute_once(acted.filter("action_type = 'transition'"), _transition()).filter("new_status is not null")
-
-
 def changed_documents(acted: DataFrame, workspaces: DataFrame) -> DataFrame:
     """Per document the last written value of each column; null = not written.
 
@@ -266,23 +336,26 @@ def changed_documents(acted: DataFrame, workspaces: DataFrame) -> DataFrame:
         "w_status": F.when(assigning, assign["new_status"]).otherwise(move["new_status"]),
         "w_reviewer_notes": F.when(~assigning, move["new_notes"]),
     }).filter("w_assigned_to is not null or w_status is not null")
+    return _last_writes(writes)
+
+
+def _last_writes(writes: DataFrame) -> DataFrame:
     at = F.struct("rule_id", "pos")
     return writes.groupBy("document_id").agg(*[
         F.max_by(f"w_{c}", F.when(F.col(f"w_{c}").isNotNull(), at)).alias(c)
         for c in ("assigned_to", "status", "reviewer_notes")])
 
 
-def notification_actions(acted: DataFrame, trigger: Column) -> DataFrame:
+def _notice(trigger: Column) -> dict[str, Column]:
     context, fields = event_context(), F.col("extracted_fields")
     raw_title = F.nullif(F.coalesce(F.try_element_at(F.col("config"), F.lit("title")), F.lit("")), F.lit(""))
-    title = render(strip(F.coalesce(raw_title, F.lit("Workflow event"))), context, fields)
     message = F.when(_option("message") != "", render(_option("message"), context, fields))
-    return acted.withColumns({
-        "title": title,
+    return {
+        "title": render(strip(F.coalesce(raw_title, F.lit("Workflow event"))), context, fields),
         "message": F.coalesce(message, F.concat(F.lit("Event: "), trigger)),
         "type": F.coalesce(F.nullif(_option("type"), F.lit("")), F.lit("workflow")),
         "user_id": F.nullif(_option("user_id"), F.lit("")),
-    })
+    }
 
 
 def _template_scopes(templates: DataFrame) -> DataFrame:
@@ -294,60 +367,81 @@ def _template_scopes(templates: DataFrame) -> DataFrame:
         "template_body")
 
 
-def _visible_scopes(workspace: Column) -> Column:
-    return F.when(workspace.isNull(), F.array(F.lit(ANY))).otherwise(F.array(workspace, F.lit(GLOBAL)))
-
-
-def email_actions(acted: DataFrame, templates: DataFrame) -> DataFrame:
-    """Composed mails: by template id, else the first template by name that
-    contains the hint. Without a template, recipient or body there is no mail."""
-    number = F.expr("try_cast(trim(config['template_id']) as bigint)")
-    hint = F.lower(_option("template_name_hint"))
-    asked = acted.withColumns({"__want": number, "__hint": F.when(number.isNull(), F.nullif(hint, F.lit("")))})
-    scoped = broadcast_if_small(_template_scopes(templates))
-    # Few distinct (workspace, id or hint) pairs stand for all actions.
-    wishes = asked.filter("__want is not null or __hint is not null").select(
-        F.col("workspace_id").alias("__ww"), F.col("__want").alias("__wid"), F.col("__hint").alias("__wh")).distinct()
-    offers = wishes.withColumn("__vis", F.explode(_visible_scopes(F.col("__ww"))))
-    fits = F.coalesce(F.col("template_id") == F.col("__wid"), F.contains(F.lower("template_name"), F.col("__wh")))
-    found = offers.join(scoped, (F.col("__vis") == F.col("__tscope")) & fits, "inner")
-    picked = found.groupBy("__ww", "__wid", "__wh").agg(
-        F.min_by(F.struct("template_id", "template_name", "template_body"),
-                 F.struct("template_name", "template_id")).alias("__t"))
-    same = (F.col("workspace_id").eqNullSafe(F.col("__ww")) & F.col("__want").eqNullSafe(F.col("__wid"))
-            & F.col("__hint").eqNullSafe(F.col("__wh")))
-    joined = asked.join(picked, same, "inner").select(*acted.columns, "__t.*")
-    return compose_mail(joined)
+def _wish(config: Column) -> Column:
+    """Which template a mail action asks for: by id, else by a hint that its name contains. Null if by neither."""
+    number = F.try_element_at(config, F.lit("template_id"))
+    number = F.trim(number).try_cast("long")
+    hint = F.lower(strip(F.coalesce(F.try_element_at(config, F.lit("template_name_hint")), F.lit(""))))
+    return F.when(number.isNotNull(), F.concat(F.lit("id "), number.cast("string"))).when(hint != "", F.concat(F.lit("hint "), hint))
 
 
-def compose_mail(rows: DataFrame) -> DataFrame:
-    """to_email, subject and body from a template row joined to its document."""
+def hint_wish(hint: str) -> str:
+    return f"hint {hint.lower()}"
+
+
+def mail_offers(rules: DataFrame, templates: DataFrame, trigger: str | None) -> DataFrame:
+    """``template_offers`` for all that the mail actions of the live rules ask for."""
+    actions = live_rules(rules, trigger).select(F.explode(F.from_json("actions_json", _ACTIONS)).alias("a"))
+    mails = actions.filter(F.lower(strip(F.coalesce(F.col("a.type"), F.lit("")))) == "send_template_email")
+    return template_offers(mails.select(_wish(F.col("a.config")).alias("wish")).filter("wish is not null").distinct(), templates)
+
+
+def template_offers(wishes: DataFrame, templates: DataFrame) -> DataFrame:
+    """For each wish (text, see ``_wish``) and scope the first template by name, then by id: __offered, __tscope, __t."""
+    scoped = _template_scopes(templates)
+    by_id = wishes.filter("wish like 'id %'").select("wish", F.substring("wish", 4, 20).cast("long").alias("__id"))
+    by_hint = wishes.filter("wish like 'hint %'").select("wish", F.expr("substring(wish, 6)").alias("__hint"))
+    found = scoped.join(broadcast_if_small(by_id), F.col("template_id") == F.col("__id")).drop("__id").unionByName(
+        scoped.join(broadcast_if_small(by_hint), F.contains(F.lower("template_name"), F.col("__hint"))).drop("__hint"))
+    one = F.struct("template_name", "template_id", "template_body")
+    return found.groupBy(F.col("wish").alias("__offered"), "__tscope").agg(F.min_by(one, F.struct("template_name", "template_id")).alias("__t"))
+
+
+def with_template(rows: DataFrame, offers: DataFrame) -> DataFrame:
+    """template_id, template_name and template_body for ``__wish``: the first by name of the row's workspace and the global ones, or
+    of all for a row without a workspace. Null without one."""
+    offers = broadcast_if_small(offers)
+    workspace = F.col("workspace_id")
+    for number, scope in enumerate((F.coalesce(workspace, F.lit(ANY)), F.when(workspace.isNotNull(), F.lit(GLOBAL)))):
+        side = offers.select(*[F.col(c).alias(f"{c}{number}") for c in ("__offered", "__tscope", "__t")])
+        rows = rows.join(side, (F.col("__wish") == F.col(f"__offered{number}")) & (scope == F.col(f"__tscope{number}")), "left").drop(
+            f"__offered{number}", f"__tscope{number}")
+    best = F.least("__t0", "__t1")
+    return rows.withColumns({c: best[c] for c in ("template_id", "template_name", "template_body")}).drop("__t0", "__t1", "__wish")
+
+
+def letter() -> dict[str, Column]:
+    """to_email, subject and body from a template row joined to its document; null without a template."""
     filename = strip(F.coalesce("filename", F.lit("None")))
-    mailed = compute_once(rows, {
-        "to_email": recipient(F.col("extracted_fields")),
-        "subject": F.concat(F.col("template_name"), F.lit(" - "),
-                            F.coalesce(F.nullif(filename, F.lit("")), F.lit("Update"))),
-        "body": render(F.col("template_body"), letter_context(), F.col("extracted_fields")),
-    })
-    return mailed.filter("to_email is not null and body <> ''")
+    there = F.col("template_id").isNotNull()
+    subject = F.concat(F.col("template_name"), F.lit(" - "), F.coalesce(F.nullif(filename, F.lit("")), F.lit("Update")))
+    return {
+        "to_email": F.when(there, recipient(F.col("extracted_fields"))),
+        "subject": F.when(there, subject),
+        "body": F.when(there, render(F.col("template_body"), letter_context(), F.col("extracted_fields"))),
+    }
 
 
-def webhook_actions(acted: DataFrame, trigger: Column, actor: str, as_of: Column) -> DataFrame:
-    """Payload rows for later delivery; no call is made."""
+def compose_mail(rows: DataFrame) -> DataFrame:
+    """Rows with a template, a recipient and a body, with to_email, subject and body."""
+    return compute_once(rows, letter()).filter("to_email is not null and body <> ''")
+
+
+def _payload(trigger: Column, actor: str, as_of: Column) -> Column:
+    """What a webhook will be told later; no call is made."""
     document = F.struct("id", "filename", "status", "doc_type", "department", "urgency",
                         "confidence", "assigned_to", "due_date", "source_channel")
-    payload = F.to_json(F.struct(
+    return F.to_json(F.struct(
         trigger.alias("event"), F.col("rule_name").alias("rule"), F.lit(actor).alias("actor"),
         "workspace_id", document.alias("document"), "extracted_fields",
         "missing_fields", "validation_errors", as_of.alias("sent_at")), {"ignoreNullFields": "false"})
-    return acted.withColumns({"url": _option("url"), "payload": payload}).filter("url <> ''")
 
 
 def run_workflows(docs: DataFrame, rules: DataFrame, templates: DataFrame, workspaces: DataFrame,
                   trigger: str | None, as_of: Column, actor: str = "system") -> WorkflowEffects:
     """Effects of one pass; without a ``trigger`` it is the pass of each document's status."""
     acted = matched_actions(docs, rules, trigger, [c for c in docs.columns if c != "extracted_text"])
-    return WorkflowEffects(acted, templates, workspaces, trigger, as_of, actor)
+    return WorkflowEffects(acted, rules, templates, workspaces, trigger, as_of, actor)
 
 
 def after_pass(docs: DataFrame, effects: WorkflowEffects, as_of: Column) -> DataFrame:
@@ -438,23 +532,56 @@ def missing_presets(presets: DataFrame, existing: DataFrame, keys: list[str]) ->
     return presets.join(have, on, "left_anti")
 
 
-def apply_preset(preset_id: str, workspace_id: str, rules: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """New rule rows, new template rows and the created / skipped counts."""
+def _catalogue(presets: DataFrame) -> DataFrame:
+    """Catalogue rows by pack: eleven rules or two templates, a fixed list."""
+    return F.broadcast(presets.withColumnRenamed("preset_id", "__pack"))
+
+
+def apply_presets(chosen: DataFrame, rules: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Starter packs for many workspaces at once: ``chosen`` (workspace_id, preset_id), one row for each pack of each workspace.
+
+    New rule rows, new template rows, and for each workspace, pack and kind how many are created and skipped. A rule is skipped if the workspace has one of
+    its name and trigger, a template if the workspace or everybody has one of its name (both without regard to case and blanks around it). Names
+    that two packs share are created once, for the pack that comes first. One equi join on the pack and one anti-join for each kind.
+    """
     spark = rules.sparkSession
-    wanted_rules = preset_rules(spark).filter(F.col("preset_id") == preset_id)
-    wanted_templates = preset_templates(spark).filter(F.col("preset_id") == preset_id)
-    own_rules = rules.filter(F.col("workspace_id") == workspace_id)
-    seen_templates = templates.filter((F.col("workspace_id") == workspace_id) | F.col("workspace_id").isNull())
-    new_rules = missing_presets(wanted_rules, own_rules, ["name", "trigger_event"])
-    new_templates = missing_presets(wanted_templates, seen_templates, ["name"])
+    chosen = chosen.select("workspace_id", "preset_id").distinct()
+    wanted_rules = chosen.join(_catalogue(preset_rules(spark)), F.col("preset_id") == F.col("__pack")).drop("__pack")
+    wanted_templates = chosen.join(_catalogue(preset_templates(spark)), F.col("preset_id") == F.col("__pack")).drop("__pack")
+
+    def plain(name: str) -> Column:
+        return F.lower(strip(F.col(name)))
+
+    def once(rows: DataFrame, *keys: str) -> DataFrame:
+        rank = F.row_number().over(W.partitionBy("workspace_id", *[plain(k) for k in keys]).orderBy("preset_id"))
+        return rows.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
+
+    # A catalogue has few names, so only rows of these names can be in the way.
+    own = rules.select(F.col("workspace_id").alias("__ws"), plain("name").alias("__name"), plain("trigger_event").alias("__event"))
+    new_rules = once(wanted_rules, "name", "trigger_event").join(
+        own, (F.col("workspace_id") == F.col("__ws")) & (plain("name") == F.col("__name")) & (plain("trigger_event") == F.col("__event")), "left_anti")
+    known = templates.select(F.col("workspace_id").alias("__ws"), plain("name").alias("__name"))
+    everywhere = F.broadcast(known.filter("__ws is null").select("__name").distinct().join(
+        _catalogue(preset_templates(spark)), F.col("__name") == plain("name"), "left_semi"))
+    new_templates = once(wanted_templates, "name").join(
+        known, (F.col("workspace_id") == F.col("__ws")) & (plain("name") == F.col("__name")), "left_anti").join(
+        everywhere, plain("name") == F.col("__name"), "left_anti")
 
     def tally(kind: str, wanted: DataFrame, created: DataFrame) -> DataFrame:
-        rows = wanted.select(F.lit(0).alias("c"), F.lit(1).alias("w")).unionByName(
-            created.select(F.lit(1).alias("c"), F.lit(0).alias("w")))
-        return rows.agg(F.lit(kind).alias("kind"), F.coalesce(F.sum("c"), F.lit(0)).alias("created"),
-                        F.coalesce(F.sum("w") - F.sum("c"), F.lit(0)).alias("skipped"))
-
-    counts = tally("rules", wanted_rules, new_rules).unionByName(tally("templates", wanted_templates, new_templates))
-    scope = F.lit(workspace_id).alias("workspace_id")
-    return (new_rules.select(scope, "name", F.lit(True).alias("enabled"), "trigger_event", "filters_json", "actions_json"),
-            new_templates.select(scope, "name", "doc_type", "template_body"), counts)
+        rows = wanted.select("workspace_id", "preset_id", F.lit(0).alias("c"), F.lit(1).alias("w")).unionByName(
+            created.select("workspace_id", "preset_id", F.lit(1).alias("c"), F.lit(0).alias("w")))
+        return rows.groupBy("workspace_id", "preset_id").agg(F.sum("c").alias("created"), (F.sum("w") - F.sum("c")).alias("skipped")).withColumn("kind", F.lit(kind))
+
+    made = tally("rules", wanted_rules, new_rules).unionByName(tally("templates", wanted_templates, new_templates))
+    kinds = F.explode(F.array(F.lit("rules"), F.lit("templates")))
+    counts = (chosen.withColumn("kind", kinds).join(made, ["workspace_id", "preset_id", "kind"], "left")
+              .select("workspace_id", "preset_id", "kind", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("created", "skipped")]))
+    return (new_rules.select("workspace_id", "name", F.lit(True).alias("enabled"), "trigger_event", "filters_json", "actions_json"),
+            new_templates.select("workspace_id", "name", "doc_type", "template_body"), counts)
+
+
+def apply_preset(preset_id: str, workspace_id: str, rules: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``apply_presets`` for one pack and workspace; the counts are those of the kinds."""
+    chosen = rules.sparkSession.range(1).select(F.lit(workspace_id).alias("workspace_id"), F.lit(preset_id).alias("preset_id"))
+    new_rules, new_templates, counts = apply_presets(chosen, rules, templates)
+    return new_rules, new_templates, counts.select("kind", "created", "skipped")

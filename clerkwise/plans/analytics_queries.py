@@ -470,6 +470,24 @@ def _(v):
     return admit_sliding(busy, "key", "ts", "event_id", 2, 3600).select("event_id", "allowed", "remaining")
 
 
+@catalog.add("admission_hot_key", ADMISSION_SQL.replace(
+    "SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events",
+    "SELECT event_id, u AS user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY u ORDER BY ts, event_id) AS n FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS u FROM events)"
+).replace("86400000000", "3600000000"))
+def _(v):
+    """One key holds a third of all events and never rests; its blocks are decided side by side."""
+    hot = v.requests.withColumn("key", F.when(F.col("event_id") % 3 == 0, F.lit(-1)).otherwise(F.col("user_id")))
+    return admit_sliding(hot, "key", "ts", "event_id", 2, 3600).select("event_id", "allowed", "remaining")
+
+
+@catalog.add("audit_deep_page", sql("""SELECT a.id, a.document_id, a.actor, d.filename
+    FROM (SELECT * FROM audit_events ORDER BY id DESC LIMIT 40 OFFSET 700) a LEFT JOIN doc_ledger d ON d.id = a.document_id"""))
+def _(v):
+    """A page far down, found by counts of ranges of ids; the ranges hold so few rows that finer ones have to be counted."""
+    page = listing.page_by_ranges(v.audit_events, "id", 40, 700, enough=5)
+    return listing.with_filename(page, v.doc_ledger).select("id", "document_id", "actor", "filename")
+
+
 @catalog.add("sliding_admission", ADMISSION_SQL)
 def _(v):
     return admit_sliding(v.requests, "user_id", "ts", "event_id", 2, 86400).select("event_id", "allowed", "remaining")

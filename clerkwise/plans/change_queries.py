@@ -14,10 +14,10 @@ from clerkwise.operators import changes, imports, lifecycle, mail, sinks, sla, w
 from clerkwise.operators.rules import literal_rules
 from clerkwise.plans.catalog import catalog, joined
 from clerkwise.plans.duck import AS_OF, EDGES, EVENTS_AS_OF, case_by_type, pick, sql
-from clerkwise.plans.views import STATUSES, Views
+from clerkwise.plans.views import STATUSES, TYPES, Views
 from clerkwise.plans.views import pick as choose
 from clerkwise.session import shared_folder
-from clerkwise.sources import connectors
+from clerkwise.sources import connectors, snapshots
 from clerkwise.sources.tables import copy_tables, reconcile
 from clerkwise.streaming.ingest import retention_run
 
@@ -255,6 +255,53 @@ def _(v):
     return changes.delete_keys(v.doc_ledger.select("id", "status"), gone, ["id"])
 
 
+def _bucket_sql(key: str, buckets: int = 64) -> str:
+    return f"(('0x' || substr(md5(({key})::VARCHAR), 1, 8))::BIGINT % {buckets})::INT"
+
+
+def _nation_changes(v: Views):
+    """A few documents: one for each nation."""
+    return v.table("nation").select((F.col("n_nationkey") * 4).cast("long").alias("id"), F.lit("archived").alias("status"))
+
+
+def _snapshot(v: Views) -> str:
+    path = f"{shared_folder(v.spark)}/snapshot-{uuid4().hex}"
+    snapshots.write_snapshot(v.doc_ledger.select(F.col("id").cast("long").alias("id"), "status", "updated_at"), path, "id")
+    return path
+
+
+@catalog.add("snapshot_update", sql(f"""SELECT {_bucket_sql('d.id')} AS bucket, 2 AS held, count(*) AS "rows" FROM doc_ledger d
+    WHERE {_bucket_sql('d.id')} IN (SELECT {_bucket_sql('n_nationkey * 4')} FROM nation) GROUP BY ALL"""))
+def _(v):
+    """Which buckets of a snapshot an update of a few rows has written."""
+    return snapshots.change_snapshot(v.spark, _snapshot(v), _nation_changes(v), lambda rows, new: changes.update_by_key(rows, new, "id", ["status"], v.as_of))
+
+
+@catalog.add("snapshot_state", sql(f"""
+    SELECT id, CASE WHEN id IN (SELECT n_nationkey * 4 FROM nation) THEN 'archived' ELSE status END AS status,
+      CASE WHEN id IN (SELECT n_nationkey * 4 FROM nation) THEN {AS_OF} ELSE updated_at END AS updated_at
+    FROM doc_ledger WHERE id NOT IN (SELECT s_suppkey * 3 FROM supplier) UNION ALL SELECT 100000000 + r_regionkey, 'ingested', {AS_OF} FROM region"""))
+def _(v):
+    """The rows after an update, an upsert and a delete, each of which rewrites some buckets only."""
+    path = _snapshot(v)
+    new = v.table("region").select((F.col("r_regionkey") + 100_000_000).cast("long").alias("id"), F.lit("ingested").alias("status"), v.as_of.alias("updated_at"))
+    gone = v.table("supplier").select((F.col("s_suppkey") * 3).cast("long").alias("id"))
+    snapshots.change_snapshot(v.spark, path, _nation_changes(v), lambda rows, some: changes.update_by_key(rows, some, "id", ["status"], v.as_of))
+    snapshots.change_snapshot(v.spark, path, new, lambda rows, some: changes.upsert(rows, some, ["id"], ["updated_at"]))
+    snapshots.change_snapshot(v.spark, path, gone, lambda rows, some: changes.delete_keys(rows, some, ["id"]))
+    return snapshots.read_snapshot(v.spark, path)
+
+
+@catalog.add("snapshot_join", sql("""SELECT d.id, d.status, e.event_type FROM doc_ledger d JOIN events e ON e.event_id = d.id"""))
+def _(v):
+    """Two snapshots bucketed by the same key meet without a shuffle."""
+    name = uuid4().hex
+    place = f"{shared_folder(v.spark)}/bucketed-{name}"
+    left = snapshots.bucketed_table(v.doc_ledger.select(F.col("id").cast("long").alias("id"), "status"), f"ledger_{name}", f"{place}/ledger", "id", 8)
+    right = snapshots.bucketed_table(v.table("events").select(F.col("event_id").cast("long").alias("id"), "event_type"), f"events_{name}", f"{place}/events", "id", 8)
+    return left.hint("merge").join(right, "id")
+
+
 @catalog.add("retention_purge", sql("SELECT id, action, created_at FROM audit_events WHERE created_at >= TIMESTAMP '2031-01-14' - INTERVAL 2555 DAY"))
 def _(v):
     cutoff = changes.retention_cutoff("audit_events", instant("2031-01-14 00:00:00"))
@@ -634,6 +681,110 @@ def _(v):
     return workflows.missing_presets(wanted, have, ["name", "trigger_event", "scope"]).drop("scope")
 
 
+def _many_rules(v: Views):
+    """One rule for each part: three or four filters, some with bounds of the confidence, some with several values; a quarter are of one workspace."""
+    key = F.col("p_partkey")
+    kinds = choose(TYPES, key % 5)
+    status = choose(STATUSES, F.expr("(p_partkey div 5) % 10"))
+    channel = choose(("upload", "connector_s3", "watched_folder"), F.expr("(p_partkey div 50) % 3"))
+    low = (key % 19 / F.lit(20.0)).cast("string")
+    filters = F.concat(
+        F.lit('{"doc_type": ["'), kinds, F.lit('", "memo"], "status": "'), status, F.lit('", "source_channel": ["'), channel, F.lit('"]'),
+        F.when(key % 3 != 0, F.concat(F.lit(', "min_confidence": '), low, F.lit(', "max_confidence": "'), ((key % 19 + 1) / F.lit(20.0)).cast("string"), F.lit('"')))
+        .otherwise(F.lit(', "urgency": "high"')), F.lit("}"))
+    actions = F.lit('[{"type": "transition", "config": {"status": "approved"}}]')
+    return v.table("part").select(
+        key.cast("long").alias("id"), F.when(key % 4 == 1, F.concat(F.lit("ws"), (key % 3).cast("string"))).alias("workspace_id"),
+        F.concat(F.lit("part "), key.cast("string")).alias("name"), F.lit(True).alias("enabled"), F.lit(TRIGGER).alias("trigger_event"),
+        filters.alias("filters_json"), actions.alias("actions_json"))
+
+
+_MANY = f"""SELECT d.id AS document_id, p.p_partkey AS rule_id FROM doc_ledger d JOIN part p ON d.doc_type = {pick(TYPES, 'p.p_partkey % 5')}
+    AND d.status = {pick(STATUSES, '(p.p_partkey // 5) % 10')} AND d.source_channel = {pick(('upload', 'connector_s3', 'watched_folder'), '(p.p_partkey // 50) % 3')}
+    AND (p.p_partkey % 4 <> 1 OR d.workspace_id = 'ws' || (p.p_partkey % 3))
+    AND CASE WHEN p.p_partkey % 3 <> 0 THEN d.confidence BETWEEN (p.p_partkey % 19) / 20.0::DOUBLE AND (p.p_partkey % 19 + 1) / 20.0::DOUBLE ELSE d.urgency = 'high' END"""
+
+
+@catalog.add("workflow_many_rules", sql(_MANY))
+def _(v):
+    return workflows.match_workflows(v.wide.doc_ledger, _many_rules(v), TRIGGER).select("document_id", "rule_id")
+
+
+@catalog.add("workflow_rules_shuffled", sql(_MANY.replace("FROM doc_ledger d", "FROM (SELECT * FROM doc_ledger WHERE workspace_id = 'ws1') d")))
+def _(v):
+    """The same lookup where the rules may not be lent to every task: both sides shuffle."""
+    docs = v.wide.doc_ledger.filter("workspace_id = 'ws1'")
+    found = workflows.matched_actions(docs, _many_rules(v), TRIGGER, [], small=0)
+    return found.select("document_id", "rule_id")
+
+
+@catalog.add("workflow_stored_effects", sql(f"""
+    SELECT 'audit' AS target, count(*) AS n, count(DISTINCT document_id) AS documents FROM (SELECT id AS document_id FROM assigned UNION ALL SELECT id FROM moved
+      UNION ALL SELECT document_id FROM {_NOTED} UNION ALL SELECT document_id FROM mailed UNION ALL SELECT id FROM matches WHERE action_type = 'webhook_post')
+    UNION ALL SELECT 'notifications', count(*), count(DISTINCT document_id) FROM (SELECT id AS document_id FROM assigned UNION ALL SELECT id FROM moved UNION ALL SELECT document_id FROM {_NOTED})
+    UNION ALL SELECT 'outbox', count(*), count(DISTINCT document_id) FROM mailed
+    UNION ALL SELECT 'webhooks', count(*), count(DISTINCT id) FROM matches WHERE action_type = 'webhook_post'
+    UNION ALL SELECT 'documents', count(DISTINCT id), count(DISTINCT id) FROM (SELECT id FROM assigned UNION ALL SELECT id FROM moved)"""))
+def _(v):
+    """All effects of one pass, written once and read by five targets."""
+    kept = _effects(v).stored(f"{shared_folder(v.spark)}/effects-{uuid4().hex}")
+    return reduce(DataFrame.unionByName, [
+        getattr(kept, name).agg(F.lit(name).alias("target"), F.count(F.lit(1)).alias("n"), F.count_distinct("document_id").alias("documents"))
+        for name in ("audit", "notifications", "outbox", "webhooks", "documents")])
+
+
+PACKS = ("gov-intake-triage", "gov-foia", "gov-permits", "biz-ap-invoices", "biz-contracts")
+
+
+def _preset_tables(v: Views):
+    """Two packs for every nation, one for every region; some of their rules and templates are there already."""
+    n, r = v.table("nation"), v.table("region")
+    chosen = n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("workspace_id"),
+                      F.explode(F.array(choose(PACKS, F.col("n_nationkey") % 5), choose(PACKS, F.col("n_regionkey") % 5))).alias("preset_id")).unionByName(
+        r.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("workspace_id"), choose(PACKS, F.col("r_regionkey") % 5).alias("preset_id")))
+    have = n.filter("n_nationkey % 2 = 0").select(
+        F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("workspace_id"),
+        F.explode(F.array(F.lit(" contracts: NOTIFY when overdue"), F.lit("Permits: Email applicant on approval"), F.lit("FOIA: Auto-assign on ingestion"))).alias("name"))
+    event = (F.when(F.col("name").contains("NOTIFY"), "document_overdue").when(F.col("name").contains("Permits"), "document_approved").otherwise("other_event"))
+    letters = r.select(F.when(F.col("r_regionkey") > 0, F.concat(F.lit("r"), F.col("r_regionkey").cast("string"))).alias("workspace_id"),
+                       F.when(F.col("r_regionkey") == 0, "foia STATUS update ").otherwise("Permit Decision Notice").alias("name"))
+    return chosen, have.withColumn("trigger_event", event), letters
+
+
+def _preset_sql(kind: str, body: str) -> str:
+    rules = ", ".join(f"({i}, '{p}', '{n}', '{t}')" for i, (p, n, t, _, _) in enumerate(workflows.PRESET_RULES))
+    letters = ", ".join(f"('{p}', '{n}')" for p, n, _, _ in workflows.PRESET_TEMPLATES)
+    return f"""WITH chosen AS (
+      SELECT DISTINCT * FROM (SELECT 'n' || n_nationkey AS workspace_id, unnest([{pick(PACKS, 'n_nationkey % 5')}, {pick(PACKS, 'n_regionkey % 5')}]) AS preset_id FROM nation
+        UNION ALL SELECT 'r' || r_regionkey, {pick(PACKS, 'r_regionkey % 5')} FROM region)),
+    wanted_rules AS (SELECT c.*, p.name, p.event, row_number() OVER (PARTITION BY c.workspace_id, lower(p.name), p.event ORDER BY c.preset_id) AS nth
+      FROM chosen c JOIN (VALUES {rules}) p(i, preset_id, name, event) USING (preset_id)),
+    new_rules AS (SELECT * FROM wanted_rules w WHERE nth = 1 AND NOT (w.workspace_id LIKE 'n%' AND substr(w.workspace_id, 2)::INT % 2 = 0
+      AND (w.name, w.event) IN (VALUES ('Contracts: Notify when overdue', 'document_overdue'), ('Permits: Email applicant on approval', 'document_approved')))),
+    wanted_letters AS (SELECT c.*, p.name FROM chosen c JOIN (VALUES {letters}) p(preset_id, name) USING (preset_id)),
+    new_letters AS (SELECT * FROM wanted_letters w WHERE name <> 'FOIA Status Update' AND NOT (w.workspace_id LIKE 'r%' AND substr(w.workspace_id, 2)::INT > 0))
+    {body}"""
+
+
+@catalog.add("preset_counts", _preset_sql("counts", """SELECT c.workspace_id, c.preset_id, k.kind,
+      CASE k.kind WHEN 'rules' THEN (SELECT count(*) FROM new_rules n WHERE n.workspace_id = c.workspace_id AND n.preset_id = c.preset_id)
+        ELSE (SELECT count(*) FROM new_letters n WHERE n.workspace_id = c.workspace_id AND n.preset_id = c.preset_id) END AS created,
+      CASE k.kind WHEN 'rules' THEN (SELECT count(*) FROM wanted_rules n WHERE n.workspace_id = c.workspace_id AND n.preset_id = c.preset_id)
+          - (SELECT count(*) FROM new_rules n WHERE n.workspace_id = c.workspace_id AND n.preset_id = c.preset_id)
+        ELSE (SELECT count(*) FROM wanted_letters n WHERE n.workspace_id = c.workspace_id AND n.preset_id = c.preset_id)
+          - (SELECT count(*) FROM new_letters n WHERE n.workspace_id = c.workspace_id AND n.preset_id = c.preset_id) END AS skipped
+    FROM chosen c, (VALUES ('rules'), ('templates')) k(kind)"""))
+def _(v):
+    return workflows.apply_presets(*_preset_tables(v))[2]
+
+
+@catalog.add("preset_rows", _preset_sql("rows", """SELECT workspace_id, name, event AS trigger_event FROM new_rules UNION ALL SELECT workspace_id, name, 'template' FROM new_letters"""))
+def _(v):
+    new_rules, new_templates, _ = workflows.apply_presets(*_preset_tables(v))
+    return new_rules.select("workspace_id", "name", "trigger_event").unionByName(
+        new_templates.select("workspace_id", "name", F.lit("template").alias("trigger_event")))
+
+
 # --- SLA, mail, sinks -----------------------------------------------------
 
 def _scanned(v: Views):
@@ -667,8 +818,10 @@ def _(v):
     FROM letters l JOIN (VALUES ('acknowledgment', 'acknowledgment'), ('missing_info', 'request for information'), ('status_update', 'status update')) k(email_type, hint)
       ON k.email_type = 'acknowledgment' OR (k.email_type = 'missing_info' AND l.missing <> '')
         OR (k.email_type = 'status_update' AND l.status IN ('approved', 'completed', 'assigned', 'in_progress'))
-    JOIN (SELECT *, row_number() OVER (PARTITION BY left(name, 7) ORDER BY name, id) AS n FROM templates WHERE regexp_matches(name, '^(Acknow|Request for I|Status U)')) t
-      ON t.n = 1 AND contains(lower(t.name), k.hint) WHERE l.to_email IS NOT NULL"""))
+    JOIN (SELECT w.workspace_id, h.hint, arg_min(t.name, (t.name, t.id)) AS name, arg_min(t.p_brand, (t.name, t.id)) AS p_brand
+        FROM (SELECT DISTINCT workspace_id FROM doc_ledger) w, (VALUES ('acknowledgment'), ('request for information'), ('status update')) h(hint)
+        JOIN templates t ON (t.workspace_id IS NULL OR t.workspace_id = w.workspace_id) AND contains(lower(t.name), h.hint) GROUP BY ALL) t
+      ON t.workspace_id = l.workspace_id AND t.hint = k.hint WHERE l.to_email IS NOT NULL"""))
 def _(v):
     return mail.auto_mail(v.wide.doc_ledger, v.templates, v.as_of).select("document_id", "email_type", "to_email", "subject", "body")
 

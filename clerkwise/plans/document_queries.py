@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clerkwise.functions import scores
@@ -19,6 +20,7 @@ from clerkwise.functions.text import (
 from clerkwise.operators.analytics import queue_snapshot
 from clerkwise.operators.classify import classify, route, validate
 from clerkwise.operators.replies import flatten_ocr, normalise_enrichment, normalise_replies, with_payload
+from clerkwise.operators.rule_search import classify_by_table, with_attributes
 from clerkwise.operators.rules import Rule, literal_rules, lookup, normalize_rules, rule_errors, rule_key_order
 from clerkwise.plans.catalog import catalog, joined
 from clerkwise.plans.duck import SLA, SLA_CASE, URGENT, case_by_type, judged, pattern, pick, sql
@@ -452,3 +454,41 @@ def _(v):
     broken = F.when(F.col("turn") % 5 == 4, F.encode(F.lit("not a zip"), "UTF-8")).otherwise(F.col("content"))
     files = made.select("conv_id", "turn", F.lit("turn.docx").alias("filename"), F.lit(None).cast("string").alias("content_type"), broken.alias("content"))
     return extract_text(files).select("conv_id", "turn", "text", "method", "extraction_confidence")
+
+
+def _part_rules(v: Views):
+    """A rule for each part: its name and two syllables made from its number. Every fortieth has no keyword, and one is the fallback."""
+    key = F.col("p_partkey")
+
+    def letters(n: Column) -> Column:
+        return F.concat(*[F.chr(F.lit(97) + F.floor(n / 26 ** k) % 26) for k in range(3)])
+
+    words = F.when(key % 40 != 7, F.array(F.lower("p_name"), letters(key), letters(key * 7 + 3))).otherwise(F.array().cast("array<string>"))
+    rules = v.table("part").select(
+        F.concat(F.lit("part-"), key.cast("string")).alias("doc_type"), (key % 50).cast("int").alias("rule_order"), words.alias("keywords"),
+        F.col("p_brand").alias("department"), F.array(F.lit("date")).alias("required_fields"), F.col("p_size").cast("int").alias("sla_days"))
+    other = v.spark.range(1).select(F.lit("other").alias("doc_type"), F.lit(2**31 - 1).alias("rule_order"), F.array().cast("array<string>").alias("keywords"),
+                                    F.lit("Desk").alias("department"), F.array(F.lit("date")).alias("required_fields"), F.lit(3).alias("sla_days"))
+    return rules.unionByName(other)
+
+
+def _letters(n: str) -> str:
+    return " || ".join(f"chr((97 + ({n}) // {26 ** k} % 26)::INT)" for k in range(3))
+
+
+@catalog.add("documents_by_part_rules", f"""
+    WITH rules AS (SELECT 'part-' || p_partkey AS doc_type, p_partkey % 50 AS place, [lower(p_name), {_letters('p_partkey')}, {_letters('p_partkey * 7 + 3')}] AS words,
+        p_brand AS department FROM part WHERE p_partkey % 40 <> 7),
+    hits AS (SELECT doc_id, r.doc_type, r.place, r.department, list_filter(r.words, lambda w: contains(d.low, w)) AS matched
+      FROM (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents) d, rules r WHERE contains(d.low, r.words[1]) OR contains(d.low, r.words[2]) OR contains(d.low, r.words[3])),
+    best AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY len(matched) DESC, place, doc_type) = 1)
+    SELECT d.doc_id, coalesce(b.doc_type, 'other') AS doc_type, coalesce(b.department, 'Desk') AS department,
+      round(CASE coalesce(len(b.matched), 0) WHEN 0 THEN 0.45 WHEN 1 THEN 0.65::DOUBLE + (1.0::DOUBLE / 3) * 0.08 WHEN 2 THEN 0.78::DOUBLE + (2.0::DOUBLE / 3) * 0.08
+        ELSE 0.86 END, 4) AS confidence, coalesce(array_to_string(b.matched, ','), '') AS matched_keywords
+    FROM documents d LEFT JOIN best b USING (doc_id)""")
+def _(v):
+    """Every keyword of all part rules searched in the whole texts, the rules in blocks of 64 KB."""
+    rules = _part_rules(v)
+    found = with_attributes(classify_by_table(v.wide.table("documents"), rules, block_bytes=1 << 16), rules, ["department"])
+    return found.select("doc_id", "doc_type", F.col("__rule_department").alias("department"), F.col("classification_confidence").alias("confidence"),
+                        joined("matched_keywords").alias("matched_keywords"))

@@ -14,7 +14,8 @@ from clerkwise.functions.text import field_columns, fields_map
 from clerkwise.operators.classify import classify, missing_fields, validation_errors
 from clerkwise.operators.listing import sweep_candidates
 from clerkwise.operators.replies import fill_fields, filled_names, normalise_enrichment, normalise_replies
-from clerkwise.operators.rules import Rule, as_rules, lookup
+from clerkwise.operators.rule_search import classify_by_table, with_attributes
+from clerkwise.operators.rules import Rule, as_rules, fits_literals, lookup
 
 # Columns that processing writes back to a document.
 CHECKED_FIELDS = ("parcel_number", "date")  # judged by their format whatever the rules require
@@ -44,12 +45,14 @@ def process_documents(df: DataFrame, rules: DataFrame | list[Rule], as_of: Colum
     ``wanted`` names the result columns that will be read; patterns and keyword lists that none of
     them needs are not evaluated, and the map extracted_fields then holds only fields that are judged.
 
-    Without stored replies this is one narrow projection: no join, no shuffle.
+    Without stored replies this is one narrow projection: no join, no shuffle. A rule table that is too large for the plan
+    is searched as a table and joined for its attributes; stored replies need one that fits.
     ``replies`` and ``enrichments`` (id, reply) are joined on the id; ``longest`` cuts the values that
     enrichments bring to so many characters (None: as they are). Rows whose
     ``extraction_error`` column, if there is one, is set become ``failed``.
     """
-    rules = as_rules(rules)
+    table = rules if isinstance(rules, DataFrame) and replies is None and not fits_literals(rules) else None
+    rules = [] if table is not None else as_rules(rules)
     out = df
     if "extraction_confidence" not in df.columns:
         out = out.withColumn("extraction_confidence", F.lit(0.99))
@@ -59,14 +62,25 @@ def process_documents(df: DataFrame, rules: DataFrame | list[Rule], as_of: Colum
     if wanted is not None and replies is None and enrichments is None:
         wanted = set(wanted)
         listed = "matched_keywords" in wanted
-        if "extracted_fields" not in wanted:
+        if "extracted_fields" not in wanted and table is None:
             names = {f for rule in rules for f in rule.required_fields} | set(CHECKED_FIELDS)
-    out = compute_once(extract_field_map(out, names=names), {"urgency": scores.urgency(low)})
-    out = classify(out, rules, lowered="__lowered", keywords=listed).drop("__lowered")
-    out = out.withColumn("department", lookup(rules, "doc_type", "department"))
+    out = extract_field_map(out, names=names)
     if replies is not None:
-        out = prefer_replies(out, replies, rules)
-    required = lookup(rules, "doc_type", "required_fields")
+        # The rules judge only texts that no usable reply decides: for the others there is nothing to search.
+        out = with_replies(out, replies, rules)
+        out = compute_once(out, {"__lowered": F.when(F.col("__rid").isNull(), low).otherwise(F.lit(""))})
+    out = compute_once(out, {"urgency": scores.urgency(low)})
+    if table is not None:
+        out = with_attributes(classify_by_table(out, table, lowered="__lowered", keywords=listed), table, ["department", "required_fields", "sla_days"])
+        out = out.withColumn("department", F.col("__rule_department"))
+        required, sla = F.col("__rule_required_fields"), F.col("__rule_sla_days")
+    else:
+        out = classify(out, rules, lowered="__lowered", keywords=listed)
+        out = out.withColumn("department", lookup(rules, "doc_type", "department"))
+        required, sla = lookup(rules, "doc_type", "required_fields"), lookup(rules, "doc_type", "sla_days")
+    out = out.drop("__lowered")
+    if replies is not None:
+        out = prefer_replies(out)
     out = compute_once(out, {"missing_fields": missing_fields(F.col("extracted_fields"), required)})
     if enrichments is not None:
         out = merge_enrichment(out, enrichments, required, longest)
@@ -75,13 +89,12 @@ def process_documents(df: DataFrame, rules: DataFrame | list[Rule], as_of: Colum
     score = scores.penalised_confidence(F.col("classification_confidence"), F.col("extraction_confidence"), errors)
     out = out.withColumn("__score", score)
     flag = scores.needs_review(F.col("__score"), errors, F.col("doc_type"), threshold, forced)
-    sla = lookup(rules, "doc_type", "sla_days")
     created = F.col("created_at") if "created_at" in df.columns else F.lit(None).cast("timestamp")
     out = out.withColumns({"confidence": F.round("__score", 4), "requires_review": flag, "sla_days": sla})
     out = out.withColumns({
         "status": F.when(F.col("requires_review"), "needs_review").otherwise("routed"),
         "due_date": due_date(created, F.col("sla_days"), as_of),
-    }).drop("__score")
+    }).drop("__score", "__rule_department", "__rule_required_fields", "__rule_sla_days")
     return isolate_failures(out) if "extraction_error" in df.columns else out
 
 
@@ -95,12 +108,16 @@ def isolate_failures(df: DataFrame) -> DataFrame:
     })
 
 
-def prefer_replies(df: DataFrame, replies: DataFrame, rules: list[Rule]) -> DataFrame:
-    """A usable stored reply decides type, department, urgency and confidence;
-    the rules decide for all other documents."""
+def with_replies(df: DataFrame, replies: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``df`` with the usable stored reply of each document; ``__rid`` is null where there is none."""
     typed = normalise_replies(replies.select(F.col("id").alias("__rid"), "reply"), rules)
     typed = typed.filter("reply_doc_type is not null").drop("reply", "reply_rationale")
-    joined = df.join(typed, F.col("id") == F.col("__rid"), "left")
+    return df.join(typed, F.col("id") == F.col("__rid"), "left")
+
+
+def prefer_replies(joined: DataFrame) -> DataFrame:
+    """A usable stored reply (see ``with_replies``) decides type, department, urgency and confidence;
+    the rules decide for all other documents."""
     has = F.col("__rid").isNotNull()
     pairs = {"doc_type": "reply_doc_type", "department": "reply_department", "urgency": "reply_urgency",
              "classification_confidence": "reply_confidence", "matched_keywords": "reply_keywords"}

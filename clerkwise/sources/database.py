@@ -53,20 +53,24 @@ class _Range(InputPartition):
 
 
 class SQLiteSource(DataSource):
-    """SELECT over a SQLite file on a shared path; column types from the first
-    row, split on a numeric column as the JDBC source does."""
+    """SELECT over a SQLite file on a shared path, split on a numeric column as the JDBC source does.
+
+    SQLite gives each value its own type. A column gets the widest that occurs in any row: text, else binary, else double,
+    else bigint.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "sqlite_select"
 
     def schema(self) -> str:
-        kinds = {int: "bigint", float: "double", bytes: "binary", str: "string", type(None): "string"}
         with _connect(self.options["path"]) as connection:
-            cursor = connection.execute(f"SELECT * FROM ({self.options['query']}) LIMIT 1")
-            names = [c[0] for c in cursor.description]
-            first = cursor.fetchone() or [None] * len(names)
-        return ", ".join(f"`{n}` {kinds[type(v)]}" for n, v in zip(names, first))
+            names = [c[0] for c in connection.execute(f"SELECT * FROM ({self.options['query']}) LIMIT 0").description]
+            quoted = ['"' + n.replace('"', '""') + '"' for n in names]
+            ranks = ", ".join(f"max(CASE typeof({q}) WHEN 'text' THEN 4 WHEN 'blob' THEN 3 WHEN 'real' THEN 2 WHEN 'integer' THEN 1 ELSE 0 END)" for q in quoted)
+            widest = connection.execute(f"SELECT {ranks} FROM ({self.options['query']})").fetchone()
+        kinds = {None: "string", 0: "string", 1: "bigint", 2: "double", 3: "binary", 4: "string"}
+        return ", ".join(f"`{n}` {kinds[v]}" for n, v in zip(names, widest, strict=True))
 
     def reader(self, schema) -> DataSourceReader:
         return _SQLiteReader(dict(self.options), schema)
@@ -93,8 +97,8 @@ class _SQLiteReader(DataSourceReader):
 
     def read(self, partition: _Range) -> Iterator[tuple]:
         where = f" WHERE {partition.condition}" if partition.condition else ""
-        cast = {"string": str, "double": float, "bigint": int,
-                "binary": lambda v: v.encode() if isinstance(v, str) else bytes(v)}
+        cast = {"string": lambda v: v.decode("utf-8", "replace") if isinstance(v, bytes) else str(v), "double": float, "bigint": int,
+                "binary": lambda v: v if isinstance(v, bytes) else str(v).encode()}
         with _connect(self.path) as connection:
             for row in connection.execute(f"SELECT * FROM ({self.query}){where}"):
                 yield tuple(None if v is None else cast[k](v) for k, v in zip(self.kinds, row))

@@ -19,15 +19,16 @@ OUTPUT = "`key` string, id long, ts timestamp, allowed boolean, remaining int"
 
 
 class AdmissionProcessor(StatefulProcessor):
-    """Keeps the admitted times of one window, at most ``limit`` of them."""
+    """Keeps the admitted times of one window, at most ``limit`` of them, until a key has been silent for ``expire_seconds``."""
 
-    def __init__(self, limit: int, window_seconds: int):
+    def __init__(self, limit: int, window_seconds: int, expire_seconds: int | None = None):
         self.limit = limit
         self.window = window_seconds * 1_000_000
+        self.expire = None if expire_seconds is None else expire_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.recent = handle.getValueState(
-            "recent", StructType([StructField("times", ArrayType(LongType())), StructField("last", LongType())]))
+            "recent", StructType([StructField("times", ArrayType(LongType())), StructField("last", LongType())]), self.expire)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         times, last = (deque(self.recent.get()[0]), self.recent.get()[1]) if self.recent.exists() else (deque(), None)
@@ -55,11 +56,16 @@ class AdmissionProcessor(StatefulProcessor):
         pass
 
 
-def admit_stream(events: DataFrame, key: str, ts: str, event_id: str, limit: int, window_seconds: int) -> DataFrame:
+def admit_stream(events: DataFrame, key: str, ts: str, event_id: str, limit: int, window_seconds: int,
+                 expire_seconds: int | None = None) -> DataFrame:
     """Admission of a stream, events of a key in time order within a micro-batch.
 
+    ``expire_seconds`` drops the state of a key that has been silent for so long by the clock of the run, so that keys at rest cost
+    nothing. Decisions stay the same as long as it is not less than the window plus the longest time an event is under way. Without it the state
+    of every key ever seen is kept.
+
     Late events, older than one already decided for their key, are judged at that one's time: the
-    clock of a key never goes back. The state holds ``limit`` times at most for every key ever seen. A task holds
+    clock of a key never goes back. The state holds ``limit`` times at most for each key. A task holds
     two numbers per event of one key and micro-batch, so give the source a
     rate limit (``maxBytesPerTrigger``, ``maxFilesPerTrigger``).
 
@@ -69,4 +75,4 @@ def admit_stream(events: DataFrame, key: str, ts: str, event_id: str, limit: int
     rows = events.select(F.col(key).cast("string").alias("key"), F.col(event_id).cast("long").alias("id"),
                          F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
     return rows.groupBy("key").transformWithStateInPandas(
-        AdmissionProcessor(limit, window_seconds), OUTPUT, "Append", "None")
+        AdmissionProcessor(limit, window_seconds, expire_seconds), OUTPUT, "Append", "None" if expire_seconds is None else "ProcessingTime")

@@ -2,33 +2,47 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from clerkwise.functions.text import basename, mime_guess
 from clerkwise.operators.changes import purge_before, retention_cutoff
-from clerkwise.operators.imports import new_documents, new_only, sync_log_rows, validate_files
+from clerkwise.operators.imports import connector_audit, new_documents, new_only, sync_log_rows, validate_files
 from clerkwise.operators.rules import Rule
 from clerkwise.operators.sla import overdue_notifications, sla_scan
 from clerkwise.plans.process import process_documents
 from clerkwise.sources.files import BINARY_SCHEMA, extract_text, fingerprint
 
 
-def folder_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """New files of a folder with their fingerprint (names starting with ``.``
+def folder_stream(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
+    """New files of a folder, and of those below it if wanted, with their fingerprint (names starting with ``.``
     or ``_`` are left out by the source)."""
-    return _described(spark.readStream.format("binaryFile").schema(BINARY_SCHEMA).load(folder))
+    files = spark.readStream.format("binaryFile").schema(BINARY_SCHEMA).option("recursiveFileLookup", str(recursive).lower())
+    return _described(files.load(folder))
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table that may not have been written yet."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+def read_or_empty(spark: SparkSession, path: str, schema: str, base: str | None = None) -> DataFrame:
+    """A table that may not have been written yet. ``base`` is the folder below which folder names are columns."""
+    reader = spark.read.schema(schema)
+    try:
+        found = (reader.option("basePath", base) if base else reader).parquet(path)
+        found.schema  # noqa: B018  where plans are made elsewhere, a missing path shows only now
+        return found
+    except AnalysisException as gone:
+        if gone.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 LEDGER = "file_hash string, filename string, source_path string, document_id string, created_at timestamp"
+# A ledger lies in folders by a checksum of its key, so a batch reads only those that its own keys fall into.
+LEDGER_BUCKETS = 256
+
+
+def ledger_bucket(key: Column) -> Column:
+    return F.pmod(F.crc32(F.coalesce(key, F.lit("")).cast("binary")), F.lit(LEDGER_BUCKETS)).cast("int")
 
 
 def _described(files: DataFrame) -> DataFrame:
@@ -38,17 +52,28 @@ def _described(files: DataFrame) -> DataFrame:
     }).withColumn("content_type", F.coalesce(mime_guess(F.col("filename")), F.lit("application/octet-stream")))
 
 
-def _others(spark: SparkSession, ledger: str, columns: str, run: str, batch: int) -> DataFrame:
-    """What other batches have taken in; a batch that runs again does not see itself."""
-    known = read_or_empty(spark, ledger, columns + ", run string, batch long")
+def _others(rows: DataFrame, key: str, ledger: str, columns: str, run: str, batch: int) -> DataFrame:
+    """What other batches have taken in, of the buckets that ``rows`` fall into; a batch that runs again does not see itself."""
+    touched = sorted(r["bucket"] for r in rows.select(ledger_bucket(F.col(key)).alias("bucket")).distinct().collect())
+    schema = columns + ", bucket int, run string, batch long"
+    if not touched:
+        return rows.sparkSession.createDataFrame([], schema)
+    known = read_or_empty(rows.sparkSession, f"{ledger}/bucket={{{','.join(map(str, touched))}}}", schema, ledger)
     return known.filter((F.col("run") != run) | (F.col("batch") != batch))
 
 
+def _append_ledger(rows: DataFrame, key: str, ledger: str, run: str, batch: int) -> None:
+    """Ledger rows of a batch. Its partitions are its own, and the same batch run again replaces them."""
+    placed = rows.withColumns({"bucket": ledger_bucket(F.col(key)), "run": F.lit(run), "batch": F.lit(batch).cast("long")})
+    (placed.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("bucket", "run", "batch").parquet(ledger))
+
+
 def _fresh(files: DataFrame, ledger: str, run: str, batch: int) -> DataFrame:
     """Acceptable files whose fingerprint no other batch has taken in. The content stays out of
     the shuffle that finds them: only the key columns are compared."""
     good = validate_files(files).filter("reject_reason is null").drop("reject_reason")
-    known = _others(files.sparkSession, ledger, LEDGER, run, batch)
+    known = _others(good, "file_hash", ledger, LEDGER, run, batch)
     if "content" not in files.columns:
         return new_only(good, known, ["file_hash"], ["path"])
     # A fingerprint holds the path, and a batch has each path once.
@@ -57,14 +82,14 @@ def _fresh(files: DataFrame, ledger: str, run: str, batch: int) -> DataFrame:
 
 def _store(fresh: DataFrame, ledger: str, documents: str, run: str, batch: int, as_of: Column) -> None:
     """Write the documents of a batch and then their ledger rows. Each batch of each run has
-    its own folder, replaced whole, so a batch that runs again adds nothing and no other run's is touched."""
+    its own folders, replaced whole, so a batch that runs again adds nothing and no other run's is touched."""
     place = f"run={run}/batch={batch}"
     rows = new_documents(fresh, ["file_hash"], "watched_folder", as_of)
     rows.write.mode("overwrite").parquet(f"{documents}/{place}")
     # The ledger is written from the stored documents, so both agree.
     stored = fresh.sparkSession.read.schema(rows.schema).parquet(f"{documents}/{place}")
-    stored.select("file_hash", "filename", F.col("path").alias("source_path"), F.col("id").alias("document_id"),
-                  "created_at").write.mode("overwrite").parquet(f"{ledger}/{place}")
+    _append_ledger(stored.select("file_hash", "filename", F.col("path").alias("source_path"), F.col("id").alias("document_id"), "created_at"),
+                   "file_hash", ledger, run, batch)
 
 
 def _run_of(spark: SparkSession, checkpoint: str) -> str:
@@ -73,18 +98,30 @@ def _run_of(spark: SparkSession, checkpoint: str) -> str:
 
 
 def ingest_stream(spark: SparkSession, folder: str, ledger: str, documents: str, checkpoint: str,
-                  as_of: Column, trigger: dict | None = None) -> StreamingQuery:
+                  as_of: Column, trigger: dict | None = None, recursive: bool = False) -> StreamingQuery:
     """Take in the new files of a folder. Rejected files stay out of the ledger.
 
     The file source offers every path once; ``ingest_folder`` also takes in
     files that changed.
     """
+    return ingest_files(folder_stream(spark, folder, recursive), ledger, documents, checkpoint, as_of, trigger)
+
+
+def ingest_files(files: DataFrame, ledger: str, documents: str, checkpoint: str, as_of: Column, trigger: dict | None = None) -> StreamingQuery:
+    """Take in a stream of files (path, modificationTime, length, content), each version of a file once.
+
+    A batch reads the ledger only in the buckets that its files fall into, and may run again without
+    adding anything.
+    """
+    spark = files.sparkSession
+    described = files if "file_hash" in files.columns else _described(files)
+
     def take(batch: DataFrame, number: int) -> None:
         run = _run_of(spark, checkpoint)
         _store(_fresh(batch, ledger, run, number), ledger, documents, run, number, as_of)
 
-    return (folder_stream(spark, folder).writeStream.foreachBatch(take)
-            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
+    return (described.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
 
 
 def ingest_folder(spark: SparkSession, folder: str, ledger: str, documents: str, batch: int, as_of: Column,
@@ -110,29 +147,69 @@ SYNC_LOG = """connector_type string, external_id string, filename string, docume
               metadata_json string, created_at timestamp"""
 
 
-def sync_stream(listing: DataFrame, ledger: str, checkpoint: str, as_of: Column,
-                trigger: dict | None = None) -> StreamingQuery:
-    """Record connector documents once. ``listing`` is a stream of external
-    documents with a ``position``; refused ones stay out of the ledger."""
+SYNCED = "connector_type string, workspace_id string, last_sync_at timestamp"
+SYNC_TARGETS = ("documents", "audit", "log", "synced")
+
+
+def sync_batch(batch: DataFrame, store: str, run: str, number: int, as_of: Column, workspace_id: str | None = None, actor: str = "system") -> None:
+    """Take in one batch of connector documents: the documents, an audit row for each, the log that keeps them from coming again, and when
+    each connector was read. Refused ones stay out of the log, so a later listing may bring them again.
+
+    All four targets lie under ``store``, the rows of a batch in partitions of their own. The log is written last but one: what it
+    names has been stored. A batch that runs again, also after it was broken off halfway, replaces its own partitions and adds nothing.
+    """
     from clerkwise.sources.connectors import acceptable
 
+    spark = batch.sparkSession
+    place = f"run={run}/batch={number}"
+    good = acceptable(batch).filter("reject_reason is null").drop("reject_reason")
+    known = _others(good, "external_id", f"{store}/log", SYNC_LOG, run, number)
+    fresh = new_only(good, known, ["connector_type", "external_id"], ["position"])
+    rows = new_documents(fresh, ["connector_type", "external_id"], "connector", as_of, workspace_id)
+    rows = rows.withColumn("source_channel", F.concat(F.lit("connector_"), F.col("connector_type")))
+    rows.write.mode("overwrite").parquet(f"{store}/documents/{place}")
+    # The other targets are made from the stored documents, so all agree.
+    stored = spark.read.schema(rows.schema).parquet(f"{store}/documents/{place}")
+    connector_audit(stored, workspace_id, actor, as_of).write.mode("overwrite").parquet(f"{store}/audit/{place}")
+    _append_ledger(sync_log_rows(stored, as_of), "external_id", f"{store}/log", run, number)
+    read = batch.select("connector_type", F.lit(workspace_id).cast("string").alias("workspace_id"), as_of.alias("last_sync_at")).distinct()
+    read.coalesce(1).write.mode("overwrite").parquet(f"{store}/synced/{place}")
+
+
+def sync_stream(listing: DataFrame, store: str, checkpoint: str, as_of: Column, trigger: dict | None = None,
+                workspace_id: str | None = None, actor: str = "system") -> StreamingQuery:
+    """``sync_batch`` for a stream of external documents with a ``position``."""
     spark = listing.sparkSession
 
     def take(batch: DataFrame, number: int) -> None:
-        run = _run_of(spark, checkpoint)
-        known = _others(batch.sparkSession, ledger, SYNC_LOG, run, number)
-        good = acceptable(batch).filter("reject_reason is null")
-        fresh = new_only(good, known, ["connector_type", "external_id"], ["position"])
-        sync_log_rows(fresh, as_of).write.mode("overwrite").parquet(f"{ledger}/run={run}/batch={number}")
+        sync_batch(batch, store, _run_of(spark, checkpoint), number, as_of, workspace_id, actor)
 
     return (listing.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
-def process_stream(files: DataFrame, rules: list[Rule], as_of: Column) -> DataFrame:
+def synced_configs(configs: DataFrame, store: str) -> DataFrame:
+    """Connector settings with the time of their last sync; those never read stay as they are."""
+    last = (read_or_empty(configs.sparkSession, f"{store}/synced", SYNCED).groupBy("connector_type", "workspace_id")
+            .agg(F.max("last_sync_at").alias("at")))
+    kind = F.col("connector_type")
+    # A sync without a workspace is one of all. One row for each connector, or connector and workspace.
+    every = last.filter("workspace_id is null").select(kind.alias("__kind"), F.col("at").alias("__every"))
+    own = last.select(kind.alias("__own_kind"), F.col("workspace_id").alias("__ws"), F.col("at").alias("__own"))
+    joined = configs.join(every, kind == F.col("__kind"), "left").join(
+        own, (kind == F.col("__own_kind")) & (F.col("workspace_id") == F.col("__ws")), "left")
+    latest = F.greatest("__every", "__own")
+    return joined.withColumns({c: F.coalesce(latest, F.col(c)) for c in ("last_sync_at", "updated_at")}).select(*configs.columns)
+
+
+def process_stream(files: DataFrame, rules: list[Rule], as_of: Column, tasks: int | None = None) -> DataFrame:
     """Processing of a stream of files (id, filename, content_type, content):
-    the batch projection, which keeps no state."""
-    return process_documents(extract_text(files), rules, as_of)
+    the batch projection, which keeps no state.
+
+    One input file is one task. Where micro-batches have few but large files, ``tasks`` deals the rows of each out before
+    the work that is heavy per row.
+    """
+    return process_documents(extract_text(files.repartition(tasks) if tasks else files), rules, as_of)
 
 
 def sla_run(docs: DataFrame, notifications: DataFrame, as_of: Column) -> DataFrame:

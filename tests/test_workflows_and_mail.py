@@ -47,7 +47,7 @@ def test_scope_and_limit(spark):
 
 
 def test_large_rule_table_takes_the_shuffle_path(spark, monkeypatch):
-    monkeypatch.setattr(workflows, "broadcast_if_small", lambda df: df)
+    monkeypatch.setattr(workflows, "broadcast_if_small", lambda df, *sizes: df)
     test_scope_and_limit(spark)
 
 
