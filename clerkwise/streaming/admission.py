@@ -61,7 +61,8 @@ def admit_stream(events: DataFrame, key: str, ts: str, event_id: str, limit: int
     """Admission of a stream, events of a key in time order within a micro-batch.
 
     ``expire_seconds`` drops the state of a key that has been silent for so long by the clock of the run, so that keys at rest cost
-    nothing. Decisions stay the same as long as it is not less than the window plus the longest time an event is under way. Without it the state
+    nothing. Such a stream looks after its state by the clock, so a drained run (``availableNow``) of it does not end; run it with a
+    processing-time trigger, or once. Decisions stay the same as long as it is not less than the window plus the longest time an event is under way. Without it the state
     of every key ever seen is kept.
 
     Late events, older than one already decided for their key, are judged at that one's time: the

@@ -29,31 +29,30 @@ class OverdueProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         last = pd.concat(list(rows)).sort_values(["seen", "due", "filename"]).iloc[-1]
-        held = self.document.get() if self.document.exists() else None
+        held = self.document.get()
         if held is not None and held[5] > last["seen"]:
             return
-        self._forget_timers()
+        if held is not None:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
         if pd.isna(last["due"]) or not last["open"]:
-            self.document.clear()
+            if held is not None:
+                self.document.clear()
             return
         due = int(last["due"])
         # No second notice within the look-back of the last one, whatever has changed meanwhile.
         soonest = held[4] if held is not None and held[4] > held[3] else due
         text = [None if pd.isna(last[c]) else last[c] for c in ("workspace_id", "filename", "assigned_to")]
-        self.document.update((*text, due, max(due, soonest), int(last["seen"])))
-        yield from self._advance(key[0], timerValues.getCurrentWatermarkInMs())
+        yield from self._advance(key[0], (*text, due, max(due, soonest), int(last["seen"])), timerValues.getCurrentWatermarkInMs(), held is not None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.document.exists():
-            yield from self._advance(key[0], timerValues.getCurrentWatermarkInMs())
-
-    def _forget_timers(self) -> None:
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
+        held = self.document.get()
+        if held is not None:
+            yield from self._advance(key[0], held, timerValues.getCurrentWatermarkInMs(), True)
 
-    def _advance(self, name: str, now: int) -> Iterator[pd.DataFrame]:
+    def _advance(self, name: str, document: tuple, now: int, held: bool) -> Iterator[pd.DataFrame]:
         """All notices before ``now``, and a timer for the next one."""
-        workspace, filename, user, due, at, seen = self.document.get()
+        workspace, filename, user, due, at, seen = document
         out = []
         while at < now and self._within(at, due):
             late = (at - due) // DAY_MS
@@ -67,7 +66,7 @@ class OverdueProcessor(StatefulProcessor):
         if self._within(at, due):
             self.document.update((workspace, filename, user, due, at, seen))
             self.handle.registerTimer(at)
-        else:
+        elif held:
             self.document.clear()
         if out:
             frame = pd.DataFrame(out, columns=["document_id", "kind", "at", "days_overdue", "user_id", "workspace_id", "title", "details"])

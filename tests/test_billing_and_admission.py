@@ -124,3 +124,18 @@ def test_histogram_and_health(spark):
     assert got == {"jobs_queued": 1, "jobs_running": 2, "jobs_failed": 0, "documents_total": 2, "documents_auto_routed": 1, "documents_needs_review": 1,
                    "documents_failed": 0, "audit_errors": 1, "emails_sent": 1, "emails_failed": 0}
     assert analytics.request_counter(calls.withColumn("status", F.lit(200)), ["method", "status"]).first()["requests"] == 4
+
+
+@pytest.mark.parametrize("limit,window,rounds", [(1, 20, 3), (2, 30, 3), (3, 15, 0), (2, 30, 1)])
+def test_a_key_that_never_rests_is_decided_block_by_block(spark, limit, window, rounds):
+    """More events than a window admits, for hundreds of windows, beside keys that rest; also with no second round, when the stream decides."""
+    rng = random.Random(limit * window)
+    start = ts("2024-01-01 00:00:00")
+    events, at = [], 0.0
+    for i in range(1500):
+        at += rng.expovariate(limit * 3 / window)
+        events.append(("hot", start + timedelta(seconds=round(at, 1)), i))
+    events += [(f"k{i % 7}", start + timedelta(seconds=rng.randint(0, 4000)), 10_000 + i) for i in range(300)] + [(None, start, 20_000), (None, start, 20_001)]
+    df = spark.createDataFrame(events, "k string, at timestamp, n long")
+    got = {r["n"]: (r["allowed"], r["remaining"]) for r in admit_sliding(df, "k", "at", "n", limit, window, block_windows=3, rounds=rounds).collect()}
+    assert got == loop([(k or "", a, n) for k, a, n in events], limit, window)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from clerkwise.functions.dates import instant
 from clerkwise.operators import changes, imports, joins
 from clerkwise.session import broadcast_if_small, is_small, number_rows, spread
+from clerkwise.sources import snapshots
 from clerkwise.sources.database import read_database
 from clerkwise.sources.tables import copy_tables
 from tests.helpers import column, docs, rows, ts
@@ -202,3 +203,46 @@ def test_content_of_a_type_without_text(spark):
     table = spark.createDataFrame([(1, "a.txt", ts("2024-01-01 00:00:00")), (2, "b.txt", None)], "id long, filename string, content timestamp")
     got = imports.import_rows(table, "id").orderBy("position").collect()
     assert [r["error"] for r in got] == ["Row 1: Unsupported content type: timestamp", "Row 2: Content value is empty."]
+
+
+def test_snapshots_rewrite_only_the_buckets_of_a_change(spark, tmp_path):
+    path = str(tmp_path / "snap")
+    base = spark.range(500).selectExpr("id", "'old' AS state", "map('k', id) AS more").unionByName(spark.sql("SELECT cast(null AS bigint) AS id, 'old' AS state, cast(null AS map<string,bigint>) AS more"))
+    snapshots.write_snapshot(base, path, "id", 16)
+    change = spark.createDataFrame([(3, "new"), (900, "new")], "id long, state string")
+    wrote = snapshots.change_snapshot(spark, path, change, lambda rows_, new: changes.update_by_key(rows_, new, "id", ["state"]))
+    assert 1 <= wrote.count() <= 2 and {r["held"] for r in wrote.collect()} == {2}
+    touched = {r["bucket"] for r in wrote.collect()}
+    files = snapshots.read_snapshot(spark, path).inputFiles()
+    assert {int(f.split("bucket=")[1].split("/")[0]) for f in files if "version=2" in f} == touched
+    assert sum("version=1" in f for f in files) >= 14
+    state = {r["id"]: r["state"] for r in snapshots.read_snapshot(spark, path).collect()}
+    assert len(state) == 501 and state[3] == "new" and state[None] == "old" and 900 not in state
+    gone = spark.range(500).select("id")
+    snapshots.change_snapshot(spark, path, gone, lambda rows_, some: changes.delete_keys(rows_, some, ["id"]))
+    assert [r["id"] for r in snapshots.read_snapshot(spark, path).collect()] == [None]
+    assert snapshots.read_snapshot(spark, path, 1).count() == 501 and snapshots.read_snapshot(spark, path, 2).filter("state = 'new'").count() == 1
+    snapshots.write_snapshot(base.limit(3), path, "id", 8)
+    assert snapshots.read_snapshot(spark, path).count() == 3
+    with pytest.raises(ValueError):
+        snapshots.read_snapshot(spark, str(tmp_path / "none"))
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
+    name = tmp_path.name.replace("-", "_")
+    a = snapshots.bucketed_table(spark.range(300).selectExpr("id", "id * 2 AS x"), f"a_{name}", str(tmp_path / "a"), "id", 4)
+    b = snapshots.bucketed_table(spark.range(100, 400).selectExpr("id", "id * 3 AS y"), f"b_{name}", str(tmp_path / "b"), "id", 4)
+    joined = a.hint("merge").join(b, "id")
+    assert joined.count() == 200 and "Exchange" not in joined._jdf.queryExecution().sparkPlan().toString()
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_sqlite_columns_take_the_widest_type(spark, tmp_path):
+    path = tmp_path / "t.db"
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE t (id, n, mixed, blob, empty_one)")
+        db.executemany("INSERT INTO t VALUES (?, ?, ?, ?, ?)", [(1, 1, 1, b"x", None), (2, 2.75, "two", None, None), (3, None, 2.5, b"y", None)])
+    df = read_database(spark, f"sqlite:///{path}", "SELECT * FROM t")
+    assert [k for _, k in df.dtypes] == ["bigint", "double", "string", "binary", "string"]
+    assert rows(df.select("id", "n", "mixed"), "id") == [(1, 1.0, "1"), (2, 2.75, "two"), (3, None, "2.5")]

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from clerkwise.functions.dates import instant
@@ -152,3 +154,13 @@ def test_rows_for_the_logs(spark):
     changed = lifecycle.auto_assign(snapshot)
     assert [r["title"] for r in lifecycle.auto_assignment_notifications(changed, snapshot, now()).collect()] == ["Document assigned: f.txt"]
     assert lifecycle.assignment_audit(changed, "a", now(), "auto_assigned").first()["details"] == "assigned_to=triage_queue"
+
+
+def test_pages_by_ranges_equal_an_offset(spark):
+    rnd = random.Random(3)
+    ids = sorted(rnd.sample(range(-5000, 10 ** 12), 300) + list(range(2000)), reverse=True)
+    df = spark.createDataFrame([(i,) for i in ids], "id long").repartition(4)
+    for offset, limit in ((0, 5), (299, 3), (1200, 40), (2298, 5), (2299, 5), (2300, 5), (5000, 1), (10, 0)):
+        got = [r["id"] for r in listing.page_by_ranges(df, "id", limit, offset, enough=3).collect()]
+        assert got == ids[offset:offset + limit]
+    assert listing.page_by_ranges(df.limit(0), "id", 5, 5).count() == 0

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from clerkwise.functions.dates import instant
 from clerkwise.operators.classify import classify, route, validate
 from clerkwise.operators import classify as classify_module
+from clerkwise.operators import rules as rules_module
+from clerkwise.operators.rule_search import classify_by_table
 from clerkwise.operators.rules import (
     Rule, default_rules, literal_rules, normalize_rules, rule_errors, rule_key_order, rule_list)
 from clerkwise.plans.process import process_documents, processing_audit, reply_sweep, reprocess, review_notifications
@@ -164,3 +166,24 @@ def test_columns_nobody_reads_are_not_made(spark):
     assert rows(part, "id") == rows(whole, "id")
     plan = part.select("department", "requires_review")._jdf.queryExecution().optimizedPlan().toString()
     assert "matched_keywords" not in plan and FIELD_PATTERNS["amount"][:20] not in plan and FIELD_PATTERNS["date"][:12] in plan
+
+
+def test_rule_tables_of_any_size_give_the_same(spark, monkeypatch):
+    """Blocks of a few rules against the rules inside the plan: hits, ties, doubled and empty keywords, null texts."""
+    words = ["permit", "noise", "ice", "é", "a b", "permit", "tax"]
+    table = spark.createDataFrame(
+        [(f"t{i}", i % 4, [words[(i + k) % len(words)] for k in range(i % 4)], f"desk {i}", ["date"], i) for i in range(12)] + [("other", 99, [], "Desk", ["date"], 3)],
+        "doc_type string, rule_order int, keywords array<string>, department string, required_fields array<string>, sla_days int")
+    source = texts(spark, "Noise PERMIT", "ice and é", "", "nothing", "a b tax permit noise ice", None).withColumn("extra", F.array(F.lit(1)))
+    want = classify(source, table).orderBy("id").collect()
+    for size in (1, 300, 1 << 20):
+        assert classify_by_table(source, table, block_bytes=size).orderBy("id").collect() == want
+    processed = process_documents(source, table, instant(NOW)).orderBy("id").collect()
+    monkeypatch.setattr(rules_module, "RULE_TABLE_MAX_ROWS", 5)
+    assert classify(source, table).orderBy("id").collect() == want
+    columns = ["id", "doc_type", "department", "missing_fields", "sla_days", "status", "confidence"]
+    again = process_documents(source, table, instant(NOW)).orderBy("id").collect()
+    assert [[r[c] for c in columns] for r in again] == [[r[c] for c in columns] for r in processed]
+    assert [r["department"] for r in route(source.withColumn("doc_type", F.lit("t3")).limit(1).unionByName(source.withColumn("doc_type", F.lit("zzz")).limit(1)), table).collect()] == ["desk 3", "Desk"]
+    always = spark.createDataFrame([("e", 0, [""]), ("p", 1, ["permit", "x"])], "doc_type string, rule_order int, keywords array<string>")
+    assert {r["id"]: r["doc_type"] for r in classify_by_table(source, always).collect()}[3] == "e"

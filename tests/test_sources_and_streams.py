@@ -3,14 +3,19 @@ import os
 import time
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from clerkwise.functions.dates import instant
+from clerkwise.operators.imports import new_documents
 from clerkwise.operators.rules import literal_rules
 from clerkwise.sources import connectors
 from clerkwise.sources.files import extract_text, read_files
+from clerkwise.sources.replies import FORMAT, list_connector, register_connectors
 from clerkwise.streaming.admission import admit_stream
-from clerkwise.streaming.ingest import ingest_folder, ingest_stream, process_stream, retention_run, sla_run, sync_stream
+from clerkwise.streaming.ingest import (
+    LEDGER, SYNC_TARGETS, _append_ledger, _others, ingest_folder, ingest_stream, process_stream, retention_run, sla_run, sync_batch, sync_stream, synced_configs)
+from clerkwise.streaming.overdue import overdue_stream
 from tests.helpers import docs, rows, ts
 
 AS_OF = "2024-03-10 00:00:00"
@@ -116,7 +121,7 @@ def test_connector_stream_keeps_a_ledger(spark, tmp_path):
 
     def run():
         sync_stream(spark.readStream.schema(schema).parquet(str(src)), str(ledger), str(tmp_path / "cp"), instant(AS_OF)).awaitTermination(120)
-        return sorted((r["external_id"], r["filename"]) for r in spark.read.parquet(str(ledger)).collect())
+        return sorted((r["external_id"], r["filename"]) for r in spark.read.parquet(f"{ledger}/log").collect())
 
     put(("a", "a1.txt"), ("a", "a2.txt"), ("b", "b.exe"))
     assert run() == [("a", "a1.txt")]
@@ -124,6 +129,111 @@ def test_connector_stream_keeps_a_ledger(spark, tmp_path):
     assert run() == [("a", "a1.txt"), ("b", "b.txt")]
 
 
+def test_a_sync_batch_that_runs_again_adds_nothing(spark, tmp_path):
+    schema = "connector_type string, external_id string, filename string, content_type string, size_bytes long, metadata map<string,string>, position long"
+    batch = spark.createDataFrame([("s3", e, f, None, 5, {"k": e}, i) for i, (e, f) in enumerate([("a", "a.txt"), ("a", "a2.txt"), ("b", "b.exe"), ("c", "c.md")])], schema)
+    store = str(tmp_path / "store")
+
+    def counts():
+        return [spark.read.parquet(f"{store}/{t}").count() for t in SYNC_TARGETS]
+
+    sync_batch(batch, store, "r", 0, instant(AS_OF), "w", "clerk")
+    first = counts()
+    sync_batch(batch, store, "r", 0, instant(AS_OF), "w", "clerk")
+    assert first == counts() == [2, 2, 2, 1]
+    # Broken off after the documents: the batch that runs again completes it.
+    more = spark.createDataFrame([("s3", "a", "a.txt", None, 5, {}, 0), ("s3", "d", "d.txt", None, 5, {}, 1)], schema)
+    new_documents(more.filter("external_id = 'd'"), ["connector_type", "external_id"], "connector", instant(AS_OF), "w").write.parquet(f"{store}/documents/run=r/batch=1")
+    sync_batch(more, store, "r", 1, instant("2024-03-11 00:00:00"), "w", "clerk")
+    assert counts() == [3, 3, 3, 2]
+    assert {r["details"] for r in spark.read.parquet(f"{store}/audit").collect()} == {f"source=connector_s3 external_id={e}" for e in "acd"}
+    assert spark.read.parquet(f"{store}/documents").filter("source_channel = 'connector_s3' and workspace_id = 'w'").count() == 3
+    configs = spark.createDataFrame([("s3", "w"), ("s3", "x"), ("s3", None), ("gcs", "w")], "connector_type string, workspace_id string").withColumns(
+        {c: F.lit(None).cast("timestamp") for c in ("last_sync_at", "updated_at")})
+    got = {(r["connector_type"], r["workspace_id"]): r["last_sync_at"] for r in synced_configs(configs, store).collect()}
+    assert got == {("s3", "w"): ts("2024-03-11 00:00:00"), ("s3", "x"): None, ("s3", None): None, ("gcs", "w"): None}
+    assert synced_configs(configs, str(tmp_path / "none")).filter("last_sync_at is not null").count() == 0
+
+
+def test_a_batch_reads_only_its_buckets_of_the_ledger(spark, tmp_path):
+    rows_ = spark.createDataFrame([(f"h{i}",) for i in range(300)], "file_hash string")
+    ledger = str(tmp_path / "ledger")
+    _append_ledger(rows_.withColumns({c: F.lit("x") for c in ("filename", "source_path", "document_id")}).withColumn("created_at", instant(AS_OF)), "file_hash", ledger, "r", 0)
+    known = _others(rows_.filter("file_hash in ('h1', 'h2')"), "file_hash", ledger, LEDGER, "r", 1)
+    assert 2 <= known.count() < 20 and len({r["bucket"] for r in known.collect()}) <= 2
+    assert {f.split("bucket=")[1].split("/")[0] for f in known.inputFiles()} == {str(r["bucket"]) for r in known.collect()}
+    assert _others(rows_, "file_hash", ledger, LEDGER, "r", 0).count() == 0
+    assert _others(rows_, "file_hash", str(tmp_path / "none"), LEDGER, "r", 0).count() == 0
+
+
+def test_overdue_timers_go_on_after_a_restart(spark, tmp_path):
+    src, out = tmp_path / "src", tmp_path / "out"
+    schema = "id string, workspace_id string, filename string, status string, due_date timestamp, assigned_to string, at timestamp"
+
+    def put(*changes):
+        spark.createDataFrame([(i, "w", f"{i}.txt", status, ts(due) if due else None, user, ts(at)) for i, status, due, user, at in changes], schema).coalesce(1).write.mode("append").parquet(str(src))
+        changed = spark.readStream.schema(schema).parquet(str(src)).withWatermark("at", "0 seconds")
+        (overdue_stream(changed, "at", "boss", days=5).writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "cp"))
+         .trigger(availableNow=True).start().awaitTermination(180))
+        return sorted((r["document_id"], r["kind"], r["at"].day, r["days_overdue"], r["user_id"]) for r in spark.read.parquet(str(out)).collect())
+
+    first = put(("a", "routed", "2024-01-01 00:00:00", "u", "2023-12-20 00:00:00"), ("b", "routed", "2024-01-02 00:00:00", None, "2023-12-21 00:00:00"),
+                ("c", "approved", "2024-01-01 00:00:00", None, "2023-12-21 00:00:00"), ("d", "routed", None, None, "2023-12-22 00:00:00"),
+                ("clock", "approved", None, None, "2024-01-02 12:00:00"))
+    assert first == [("a", "overdue", 1, 0, "u"), ("a", "overdue", 2, 1, "u"), ("b", "overdue", 2, 0, None)]
+    # b is closed; a goes on where it stood, is escalated on the third day and forgotten after the fifth.
+    second = put(("b", "completed", "2024-01-02 00:00:00", None, "2024-01-02 13:00:00"), ("clock", "approved", None, None, "2024-01-20 00:00:00"))
+    assert [x for x in second if x not in first] == [("a", "escalated", 4, 3, "boss"), ("a", "overdue", 3, 2, "u"), ("a", "overdue", 4, 3, "u"), ("a", "overdue", 5, 4, "boss")]
+
+
+def test_silent_keys_are_forgotten(spark, tmp_path):
+    src = tmp_path / "src"
+    spark.createDataFrame([("a", ts("2024-01-01 00:00:00"), 1), ("a", ts("2024-01-01 00:00:01"), 2), ("a", ts("2024-01-01 00:00:02"), 3)], "k string, at timestamp, n long").write.parquet(str(src))
+
+    def run():
+        stream = spark.readStream.schema("k string, at timestamp, n long").parquet(str(src))
+        query = (admit_stream(stream, "k", "at", "n", 2, 60, 3).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+                 .option("checkpointLocation", str(tmp_path / "cp")).trigger(once=True).start())
+        query.awaitTermination(120)
+        return rows(spark.read.parquet(str(tmp_path / "out")).select("id", "allowed"), "id")
+
+    assert run() == [(1, True), (2, True), (3, False)]
+    time.sleep(4)
+    spark.createDataFrame([("a", ts("2024-01-01 00:00:03"), 4)], "k string, at timestamp, n long").write.mode("append").parquet(str(src))
+    # The state of the key is gone with its three seconds of silence, so that it starts anew.
+    assert run() == [(1, True), (2, True), (3, False), (4, True)]
+
+
+def test_replies_as_a_source(spark, tmp_path):
+    register_connectors(spark)
+    for fetched, ids in ((1, "ab"), (2, "c"), (3, "de")):
+        folder = tmp_path / "connector_type=jira" / f"fetched={fetched}"
+        folder.mkdir(parents=True)
+        for page, i in enumerate(ids):
+            (folder / f"page{page}.json").write_text('{"issues": [{"key": "K", "fields": {"attachment": [{"id": "%s"}]}}]}\n' % i)
+        (folder / "_SUCCESS").write_text("")
+    replies = spark.read.format(FORMAT).option("path", str(tmp_path)).option("connector", "jira").load()
+    assert replies.rdd.getNumPartitions() == 5
+    later = replies.filter("fetched > 1 and page <> 'x'")
+    assert later.rdd.getNumPartitions() == 3 and sorted(r["fetched"] for r in later.collect()) == [2, 3, 3]
+    assert sorted(r["external_id"] for r in list_connector(spark, "jira", str(tmp_path), since=2).collect()) == ["jira_d", "jira_e"]
+    assert list_connector(spark, "sharepoint", str(tmp_path), site_url="https://s").count() == 0
+    for wrong, options in (("fax", {}), ("jira", {"site_url": "x"})):
+        with pytest.raises(ValueError):
+            list_connector(spark, wrong, str(tmp_path), **options)
+
+    def drained():
+        stream = spark.readStream.format(FORMAT).option("path", str(tmp_path)).option("connector", "jira").option("since", "1").load()
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+        return sorted(r["fetched"] for r in spark.read.schema("fetched long").parquet(str(tmp_path / "out")).collect())
+
+    assert drained() == [2, 3, 3] == drained()
+    folder = tmp_path / "connector_type=jira" / "fetched=7"
+    folder.mkdir()
+    (folder / "p.json").write_text("{}")
+    assert drained() == [2, 3, 3, 7]
+
+
 def test_admission_stream(spark, tmp_path):
     src = tmp_path / "src"
     base = ts("2024-01-01 00:00:00").timestamp()

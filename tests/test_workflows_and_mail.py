@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -190,3 +191,89 @@ def test_processed_copies(spark, tmp_path):
         sinks.write_processed_copy(files, docs(spark, *changes), str(tmp_path / "out"), run)
     got = sinks.read_processed_copies(spark, str(tmp_path / "out")).select("filename", "status")
     assert rows(got, "filename") == [("a.txt", "approved"), ("b.txt", "failed")]
+
+
+def test_the_last_run_is_the_greatest_number(spark, tmp_path):
+    files = spark.createDataFrame([("d0", "a.txt", bytearray(b"x"))], "id string, filename string, content binary")
+    for run, status in (("9", "routed"), ("10", "approved"), ("night", "failed")):
+        sinks.write_processed_copy(files, docs(spark, {"status": status}), str(tmp_path / "out"), run)
+    assert [r["status"] for r in sinks.read_processed_copies(spark, str(tmp_path / "out")).collect()] == ["approved"]
+
+
+def test_rules_are_found_through_the_index(spark):
+    """Every filter alone and together, several values, bounds, and more values than a rule may have entries."""
+    rnd = random.Random(4)
+    kinds, states, urgencies = ["a", "b", "", None, "c"], ["needs_review", "routed", None], ["high", "normal"]
+    snapshot = docs(spark, *[{"doc_type": rnd.choice(kinds), "status": rnd.choice(states), "urgency": rnd.choice(urgencies), "confidence": rnd.choice([None, 0.0, 0.1, 0.3, 0.55, 0.999, 1.0, 1.7, float("nan")]),
+                              "department": rnd.choice(["x", "y", None]), "workspace_id": rnd.choice(["w", "v", None])} for _ in range(60)])
+    rules = []
+    for i in range(150):
+        filters = {}
+        if rnd.random() < 0.5:
+            filters["doc_type"] = rnd.choice(["a", ["a", "b"], [], ["", "c"], [f"t{k}" for k in range(70)] + ["b"], ["a", "a"]])
+        if rnd.random() < 0.5:
+            filters["status"] = rnd.choice(["routed", ["routed", "needs_review"], ""])
+        if rnd.random() < 0.3:
+            filters["urgency"] = ["high", "normal"][:rnd.randrange(1, 3)]
+        if rnd.random() < 0.4:
+            filters["min_confidence"] = rnd.choice([0.1, 0.3, "0.5", 1.0, -1, 2])
+        if rnd.random() < 0.4:
+            filters["max_confidence"] = rnd.choice([0.1, 0.55, 1, 0.0, 3])
+        rules.append(rule(i, filters, ACT, workspace=rnd.choice([None, "w"])))
+    got = matched(spark, snapshot, *rules, limit=None)
+    want = []
+    for d in snapshot.collect():
+        for i, workspace, _, _, _, text, _ in rules:
+            f = json.loads(text)
+            score = d["confidence"] if d["confidence"] is not None else 0.0
+            number = score != score
+            fits = workspace is None or workspace == d["workspace_id"]
+            for name in ("doc_type", "status", "urgency"):
+                if f.get(name, "") != "":
+                    fits = fits and (d[name] or "") in ([f[name]] if isinstance(f[name], str) else f[name])
+            low, high = (float(f[k]) if k in f else None for k in ("min_confidence", "max_confidence"))
+            # What is not a number counts as greater than any.
+            fits = fits and (low is None or number or score >= low) and (high is None or (not number and score <= high))
+            want += [(d["id"], i)] * fits
+    assert got == sorted(want) and len(want) > 500
+
+
+def test_the_index_compares_little(spark):
+    """Rules of one value each: documents meet those of their own values only."""
+    rules = spark.createDataFrame([rule(i, {"doc_type": f"t{i}", "status": "routed", "min_confidence": 0.42, "max_confidence": 0.43}, ACT) for i in range(400)], RULE)
+    indexed = workflows.index_rules(workflows.parse_rules(workflows.live_rules(rules, "go")))
+    assert indexed.count() == 400 and {r["shape"] for r in indexed.collect()} == {"101001"}
+    many = workflows.index_rules(workflows.parse_rules(workflows.live_rules(spark.createDataFrame([rule(1, {"doc_type": [f"t{k}" for k in range(65)], "status": ["a", "b"]}, ACT)], RULE), "go")))
+    assert [(r["shape"], r["key_doc_type"], r["key_status"]) for r in many.orderBy("key_status").collect()] == [("001000", "", "a"), ("001000", "", "b")]
+    plan = workflows.match_workflows(docs(spark, {}), rules, "go")._jdf.queryExecution().optimizedPlan().toString()
+    assert "key_doc_type" in plan and "Cartesian" not in plan
+
+
+def test_effects_read_their_tables_once(spark, tmp_path):
+    snapshot = docs(spark, {"status": "needs_review", "extracted_fields": {"email": "a@b.c"}})
+    rules = [rule(1, actions=[action("assign", assignee="workspace_owner"), action("create_notification"), action("send_template_email", template_id=1),
+                              action("webhook_post", url="https://x"), action("transition", status="approved")])]
+    made = effects(spark, snapshot, rules, [(1, None, "T", "b")], [("w", "boss")])
+    plan = made.audit._jdf.queryExecution().analyzed().toString().splitlines()
+    assert sum("LogicalRDD" in line and "storage_path" in line for line in plan) == 1
+    kept = made.stored(str(tmp_path / "rows"))
+    for name in ("audit", "notifications", "outbox", "webhooks", "documents"):
+        assert sorted(map(str, getattr(kept, name).collect())) == sorted(map(str, getattr(made, name).collect())) != []
+
+
+def test_presets_for_many_workspaces(spark):
+    chosen = spark.createDataFrame([("w", "gov-foia"), ("w", "gov-permits"), ("w", "gov-foia"), ("v", "gov-foia"), ("v", "unknown")], "workspace_id string, preset_id string")
+    rules = spark.createDataFrame([rule(1, workspace="v", name="foia: auto-ASSIGN on ingestion", trigger="document_ingested"), rule(2, workspace=None, name="FOIA: Notify when overdue", trigger="document_overdue")], RULE)
+    templates = spark.createDataFrame([(1, "v", " foia status update", "x"), (2, None, "permit decision notice", "x")], TEMPLATE)
+    new_rules, new_templates, counts = workflows.apply_presets(chosen, rules, templates)
+    assert {(r["workspace_id"], r["preset_id"], r["kind"]): (r["created"], r["skipped"]) for r in counts.collect()} == {
+        ("w", "gov-foia", "rules"): (3, 0), ("w", "gov-foia", "templates"): (1, 0), ("w", "gov-permits", "rules"): (2, 0), ("w", "gov-permits", "templates"): (0, 1),
+        ("v", "gov-foia", "rules"): (2, 1), ("v", "gov-foia", "templates"): (0, 1), ("v", "unknown", "rules"): (0, 0), ("v", "unknown", "templates"): (0, 0)}
+    assert new_rules.count() == 7 and [tuple(r) for r in new_templates.select("workspace_id", "name").collect()] == [("w", "FOIA Status Update")]
+
+
+def test_mail_uses_templates_of_its_own_workspace(spark):
+    templates = spark.createDataFrame([(1, "other", "A Acknowledgment", "foreign"), (2, "w", "B Acknowledgment", "own"), (3, None, "C Acknowledgment", "shared")], TEMPLATE)
+    mails = {"extracted_fields": {"email": "a@b.c"}}
+    snapshot = docs(spark, {**mails}, {**mails, "workspace_id": "x"}, {**mails, "workspace_id": None})
+    assert rows(mail.auto_mail(snapshot, templates, now()).select("document_id", "body"), "document_id") == [("d0", "own"), ("d1", "shared"), ("d2", "foreign")]
