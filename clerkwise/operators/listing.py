@@ -128,32 +128,41 @@ RANGE_ROWS = 50_000
 def page_by_ranges(rows: DataFrame, column: str, limit: int, offset: int, enough: int = RANGE_ROWS) -> DataFrame:
     """``limit`` rows after the first ``offset`` in descending order of a whole-number ``column`` without nulls, at any depth.
 
-    Rows are counted in up to 1024 ranges of ids; only the ranges that hold the page are looked at further, and counted again in finer ranges
-    while they hold more than ``enough`` rows besides the page. What is sorted in the end is that part alone, found by a filter that
-    reaches the scan. Each count is one pass over the column with a small aggregate, at most seven of them; the driver gets 1024 numbers.
+    The values of the page's first and last row are found by counting rows in up to 1024 ranges, then in finer ranges of the one that
+    holds the row, until it has at most ``enough`` rows. What is sorted in the end lies between the two values, by a filter that
+    reaches the scan. Each count is one pass over the column with a small aggregate, at most seven for either row; the driver gets 1024 numbers.
     """
     first, last = rows.agg(F.min(column), F.max(column)).first()
-    if first is None or limit < 1:
+    top = None if first is None or limit < 1 else _value_at(rows, column, offset, first, last, enough)
+    if top is None:
         return rows.limit(0)
-    key, skip, page = F.col(column), offset, limit
+    high, before = top
+    end = _value_at(rows, column, offset + limit - 1, first, high, enough, before)
+    low = first if end is None else end[0]
+    return rows.filter(F.col(column).between(low, high)).orderBy(F.col(column).desc()).offset(offset - before).limit(limit)
+
+
+def _value_at(rows: DataFrame, column: str, place: int, first: int, last: int, enough: int, before: int = 0) -> tuple[int, int] | None:
+    """The value of the row at ``place`` (from 0) in descending order, and how many rows have greater values. It lies between ``first`` and
+    ``last``, above which there are ``before`` rows. None if there are fewer rows."""
+    key = F.col(column)
     while True:
         width = max(1, -(-(last - first + 1) // RANGES))
         inside = rows.filter(key.between(first, last))
         counts = {r["part"]: r["n"] for r in inside.groupBy(F.expr(f"({last} - `{column}`) div {width}").alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
-        held, chosen = 0, []
         for part in sorted(counts):
-            if skip >= counts[part] and not chosen:
-                skip -= counts[part]
-                continue
-            chosen.append(part)
-            held += counts[part]
-            if held >= skip + page:
+            if place < before + counts[part]:
                 break
-        if not chosen:
-            return rows.limit(0)
-        first, last = max(first, last - (chosen[-1] + 1) * width + 1), last - chosen[0] * width
-        if width == 1 or held <= skip + page + enough:
-            return rows.filter(key.between(first, last)).orderBy(key.desc()).offset(skip).limit(page)
+            before += counts[part]
+        else:
+            return None
+        first, last = max(first, last - (part + 1) * width + 1), last - part * width
+        if width == 1:
+            return last, before
+        if counts[part] <= enough:
+            held = rows.filter(key.between(first, last))
+            value = held.orderBy(key.desc()).offset(place - before).limit(1).first()[0]
+            return value, before + held.filter(key > value).count()
 
 
 def _audit_filter(audit: DataFrame, action=None, actor=None, document_id=None) -> DataFrame:
