@@ -30,6 +30,16 @@ def matched(spark, snapshot, *rules, limit=200):
 ACT = [action("assign", user_id="u")]
 
 
+def test_a_large_rule_index_is_not_collected_on_the_driver(spark):
+    # Few bytes of files, so that Spark itself would broadcast the index.
+    many = spark.range(50).selectExpr("id", "cast(null as string) as workspace_id", "'r' as name", "true as enabled", "'go' as trigger_event",
+                                      "'{\"status\": \"needs_review\"}' as filters_json", """'[{"type": "assign", "config": {"user_id": "u"}}]' as actions_json""")
+    lent, dealt = (workflows.matched_actions(docs(spark, {}, {"status": "routed"}), many, "go", [], small=n) for n in (100, 10))
+    assert sorted(rows(lent.select("document_id", "rule_id"))) == sorted(rows(dealt.select("document_id", "rule_id"))) == sorted(("d0", i) for i in range(50))
+    plans = [frame._jdf.queryExecution().executedPlan().toString() for frame in (lent, dealt)]
+    assert ["BroadcastHashJoin" in plan for plan in plans] == [True, False]
+
+
 def test_filters(spark):
     snapshot = docs(spark, {"doc_type": "a", "confidence": 0.5}, {"doc_type": None, "confidence": None})
     cases = [({}, 2), ({"doc_type": None}, 2), ({"doc_type": ""}, 2), ({"doc_type": "a"}, 1), ({"doc_type": ["a", "b"]}, 1), ({"doc_type": []}, 0),
