@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from clerkwise.functions.dates import instant
 from clerkwise.operators.imports import new_documents
 from clerkwise.operators.rules import literal_rules
+from clerkwise.plans import registry
 from clerkwise.sources import connectors
 from clerkwise.sources.files import extract_text, read_files
 from clerkwise.sources.replies import FORMAT, list_connector, register_connectors
@@ -166,6 +167,16 @@ def test_a_batch_reads_only_its_buckets_of_the_ledger(spark, tmp_path):
     assert _others(rows_, "file_hash", str(tmp_path / "none"), LEDGER, "r", 0).count() == 0
 
 
+def test_a_table_may_be_a_folder_of_files_or_one_file(spark, tmp_path):
+    made = spark.createDataFrame([(i, f"text {i}", "en", "web", 40) for i in range(1, 31)], "doc_id long, text string, lang string, source string, n_chars long")
+    made.repartition(3).write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    made.coalesce(1).write.parquet(str(tmp_path / "made"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "made").glob("part-*.parquet")).rename(tmp_path / "file" / "documents.parquet")
+    logs = [rows(registry.queries()["stream_sync_log"](spark, str(tmp_path / kind)), "connector_type", "external_id") for kind in ("folder", "file")]
+    assert logs[0] == logs[1] and len(logs[0]) > 10
+
+
 def test_overdue_timers_go_on_after_a_restart(spark, tmp_path):
     src, out = tmp_path / "src", tmp_path / "out"
     schema = "id string, workspace_id string, filename string, status string, due_date timestamp, assigned_to string, at timestamp"
