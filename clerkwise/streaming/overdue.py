@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import UTC, datetime, timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -15,10 +15,22 @@ from clerkwise.operators.sla import ESCALATION_DAYS, LOOKBACK_MINUTES
 DAY_MS = 86_400_000
 STATE = "workspace_id string, filename string, assigned_to string, due long, next long, seen long"
 OUTPUT = "document_id string, kind string, at timestamp, days_overdue int, user_id string, workspace_id string, title string, details string"
+NOTICE = Row(*[part.split()[0] for part in OUTPUT.split(", ")])
+EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
+
+
+def _latest(row: Row) -> tuple:
+    """The order of the changes of a document; what is missing comes last."""
+    seen, due, name = row["seen"], row["due"], row["filename"]
+    return seen is None, seen or 0, due is None, due or 0, name is None, name or ""
 
 
 class OverdueProcessor(StatefulProcessor):
-    """Keeps what a notice needs of each open document with a due date, and the time of its next notice."""
+    """Keeps what a notice needs of each open document with a due date, and the time of its next notice.
+
+    Each call to the state is a round trip to the JVM, so a document is read and written once a batch, and the one timer
+    that it has is known by the time in its state.
+    """
 
     def __init__(self, fallback_user: str, after_days: int, every_ms: int, days: int | None):
         self.fallback, self.after, self.every, self.days = fallback_user, after_days, every_ms, days
@@ -27,40 +39,38 @@ class OverdueProcessor(StatefulProcessor):
         self.handle = handle
         self.document = handle.getValueState("document", STATE)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = pd.concat(list(rows)).sort_values(["seen", "due", "filename"]).iloc[-1]
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        last = max(rows, key=_latest)
         held = self.document.get()
-        if held is not None and held[5] > last["seen"]:
+        if held is not None and None not in (held[5], last["seen"]) and held[5] > last["seen"]:
             return
         if held is not None:
-            for at in list(self.handle.listTimers()):
-                self.handle.deleteTimer(at)
-        if pd.isna(last["due"]) or not last["open"]:
+            self.handle.deleteTimer(held[4])
+        if last["due"] is None or not last["open"]:
             if held is not None:
                 self.document.clear()
             return
-        due = int(last["due"])
+        due = last["due"]
         # No second notice within the look-back of the last one, whatever has changed meanwhile.
         soonest = held[4] if held is not None and held[4] > held[3] else due
-        text = [None if pd.isna(last[c]) else last[c] for c in ("workspace_id", "filename", "assigned_to")]
-        yield from self._advance(key[0], (*text, due, max(due, soonest), int(last["seen"])), timerValues.getCurrentWatermarkInMs(), held is not None)
+        text = (last["workspace_id"], last["filename"], last["assigned_to"])
+        yield from self._advance(key[0], (*text, due, max(due, soonest), last["seen"]), timerValues.getCurrentWatermarkInMs(), held is not None)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         held = self.document.get()
         if held is not None:
             yield from self._advance(key[0], held, timerValues.getCurrentWatermarkInMs(), True)
 
-    def _advance(self, name: str, document: tuple, now: int, held: bool) -> Iterator[pd.DataFrame]:
+    def _advance(self, name: str, document: tuple, now: int, held: bool) -> Iterator[Row]:
         """All notices before ``now``, and a timer for the next one."""
         workspace, filename, user, due, at, seen = document
-        out = []
         while at < now and self._within(at, due):
-            late = (at - due) // DAY_MS
+            late, when = (at - due) // DAY_MS, EPOCH + timedelta(milliseconds=at)
             shown = filename or "Document"
-            out.append((name, "overdue", at, late, user or None, workspace, f"Overdue: {shown}", f"{late}d overdue"))
+            yield NOTICE(name, "overdue", when, late, user or None, workspace, f"Overdue: {shown}", f"{late}d overdue")
             if self.fallback and late >= self.after and user != self.fallback:
                 former = user if (user or "").strip() else "unassigned"
-                out.append((name, "escalated", at, late, self.fallback, workspace, f"Escalated: {shown}", f"Reassigned from {former} to {self.fallback} ({late}d overdue)"))
+                yield NOTICE(name, "escalated", when, late, self.fallback, workspace, f"Escalated: {shown}", f"Reassigned from {former} to {self.fallback} ({late}d overdue)")
                 user = self.fallback
             at += self.every
         if self._within(at, due):
@@ -68,9 +78,6 @@ class OverdueProcessor(StatefulProcessor):
             self.handle.registerTimer(at)
         elif held:
             self.document.clear()
-        if out:
-            frame = pd.DataFrame(out, columns=["document_id", "kind", "at", "days_overdue", "user_id", "workspace_id", "title", "details"])
-            yield frame.assign(at=pd.to_datetime(frame["at"], unit="ms", utc=True)).astype({"days_overdue": "int32"})
 
     def _within(self, at: int, due: int) -> bool:
         return self.days is None or at < due + self.days * DAY_MS
@@ -95,5 +102,5 @@ def overdue_stream(changes: DataFrame, at: str, fallback_user: str, after_days:
         F.col("id").cast("string").alias("key"), "workspace_id", "filename", F.nullif(F.col("assigned_to"), F.lit("")).alias("assigned_to"),
         (~F.coalesce(F.col("status"), F.lit("")).isin(*DONE)).alias("open"), F.unix_millis(F.col("due_date")).alias("due"),
         F.unix_millis(F.col(at)).alias("seen"), F.col(at))
-    return rows.groupBy("key").transformWithStateInPandas(
+    return rows.groupBy("key").transformWithState(
         OverdueProcessor(fallback_user, after_days, every_minutes * 60_000, days), OUTPUT, "Append", "EventTime")

@@ -4,6 +4,7 @@ import time
 import zipfile
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from clerkwise.functions.dates import instant
@@ -16,7 +17,7 @@ from clerkwise.sources.replies import FORMAT, list_connector, register_connector
 from clerkwise.streaming.admission import admit_stream
 from clerkwise.streaming.ingest import (
     LEDGER, SYNC_TARGETS, _append_ledger, _others, ingest_folder, ingest_stream, process_stream, retention_run, sla_run, sync_batch, sync_stream, synced_configs)
-from clerkwise.streaming.overdue import overdue_stream
+from clerkwise.streaming.overdue import OverdueProcessor, overdue_stream
 from tests.helpers import docs, rows, ts
 
 AS_OF = "2024-03-10 00:00:00"
@@ -197,6 +198,27 @@ def test_overdue_timers_go_on_after_a_restart(spark, tmp_path):
     assert [x for x in second if x not in first] == [("a", "escalated", 4, 3, "boss"), ("a", "overdue", 3, 2, "u"), ("a", "overdue", 4, 3, "u"), ("a", "overdue", 5, 4, "boss")]
 
 
+def test_an_overdue_document_takes_few_calls_to_the_state():
+    calls, now = [], 1_000_000_000
+
+    class Store:
+        held = ("w", "f", "u", now + 5, now + 5, 1)
+
+        def __getattr__(self, name):
+            def call(*given):
+                calls.append((name, *given))
+                return {"get": self.held, "getValueState": self, "getCurrentWatermarkInMs": now}.get(name)
+            return call
+
+    processor = OverdueProcessor("boss", 3, 86_400_000, None)
+    processor.init(Store())
+    calls.clear()
+    change = Row(workspace_id="w", filename="f", assigned_to=None, open=True, due=now + 9, seen=2)
+    assert list(processor.handleInputRows(("d",), iter([change, Row(**change.asDict() | {"due": 3, "seen": 1})]), Store())) == []
+    assert [c[0] for c in calls] == ["get", "deleteTimer", "getCurrentWatermarkInMs", "update", "registerTimer"]
+    assert calls[1][1] == now + 5 and calls[-1][1] == now + 9
+
+
 def test_silent_keys_are_forgotten(spark, tmp_path):
     src = tmp_path / "src"
     spark.createDataFrame([("a", ts("2024-01-01 00:00:00"), 1), ("a", ts("2024-01-01 00:00:01"), 2), ("a", ts("2024-01-01 00:00:02"), 3)], "k string, at timestamp, n long").write.parquet(str(src))
