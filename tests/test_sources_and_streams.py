@@ -16,7 +16,7 @@ from clerkwise.sources.files import extract_text, read_files
 from clerkwise.sources.replies import FORMAT, list_connector, register_connectors
 from clerkwise.streaming.admission import admit_stream
 from clerkwise.streaming.ingest import (
-    LEDGER, SYNC_TARGETS, _append_ledger, _others, ingest_folder, ingest_stream, process_stream, retention_run, sla_run, sync_batch, sync_stream, synced_configs)
+    LEDGER, LISTING, LISTING_PER_CORE, SYNC_TARGETS, _append_ledger, _others, folder_stream, ingest_folder, ingest_stream, process_stream, retention_run, sla_run, sync_batch, sync_stream, synced_configs)
 from clerkwise.streaming.overdue import OverdueProcessor, overdue_stream
 from tests.helpers import docs, rows, ts
 
@@ -78,6 +78,19 @@ def test_folder_stream_takes_each_version_once(spark, tmp_path):
     assert rows(spark.read.parquet(str(documents)).select("filename"), "filename") == [(n,) for n in sorted([*good, "j.txt", "k.txt"])]
 
 
+def test_a_folder_of_folders_is_listed_by_few_tasks(spark, tmp_path):
+    spark.range(120).selectExpr("id as name", "cast(id as string) as value").coalesce(1).write.partitionBy("name").text(str(tmp_path / "in"))
+    group = f"listing {tmp_path}"
+    spark.conf.unset(LISTING)
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    context.setJobGroup(group, "listing")
+    files = folder_stream(spark, str(tmp_path / "in"), recursive=True)
+    stages = [tracker.getStageInfo(s) for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds]
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert stages and max(s.numTasks for s in stages) <= LISTING_PER_CORE * context.defaultParallelism < 120
+    assert files.isStreaming
+
+
 def test_folder_scan_takes_changed_files_too(spark, tmp_path):
     inbox, ledger, documents = (tmp_path / n for n in ("in", "ledger", "docs"))
     inbox.mkdir()
