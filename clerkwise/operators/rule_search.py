@@ -7,6 +7,8 @@ so far along with the row. Texts are neither shuffled nor multiplied, and the at
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,6 +22,7 @@ from clerkwise.operators.changes import first_per_key
 from clerkwise.session import broadcast_if_small, checkpointed
 
 BLOCK_BYTES = 8 * 1024 * 1024   # of keywords sent out at once
+PASS_BYTES = 256 * 1024 * 1024  # of pressed blocks that one pass over the rows takes
 KEYWORD_COST = 64               # bytes that a keyword takes besides its text
 
 _STATE = {"__hits": "int", "__order": "int", "__type": "string", "__n": "int", "__matched": "array<string>"}
@@ -41,11 +44,31 @@ def _rank(hits: int, order: int | None, kind: str) -> tuple:
     return -hits, order is None, order or 0, kind
 
 
+def _packed(blocks: Iterator[tuple[list[tuple], bool]], most: int) -> Iterator[tuple[list[bytes], bool]]:
+    """Blocks pressed into bytes, as many together as take about ``most`` bytes, and whether they are the last."""
+    held: list[bytes] = []
+    for block, last in blocks:
+        held.append(zlib.compress(pickle.dumps(block)))
+        if last or sum(map(len, held)) >= most:
+            yield held, last
+            held = []
+
+
 def _search(shared):
+    """All blocks for each batch of rows in turn, of which one at a time is unpacked."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in shared.value:
+                batch = next(_search_block(pickle.loads(zlib.decompress(packed)))(iter([batch])))
+            yield batch
+
+    return run
+
+
+def _search_block(rules: list[tuple]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        rules = shared.value
         owners: dict[str, list[int]] = {}
         for number, (_, _, words) in enumerate(rules):
             for word in words:
@@ -83,15 +106,15 @@ def classify_by_table(df: DataFrame, rules: DataFrame, text: str = "text", lower
     """As ``classify``, with rules (doc_type, rule_order, keywords) of any number: doc_type, classification_confidence, matched_keywords.
 
     Most hits win, then the least rule_order, then the smaller key; a keyword counts as often as its rule lists it. Null texts have
-    no hits but those of an empty keyword, and null keywords none. More than one block means one more pass over the rows each, cut by a
-    reliable checkpoint; a stream takes all blocks in one pass.
+    no hits but those of an empty keyword, and null keywords none. The blocks are searched in one pass over the rows, as long as they take
+    at most ``PASS_BYTES`` when pressed; what is beyond that takes another pass, cut by a reliable checkpoint. A stream takes all in one.
     """
     low = F.col(lowered) if lowered else F.lower(F.coalesce(F.col(text), F.lit("")))
     start = {"__low": low} | {name: F.lit(0 if name == "__hits" else None).cast(kind) for name, kind in _STATE.items()}
     context = df.sparkSession.sparkContext
     out = df.withColumns(start)
-    for block, last in rule_blocks(rules, block_bytes):
-        shared = context.broadcast(block)
+    for blocks, last in _packed(rule_blocks(rules, block_bytes), PASS_BYTES):
+        shared = context.broadcast(blocks)
         out = out.mapInArrow(_search(shared), out.schema)
         if not last and not df.isStreaming:
             out = checkpointed(out)

@@ -7,6 +7,7 @@ from clerkwise.functions.dates import instant
 from clerkwise.operators.classify import classify, route, validate
 from clerkwise.operators import classify as classify_module
 from clerkwise.operators import rules as rules_module
+from clerkwise.operators import rule_search
 from clerkwise.operators.rule_search import classify_by_table
 from clerkwise.operators.rules import (
     Rule, default_rules, literal_rules, normalize_rules, rule_errors, rule_key_order, rule_list)
@@ -187,3 +188,14 @@ def test_rule_tables_of_any_size_give_the_same(spark, monkeypatch):
     assert [r["department"] for r in route(source.withColumn("doc_type", F.lit("t3")).limit(1).unionByName(source.withColumn("doc_type", F.lit("zzz")).limit(1)), table).collect()] == ["desk 3", "Desk"]
     always = spark.createDataFrame([("e", 0, [""]), ("p", 1, ["permit", "x"])], "doc_type string, rule_order int, keywords array<string>")
     assert {r["id"]: r["doc_type"] for r in classify_by_table(source, always).collect()}[3] == "e"
+
+
+def test_blocks_of_rules_write_the_rows_nowhere(spark, monkeypatch):
+    def refuse(df):
+        raise AssertionError("the rows were written between blocks")
+
+    monkeypatch.setattr(rule_search, "checkpointed", refuse)
+    table = spark.createDataFrame([(f"t{i:02}", i, [f"word{i}x"]) for i in range(40)], "doc_type string, rule_order int, keywords array<string>")
+    source = spark.createDataFrame([(i, f"has word{i}x and word39x") for i in range(40)], "id int, text string")
+    found = {r["id"]: r["doc_type"] for r in classify_by_table(source, table, block_bytes=200).collect()}
+    assert found == {i: f"t{i:02}" for i in range(40)}
