@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -415,18 +415,24 @@ def _(v):
     return extract_text(files).select("doc_id", "text", "method", "extraction_confidence")
 
 
-def _as_docx(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+# Archives that are held as Python objects at a time.
+ARCHIVES_AT_ONCE = 500
+
+
+def _as_docx(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word documents made of the rows, to have some to read."""
     word = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
-    for batch in batches:
-        contents = []
-        for role, text in zip(batch["role"], batch["text"]):
-            lines = "".join(f"<w:p><w:r><w:t>{escape(role)}</w:t></w:r><w:r><w:t> {escape(t)} </w:t></w:r></w:p>" for t in text.split("\n"))
-            buffer = io.BytesIO()
-            with zipfile.ZipFile(buffer, "w") as archive:
-                archive.writestr("word/document.xml", f'<w:document xmlns:w="{word}"><w:body>{lines}<w:p></w:p></w:body></w:document>')
-            contents.append(buffer.getvalue())
-        yield batch[["conv_id", "turn"]].assign(content=contents)
+    for whole in batches:
+        for start in range(0, whole.num_rows, ARCHIVES_AT_ONCE):
+            batch = whole.slice(start, ARCHIVES_AT_ONCE)
+            contents = []
+            for role, text in zip(batch["role"].to_pylist(), batch["text"].to_pylist()):
+                lines = "".join(f"<w:p><w:r><w:t>{escape(role)}</w:t></w:r><w:r><w:t> {escape(t)} </w:t></w:r></w:p>" for t in text.split("\n"))
+                buffer = io.BytesIO()
+                with zipfile.ZipFile(buffer, "w") as archive:
+                    archive.writestr("word/document.xml", f'<w:document xmlns:w="{word}"><w:body>{lines}<w:p></w:p></w:body></w:document>')
+                contents.append(buffer.getvalue())
+            yield pa.RecordBatch.from_arrays([batch["conv_id"], batch["turn"], pa.array(contents, pa.binary())], ["conv_id", "turn", "content"])
 
 
 @catalog.add("broken_archives", """
@@ -434,7 +440,7 @@ def _as_docx(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
       turn % 5 = 4 AS has_error FROM conversations""")
 def _(v):
     """Every fifth archive is cut off: its row fails with a reason, the others go on."""
-    made = v.table("conversations").select("conv_id", "turn", "role", "text").mapInPandas(_as_docx, "conv_id long, turn long, content binary")
+    made = v.table("conversations").select("conv_id", "turn", "role", "text").mapInArrow(_as_docx, "conv_id long, turn long, content binary")
     broken = F.when(F.col("turn") % 5 == 4, F.encode(F.lit("not an archive"), "UTF-8")).otherwise(F.col("content"))
     files = made.select("conv_id", "turn", F.concat_ws("/", "conv_id", "turn").alias("id"), F.lit("turn.docx").alias("filename"),
                         F.lit(None).cast("string").alias("content_type"), broken.alias("content"), F.lit("1998-01-01").cast("timestamp").alias("created_at"))
@@ -450,7 +456,7 @@ def _(v):
       CASE WHEN turn % 5 = 4 THEN 'docx_unavailable' ELSE 'docx_xml' END AS method, CASE WHEN turn % 5 = 4 THEN 0.2 ELSE 0.9 END::DOUBLE AS extraction_confidence
     FROM conversations""")
 def _(v):
-    made = v.table("conversations").select("conv_id", "turn", "role", "text").mapInPandas(_as_docx, "conv_id long, turn long, content binary")
+    made = v.table("conversations").select("conv_id", "turn", "role", "text").mapInArrow(_as_docx, "conv_id long, turn long, content binary")
     broken = F.when(F.col("turn") % 5 == 4, F.encode(F.lit("not a zip"), "UTF-8")).otherwise(F.col("content"))
     files = made.select("conv_id", "turn", F.lit("turn.docx").alias("filename"), F.lit(None).cast("string").alias("content_type"), broken.alias("content"))
     return extract_text(files).select("conv_id", "turn", "text", "method", "extraction_confidence")

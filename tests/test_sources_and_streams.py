@@ -1,8 +1,11 @@
 import io
 import os
+import subprocess
+import sys
 import time
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -11,8 +14,9 @@ from clerkwise.functions.dates import instant
 from clerkwise.operators.imports import new_documents
 from clerkwise.operators.rules import literal_rules
 from clerkwise.plans import registry
+from clerkwise.plans.document_queries import ARCHIVES_AT_ONCE, _as_docx
 from clerkwise.sources import connectors
-from clerkwise.sources.files import extract_text, read_files
+from clerkwise.sources.files import docx_text, extract_text, read_files
 from clerkwise.sources.replies import FORMAT, list_connector, register_connectors
 from clerkwise.streaming.admission import admit_stream
 from clerkwise.streaming.ingest import (
@@ -53,6 +57,22 @@ def test_file_text(spark, tmp_path):
     assert extract_text(blank).first()["extraction_confidence"] == 0.1
 
 
+def test_archive_readers_hold_little(spark):
+    """Workers that read archives do without pandas, and archives are made a few at a time."""
+    loaded = "import sys, clerkwise.plans.document_queries, clerkwise.sources.files; print('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", loaded], capture_output=True, text=True, check=True).stdout.strip() == "False"
+    n = 2 * ARCHIVES_AT_ONCE + 3
+    batch = pa.RecordBatch.from_pydict({"conv_id": [*range(n - 1), None], "turn": [1] * n, "role": ["user"] * n, "text": [f"t{i}\n<b>" for i in range(n)]})
+    made = list(_as_docx([batch]))
+    assert [b.num_rows for b in made] == [ARCHIVES_AT_ONCE, ARCHIVES_AT_ONCE, 3]
+    assert [i for b in made for i in b["conv_id"].to_pylist()] == [*range(n - 1), None]
+    assert [docx_text(c) for b in made for c in b["content"].to_pylist()] == [f"user t{i}\nuser <b>" for i in range(n)]
+    files = [(1, "a.docx", docx(["x"])), (2, "b.docx", None), (3, "c.docx", b"cut"), (4, "d.txt", b"plain"), (5, "e.docm", docx(["y", " z "]))]
+    got = extract_text(spark.createDataFrame(files, "k int, filename string, content binary").withColumn("content_type", F.lit(None).cast("string")), errors=True)
+    assert rows(got.select("k", "text", F.col("extraction_error").isNotNull()), "k") == [
+        (1, "x", False), (2, "", False), (3, "", True), (4, "plain", False), (5, "y z", False)]
+
+
 def test_folder_stream_takes_each_version_once(spark, tmp_path):
     inbox, ledger, documents, checkpoint = (tmp_path / n for n in ("in", "ledger", "docs", "cp"))
     inbox.mkdir()
