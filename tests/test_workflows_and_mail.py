@@ -271,6 +271,23 @@ def test_effects_read_their_tables_once(spark, tmp_path):
         assert sorted(map(str, getattr(kept, name).collect())) == sorted(map(str, getattr(made, name).collect())) != []
 
 
+def test_stored_effects_are_narrow_and_compiled(spark, tmp_path):
+    """The table of effects leaves out what no effect reads, and no effect is computed inside an explode, which would be interpreted."""
+    snapshot = docs(spark, {"status": "needs_review", "extracted_fields": {"email": "a@b.c", "n": "1"}, "confidence": 0.5}, {"workspace_id": None, "filename": None})
+    acts = [action("assign", user_id="u"), action("create_notification", title="{{filename}} {{n}} {{status}}"), action("webhook_post", url="https://x")]
+    for trigger in ("go", None):
+        made = workflows.run_workflows(snapshot, spark.createDataFrame([rule(1, actions=acts, trigger=trigger or "document_needs_review")], RULE),
+                                       spark.createDataFrame([], TEMPLATE), spark.createDataFrame([("w", "boss")], "id string, owner_id string"), trigger, now())
+        plan = made.rows(*workflows.EFFECTS)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert [line for line in plan if "Generate explode(array(" in line and "__made" in line] != []
+        assert [line for line in plan if "Generate explode(array(" in line and "new_assignee" in line] == []
+        kept = made.stored(str(tmp_path / f"rows-{trigger}"))
+        assert kept.kept.columns == list(workflows.STORED) and "extracted_fields" not in kept.kept.columns
+        for name in ("audit", "notifications", "outbox", "webhooks", "documents"):
+            assert sorted(map(str, getattr(kept, name).collect())) == sorted(map(str, getattr(made, name).collect()))
+        assert {r["title"] for r in kept.notifications.filter("type = 'workflow'").collect()} == {"f.txt 1 needs_review", " {{n}} needs_review"}
+
+
 def test_presets_for_many_workspaces(spark):
     chosen = spark.createDataFrame([("w", "gov-foia"), ("w", "gov-permits"), ("w", "gov-foia"), ("v", "gov-foia"), ("v", "unknown")], "workspace_id string, preset_id string")
     rules = spark.createDataFrame([rule(1, workspace="v", name="foia: auto-ASSIGN on ingestion", trigger="document_ingested"), rule(2, workspace=None, name="FOIA: Notify when overdue", trigger="document_overdue")], RULE)
