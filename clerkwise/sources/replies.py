@@ -19,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import StructType
 
 from clerkwise.sources import connectors
+from clerkwise.sources.files import file_system
 
 FORMAT = "connector_replies"
 SCHEMA = "fetched bigint, page string, payload string"
@@ -59,10 +60,7 @@ class _Store:
         self.root = f"{lowered['path'].rstrip('/')}/connector_type={lowered['connector']}"
 
     def _open(self):
-        from pyarrow import fs
-
-        # Hadoop writes local paths with one slash.
-        return fs.FileSystem.from_uri(f"file://{self.root[5:]}" if self.root.startswith("file:/") and "://" not in self.root else self.root)
+        return file_system(self.root)
 
     def folders(self) -> list[int]:
         from pyarrow import fs

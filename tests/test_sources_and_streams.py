@@ -16,11 +16,11 @@ from clerkwise.operators.rules import literal_rules
 from clerkwise.plans import registry
 from clerkwise.plans.document_queries import ARCHIVES_AT_ONCE, _as_docx
 from clerkwise.sources import connectors
-from clerkwise.sources.files import docx_text, extract_text, read_files
+from clerkwise.sources.files import docx_text, extract_text, read_files, write_files
 from clerkwise.sources.replies import FORMAT, list_connector, register_connectors
 from clerkwise.streaming.admission import admit_stream
 from clerkwise.streaming.ingest import (
-    LEDGER, LISTING, LISTING_PER_CORE, SYNC_TARGETS, _append_ledger, _others, folder_stream, ingest_folder, ingest_stream, process_stream, retention_run, sla_run, sync_batch, sync_stream, synced_configs)
+    LEDGER, LISTING, LISTING_PER_CORE, OPENING, SYNC_TARGETS, _append_ledger, _others, folder_stream, ingest_folder, ingest_stream, process_stream, retention_run, sla_run, sync_batch, sync_stream, synced_configs)
 from clerkwise.streaming.overdue import OverdueProcessor, overdue_stream
 from tests.helpers import docs, rows, ts
 
@@ -211,6 +211,33 @@ def test_a_table_may_be_a_folder_of_files_or_one_file(spark, tmp_path):
     assert logs[0] == logs[1] and len(logs[0]) > 10
 
 
+def test_a_file_is_written_for_each_name(spark, tmp_path):
+    made = spark.createDataFrame([(f"n{i}", "orc" if i % 7 == 0 else "txt", f"Grüße {i}\nx") for i in range(60)] + [("n3", "txt", "again"), ("n4", "txt", "")], "name string, kind string, value string")
+    for _ in range(2):
+        assert write_files(made, f"file:{tmp_path}/in") == 60
+        found = {f.name: f for f in tmp_path.glob("in/*/*")}
+        assert sorted(found) == sorted({f"{r['name']}.{r['kind']}" for r in made.collect()})
+        assert sorted(found["n3.txt"].read_text().splitlines()) == ["Grüße 3", "again", "x"] and found["n1.txt"].read_text() == "Grüße 1\nx\n"
+        assert spark.read.orc(str(found["n7.orc"])).count() == 1
+    assert len({f.parent for f in found.values()}) > 30
+    assert write_files(made.limit(0), str(tmp_path / "none")) == 0
+
+
+def test_small_files_share_tasks_and_a_ledger_has_several_writers(spark, tmp_path):
+    own = spark.newSession()
+    for i in range(200):
+        (tmp_path / f"{i}.txt").write_text(f"text {i}")
+    folder_stream(own, str(tmp_path))
+    assert own.read.format("binaryFile").load(str(tmp_path)).rdd.getNumPartitions() <= own.sparkContext.defaultParallelism
+    own.conf.set(OPENING, "1m")
+    folder_stream(own, str(tmp_path))
+    assert own.conf.get(OPENING) == "1m"
+    entries = spark.range(40).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("file_hash"), *[F.lit("x").alias(c) for c in ("filename", "source_path", "document_id")],
+                                     instant(AS_OF).alias("created_at"))
+    _append_ledger(entries, "file_hash", str(tmp_path / "ledger"), "r", 0)
+    assert len({f.name.split("-")[1] for f in (tmp_path / "ledger").rglob("*.parquet")}) > 1
+
+
 def test_overdue_timers_go_on_after_a_restart(spark, tmp_path):
     src, out = tmp_path / "src", tmp_path / "out"
     schema = "id string, workspace_id string, filename string, status string, due_date timestamp, assigned_to string, at timestamp"
