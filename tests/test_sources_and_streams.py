@@ -5,6 +5,7 @@ import sys
 import time
 import zipfile
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import Row
@@ -21,7 +22,7 @@ from clerkwise.sources.replies import FORMAT, list_connector, register_connector
 from clerkwise.streaming.admission import admit_stream
 from clerkwise.streaming.ingest import (
     LEDGER, LISTING, LISTING_PER_CORE, OPENING, SYNC_TARGETS, _append_ledger, _others, folder_stream, ingest_folder, ingest_stream, process_stream, retention_run, sla_run, sync_batch, sync_stream, synced_configs)
-from clerkwise.streaming.overdue import OverdueProcessor, overdue_stream
+from clerkwise.streaming.overdue import MISSING, RUN, OverdueBuckets, OverdueProcessor, notices, overdue_stream
 from tests.helpers import docs, rows, ts
 
 AS_OF = "2024-03-10 00:00:00"
@@ -279,6 +280,81 @@ def test_an_overdue_document_takes_few_calls_to_the_state():
     assert calls[1][1] == now + 5 and calls[-1][1] == now + 9
 
 
+class Kept:
+    """The state of one key, its timers and the clock."""
+
+    def __init__(self, now):
+        self.held, self.timers, self.now, self.calls = None, set(), now, 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.held
+
+    def update(self, value):
+        self.held, self.calls = value, self.calls + 1
+
+    def clear(self):
+        self.held = None
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def test_a_bucket_of_documents_takes_as_many_calls_as_one():
+    day, columns = 86_400_000, ["key", "workspace_id", "filename", "assigned_to", "open", "due", "seen"]
+    kept = Kept(0)
+    processor = OverdueBuckets(OverdueProcessor("boss", 3, day, 5))
+    processor.init(kept)
+
+    def batch(now, *rows_):
+        kept.now, out = now, []
+        if rows_:
+            out += [tuple(r) for f in processor.handleInputRows((1,), iter([pd.DataFrame(rows_[:2], columns=columns), pd.DataFrame(rows_[2:], columns=columns)]), kept) for r in f.itertuples(index=False)]
+        for at in sorted(t for t in kept.timers if t < now):
+            out += [tuple(r) for f in processor.handleExpiredTimer((1,), kept, None) for r in f.itertuples(index=False)]
+            kept.timers.remove(at)
+        return sorted((r[0] or "", *r[4:]) for r in out)
+
+    # The second row of d0 is older; d9 is closed, d8 has no due date, and one document has no id.
+    first = [("d0", "w", "f", "u", True, 5 * day, 2), ("d0", "w", "f", None, True, day, 1), ("d9", "w", "f", None, False, day, 1), ("d8", "w", "f", None, True, MISSING, 1), (None, "w", None, None, True, 3 * day, MISSING)]
+    assert batch(0, *first, *[(f"e{i}", "w", "f", "u", True, 100 * day, 1) for i in range(50)]) == []
+    assert kept.calls == 2 and kept.timers == {3 * day}
+    assert batch(3 * day) == [] and kept.timers == {3 * day}
+    assert batch(3 * day + 1) == [("", 3 * day, 3 * day, 1)] and kept.timers == {4 * day}
+    assert batch(6 * day, ("d0", "w", "f", None, False, 5 * day, 3)) == [("", 3 * day, 4 * day, 2)] and kept.timers == {6 * day}
+    # A change keeps the time of the next notice, and what is due after five days is forgotten.
+    assert batch(50 * day, (None, "w", None, "v", True, 2 * day, 9)) == [("", 2 * day, 6 * day, 1)] and kept.timers == {100 * day}
+    assert batch(50 * day, *[(f"e{i}", "w", "f", "u", False, 100 * day, 2) for i in range(50)]) == []
+    assert kept.held is None and kept.timers == set()
+
+
+def test_runs_of_notices_equal_a_plain_loop(spark):
+    day = 86_400_000
+    made = [(f"{i}", "w", ("", None, "f")[i % 3], (None, "u", "boss", "\u2003")[i % 4], 7 * day, 7 * day + i % 5 * (day // 2), i % 9 + 1) for i in range(60)]
+    for fallback, after, every in (("boss", 2, day), ("boss", 1, day // 2), ("", 1, day), ("boss", 0, day)):
+        want = []
+        for name, w, filename, user, due, at, n in made:
+            for _ in range(n):
+                late, shown = (at - due) // day, filename or "Document"
+                want.append((name, "overdue", at, late, user, w, f"Overdue: {shown}", f"{late}d overdue"))
+                if fallback and late >= after and user != fallback:
+                    former = user if (user or "").strip() else "unassigned"
+                    want.append((name, "escalated", at, late, fallback, w, f"Escalated: {shown}", f"Reassigned from {former} to {fallback} ({late}d overdue)"))
+                    user = fallback
+                at += every
+        got = notices(spark.createDataFrame(made, RUN), fallback, after, every).withColumn("at", F.unix_millis("at"))
+        assert sorted(rows(got), key=str) == sorted(want, key=str)
+
+
 def test_silent_keys_are_forgotten(spark, tmp_path):
     src = tmp_path / "src"
     spark.createDataFrame([("a", ts("2024-01-01 00:00:00"), 1), ("a", ts("2024-01-01 00:00:01"), 2), ("a", ts("2024-01-01 00:00:02"), 3)], "k string, at timestamp, n long").write.parquet(str(src))
