@@ -1,5 +1,7 @@
 import random
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,3 +201,37 @@ def test_blocks_of_rules_write_the_rows_nowhere(spark, monkeypatch):
     source = spark.createDataFrame([(i, f"has word{i}x and word39x") for i in range(40)], "id int, text string")
     found = {r["id"]: r["doc_type"] for r in classify_by_table(source, table, block_bytes=200).collect()}
     assert found == {i: f"t{i:02}" for i in range(40)}
+
+
+def test_one_walk_searches_many_blocks(spark, monkeypatch):
+    """A plain loop against searchers that hold all blocks or few: ties, doubled, null and empty keywords, and as few automata as may be."""
+    import ahocorasick
+
+    letters = random.Random(4)
+    word = lambda: "".join(letters.choice("ab\u00e9") for _ in range(letters.randint(1, 3)))
+    rules = [(f"t{i}", letters.choice([None, 1, 2, 3]), [letters.choice([word(), word(), word(), None, ""] if i % 9 == 0 else [word()]) for _ in range(letters.randint(1, 4))])
+             for i in range(120)]
+    texts_ = ["".join(letters.choice("ab\u00e9 c") for _ in range(letters.randint(0, 12))) for _ in range(80)] + [""]
+
+    def best(text):
+        hits = [(-sum(w is not None and w in text for w in words), order is None, order or 0, kind, [w for w in words if w is not None and w in text]) for kind, order, words in rules]
+        first = min(h[:4] + (h[4],) for h in hits)
+        return (first[3], first[4]) if first[0] else ("other", [])
+
+    table = spark.createDataFrame(rules, "doc_type string, rule_order int, keywords array<string>")
+    source = spark.createDataFrame(list(enumerate(texts_)), "id int, text string")
+    found = {r["id"]: (r["doc_type"], r["matched_keywords"]) for r in classify_by_table(source, table, block_bytes=500).collect()}
+    assert found == {i: best(t) for i, t in enumerate(texts_)}
+
+    blocks = list(rule_search.rule_blocks(table, 500))
+    assert len(blocks) > 10
+    made, plain = [], ahocorasick.Automaton
+    monkeypatch.setattr(ahocorasick, "Automaton", lambda: made.append(1) or plain())
+    monkeypatch.setattr(rule_search, "PAIRS", 50)
+    schema = pa.schema([("__low", pa.string()), ("__hits", pa.int32()), ("__order", pa.int32()), ("__type", pa.string()), ("__n", pa.int32()), ("__matched", pa.list_(pa.string()))])
+    batches = [pa.RecordBatch.from_pylist([{"__low": t, "__hits": 0} for t in texts_[k::3]], schema=schema) for k in range(3)]
+    for chars, most in ((1 << 20, 1), (20, 100)):
+        made.clear()
+        monkeypatch.setattr(rule_search, "SEARCH_CHARS", chars)
+        out = [(r["__low"], (r["__type"] or "other", r["__matched"] or [])) for b in rule_search._search(SimpleNamespace(value=blocks))(iter(batches)) for r in b.to_pylist()]
+        assert dict(out) == {t: best(t) for t in texts_} and len(made) <= most and (most == 1 or len(made) > 3)
