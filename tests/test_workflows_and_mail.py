@@ -259,6 +259,19 @@ def test_the_index_compares_little(spark):
     assert "key_doc_type" in plan and "Cartesian" not in plan
 
 
+def test_actions_are_named_before_documents_meet_them(spark):
+    """What does not hang on the document is done for each rule, not for each pair; rules of no valid bound meet nobody."""
+    many = [f"t{k}" for k in range(70)]
+    rules = [rule(1, {"doc_type": ["t1", "t2"], "status": "routed"}, [action(" Assign ", assignee="u"), {"type": None}, {"type": "create_notification", "config": None}]),
+             rule(2, {"doc_type": many}, [action("webhook_post", url="x")]), rule(3, {"min_confidence": "high"}, ACT), rule(4, {}, [])]
+    snapshot = docs(spark, {"doc_type": "t1", "status": "routed"}, {"doc_type": "t69", "status": "routed"}, {"doc_type": "t70", "status": "routed"}, {"status": "routed"})
+    found = workflows.match_workflows(snapshot, spark.createDataFrame(rules, RULE), "go")
+    assert [(r["document_id"], r["rule_id"], r["pos"], r["action_type"], r["config"]) for r in found.orderBy("document_id", "rule_id", "pos").collect()] == [
+        ("d0", 1, 0, "assign", {"assignee": "u"}), ("d0", 1, 1, "", {}), ("d0", 1, 2, "create_notification", {}), ("d0", 2, 0, "webhook_post", {"url": "x"}), ("d1", 2, 0, "webhook_post", {"url": "x"})]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Join Inner") < plan.index("posexplode") and "bad_min_confidence" not in plan.split("posexplode")[0]
+
+
 def test_effects_read_their_tables_once(spark, tmp_path):
     snapshot = docs(spark, {"status": "needs_review", "extracted_fields": {"email": "a@b.c"}})
     rules = [rule(1, actions=[action("assign", assignee="workspace_owner"), action("create_notification"), action("send_template_email", template_id=1),
