@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from clerkwise.functions.dates import instant
 from clerkwise.operators import mail, sinks, sla, workflows
+from clerkwise.plans.change_queries import _many_rules
+from clerkwise.plans.views import Views
 from tests.helpers import docs, rows, ts
 
 def now():
@@ -272,6 +274,12 @@ def test_actions_are_named_before_documents_meet_them(spark):
     assert 0 <= plan.index("Join Inner") < plan.index("posexplode") and "bad_min_confidence" not in plan.split("posexplode")[0]
 
 
+def test_a_large_rule_table_is_parsed_on_all_cores(spark, tmp_path):
+    spark.range(300).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    rules = _many_rules(Views(spark, str(tmp_path)))
+    assert rules.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1 and rules.distinct().count() == 300
+
+
 def test_effects_read_their_tables_once(spark, tmp_path):
     snapshot = docs(spark, {"status": "needs_review", "extracted_fields": {"email": "a@b.c"}})
     rules = [rule(1, actions=[action("assign", assignee="workspace_owner"), action("create_notification"), action("send_template_email", template_id=1),
