@@ -21,7 +21,7 @@ from clerkwise.sources.files import docx_text, extract_text, read_files, write_f
 from clerkwise.sources.replies import FORMAT, list_connector, register_connectors
 from clerkwise.streaming.admission import admit_stream
 from clerkwise.streaming.ingest import (
-    LEDGER, LISTING, LISTING_PER_CORE, OPENING, SYNC_TARGETS, _append_ledger, _others, folder_stream, ingest_folder, ingest_stream, process_stream, retention_run, sla_run, sync_batch, sync_stream, synced_configs)
+    LEDGER, LISTING, LISTING_PER_CORE, OPENING, SYNC_TARGETS, _append_ledger, _described, _fresh, _others, folder_stream, ingest_folder, ingest_stream, process_stream, retention_run, sla_run, sync_batch, sync_stream, synced_configs)
 from clerkwise.streaming.overdue import MISSING, RUN, OverdueBuckets, OverdueProcessor, notices, overdue_stream
 from tests.helpers import docs, rows, ts
 
@@ -224,6 +224,21 @@ def test_a_file_is_written_for_each_name(spark, tmp_path):
     assert write_files(made.limit(0), str(tmp_path / "none")) == 0
 
 
+def test_contents_are_not_shuffled_to_a_small_ledger(spark, tmp_path):
+    inbox, ledger = tmp_path / "in", str(tmp_path / "ledger")
+    inbox.mkdir()
+    for i in range(5):
+        (inbox / f"{i}.txt").write_text(f"text {i}")
+    files = _described(read_files(spark, str(inbox)))
+    seen = files.filter("filename < '2'").select("file_hash", "filename", F.col("path").alias("source_path"), F.lit("x").alias("document_id"), instant(AS_OF).alias("created_at"))
+    _append_ledger(seen, "file_hash", ledger, "r", 0)
+    own = spark.newSession()
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    fresh = _fresh(_described(read_files(own, str(inbox))), ledger, "r", 1)
+    assert sorted(r["filename"] for r in fresh.collect()) == ["2.txt", "3.txt", "4.txt"]
+    assert "SortMergeJoin" not in fresh._jdf.queryExecution().executedPlan().toString()
+
+
 def test_small_files_share_tasks_and_a_ledger_has_several_writers(spark, tmp_path):
     own = spark.newSession()
     for i in range(200):
